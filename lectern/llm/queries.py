@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard
+from . import decontaminate, jaccard, toxicity
 
 
 def queries():
     return {
         "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+        "op7_toxicity": toxicity.op7_toxicity,
     }
 
 
