@@ -1,7 +1,7 @@
 """Operator 7: toxicity by the nearest labelled examples.
 
-A text's terms are its words and the beginnings of its words (STEMS bytes long). The terms that tell the labels apart
-best (by the G statistic, on at most MAX_TRAIN labelled rows) are the vocabulary; a text is the TF-IDF vector of those
+A text's terms are its words and the beginnings of its words (STEMS bytes long). The terms that speak for the
+label most clearly (by the G statistic, on at most MAX_TRAIN labelled rows) are the vocabulary; a text is the TF-IDF vector of those
 terms, with document frequencies counted over all documents. A score comes from the K nearest of at most MAX_EXAMPLES
 labelled examples by exact cosine, found with a block-max inverted index: examples are dealt into blocks, each term
 keeps its largest weight in every block, and a block is opened only while its bound can still reach the K-th best.
@@ -30,6 +30,8 @@ from . import common, tokens
 MAX_TRAIN, MAX_EXAMPLES = 20_000, 8_000
 #: Terms in the vocabulary, and the documents that a term must be in, among the labelled rows.
 MAX_TERMS, LEAST_DOCS = 2_000, 5
+#: A term counts as evidence if toxic rows are so many times as frequent among those that hold it as among all.
+LIFT = 2
 K, BLOCK = 15, 64
 STEMS = (4, 6)
 
@@ -64,9 +66,8 @@ class Model:
         term = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, int)
         at = np.repeat(np.arange(n), [len(v[0]) for v in vectors]) if n else np.zeros(0, int)
         w = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
-        order = np.lexsort((at, term))
-        self.post_at, self.post_w = at[order], w[order]
-        self.start = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+        self.term, self.w = term, w  # by block, then by example
+        self.start = np.searchsorted(at, np.arange(n + 1))
         self.most = np.zeros((len(vocabulary), max(1, self.blocks)), np.float32)
         np.maximum.at(self.most, (term, at // block), w.astype(np.float32) + np.float32(1e-6))
         self.steps = None
@@ -88,28 +89,26 @@ class Model:
         t, w = v
         bound = w @ self.most[t]
         order = np.argsort(-bound, kind="stable")
-        parts = [(self.post_at[a:b], self.post_w[a:b] * x) for a, b, x in zip(self.start[t], self.start[t + 1], w, strict=True)]
+        dense = np.zeros(len(self.vocabulary))
+        dense[t] = w
         best_i, best_s = np.zeros(0, int), np.zeros(0)
-        size = 4
-        i = 0
+        i, size = 0, 2
         while i < len(order) and bound[order[i]] > 0 and (len(best_s) < self.k or bound[order[i]] >= best_s[-1]):
-            chosen = np.sort(order[i : i + size])
-            chosen = chosen[bound[chosen] > 0]
+            parts_i, parts_s = [best_i], [best_s]
+            for b in order[i : i + size]:
+                lo, hi = b * self.block, min((b + 1) * self.block, len(self.ids))
+                x, y = self.start[lo], self.start[hi]
+                s = np.add.reduceat(self.w[x:y] * dense[self.term[x:y]], self.start[lo:hi] - x)
+                hit = np.flatnonzero(s)
+                parts_i.append(lo + hit)
+                parts_s.append(s[hit])
             i, size = i + size, size * 2
-            sums = np.zeros((len(chosen), self.block))
-            for at, x in parts:
-                lo, hi = np.searchsorted(at, chosen * self.block), np.searchsorted(at, (chosen + 1) * self.block)
-                for r in np.flatnonzero(hi > lo):
-                    s = slice(lo[r], hi[r])
-                    sums[r, at[s] - chosen[r] * self.block] += x[s]
-            r, c = np.nonzero(sums)
-            at, s = chosen[r] * self.block + c, sums[r, c]
+            at, s = np.concatenate(parts_i), np.concatenate(parts_s)
             if skip >= 0:
                 keep = at != skip
                 at, s = at[keep], s[keep]
-            best_i, best_s = np.concatenate((best_i, at)), np.concatenate((best_s, s))
-            top = np.lexsort((best_i, -best_s))[: self.k]
-            best_i, best_s = best_i[top], best_s[top]
+            top = np.lexsort((at, -s))[: self.k]
+            best_i, best_s = at[top], s[top]
         return best_i, best_s
 
     def vote(self, v, skip: int = -1):
@@ -188,7 +187,7 @@ def _vocabulary(train: DataFrame, max_terms: int) -> np.ndarray:
     cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     a, b, m = F.col("n1"), F.col("n") - F.col("n1"), F.col("n")
     g = 2 * (cell(a, m * n1 / n) + cell(b, m * (n - n1) / n) + cell(n1 - a, (n - m) * n1 / F.lit(n)) + cell((n - n1) - b, (n - m) * (n - n1) / F.lit(n)))
-    best = c.select("h", g.alias("g")).where("g > 15").orderBy(F.desc("g"), "h").limit(max_terms).select("h").collect()
+    best = c.select("h", "n", "n1", g.alias("g")).where((F.col("g") > 15) & (F.col("n1") * n >= LIFT * F.col("n") * n1)).orderBy(F.desc("g"), "h").limit(max_terms).select("h").collect()
     return np.sort(np.array([r[0] for r in best], np.int64).view(np.uint64))
 
 
