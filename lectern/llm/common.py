@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +17,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the checkpoint folder that all executors share and drop its lineage."""
+def _folder(df: DataFrame) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only in local mode."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder and drop its lineage. For narrow and short tables."""
+    _folder(df)
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table in that folder: compressed, pruned by column; removed by drop() or at the end."""
+    spark = df.sparkSession
+    path = f"{_folder(df)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a kept table that nothing reads any more."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._kept)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished, unreferenced plans now rather than at the next full collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if a count shows that it has at most `rows` rows. df should be cut: it is counted."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -24,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, tokens
@@ -121,19 +122,20 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray) -> Dat
                     flag = np.zeros(len(flat), bool)
                 edge = np.concatenate(([0], np.cumsum(size)))
                 keep = np.where(size > 0, size - need(size, num, den) + 1, 0)
-                first = []
+                first, n_rare = [], []
                 for s, e, k in zip(edge[:-1].tolist(), edge[1:].tolist(), keep.tolist(), strict=True):
                     f, x = flag[s:e], flat[s:e]
                     rare = x[~f][:k]
+                    n_rare.append(len(rare))
                     first.append(rare if len(rare) == k else np.concatenate((rare, x[f][: k - len(rare)])))
                 ends = np.concatenate(([0], np.cumsum(keep))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((np.concatenate(first) if len(first) else flat).view(np.int64)))
                 h = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
                 rows = pa.array(base + i + np.arange(b - a))
                 i += b - a
-                yield pa.RecordBatch.from_arrays([rows, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size), pa.array(h[:, 0]), pa.array(h[:, 1]), lists], ["row", "doc_id", "tkey", "n", "h1", "h2", "first"])
+                yield pa.RecordBatch.from_arrays([rows, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(n_rare, pa.int32()), lists], ["row", "doc_id", "tkey", "n", "h1", "h2", "rare", "first"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, "row long, doc_id long, tkey long, n long, h1 long, h2 long, first array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, "row long, doc_id long, tkey long, n long, h1 long, h2 long, rare int, first array<long>")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -173,24 +175,33 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     """(rows, links): rows has doc_id, tkey (hash of the text), n_shingles, cls (its class) and component_id for every
     document; links the verified pairs (a, b) of classes. Two sets link if den * intersection >= num * union."""
     docs = docs.select("doc_id", "text")
-    rows = common.cut(_sets(docs, n, num, den, _common(docs, n, common_tokens)))
+    spark = docs.sparkSession
+    rows = common.keep(_sets(docs, n, num, den, _common(docs, n, common_tokens)))
     classes = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("cls"))
     classes = common.cut(classes)
     reps = rows.join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
     # the smaller set of a pair (or the first of equal size) needs fewer of its tokens: size - ceil(2t/(1+t) * size) + 1
-    few = F.expr(f"n - (n * {2 * num} + {num + den - 1}) div {num + den} + 1")
-    matrix = reps.select("row", "n", F.posexplode("first").alias("pos", "token"), few.alias("few")).select("token", F.col("row").alias("cls"), "n", "pos", (F.col("pos") < F.col("few")).alias("low"))
-    lead = matrix.groupBy("token").agg(F.count("*").alias("c"), F.min(F.when(F.col("low"), F.struct("n", "cls"))).alias("lead")).where("c > 1 AND lead IS NOT NULL").select("token", F.col("lead.cls").alias("b"), F.col("lead.n").alias("nb"))
-    shared = common.cut(matrix.join(lead, "token"))
-    near = F.col("nb") * den >= F.col("n") * num
+    few = f"n - (n * {2 * num} + {num + den - 1}) div {num + den} + 1".replace("n", "(np div 4294967296)")
+    matrix = reps.select("row", "n", "rare", F.posexplode("first").alias("pos", "token"))
+    matrix = matrix.select("token", F.col("row").alias("cls"), F.expr("n * 4294967296L + pos").alias("np"), (F.col("pos") >= F.col("rare")).alias("often"))
+    size, low = F.expr("np div 4294967296"), F.expr(f"np % 4294967296 < {few}")
+    first_low = F.min(F.when(low, F.struct(size.alias("n"), "cls")))
+    # rare tokens meet by one shuffle; the common ones, any number of times as frequent, by sums and a bounded broadcast
+    row = W.partitionBy("token")
+    rare = matrix.where(~F.col("often")).drop("often").withColumn("c", F.count("*").over(row)).withColumn("lead", first_low.over(row)).where("c > 1 AND lead IS NOT NULL").select("token", "cls", "np", F.col("lead.cls").alias("b"), F.col("lead.n").alias("nb"))
+    often = matrix.where("often").drop("often")
+    heads = often.groupBy("token").agg(F.count("*").alias("c"), first_low.alias("lead")).where("c > 1 AND lead IS NOT NULL").select("token", F.col("lead.cls").alias("b"), F.col("lead.n").alias("nb"))
+    often = often.join(F.broadcast(common.cut(heads)), "token")  # at most common_tokens rows
+    shared = common.keep(rare.unionByName(often).select("token", "cls", size.alias("n"), F.expr("np % 4294967296").alias("pos"), low.alias("low"), "b", "nb"))
+    common.release(spark)
+    near = F.least("n", "nb") * den >= F.greatest("n", "nb") * num
     first = common.cut(shared.where((F.col("cls") != F.col("b")) & near).select(F.col("cls").alias("a"), "b").distinct())
     links = _verified(first, reps, docs, n, num, den)
-    groups = common.components(links)
+    groups = common.cut(common.components(links).withColumnRenamed("node", "cls"))
 
-    members = shared.select("token", "cls", "n", "pos", "low").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    members = common.cut(members)
+    members = shared.select("token", "cls", "n", "pos", "low").join(common.small(groups), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     open_ = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    left = common.cut(members.join(open_, "token", "left_semi"))
+    left = common.keep(members.join(common.small(common.cut(open_)), "token", "left_semi"))
     x, y = left.alias("x"), left.where("low").alias("y")
     # overlap wanted of sizes p, q: ceil((p + q) * num / (num + den)); at the first token that two sets share, what is left of each bounds it
     fits = F.expr(f"""x.comp <> y.comp AND (y.n < x.n OR (y.n = x.n AND y.cls < x.cls)) AND y.n * {den} >= x.n * {num}
@@ -200,6 +211,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     more = _verified(second, reps, docs, n, num, den)
     all_links = links.union(more)
     comp = common.components(all_links)
+    common.drop(left)
+    common.drop(shared)
+    common.release(spark)
 
     of_class = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     narrow = rows.select("doc_id", "tkey", "n", "h1", "h2", "row")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, toxicity
+from . import decontaminate, jaccard, mixing, pii, secrets, toxicity
 
 
 def queries():
     return {
+        "op1_mixing": mixing.op1_mixing,
+        "op3_pii": pii.op3_pii,
         "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
+        "op5_secrets": secrets.op5_secrets,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_toxicity": toxicity.op7_toxicity,
     }
