@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, pii, secrets, toxicity
+from . import decontaminate, jaccard, lines, mixing, pii, secrets, toxicity
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op5_secrets": secrets.op5_secrets,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_line_dedup": lines.op8_line_dedup,
     }
 
 
