@@ -150,7 +150,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: i
             for a, b, data, off in tokens.chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingles(data, off, n)], pa.binary())], ["cls", "s"])
 
-    sets = common.cut(own.mapInArrow(full, "cls long, s binary"))
+    sets = common.keep(own.mapInArrow(full, "cls long, s binary"))
+    common.release(docs.sparkSession)
     both = pairs.join(sets.withColumnsRenamed({"cls": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"cls": "b", "s": "sb"}), "b").select("a", "b", "sa", "sb")
 
     def check(batches):
@@ -168,7 +169,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: i
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return common.cut(both.mapInArrow(check, "a long, b long"))
+    out = common.cut(both.mapInArrow(check, "a long, b long"))
+    common.drop(sets)
+    return out
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, common_tokens: int = COMMON) -> tuple[DataFrame, DataFrame]:
@@ -176,13 +179,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     document; links the verified pairs (a, b) of classes. Two sets link if den * intersection >= num * union."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    rows = common.keep(_sets(docs, n, num, den, _common(docs, n, common_tokens)))
-    classes = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("cls"))
-    classes = common.cut(classes)
-    reps = rows.join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
+    full = common.keep(_sets(docs, n, num, den, _common(docs, n, common_tokens)))
+    rows = common.keep(full.drop("first", "rare"))
+    common.release(spark)
+    classes = common.cut(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("cls")))
+    copies = common.cut(rows.join(classes, ["h1", "h2", "n"]).where("row <> cls").select("row"))
+    one_each = lambda x: x.where("n > 0").join(common.small(copies), "row", "left_anti")
+    reps = one_each(rows)
     # the smaller set of a pair (or the first of equal size) needs fewer of its tokens: size - ceil(2t/(1+t) * size) + 1
     few = f"n - (n * {2 * num} + {num + den - 1}) div {num + den} + 1".replace("n", "(np div 4294967296)")
-    matrix = reps.select("row", "n", "rare", F.posexplode("first").alias("pos", "token"))
+    matrix = one_each(full).select("row", "n", "rare", F.posexplode("first").alias("pos", "token"))
     matrix = matrix.select("token", F.col("row").alias("cls"), F.expr("n * 4294967296L + pos").alias("np"), (F.col("pos") >= F.col("rare")).alias("often"))
     size, low = F.expr("np div 4294967296"), F.expr(f"np % 4294967296 < {few}")
     first_low = F.min(F.when(low, F.struct(size.alias("n"), "cls")))
@@ -193,10 +199,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     heads = often.groupBy("token").agg(F.count("*").alias("c"), first_low.alias("lead")).where("c > 1 AND lead IS NOT NULL").select("token", F.col("lead.cls").alias("b"), F.col("lead.n").alias("nb"))
     often = often.join(F.broadcast(common.cut(heads)), "token")  # at most common_tokens rows
     shared = common.keep(rare.unionByName(often).select("token", "cls", size.alias("n"), F.expr("np % 4294967296").alias("pos"), low.alias("low"), "b", "nb"))
+    common.drop(full)
     common.release(spark)
     near = F.least("n", "nb") * den >= F.greatest("n", "nb") * num
     first = common.cut(shared.where((F.col("cls") != F.col("b")) & near).select(F.col("cls").alias("a"), "b").distinct())
     links = _verified(first, reps, docs, n, num, den)
+    common.release(spark)
     groups = common.cut(common.components(links).withColumnRenamed("node", "cls"))
 
     members = shared.select("token", "cls", "n", "pos", "low").join(common.small(groups), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
@@ -209,11 +217,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     second = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     second = common.cut(second.join(first, ["a", "b"], "left_anti"))
     more = _verified(second, reps, docs, n, num, den)
+    common.release(spark)
     all_links = links.union(more)
     comp = common.components(all_links)
     common.drop(left)
     common.drop(shared)
-    common.release(spark)
 
     of_class = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     narrow = rows.select("doc_id", "tkey", "n", "h1", "h2", "row")

@@ -97,6 +97,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     f = find_pii(common.table(spark, sf_dir, "documents"))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k, _, _ in KINDS]
+    n = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k, _, _ in KINDS]
     plain = F.transform("terms", lambda s: F.struct(s["kind"], s["start"], s["end"]))
     return f.select("doc_id", *n, F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.concat("base", plain)).alias("spans"))

@@ -60,6 +60,6 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
     f = scan(common.table(spark, sf_dir, "documents"))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k, _, _ in KINDS[:3]]
+    n = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k, _, _ in KINDS[:3]]
     live = F.size(F.filter("base", lambda s: s["live"])).cast("long") + F.size("extra")
     return f.select("doc_id", *n, F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.array_sort(F.concat("base", "extra"))).alias("spans"), live.cast("long").alias("n_live"))
