@@ -31,7 +31,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, slots of an output shard, hash buckets of a source's prefix sums, rounds of a permutation.
 BLOCK, SLOTS, BUCKETS, ROUNDS = 512, 1024, 1024, 24
 #: Slots made from one row.
-STEP = 1 << 14
+STEP = 1 << 12
 
 
 def permuted(x: Column, n: Column, key: Column, inverse: bool = False) -> Column:
@@ -78,7 +78,7 @@ class Mix:
     def content(self) -> DataFrame:
         """The mix: which words of which document (rid, doc_id, tkey) stand where in each slot."""
         cut = F.least(F.col("at") + F.col("n"), F.col("take")) - F.col("at")
-        return self.slots.join(self.pieces, ["sid", "block"]).where(F.col("at") < F.col("take")).select("shard", "slot", "at", "sid", "block", "rid", "doc_id", "tkey", "word", cut.alias("n"))
+        return self.slots.join(self.pieces.hint("merge"), ["sid", "block"]).where(F.col("at") < F.col("take")).select("shard", "slot", "at", "sid", "block", "rid", "doc_id", "tkey", "word", cut.alias("n"))
 
     def taken(self) -> DataFrame:
         """sized with source_size, target and taken: the words that the mix takes of each document, repeats counted."""
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3,
     p = common.cut(p.select("sid", "blocks", "tail", "n_slots", "last_take", "first", "all"))
 
     runs = p.where("n_slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {STEP}"))))
-    runs = runs.repartition("sid", "run")
+    runs = runs.repartition(max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "sid", "run")
     s = runs.withColumn("k", F.explode(F.sequence(F.col("run") * STEP, F.least((F.col("run") + 1) * STEP, F.col("n_slots")) - 1)))
     s = s.withColumn("block", permuted(F.expr("k % blocks"), F.col("blocks"), F.concat_ws(":", F.lit(seed), "sid", F.expr("k div blocks"))))
     s = s.withColumn("j", permuted(F.col("first") + F.col("k"), F.col("all"), F.lit(str(seed))))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, lines, mixing, pii, secrets, toxicity
+from . import chat, decontaminate, jaccard, lines, matroska, mixing, pii, secrets, toxicity
 
 
 def queries():
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_chat_formatting": chat.op2_chat_formatting,
         "op3_pii": pii.op3_pii,
         "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
         "op5_secrets": secrets.op5_secrets,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_line_dedup": lines.op8_line_dedup,
+        "op9_matroska": matroska.op9_matroska,
     }
 
 
