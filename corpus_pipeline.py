@@ -1,10 +1,56 @@
-"""The corpus pipeline: stages over the documents table, each written and read again."""
+"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; run() writes each stage's result as
+Parquet in the shared checkpoint folder and reads it again. All stages but the last return the columns of documents;
+the last adds each document's words, its source's words and target, and the words that the mix takes of it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from lectern.llm import common, decontaminate, jaccard, lines, mixing, toxicity
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples don't mark as toxic."""
+    return toxicity.without_toxic(docs, common.table(spark, sf_dir, "labels"))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that are equal or nearly equal to earlier ones; what has nothing left goes."""
+    return lines.dedup(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by the Jaccard similarity of 5-word shingles, 0.8 or more."""
+    return jaccard.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no 10-word window of a benchmark item."""
+    return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of sources takes."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing", mixed),
+]
+
+#: SQL expresses none of the first stages; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -175,8 +175,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: i
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, common_tokens: int = COMMON) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows has doc_id, tkey (hash of the text), n_shingles, cls (its class) and component_id for every
-    document; links the verified pairs (a, b) of classes. Two sets link if den * intersection >= num * union."""
+    """(rows, links): rows has doc_id, tkey (hash of the text), n_shingles, cls (its class), comp (its component's
+    smallest class, null for an empty set) and component_id for every document; links the verified pairs (a, b) of classes. Two sets link if den * intersection >= num * union."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     full = common.keep(_sets(docs, n, num, den, _common(docs, n, common_tokens)))
@@ -228,11 +228,30 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     lowest = narrow.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("lowest"))
     of_class = of_class.join(lowest, ["h1", "h2", "n"])
     ids = of_class.groupBy("comp").agg(F.min("lowest").alias("component_id"))
-    of_class = common.cut(of_class.join(ids, "comp").select("h1", "h2", "n", "cls", "component_id"))
-    out = narrow.join(common.small(of_class), ["h1", "h2", "n"], "left").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.coalesce("cls", "row").alias("cls"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_class = common.cut(of_class.join(ids, "comp").select("h1", "h2", "n", "cls", "comp", "component_id"))
+    out = narrow.join(common.small(of_class), ["h1", "h2", "n"], "left").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.coalesce("cls", "row").alias("cls"), "comp", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out, all_links
 
 
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one document of each component: the one of smallest doc_id (null last), then hash of the text. Empty
+    sets all stay; of rows that agree in doc_id and text one stays. All columns stay."""
+    rows, _ = jaccard_join(docs, n, num, den)
+    rows = rows.where("comp IS NOT NULL").select("doc_id", "tkey", "comp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
+    heads = rows.groupBy("comp").agg(F.min(order).alias("head"), F.count("*").alias("c")).where("c > 1")
+    held = common.cut(rows.join(heads, "comp").select("doc_id", "tkey", "head"))
+    same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tkey") == F.col("head.tkey"))
+    gone = common.cut(held.where(~same).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k")).distinct())
+    twice = common.cut(held.where(same).groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k")).count().where("count > 1").select("_id", "_k"))
+    hit = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_k"))
+    out = docs.join(common.small(gone), hit, "left_anti")
+    if twice.isEmpty():
+        return out
+    hit = out["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(out["text"]) == F.col("_k"))
+    return out.join(common.small(twice), hit, "left_anti").unionByName(out.join(common.small(twice), hit, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     rows, _ = jaccard_join(common.table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_shingles", "component_id")

@@ -134,5 +134,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3,
     return Mix(per, sized, pieces, s)
 
 
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """docs with size, source_size, target and taken: how much of each document the mix takes. Rows that agree in
+    doc_id and text show the largest of their numbers of words taken."""
+    t = mix(docs, **settings).taken().groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k"), F.col("source").alias("_s"))
+    t = common.cut(t.agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken")))
+    hit = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_k")) & docs["source"].eqNullSafe(F.col("_s"))
+    return docs.join(common.small(t), hit).select(*[docs[c] for c in docs.columns if c not in ("size", "source_size", "target", "taken")], "size", "source_size", "target", "taken")
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(common.table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")

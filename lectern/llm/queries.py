@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, lines, matroska, mixing, pii, secrets, toxicity
+from . import chat, decontaminate, jaccard, lines, matroska, mixing, pii, secrets, token_counts, toxicity
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_matroska": matroska.op9_matroska,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
