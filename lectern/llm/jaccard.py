@@ -7,10 +7,11 @@ only those groups whose union it can overlap enough.
 * Tokens are ordered globally, common ones last. A query with similarity t or more to any member of a group overlaps
   the group's union in at least ceil(t * size) tokens, so its first size - ceil(t * size) + 1 tokens hold one of the
   union. Only these are kept in the matrix (for the smaller set of a pair even fewer suffice).
-* Grouping: in each token's row the smallest set leads; a class is checked against its leaders, and verified links
-  make the groups. A group is thus connected before any two of its members are compared.
+* Grouping: in each token's row the smallest set leads; a class is checked against the leader that it meets most often,
+  and verified links make the groups. A group is thus connected before any two of its members are compared.
 * Matrix: the distinct groups of each token. Tokens with one group only have nothing to open. For the others the
-  members that size and position leave as possible partners are joined, verified on whole sets and linked.
+  members that size, position and the overlap of their first tokens leave as possible partners are verified on whole
+  sets and linked.
 
 The order of tokens only decides how much is compared, never what is found: the common tokens are those that repeat
 within a run of documents, and at most COMMON of them (by count) are told apart from the rest.
@@ -138,6 +139,18 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray) -> Dat
     return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, "row long, doc_id long, tkey long, n long, h1 long, h2 long, rare int, first array<long>")
 
 
+def _overlapping(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs whose first tokens leave the wanted overlap possible. The tokens that two sets share up to
+    the nearer of the ends of their first tokens are among both; behind it, one of them has only its rest."""
+    wanted = common.cut(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct())
+    own = common.keep(full.join(common.small(wanted), "row", "left_semi").select("row", "n", "first"))
+    x, y = (own.withColumnsRenamed({"row": k, "n": f"n{k}", "first": f"f{k}"}) for k in "ab")
+    possible = F.expr(f"size(array_intersect(fa, fb)) + greatest(na - size(fa), nb - size(fb)) >= ((na + nb) * {num} + {num + den - 1}) div {num + den}")
+    out = common.cut(pairs.join(x, "a").join(y, "b").where(possible).select("a", "b"))
+    common.drop(own)
+    return out
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of classes whose whole sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -199,10 +212,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     heads = often.groupBy("token").agg(F.count("*").alias("c"), first_low.alias("lead")).where("c > 1 AND lead IS NOT NULL").select("token", F.col("lead.cls").alias("b"), F.col("lead.n").alias("nb"))
     often = often.join(F.broadcast(common.cut(heads)), "token")  # at most common_tokens rows
     shared = common.keep(rare.unionByName(often).select("token", "cls", size.alias("n"), F.expr("np % 4294967296").alias("pos"), low.alias("low"), "b", "nb"))
-    common.drop(full)
     common.release(spark)
     near = F.least("n", "nb") * den >= F.greatest("n", "nb") * num
-    first = common.cut(shared.where((F.col("cls") != F.col("b")) & near).select(F.col("cls").alias("a"), "b").distinct())
+    met = shared.where((F.col("cls") != F.col("b")) & near).groupBy("cls", "b").agg(F.count("*").alias("c"))
+    first = common.cut(met.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("c", "b")).alias("m")).select("a", "m.b"))
     links = _verified(first, reps, docs, n, num, den)
     common.release(spark)
     groups = common.cut(common.components(links).withColumnRenamed("node", "cls"))
@@ -215,7 +228,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     fits = F.expr(f"""x.comp <> y.comp AND (y.n < x.n OR (y.n = x.n AND y.cls < x.cls)) AND y.n * {den} >= x.n * {num}
         AND least(x.n - x.pos, y.n - y.pos) >= ((x.n + y.n) * {num} + {num + den - 1}) div {num + den}""")
     second = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    second = common.cut(second.join(first, ["a", "b"], "left_anti"))
+    second = _overlapping(common.cut(second.join(first, ["a", "b"], "left_anti")), full, num, den)
+    common.drop(full)
     more = _verified(second, reps, docs, n, num, den)
     common.release(spark)
     all_links = links.union(more)
