@@ -63,9 +63,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a cut table has at most `rows` rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if a count shows that it has at most `rows` rows. df should be cut: it is counted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def words_col(text, pattern: str = r"[^\x20\x09-\x0D]+"):

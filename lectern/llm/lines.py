@@ -92,13 +92,6 @@ def signatures(k: int) -> str:
     return f"array({', '.join(out)})"
 
 
-def _first(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Lines that occur again: both hashes and their first place."""
-    place = F.struct("doc_id", "tkey", "pos")
-    lines = exploded(docs, min_chars).select(F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), place.alias("at"))
-    return lines.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "g", "first")
-
-
 def _without(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """docs with the array of places that marks has for them, or null."""
     return docs.join(common.small(marks), docs["doc_id"].eqNullSafe(marks["_id"]) & (F.xxhash64(docs["text"]) == marks["_k"]), "left")
@@ -107,10 +100,13 @@ def _without(docs: DataFrame, marks: DataFrame) -> DataFrame:
 def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """_id, _k (doc_id, hash of the text), exact and near: places of lines to drop. Only documents that have some."""
     docs = docs.select("doc_id", "text").where("text IS NOT NULL")
-    first = common.cut(_first(docs, min_chars))
-    lines = exploded(docs, min_chars).withColumns({"h": F.xxhash64("line"), "g": F.xxhash64("line", F.lit(1))})
-    again = lines.join(common.small(first), ["h", "g"]).where("NOT (doc_id <=> first.doc_id AND tkey = first.tkey AND pos = first.pos)")
-    exact = common.cut(again.select("doc_id", "tkey", "pos").groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k")).agg(F.array_sort(F.collect_set("pos")).alias("exact")))
+    hashes = {"h": F.xxhash64("line"), "g": F.xxhash64("line", F.lit(1))}
+    again = common.cut(exploded(docs, min_chars).select(*[c.alias(k) for k, c in hashes.items()]).groupBy("h", "g").count().where("count > 1").select("h", "g"))
+    held = common.keep(exploded(docs, min_chars).withColumns(hashes).drop("line").join(common.small(again), ["h", "g"]))
+    first = common.cut(held.groupBy("h", "g").agg(F.min(F.struct("doc_id", "tkey", "pos")).alias("first")))
+    later = held.join(common.small(first), ["h", "g"]).where("NOT (doc_id <=> first.doc_id AND tkey = first.tkey AND pos = first.pos)")
+    exact = common.cut(later.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k")).agg(F.array_sort(F.collect_set("pos")).alias("exact")))
+    common.drop(held)
 
     def distinct():
         own = _without(docs, exact)
@@ -120,34 +116,41 @@ def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> Da
 
     def signed(*more):
         own = distinct().withColumn("s", F.expr(signatures(edits)))
-        return own.select("doc_id", "h", *more, F.explode("s").alias("s")).select("s.sig", "s.probe", "doc_id", "h", *more)
+        return own.select("h", *more, F.explode("s").alias("s")).select("s.sig", "s.probe", "h", *more)
 
-    met = signed().groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min(F.struct("doc_id", "h")).alias("lead"), F.bool_or("probe").alias("p"), F.bool_or(~F.col("probe")).alias("i"))
-    met = common.cut(met.where("lo < hi AND p AND i").select("sig", "lead"))
+    met = signed().groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("probe").alias("p"), F.min("probe").alias("i"))
+    met = common.cut(met.where("lo < hi AND p AND NOT i").select("sig"))
     words = F.split("line", " ")
     sketch = F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
-    rows = signed("line").join(common.small(met), "sig").select("sig", "probe", "doc_id", "h", sketch.alias("sk"), "lead", F.col("line").alias("line"))
-    rows = common.keep(rows.drop("line"))
-    wanted = common.cut(rows.select("h").distinct())
-    text = distinct().join(common.small(wanted), "h", "left_semi").select("h", "line").dropDuplicates(["h"])
-    text = common.keep(text)
+    place = ["doc_id", "tkey", "pos", "line"]
+    if common.is_small(met):
+        wide = common.keep(signed(*place).join(F.broadcast(met), "sig"))
+        hits, text = wide.select("sig", "probe", "h", "doc_id"), wide.select("h", *place).dropDuplicates(["h", "doc_id", "tkey", "pos"])
+    else:  # the texts of lines aren't shuffled with their signatures
+        wide = common.keep(signed("doc_id").join(met, "sig"))
+        hits, text = wide, distinct().join(common.small(common.cut(wide.select("h").distinct())), "h", "left_semi").select("h", *place)
+    text = common.keep(text.withColumn("sk", sketch))
+    rows = hits.distinct().join(text.select("h", "sk").distinct(), "h")
+    rows = common.keep(rows)
+    common.drop(wide)
+    places = text.select("h", "doc_id", "tkey", "pos")
+    text_of = text.select("h", "line").dropDuplicates(["h"])
+    leads = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "h", "sk")).alias("lead"))
 
     def similar(pairs):
-        both = pairs.join(text.withColumnsRenamed({"h": "a", "line": "x"}), "a").join(text.withColumnsRenamed({"h": "b", "line": "y"}), "b")
+        both = pairs.join(text_of.withColumnsRenamed({"h": "a", "line": "x"}), "a").join(text_of.withColumnsRenamed({"h": "b", "line": "y"}), "b")
         return common.cut(both.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a").distinct())
 
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 3 * edits
-    heads = rows.select(F.col("lead.h").alias("b"), "h", "sk", "sig", "lead")
-    head_sk = rows.select(F.col("h").alias("b"), F.col("sk").alias("bk")).distinct()
-    led = heads.where("h <> b").select(F.col("h").alias("a"), "b", "sk").distinct().join(head_sk, "b").where(close(F.col("sk"), F.col("bk"))).select("a", "b")
-    led = common.cut(led)
+    led = rows.join(leads, "sig").where((F.col("h") != F.col("lead.h")) & close(F.col("sk"), F.col("lead.sk")))
+    led = common.cut(led.select(F.col("h").alias("a"), F.col("lead.h").alias("b")).distinct())
     gone = similar(led)
     x = rows.join(common.small(gone.withColumnRenamed("a", "h")), "h", "left_anti").alias("x")
     y = rows.alias("y")
     before = F.expr("struct(y.doc_id, y.h) < struct(x.doc_id, x.h) AND x.probe <> y.probe")
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & before & close(F.col("x.sk"), F.col("y.sk"))).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
     gone = common.cut(gone.union(similar(common.cut(rest.join(led, ["a", "b"], "left_anti")))))
-    near = distinct().join(common.small(gone), F.col("h") == F.col("a"), "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k")).agg(F.array_sort(F.collect_set("pos")).alias("near"))
+    near = places.join(common.small(gone), F.col("h") == F.col("a"), "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k")).agg(F.array_sort(F.collect_set("pos")).alias("near"))
     near = common.cut(near)
     common.drop(rows)
     common.drop(text)
