@@ -9,8 +9,8 @@ whether that one stays or not: so the first line of each group of similar ones a
   lengths l - edits .. l with only the substrings that the multi-match-aware bounds leave.
 * Only signatures that some index entry and some probe of different lines share are looked at again. Each such line
   first meets the earliest line of the signature (one pair a row); lines not dropped by that meet all earlier lines of
-  their signatures, where a parity sketch (each word toggles one of 64 bits, an edit toggles 3 at most) screens pairs
-  inside the join. So a group of m similar lines gives some m pairs, not m squared.
+  their signatures, where a parity sketch (each pair of characters toggles one of 64 bits, an edit 4 at most) screens
+  pairs inside the join. So a group of m similar lines gives some m pairs, not m squared.
 * Pairs are verified by a banded bit-parallel edit distance over both lines.
 
 A document of which lines were dropped loses them; one that has nothing left but blank lines is removed. Null texts and
@@ -76,20 +76,30 @@ def exploded(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.char_length("line") >= min_chars)
 
 
-def signatures(k: int) -> str:
-    """SQL: array of (sig, probe) of `line` of length `l`."""
-    seg = lambda i, l: f"({l} div {k + 1} + {int(i == k)} * ({l} % {k + 1}))"  # noqa: E731  the last segment takes the rest
-    out = []
-    for i in range(k + 1):
-        out.append(f"named_struct('sig', xxhash64(substr(line, {i} * (l div {k + 1}) + 1, {seg(i, 'l')}), {i}, l), 'probe', false)")
-    for d in range(k + 1):
-        short = f"(l - {d})"
-        for i in range(k + 1):
-            for move in range(-i, i + 1):
-                if abs(move - d) <= k - i:
-                    at = f"({i} * ({short} div {k + 1}) + {move})"
-                    out.append(f"named_struct('sig', xxhash64(substr(line, {at} + 1, {seg(i, short)}), {i}, {short}), 'probe', true)")
-    return f"array({', '.join(out)})"
+def cuts(k: int) -> list[tuple[int, int, int, bool]]:
+    """(segment, length difference, move, probe) of all signatures of a line: its own segments, then its probes."""
+    own = [(i, 0, 0, False) for i in range(k + 1)]
+    return own + [(i, d, move, True) for d in range(k + 1) for i in range(k + 1) for move in range(-i, i + 1) if abs(move - d) <= k - i]
+
+
+def signed(lines: DataFrame, k: int) -> DataFrame:
+    """lines (line, l and more), once for each signature, with sig and probe. The cuts are rows, so that each signature
+    is one short expression."""
+    rows = ", ".join(f"named_struct('i', {i}, 'd', {d}, 'move', {m}, 'probe', {str(p).lower()})" for i, d, m, p in cuts(k))
+    e = lines.select("*", F.expr(f"inline(array({rows}))"))
+    base = f"((l - d) div {k + 1})"  # the last segment takes the rest
+    size = f"{base} + CASE WHEN i = {k} THEN (l - d) % {k + 1} ELSE 0 END"
+    return e.withColumn("sig", F.expr(f"xxhash64(substr(line, i * {base} + move + 1, {size}), i, l - d)")).drop("i", "d", "move")
+
+
+def sketch(line: Column) -> Column:
+    """64 bits: each pair of neighbouring characters toggles one, so an edit changes 4 at most."""
+
+    def toggle(s, i, chars):
+        bit = F.pmod(F.xxhash64(F.get(chars, i), F.get(chars, i + 1)), F.lit(64)).cast("int")
+        return s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+
+    return let(F.split(line, ""), lambda chars: F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), F.lit(0).cast("long"), lambda s, i: toggle(s, i, chars)))
 
 
 def _without(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -114,22 +124,19 @@ def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> Da
         own = own.where((F.char_length("line") >= min_chars) & ~F.coalesce(F.array_contains("exact", F.col("pos")), F.lit(False)))
         return own.select("doc_id", "tkey", "pos", "line", F.xxhash64("line").alias("h"), F.char_length("line").alias("l"))
 
-    def signed(*more):
-        own = distinct().withColumn("s", F.expr(signatures(edits)))
-        return own.select("h", *more, F.explode("s").alias("s")).select("s.sig", "s.probe", "h", *more)
+    def signatures(*more):
+        return signed(distinct(), edits).select("sig", "probe", "h", *more)
 
-    met = signed().groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("probe").alias("p"), F.min("probe").alias("i"))
+    met = signatures().groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("probe").alias("p"), F.min("probe").alias("i"))
     met = common.cut(met.where("lo < hi AND p AND NOT i").select("sig"))
-    words = F.split("line", " ")
-    sketch = F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
     place = ["doc_id", "tkey", "pos", "line"]
     if common.is_small(met):
-        wide = common.keep(signed(*place).join(F.broadcast(met), "sig"))
+        wide = common.keep(signatures(*place).join(F.broadcast(met), "sig"))
         hits, text = wide.select("sig", "probe", "h", "doc_id"), wide.select("h", *place).dropDuplicates(["h", "doc_id", "tkey", "pos"])
     else:  # the texts of lines aren't shuffled with their signatures
-        wide = common.keep(signed("doc_id").join(met, "sig"))
+        wide = common.keep(signatures("doc_id").join(met, "sig"))
         hits, text = wide, distinct().join(common.small(common.cut(wide.select("h").distinct())), "h", "left_semi").select("h", *place)
-    text = common.keep(text.withColumn("sk", sketch))
+    text = common.keep(text.withColumn("sk", sketch(F.col("line"))))
     rows = hits.distinct().join(text.select("h", "sk").distinct(), "h")
     rows = common.keep(rows)
     common.drop(wide)
@@ -141,7 +148,7 @@ def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> Da
         both = pairs.join(text_of.withColumnsRenamed({"h": "a", "line": "x"}), "a").join(text_of.withColumnsRenamed({"h": "b", "line": "y"}), "b")
         return common.cut(both.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a").distinct())
 
-    close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 3 * edits
+    close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 4 * edits
     led = rows.join(leads, "sig").where((F.col("h") != F.col("lead.h")) & close(F.col("sk"), F.col("lead.sk")))
     led = common.cut(led.select(F.col("h").alias("a"), F.col("lead.h").alias("b")).distinct())
     gone = similar(led)
