@@ -7,8 +7,8 @@ only those groups whose union it can overlap enough.
 * Tokens are ordered globally, common ones last. A query with similarity t or more to any member of a group overlaps
   the group's union in at least ceil(t * size) tokens, so its first size - ceil(t * size) + 1 tokens hold one of the
   union. Only these are kept in the matrix (for the smaller set of a pair even fewer suffice).
-* Grouping: in each token's row the smallest set leads; a class is checked against the leader that it meets most often,
-  and verified links make the groups. A group is thus connected before any two of its members are compared.
+* Grouping: in each token's row the class with the fewest tokens of its own leads; a class is checked against the leader
+  of another group that it meets most often, and verified links make the groups, in a few rounds. A group is thus connected before any two of its members are compared.
 * Matrix: the distinct groups of each token. Tokens with one group only have nothing to open. For the others the
   members that size, position and the overlap of their first tokens leave as possible partners are verified on whole
   sets and linked.
@@ -32,6 +32,8 @@ from . import common, tokens
 
 #: Tokens told apart as common, at most: 8 bytes each, sent to every worker.
 COMMON = 1 << 18
+#: Rounds of grouping, at most; what they leave apart is compared in full.
+ROUNDS = 4
 #: Shingles gathered before those that repeat among them are counted.
 RUN = 1 << 21
 
@@ -151,6 +153,20 @@ def _overlapping(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataF
     return out
 
 
+def _leaders(shared: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b): for each class the class of another group that leads most of its tokens' rows. A row is led by the
+    class with the fewest tokens of its own, for the members of that one's group by the next of another group."""
+    m = shared.join(common.small(groups), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    who = F.struct("u", "n", "cls", "comp")
+    one = m.where("low").groupBy("token").agg(F.min(who).alias("l1"))
+    m = m.join(one, "token")
+    two = m.where("low AND comp <> l1.comp").groupBy("token").agg(F.min(who).alias("l2"))
+    m = m.join(two, "token", "left").withColumn("l", F.when(F.col("comp") != F.col("l1.comp"), F.col("l1")).otherwise(F.col("l2"))).where("l IS NOT NULL")
+    near = F.least("n", "l.n") * den >= F.greatest("n", "l.n") * num
+    c = m.where(near).groupBy(F.col("cls").alias("a"), F.col("l.cls").alias("b")).agg(F.count("*").alias("c"))
+    return c.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", "m.b")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of classes whose whole sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
@@ -204,22 +220,33 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     matrix = one_each(full).select("row", "n", "rare", F.posexplode("first").alias("pos", "token"))
     matrix = matrix.select("token", F.col("row").alias("cls"), F.expr("n * 4294967296L + pos").alias("np"), (F.col("pos") >= F.col("rare")).alias("often"))
     size, low = F.expr("np div 4294967296"), F.expr(f"np % 4294967296 < {few}")
-    first_low = F.min(F.when(low, F.struct(size.alias("n"), "cls")))
     # rare tokens meet by one shuffle; the common ones, any number of times as frequent, by sums and a bounded broadcast
     row = W.partitionBy("token")
-    rare = matrix.where(~F.col("often")).drop("often").withColumn("c", F.count("*").over(row)).withColumn("lead", first_low.over(row)).where("c > 1 AND lead IS NOT NULL").select("token", "cls", "np", F.col("lead.cls").alias("b"), F.col("lead.n").alias("nb"))
+    rare = matrix.where(~F.col("often")).drop("often").withColumn("c", F.count("*").over(row)).where("c > 1").drop("c")
     often = matrix.where("often").drop("often")
-    heads = often.groupBy("token").agg(F.count("*").alias("c"), first_low.alias("lead")).where("c > 1 AND lead IS NOT NULL").select("token", F.col("lead.cls").alias("b"), F.col("lead.n").alias("nb"))
+    heads = often.groupBy("token").count().where("count > 1").select("token")
     often = often.join(F.broadcast(common.cut(heads)), "token")  # at most common_tokens rows
-    shared = common.keep(rare.unionByName(often).select("token", "cls", size.alias("n"), F.expr("np % 4294967296").alias("pos"), low.alias("low"), "b", "nb"))
+    met = rare.unionByName(often).select("token", "cls", size.alias("n"), F.expr("np % 4294967296").alias("pos"), low.alias("low"))
+    met = common.keep(met)
+    # a class's tokens that nothing else has; who has fewest is the likeliest to be near the others of its rows
+    alone = met.groupBy("cls").agg((F.max(F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")) - F.count("*")).alias("u"))
+    shared = common.keep(met.join(common.small(common.cut(alone)), "cls"))
+    common.drop(met)
     common.release(spark)
-    near = F.least("n", "nb") * den >= F.greatest("n", "nb") * num
-    met = shared.where((F.col("cls") != F.col("b")) & near).groupBy("cls", "b").agg(F.count("*").alias("c"))
-    first = common.cut(met.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("c", "b")).alias("m")).select("a", "m.b"))
-    links = _verified(first, reps, docs, n, num, den)
-    common.release(spark)
-    groups = common.cut(common.components(links).withColumnRenamed("node", "cls"))
 
+    links = tried = spark.createDataFrame([], "a long, b long")
+    for _ in range(ROUNDS):
+        groups = common.cut(common.components(links).withColumnRenamed("node", "cls"))
+        ahead = _leaders(shared, groups, num, den).join(tried, ["a", "b"], "left_anti")
+        ahead = common.cut(ahead)
+        tried = common.cut(tried.union(ahead))
+        new = _verified(_overlapping(ahead, full, num, den), reps, docs, n, num, den)
+        common.release(spark)
+        if new.isEmpty():
+            break
+        links = common.cut(links.union(new))
+
+    groups = common.cut(common.components(links).withColumnRenamed("node", "cls"))
     members = shared.select("token", "cls", "n", "pos", "low").join(common.small(groups), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     open_ = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     left = common.keep(members.join(common.small(common.cut(open_)), "token", "left_semi"))
@@ -227,12 +254,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     # overlap wanted of sizes p, q: ceil((p + q) * num / (num + den)); at the first token that two sets share, what is left of each bounds it
     fits = F.expr(f"""x.comp <> y.comp AND (y.n < x.n OR (y.n = x.n AND y.cls < x.cls)) AND y.n * {den} >= x.n * {num}
         AND least(x.n - x.pos, y.n - y.pos) >= ((x.n + y.n) * {num} + {num + den - 1}) div {num + den}""")
-    second = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    second = _overlapping(common.cut(second.join(first, ["a", "b"], "left_anti")), full, num, den)
+    last = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    both = tried.union(tried.select("b", "a"))
+    last = _overlapping(common.cut(last.join(both, ["a", "b"], "left_anti")), full, num, den)
     common.drop(full)
-    more = _verified(second, reps, docs, n, num, den)
+    all_links = links.union(_verified(last, reps, docs, n, num, den))
     common.release(spark)
-    all_links = links.union(more)
     comp = common.components(all_links)
     common.drop(left)
     common.drop(shared)
