@@ -12,7 +12,7 @@ Null is an empty text: no spans. Repeated rows get the same spans. Extra columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, spans
@@ -52,13 +52,21 @@ def contexts(base: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, near: DataFrame) -> DataFrame:
     """entity, term, share of the entity's information that the term reveals; pairs of LEAST contexts or more."""
     pairs = common.cut(near.select("entity", "term", "ctx").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(f"n_te >= {LEAST}"))
+    n_e = near.select("entity", "ctx").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    # documents with t near some entity are fewer than all with t: pairs that reveal too little by them need no count
+    n_c = near.select("term", "doc_id", "tkey").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    pairs = pairs.join(n_e, "entity").withColumn("n", F.lit(docs.count()))
+    pairs = common.cut(pairs.join(n_c, "term").where(share() >= GENERALISE).drop("n_t"))
     wanted = common.cut(pairs.select("term").distinct())
     said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     n_t = said.join(common.small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = near.select("entity", "ctx").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    p = pairs.join(n_t, "term").join(n_e, "entity").withColumn("n", F.lit(docs.count()))
+    return pairs.join(n_t, "term").select("entity", "term", share().alias("share"))
+
+
+def share() -> Column:
+    """How much of an entity's information a term reveals, from n_te, n_t, n_e and n."""
     bits, held = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))), F.log2(F.col("n") / F.col("n_e"))
-    return p.select("entity", "term", F.when(held > 0, F.least(bits / held, F.lit(1.0))).otherwise(0.0).alias("share"))
+    return F.when(held > 0, F.least(bits / held, F.lit(1.0))).otherwise(0.0)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
