@@ -94,8 +94,8 @@ def format_chats(conversations: DataFrame, tokenizer: str) -> DataFrame:
         t.encode_special_tokens = True
         span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 32):
+                part = batch.slice(i, 32)
                 chats = [render([(x["role"], x["text"]) for x in turns]) for turns in part.column(1).to_pylist()]
                 encoded = t.encode_batch([c for c, _ in chats], add_special_tokens=False)
                 masks = [mask(e.offsets, len(c), s) for e, (c, s) in zip(encoded, chats, strict=True)]

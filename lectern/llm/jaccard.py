@@ -235,8 +235,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     common.release(spark)
 
     links = tried = spark.createDataFrame([], "a long, b long")
+    groups = spark.createDataFrame([], "cls long, comp long")
     for _ in range(ROUNDS):
-        groups = common.cut(common.components(links).withColumnRenamed("node", "cls"))
         ahead = _leaders(shared, groups, num, den).join(tried, ["a", "b"], "left_anti")
         ahead = common.cut(ahead)
         tried = common.cut(tried.union(ahead))
@@ -245,8 +245,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
         if new.isEmpty():
             break
         links = common.cut(links.union(new))
+        groups = common.cut(common.components(links).withColumnRenamed("node", "cls"))
 
-    groups = common.cut(common.components(links).withColumnRenamed("node", "cls"))
     members = shared.select("token", "cls", "n", "pos", "low").join(common.small(groups), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     open_ = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     left = common.keep(members.join(common.small(common.cut(open_)), "token", "left_semi"))
@@ -258,9 +258,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     both = tried.union(tried.select("b", "a"))
     last = _overlapping(common.cut(last.join(both, ["a", "b"], "left_anti")), full, num, den)
     common.drop(full)
-    all_links = links.union(_verified(last, reps, docs, n, num, den))
+    more = _verified(last, reps, docs, n, num, den)
     common.release(spark)
-    comp = common.components(all_links)
+    all_links = links.union(more)
+    comp = groups.withColumnRenamed("cls", "node") if more.isEmpty() else common.components(all_links)
     common.drop(left)
     common.drop(shared)
 

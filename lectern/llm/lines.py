@@ -112,7 +112,7 @@ def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> Da
     docs = docs.select("doc_id", "text").where("text IS NOT NULL")
     hashes = {"h": F.xxhash64("line"), "g": F.xxhash64("line", F.lit(1))}
     again = common.cut(exploded(docs, min_chars).select(*[c.alias(k) for k, c in hashes.items()]).groupBy("h", "g").count().where("count > 1").select("h", "g"))
-    held = common.keep(exploded(docs, min_chars).withColumns(hashes).drop("line").join(common.small(again), ["h", "g"]))
+    held = common.keep(exploded(docs, min_chars).withColumns(hashes).drop("line").join(common.small(again, common.NARROW_ROWS), ["h", "g"]))
     first = common.cut(held.groupBy("h", "g").agg(F.min(F.struct("doc_id", "tkey", "pos")).alias("first")))
     later = held.join(common.small(first), ["h", "g"]).where("NOT (doc_id <=> first.doc_id AND tkey = first.tkey AND pos = first.pos)")
     exact = common.cut(later.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k")).agg(F.array_sort(F.collect_set("pos")).alias("exact")))
@@ -130,7 +130,7 @@ def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> Da
     met = signatures().groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("probe").alias("p"), F.min("probe").alias("i"))
     met = common.cut(met.where("lo < hi AND p AND NOT i").select("sig"))
     place = ["doc_id", "tkey", "pos", "line"]
-    if common.is_small(met):
+    if common.is_small(met, common.NARROW_ROWS):
         wide = common.keep(signatures(*place).join(F.broadcast(met), "sig"))
         hits, text = wide.select("sig", "probe", "h", "doc_id"), wide.select("h", *place).dropDuplicates(["h", "doc_id", "tkey", "pos"])
     else:  # the texts of lines aren't shuffled with their signatures
