@@ -53,14 +53,13 @@ def disclosures(docs: DataFrame, near: DataFrame) -> DataFrame:
     """entity, term, share of the entity's information that the term reveals; pairs of LEAST contexts or more."""
     pairs = common.cut(near.select("entity", "term", "ctx").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(f"n_te >= {LEAST}"))
     n_e = near.select("entity", "ctx").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    # documents with t near some entity are fewer than all with t: pairs that reveal too little by them need no count
+    # documents with t near some entity are fewer than all with t: pairs that reveal too little by them are out
     n_c = near.select("term", "doc_id", "tkey").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     pairs = pairs.join(n_e, "entity").withColumn("n", F.lit(docs.count()))
     pairs = common.cut(pairs.join(n_c, "term").where(share() >= GENERALISE).drop("n_t"))
-    wanted = common.cut(pairs.select("term").distinct())
     said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = said.join(common.small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    return pairs.join(n_t, "term").select("entity", "term", share().alias("share"))
+    n_t = said.groupBy("term").agg(F.count("*").alias("n_t"))  # summed before the join, whatever the terms
+    return n_t.join(common.small(pairs), "term").select("entity", "term", share().alias("share"))
 
 
 def share() -> Column:
