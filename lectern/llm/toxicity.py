@@ -31,7 +31,7 @@ MAX_TRAIN, MAX_EXAMPLES = 20_000, 8_000
 #: Terms in the vocabulary, and the documents that a term must be in, among the labelled rows.
 MAX_TERMS, LEAST_DOCS = 2_000, 5
 #: A term counts as evidence if toxic rows are so many times as frequent among those that hold it as among all.
-LIFT = 2
+LIFT = 4
 K, BLOCK = 15, 64
 STEMS = (4, 6)
 
