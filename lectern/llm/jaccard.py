@@ -33,7 +33,7 @@ from . import common, tokens
 #: Tokens told apart as common, at most: 8 bytes each, sent to every worker.
 COMMON = 1 << 18
 #: Rounds of grouping, at most; what they leave apart is compared in full.
-ROUNDS = 4
+ROUNDS = 3
 #: Shingles gathered before those that repeat among them are counted.
 RUN = 1 << 21
 
@@ -101,7 +101,8 @@ def _common(docs: DataFrame, n: int, limit: int) -> np.ndarray:
         cut, total = k, total + c
     if cut is None:
         return np.zeros(0, np.uint64)
-    top = counted.where(steps >= cut).select("token").toPandas()["token"].to_numpy(np.int64)
+    common.release(docs.sparkSession)
+    top = counted.where(steps >= cut).select("token").toArrow()["token"].to_numpy()
     return np.sort(top.view(np.uint64))
 
 
@@ -144,6 +145,8 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray) -> Dat
 def _overlapping(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs whose first tokens leave the wanted overlap possible. The tokens that two sets share up to
     the nearer of the ends of their first tokens are among both; behind it, one of them has only its rest."""
+    if pairs.isEmpty():
+        return pairs
     wanted = common.cut(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct())
     own = common.keep(full.join(common.small(wanted), "row", "left_semi").select("row", "n", "first"))
     x, y = (own.withColumnsRenamed({"row": k, "n": f"n{k}", "first": f"f{k}"}) for k in "ab")
@@ -169,6 +172,8 @@ def _leaders(shared: DataFrame, groups: DataFrame, num: int, den: int) -> DataFr
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) of classes whose whole sets are similar enough."""
+    if pairs.isEmpty():
+        return pairs
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     keys = common.cut(reps.join(wanted, reps.row == wanted.cls, "left_semi").select(F.col("row").alias("cls"), F.col("doc_id").alias("id"), "tkey"))
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("k"))

@@ -224,6 +224,8 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_ex
     rows = _sampled(known, F.xxhash64("tkey"), max_examples).collect()
     examples = sorted(((r.doc_id, list(r.terms), list(r.tf), r.toxic) for r in rows), key=lambda e: (e[1], e[2], e[3], e[0]))
     sent = docs.sparkSession.sparkContext.broadcast(Model(vocabulary, idf, examples))
+    del rows, examples
+    common.release(docs.sparkSession)
     pair = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
