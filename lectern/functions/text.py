@@ -249,16 +249,7 @@ def truncated(c: Column, limit: int) -> Column:
 
 
 def phoneme_batches(phonemes: Column, vocabulary: list[str], most: int = 509) -> Column:
-    """Runs of characters with at most `most` of the vocabulary each; runs without any are dropped."""
-    known = F.array(*[F.lit(v) for v in vocabulary])
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("run"), F.array().cast("array<struct<run:int,c:string,known:boolean>>").alias("out"))
-
-    def step(s, c):
-        k = F.array_contains(known, c)
-        fresh = k & (s["n"] >= most)
-        run = s["run"] + F.when(fresh, 1).otherwise(0)
-        return F.struct((F.when(fresh, 0).otherwise(s["n"]) + F.when(k, 1).otherwise(0)).alias("n"), run.alias("run"), F.array_append(s["out"], F.struct(run.alias("run"), c.alias("c"), k.alias("known"))).alias("out"))
-
-    done = F.aggregate(F.filter(F.split(phonemes, ""), lambda x: x != ""), start, step)
-    runs = F.transform(F.sequence(F.lit(0), done["run"]), lambda r: F.filter(done["out"], lambda x: x["run"] == r))
-    return F.transform(F.filter(runs, lambda xs: F.exists(xs, lambda x: x["known"])), lambda xs: trim(F.array_join(F.transform(xs, lambda x: x["c"]), "")))
+    """Runs of characters with at most `most` of the vocabulary each, others riding along; runs without any are dropped."""
+    known = "".join(f"\\x{{{ord(v):x}}}" for v in vocabulary)
+    runs = F.regexp_extract_all(phonemes, F.lit(f"(?:[^{known}]*+[{known}]){{1,{most}}}+[^{known}]*+"), F.lit(0))
+    return F.transform(runs, trim)

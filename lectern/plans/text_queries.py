@@ -193,7 +193,7 @@ def strip_parentheses(spark, d):
 
 @query("phoneme_batches")
 def phoneme_batches(spark, d):
-    return texts(spark, d).select("tid", F.posexplode(T.phoneme_batches(F.substring(line(), 1, 400), list("abcdefghijklmnopqrstuvwxyz"), 60)).alias("batch", "phonemes"))
+    return texts(spark, d).select("tid", F.posexplode(T.phoneme_batches(line(), list("abcdefghijklmnopqrstuvwxyz"), 60)).alias("batch", "phonemes"))
 
 
 @query("document_ids")

@@ -14,9 +14,10 @@ from ..operators.flow import ACTIONS, Passage, State, advance
 STATE = "context string, position double, prepared string, handled string"
 
 
-def actions(readings: DataFrame, passages: dict[str, list[tuple[str, str | None, float, float]]], idle_ms: int = 3_600_000) -> DataFrame:
+def actions(readings: DataFrame, passages: dict[str, list[tuple[str, str | None, float, float]]], idle_ms: int | None = None) -> DataFrame:
     """Actions of paragraph flow for a stream of readings (reader, step, context, position, playing, ready, jumped).
-    passages: (key, lead, start, end) by reader, the small static side. A reader's state goes after `idle_ms` unused."""
+    passages: (key, lead, start, end) by reader, the small static side. With `idle_ms` a reader's state goes
+    after so long unused (such queries run batches without data, so they need a continuous trigger)."""
     known = {k: [Passage(*p) for p in sorted(v, key=lambda p: (p[2], p[3], p[0]))] for k, v in passages.items()}
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
@@ -32,10 +33,11 @@ def actions(readings: DataFrame, passages: dict[str, list[tuple[str, str | None,
             state, found = advance(state, r.context, None if pd.isna(r.position) else r.position, bool(r.playing), known.get(key[0], []), r.ready, bool(r.jumped))
             rows += [(key[0], r.step, a["type"], a["key"], a["reason"]) for a in found]
         held.update((state.context, state.position, state.prepared, json.dumps(state.handled)))
-        held.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            held.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["reader", "step", "type", "key", "reason"])
 
-    return readings.groupBy("reader").applyInPandasWithState(run, ACTIONS, STATE, "append", "ProcessingTimeTimeout")
+    return readings.groupBy("reader").applyInPandasWithState(run, ACTIONS, STATE, "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
 
 
 def on_time(events: DataFrame, at: str, deadline: str, grace_ms: int = 120) -> DataFrame:

@@ -189,9 +189,11 @@ def test_streamed_flow_equals_batch(spark, tmp_path):
     src = str(tmp_path / "in")
     for i in (0, 3):
         spark.createDataFrame(rows[i : i + 3], schema).coalesce(1).write.mode("append").parquet(src)
-    q = S.actions(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), ps).writeStream.format("memory").queryName("acts").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = S.actions(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), ps).writeStream.format("memory").queryName("acts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(90)
+    finally:
+        q.stop()
     got = sorted(tuple(x) for x in spark.sql("SELECT * FROM acts").collect())
     assert {g[2] for g in got} == {w[2] for w in want} and len(got) == len(want)
 
