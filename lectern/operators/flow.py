@@ -115,10 +115,10 @@ def fold(readings: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def crossings(readings: DataFrame, passages: DataFrame) -> DataFrame:
-    """Starts and ends that each forward step of a reader passes, ends before starts at the same place. Steps and places
-    are merged into one order for each reader, so no step is compared with every passage."""
+    """Starts and ends that each forward step of a reader passes, ends before starts at the same place. An equi-join by
+    reader with the range as its condition."""
     w = W.partitionBy("reader").orderBy("step")
-    r = readings.select("reader", "step", "position", F.lag("position").over(w).alias("before"), F.max("position").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_far"))
+    r = readings.select("reader", "step", "position", F.lag("position").over(w).alias("before"))
     edges = passages.select("reader", "key", F.explode(F.array(F.struct(F.col("start").alias("place"), F.lit("start").alias("edge")), F.struct(F.col("end").alias("place"), F.lit("tail").alias("edge")))).alias("e")).select("reader", "key", "e.*")
     d = r.where("position > before").join(edges, "reader").where("before < place AND place <= position")
     order = W.partitionBy("reader", "step").orderBy("place", F.when(F.col("edge") == "tail", 0).otherwise(1), "key")
