@@ -30,8 +30,8 @@ from . import common, tokens
 MAX_TRAIN, MAX_EXAMPLES = 20_000, 8_000
 #: Terms in the vocabulary, and the documents that a term must be in, among the labelled rows.
 MAX_TERMS, LEAST_DOCS = 2_000, 5
-#: A term counts as evidence if toxic rows are so many times as frequent among those that hold it as among all.
-LIFT = 4
+#: A term counts as evidence if the odds of toxic rows among those that hold it are so many times the odds among all.
+LIFT = 6
 K, BLOCK = 15, 64
 STEMS = (4, 6)
 
@@ -187,7 +187,7 @@ def _vocabulary(train: DataFrame, max_terms: int) -> np.ndarray:
     cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     a, b, m = F.col("n1"), F.col("n") - F.col("n1"), F.col("n")
     g = 2 * (cell(a, m * n1 / n) + cell(b, m * (n - n1) / n) + cell(n1 - a, (n - m) * n1 / F.lit(n)) + cell((n - n1) - b, (n - m) * (n - n1) / F.lit(n)))
-    best = c.select("h", "n", "n1", g.alias("g")).where((F.col("g") > 15) & (F.col("n1") * n >= LIFT * F.col("n") * n1)).orderBy(F.desc("g"), "h").limit(max_terms).select("h").collect()
+    best = c.select("h", "n", "n1", g.alias("g")).where((F.col("g") > 15) & (F.col("n1") * (n - n1) >= LIFT * (F.col("n") - F.col("n1")) * n1)).orderBy(F.desc("g"), "h").limit(max_terms).select("h").collect()
     return np.sort(np.array([r[0] for r in best], np.int64).view(np.uint64))
 
 
