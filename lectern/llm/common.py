@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it has at most this many rows, or so many of one or two numbers; beyond it the
-#: join shuffles.
-BROADCAST_ROWS, NARROW_ROWS = 100_000, 500_000
+#: A side of a join is broadcast only if it has at most this many rows (some 100 bytes each), or so many of one or two
+#: numbers; beyond it the join shuffles.
+BROADCAST_ROWS, NARROW_ROWS = 300_000, 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
