@@ -71,9 +71,9 @@ def is_production_header(c: Column) -> Column:
     return c.rlike(HEADER)
 
 
-def is_running_header(c: Column, repeated: Column | None = None) -> Column:
-    """repeated: whether the line's key is one of those that repeat, from a join."""
-    t = normalize_artifacts(c)
+def is_running_header(c: Column, repeated: Column | None = None, normalized: bool = False) -> Column:
+    """repeated: whether the line's key is one of those that repeat, from a join. normalized: c is so already."""
+    t = c if normalized else normalize_artifacts(c)
     caps = t.rlike(rf"^(?:[A-Z]{WS}+){{2,}}[A-Z]$") & (F.char_length(t) <= 42)
     return (t == "") | t.rlike(rf"^[!•·*\t\n\x0B\f\r ]+$") | is_production_header(t) | t.rlike(PAGE_NUMBER) | caps | F.coalesce(repeated if repeated is not None else F.lit(False), F.lit(False))
 

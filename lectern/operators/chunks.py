@@ -24,7 +24,7 @@ def packed(ordered: DataFrame, least: int = 120, most: int = 420, repeated: Data
     d = ordered.withColumn("_t", T.normalize_artifacts(F.coalesce("text", F.lit(""))))
     if repeated is not None:
         d = d.withColumn("_key", T.line_key(F.col("_t"))).join(repeated.select(F.col("key").alias("_key"), F.lit(True).alias("_rep")).distinct(), "_key", "left")
-    d = d.where((F.col("_t") != "") & ~T.is_running_header(F.col("_t"), F.col("_rep") if repeated is not None else None))
+    d = d.where((F.col("_t") != "") & ~T.is_running_header(F.col("_t"), F.col("_rep") if repeated is not None else None, True))
     pages = d.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("readingIndex", F.col("_t").alias("t")))).alias("ls"))
     chunk = "array<struct<text:string,lines:array<int>>>"
     none = F.array().cast("array<int>")
