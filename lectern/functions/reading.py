@@ -33,7 +33,7 @@ def tier_index(v: Column) -> Column:
 
 def text_stats(c: Column) -> Column:
     t = F.coalesce(c, F.lit(""))
-    return F.struct(T.count(t, T.CJK).alias("cjkCharacters"), T.count(t, r"\p{Nd}").alias("numericUnits"), T.count(t, rf"{T.LATIN}+(?:['’\-]{T.LATIN}+)*").alias("englishWords"))
+    return F.struct(T.count(t, T.CJK).alias("cjkCharacters"), T.count(t, r"\p{Nd}").alias("numericUnits"), T.count(t, rf"{T.LATIN}++(?:['’\-]{T.LATIN}++)*+").alias("englishWords"))
 
 
 def metric_mode(cjk: Column, english: Column) -> Column:
@@ -82,7 +82,7 @@ def clock_snapshot(playing: Column, speed: Column, scroll_top: Column, viewport:
 def speech_seconds(c: Column) -> Column:
     """Seconds of speech at normal speed: 300 Chinese or Japanese characters, or 165 words and numbers a minute."""
     t = T.squeeze(F.coalesce(c, F.lit("")))
-    words = T.count(t, rf"{T.LATIN}+(?:[’'-]{T.LATIN}+)*") + T.count(t, r"\p{N}+(?:[.,]\p{N}+)*")
+    words = T.count(t, rf"{T.LATIN}++(?:[’'-]{T.LATIN}++)*+") + T.count(t, r"\p{N}++(?:[.,]\p{N}++)*+")
     s = (T.count(t, T.CJK) / 300.0 + words / 165.0) * 60
     return F.when(s > 0, s).otherwise(T.speakable(t) / 5.0)
 

@@ -74,7 +74,7 @@ def is_production_header(c: Column) -> Column:
 def is_running_header(c: Column, repeated: Column | None = None, normalized: bool = False) -> Column:
     """repeated: whether the line's key is one of those that repeat, from a join. normalized: c is so already."""
     t = c if normalized else normalize_artifacts(c)
-    caps = t.rlike(rf"^(?:[A-Z]{WS}+){{2,}}[A-Z]$") & (F.char_length(t) <= 42)
+    caps = t.rlike(rf"^(?:[A-Z]{WS}++){{2,}}+[A-Z]$") & (F.char_length(t) <= 42)
     return (t == "") | t.rlike(rf"^[!•·*\t\n\x0B\f\r ]+$") | is_production_header(t) | t.rlike(PAGE_NUMBER) | caps | F.coalesce(repeated if repeated is not None else F.lit(False), F.lit(False))
 
 
@@ -142,8 +142,9 @@ def tts_voice(language: Column, requested: Column) -> Column:
     return F.when(language == "zh", "zf_xiaobei").when(language == "ja", "jf_alpha").when(v.rlike("^[ab][fm]_"), v).otherwise("af_heart")
 
 
-#: A run of Latin words, as mixed speech is cut.
-LATIN_RUN = r"[A-Za-z][A-Za-z0-9'’._/+:-]*(?:[ \t]+[A-Za-z][A-Za-z0-9'’._/+:-]*)*"
+#: A run of Latin words, as mixed speech is cut. Loops over groups are possessive throughout: the same matches, and no
+#: recursion over long texts.
+LATIN_RUN = r"[A-Za-z][A-Za-z0-9'’._/+:-]*+(?:[ \t]++[A-Za-z][A-Za-z0-9'’._/+:-]*+)*+"
 
 
 def mixed_segments(text: Column, language: Column) -> Column:

@@ -141,3 +141,9 @@ def test_boxes(spark):
     assert ask(spark, G.page_dimensions(F.lit(0), F.lit(5), F.lit("pdf")), "x") == [None]
     assert ask(spark, G.distance_to_box(F.lit(0.0), F.lit(0.0), F.struct(F.lit(3.0).alias("x"), F.lit(4.0).alias("y"), F.lit(1.0).alias("width"), F.lit(1.0).alias("height"))), "x") == [5.0]
     assert ask(spark, G.normalize_confidence(x), 55.0, 0.3, None, schema="x double") == [0.55, 0.3, 0.0]
+
+
+def test_long_texts_need_no_recursion(spark):
+    long = ["word " * 50_000, "A " * 50_000 + "B", "a-" * 50_000 + "b", "1." * 50_000 + "1"]
+    for expr in (F.size(T.mixed_segments(x, F.lit("zh"))), T.is_running_header(x), R.text_stats(x)["englishWords"], R.speech_seconds(x)):
+        assert len(ask(spark, expr, *long)) == 4
