@@ -1,7 +1,7 @@
 """Operator 8: line dedup by a segment-partition edit join, with DataFrame functions only.
 
-Of equal lines of MIN_CHARS or more characters the first (by doc_id, then hash of the text, then place) stays. Of the
-distinct lines left, one is dropped if an earlier one (by doc_id of its first place, then hash) is within `edits` edits,
+Of equal lines the first (by doc_id, then hash of the text, then place) stays: of those of min_chars or more characters,
+and of all non-blank lines of exact_chars or more. Of the distinct lines of min_chars or more left, one is dropped if an earlier one (by doc_id of its first place, then hash) is within `edits` edits,
 whether that one stays or not: so the first line of each group of similar ones always stays.
 
 * Index: a line of length l is cut into edits + 1 segments; each is hashed with its number and l. Two lines within
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_CHARS, EDITS = 40, 2
+#: Equal lines of so many characters take part in the query: all that aren't blank.
+EXACT_CHARS = 1
 
 
 def let(value: Column, f) -> Column:
@@ -71,9 +73,11 @@ def edit_distance(a: Column, b: Column, k: int) -> Column:
     return let(F.split(F.when(longer, a).otherwise(b), ""), lambda p: let(F.split(F.when(longer, b).otherwise(a), ""), lambda t: distance(p, t)))
 
 
-def exploded(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row for each line that takes part: doc_id, tkey, pos, line."""
-    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.char_length("line") >= min_chars)
+def exploded(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
+    """One row for each line that takes part in the search for equal ones: doc_id, tkey, pos, line."""
+    size = F.char_length("line")
+    part = (size >= min_chars) | ((size >= exact_chars) & F.col("line").rlike("\\S"))
+    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(part)
 
 
 def cuts(k: int) -> list[tuple[int, int, int, bool]]:
@@ -107,12 +111,14 @@ def _without(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return docs.join(common.small(marks), docs["doc_id"].eqNullSafe(marks["_id"]) & (F.xxhash64(docs["text"]) == marks["_k"]), "left")
 
 
-def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
-    """_id, _k (doc_id, hash of the text), exact and near: places of lines to drop. Only documents that have some."""
+def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, exact_chars: int | None = None) -> DataFrame:
+    """_id, _k (doc_id, hash of the text), exact and near: places of lines to drop. Only documents that have some.
+    Without exact_chars, equal lines take part from min_chars on."""
+    exact_chars = min_chars if exact_chars is None else exact_chars
     docs = docs.select("doc_id", "text").where("text IS NOT NULL")
     hashes = {"h": F.xxhash64("line"), "g": F.xxhash64("line", F.lit(1))}
-    again = common.cut(exploded(docs, min_chars).select(*[c.alias(k) for k, c in hashes.items()]).groupBy("h", "g").count().where("count > 1").select("h", "g"))
-    held = common.keep(exploded(docs, min_chars).withColumns(hashes).drop("line").join(common.small(again, common.NARROW_ROWS), ["h", "g"]))
+    again = common.cut(exploded(docs, min_chars, exact_chars).select(*[c.alias(k) for k, c in hashes.items()]).groupBy("h", "g").count().where("count > 1").select("h", "g"))
+    held = common.keep(exploded(docs, min_chars, exact_chars).withColumns(hashes).drop("line").join(common.small(again, common.NARROW_ROWS), ["h", "g"]))
     first = common.cut(held.groupBy("h", "g").agg(F.min(F.struct("doc_id", "tkey", "pos")).alias("first")))
     later = held.join(common.small(first), ["h", "g"]).where("NOT (doc_id <=> first.doc_id AND tkey = first.tkey AND pos = first.pos)")
     exact = common.cut(later.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k")).agg(F.array_sort(F.collect_set("pos")).alias("exact")))
@@ -171,20 +177,20 @@ def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> Da
     return common.cut(out.select(F.when(has, F.col("e._id")).otherwise(F.col("n._id")).alias("_id"), F.when(has, F.col("e._k")).otherwise(F.col("n._k")).alias("_k"), F.coalesce("exact", none).alias("exact"), F.coalesce("near", none).alias("near")))
 
 
-def _marked(docs: DataFrame, min_chars: int, edits: int) -> DataFrame:
-    own = _without(docs, marks(docs, min_chars, edits))
+def _marked(docs: DataFrame, min_chars: int, edits: int, exact_chars: int | None) -> DataFrame:
+    own = _without(docs, marks(docs, min_chars, edits, exact_chars))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.concat("exact", "near"), i)), "\n")
     return own.withColumn("_text", F.when(F.col("_k").isNull(), F.col("text")).otherwise(kept))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, exact_chars: int | None = None) -> DataFrame:
     """docs with the dropped lines taken out of text, without documents that have nothing left; all columns stay."""
-    own = _marked(docs, min_chars, edits).where("_k IS NULL OR _text rlike '\\\\S'")
+    own = _marked(docs, min_chars, edits, exact_chars).where("_k IS NULL OR _text rlike '\\\\S'")
     return own.withColumn("text", F.col("_text")).select(*docs.columns)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    own = _marked(common.table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_CHARS, EDITS)
+    own = _marked(common.table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_CHARS, EDITS, EXACT_CHARS)
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     return own.select("doc_id", count.alias("n_lines"), F.when(F.col("_k").isNull(), 0).otherwise(size("exact")).cast("long").alias("n_exact"), F.when(F.col("_k").isNull(), 0).otherwise(size("near")).cast("long").alias("n_near"), F.sha2("_text", 256).alias("kept_sha256"))

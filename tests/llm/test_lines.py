@@ -1,8 +1,9 @@
 import random
+from hashlib import sha256
 
 from pyspark.sql import functions as F
 
-from lectern.llm.lines import dedup, edit_distance
+from lectern.llm.lines import dedup, edit_distance, op8_line_dedup
 
 SCHEMA = "doc_id long, text string, lang string, line string, h long"
 
@@ -88,3 +89,13 @@ def test_long_lines_and_empty_table(spark):
     rows = [(1, "z" * 20000 + "\nshort", "", "", 1), (2, "z" * 19999 + "\nshort", "", "", 1), (3, "y" * 20000, "", "", 1)]
     assert sorted((r.doc_id, len(r.text)) for r in dedup(spark.createDataFrame(rows, SCHEMA)).collect()) == [(1, 20006), (2, 5), (3, 20000)]
     assert dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_query_drops_equal_short_lines(spark, tmp_path):
+    rows = [(1, "MIT\n  \n\nfirst"), (2, "MIT\n  \n\nsecond\nMIT"), (3, "MIT"), (4, "MIT."), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_exact, r.n_near, r.kept_sha256) for r in op8_line_dedup(spark, str(tmp_path)).collect()}
+    sha = lambda t: sha256(t.encode()).hexdigest()
+    assert got == {1: (0, 0, sha(rows[0][1])), 2: (2, 0, sha("  \n\nsecond")), 3: (1, 0, sha("")), 4: (0, 0, sha("MIT.")), 5: (0, 0, None)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in dedup(df, exact_chars=1).collect()) == [1, 2, 4, 5] and dedup(df).count() == 5
