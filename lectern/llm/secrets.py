@@ -1,13 +1,14 @@
 """Operator 5: secret scan with corpus-wide ownership frequency, with DataFrame functions only.
 
 Candidates are the base patterns and long mixed tokens (upper case, lower case and digits, TOKEN or more characters).
-Their hashes are aggregated by distinct repositories (doc_id) and owners (source): a value seen with COPIED_OWNERS
-owners or COPIED_REPOS repositories is a widely copied example, any other is live-looking. The method's own spans are
+Their hashes are aggregated by distinct owners (source): a value seen with COPIED_OWNERS owners is a widely copied
+example, any other is live-looking, in however many repositories (doc_id) its owners hold it. The method's own spans are
 the live-looking tokens that touch no base span; base spans stay, and are counted as live or example. Copies of one
-document by one owner within the bound still count as live.
+document by one owner still count as live.
 
-Hashes are aggregated with partial sums, and their verdicts go to documents by a join of the live ones only: each of
-these has few occurrences by definition, so no key is hot on that side.
+Hashes are aggregated with partial sums. Live ones held by HOT_REPOS repositories or more may be hot keys: their
+verdicts are broadcast, as there is at most one for so many documents; all others have few occurrences, so the join
+that shuffles them has no hot key.
 
 Null is an empty text: no spans. A null source is one owner, a null doc_id one repository. Repeated rows are one
 repository and get the same spans. Extra columns are ignored.
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 from . import common, spans
 
-COPIED_OWNERS, COPIED_REPOS, TOKEN = 3, 20, 20
+COPIED_OWNERS, TOKEN = 3, 20
+#: From so many repositories on, the verdict of a value is broadcast in any case.
+HOT_REPOS = 1000
 #: Fixed patterns, as stated; hex and access keys with their least lengths, which leave the same matches.
 KINDS = [
     ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?[A-Za-z0-9+/_.=-]+""", "body rlike '[:=]'"),
@@ -50,9 +53,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
     one = found.where("size(base) + size(tokens) > 0").select("doc_id", "source", "tkey", F.explode(F.concat("base", "tokens")).alias("s")).select("doc_id", "source", "tkey", "s.*")
     seen = one.select("h", "source", "doc_id").distinct()
-    live = seen.groupBy("h").agg(F.count_distinct(F.struct("source")).alias("owners"), F.count_distinct(F.struct("doc_id")).alias("repos")).where(f"owners < {COPIED_OWNERS} AND repos < {COPIED_REPOS}")
-    live = common.cut(live.select("h", "owners"))
-    hits = one.join(common.small(live), "h").groupBy(F.col("doc_id").alias("id"), F.col("tkey").alias("k_")).agg(F.collect_set("h").alias("hs"))
+    live = seen.groupBy("h").agg(F.count_distinct(F.struct("source")).alias("owners"), F.count_distinct(F.struct("doc_id")).alias("repos")).where(f"owners < {COPIED_OWNERS}")
+    live = common.cut(live.select("h", "repos"))
+    if common.is_small(live):
+        held = one.join(F.broadcast(live.select("h")), "h")
+    else:
+        hot = F.broadcast(live.where(f"repos >= {HOT_REPOS}").select("h"))
+        held = one.join(hot, "h").unionByName(one.join(hot, "h", "left_anti").join(live.where(f"repos < {HOT_REPOS}").select("h"), "h"))
+    hits = held.groupBy(F.col("doc_id").alias("id"), F.col("tkey").alias("k_")).agg(F.collect_set("h").alias("hs"))
     hits = common.cut(hits)
     out = found.join(common.small(hits), found.doc_id.eqNullSafe(hits.id) & (found.tkey == hits.k_), "left").withColumn("hs", F.coalesce("hs", F.expr("cast(array() AS array<bigint>)")))
     return out.select("doc_id", "tkey", F.expr("transform(base, s -> named_struct('start', s.start, 'k', s.k, 'end', s.end, 'kind', s.kind, 'live', array_contains(hs, s.h)))").alias("base"), F.expr("transform(filter(tokens, s -> array_contains(hs, s.h)), s -> named_struct('start', s.start, 'k', s.k, 'end', s.end, 'kind', s.kind, 'live', true))").alias("extra"))

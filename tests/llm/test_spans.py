@@ -98,6 +98,16 @@ def test_ownership(spark):
     assert not got[None].base
 
 
+def test_one_owner_keeps_a_key_in_many_repositories(spark, monkeypatch):
+    key, other, shared = "Qw3rTy7uIoP9aSdF1gHj", "Mn5bVc8xZa2sDf4gHj6k", "Zx8cVb2nMq4wErT6yUiO"
+    docs = [(i, f"k {key} end", "s1") for i in range(30)] + [(100, f"k {other} end", "s2")] + [(200 + i, f"k {shared} end", f"s{i}") for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    for small in (True, False):  # without broadcasts, with a bound that makes the key hot
+        monkeypatch.setattr(secrets.common, "is_small", lambda df, rows=0, small=small: small)
+        monkeypatch.setattr(secrets, "HOT_REPOS", 10)
+        assert {r.doc_id for r in secrets.scan(df).collect() if r.extra} == {*range(30), 100}
+
+
 def test_digest(spark, tmp_path):
     rows = [(1, "a@b.co 1.2.3.4", "s"), (2, None, "s")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
