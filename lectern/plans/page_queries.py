@@ -175,7 +175,7 @@ def stream_spans(spark, d):
 @query("point_pick")
 def point_pick(spark, d):
     s = segments(spark, d)
-    pts = s.where("segmentIndex % 10 = 0").select("documentId", "pageIndex", F.col("segmentIndex").alias("pointId"), F.lit(0.2).alias("x"), (F.col("bbox.y") / HEIGHT + 0.003).alias("y"))
+    pts = s.select("documentId", "pageIndex", F.col("segmentIndex").alias("pointId"), F.lit(0.2).alias("x"), (F.col("bbox.y") / HEIGHT + 0.003).alias("y"))
     return O.pick_at(pts, O.sentence_targets(s)).withColumn("distance", F.round("distance", 6))
 
 

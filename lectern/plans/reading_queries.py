@@ -150,7 +150,7 @@ def speakable_next(spark, d):
 
 @query("walk_plans")
 def walk_plans(spark, d):
-    p = K.plan_utterances(positions(spark, d).where("positionId = 1"), line_chunks(spark, d), 12.0, 800.0)
+    p = K.plan_utterances(positions(spark, d), line_chunks(spark, d), 12.0, 800.0)
     return p.select("documentId", "pageIndex", "positionId", "chunkIndex", "decision", F.round("speed", 6).alias("speed"), F.round("estimatedSpeechSeconds", 6).alias("seconds"), "latestStartAtMs")
 
 
