@@ -1,8 +1,7 @@
 """Operator 7: toxicity by the nearest labelled examples.
 
-A text's terms are its words and the beginnings of its words (STEMS bytes long). The terms that speak for the
-label most clearly (by the G statistic, on at most MAX_TRAIN labelled rows) are the vocabulary; a text is the TF-IDF vector of those
-terms, with document frequencies counted over all documents. A score comes from the K nearest of at most MAX_EXAMPLES
+A text's terms are its words and the beginnings of its words (STEMS bytes long). All terms that LEAST_DOCS
+documents of at most MAX_TRAIN labelled rows hold are the vocabulary; a text is the TF-IDF vector of those terms, with document frequencies counted over all documents. A score comes from the K nearest of at most MAX_EXAMPLES
 labelled examples by exact cosine, found with a block-max inverted index: examples are dealt into blocks, each term
 keeps its largest weight in every block, and a block is opened only while its bound can still reach the K-th best.
 Votes are weighted by 1 / (distance + 0.05) and calibrated by isotonic regression on leave-one-out votes of the
@@ -28,10 +27,8 @@ from . import common, tokens
 
 #: Labelled rows that terms are chosen on, and that serve as examples, at most.
 MAX_TRAIN, MAX_EXAMPLES = 20_000, 8_000
-#: Terms in the vocabulary, and the documents that a term must be in, among the labelled rows.
-MAX_TERMS, LEAST_DOCS = 2_000, 5
-#: A term counts as evidence if the odds of toxic rows among those that hold it are so many times the odds among all.
-LIFT = 6
+#: The documents that a term must be in, among the labelled rows.
+LEAST_DOCS = 5
 K, BLOCK = 15, 64
 STEMS = (4, 6)
 
@@ -163,32 +160,26 @@ def _sampled(rows: DataFrame, key, limit: int) -> DataFrame:
     return (rows if n <= limit else rows.where(F.pmod(key, F.lit(1 << 20)) < int((1 << 20) * 0.97 * limit / n))).limit(limit)
 
 
-def _vocabulary(train: DataFrame, max_terms: int) -> np.ndarray:
+def _vocabulary(train: DataFrame) -> np.ndarray:
     def count(batches):
         for batch in batches:
-            y_all = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b, data, off in tokens.chunks(batch.column(0)):
+            for _, _, data, off in tokens.chunks(batch.column(0)):
                 h, row = term_hashes(data, off)
                 order = np.lexsort((row, h))
                 h, row = h[order], row[order]
                 new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))[: len(h)]
-                h, y = h[new], y_all[a:b][row[new]]
+                h = h[new]
                 at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))[: len(h)])
                 if len(at):
-                    n1 = np.add.reduceat(y, at).astype(np.int64)
                     n = np.diff(np.append(at, len(h)))
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(n), pa.array(n1)], ["h", "n", "n1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(n)], ["h", "n"])
 
     total = train.agg(F.count("*"), F.sum("toxic")).first()
     n, n1 = total[0], total[1] or 0
     if not 0 < n1 < n:
         return np.zeros(0, np.uint64)
-    c = train.select("text", "toxic").mapInArrow(count, "h long, n long, n1 long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(f"n >= {LEAST_DOCS}")
-    cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    a, b, m = F.col("n1"), F.col("n") - F.col("n1"), F.col("n")
-    g = 2 * (cell(a, m * n1 / n) + cell(b, m * (n - n1) / n) + cell(n1 - a, (n - m) * n1 / F.lit(n)) + cell((n - n1) - b, (n - m) * (n - n1) / F.lit(n)))
-    best = c.select("h", "n", "n1", g.alias("g")).where((F.col("g") > 15) & (F.col("n1") * (n - n1) >= LIFT * (F.col("n") - F.col("n1")) * n1)).orderBy(F.desc("g"), "h").limit(max_terms).select("h").collect()
-    return np.sort(np.array([r[0] for r in best], np.int64).view(np.uint64))
+    c = train.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_DOCS}")
+    return np.sort(np.array([r[0] for r in c.select("h").collect()], np.int64).view(np.uint64))
 
 
 def _vectors(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
@@ -202,21 +193,21 @@ def _vectors(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 at = np.searchsorted(v, h)
                 hit = at < len(v)
                 hit[hit] = v[at[hit]] == h[hit]
-                code, tf = np.unique(row[hit].astype(np.int64) * (1 << 20) + at[hit], return_counts=True)
-                ends = np.searchsorted(code >> 20, np.arange(b - a + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (code & ((1 << 20) - 1), tf)]
+                code, tf = np.unique(row[hit].astype(np.int64) * (1 << 32) + at[hit], return_counts=True)
+                ends = np.searchsorted(code >> 32, np.arange(b - a + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (code & ((1 << 32) - 1), tf)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *lists], ["doc_id", "tkey", "terms", "tf"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")).mapInArrow(run, "doc_id long, tkey long, terms array<int>, tf array<int>")
 
 
-def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, tkey (hash of the text), held_out, score, predicted and evidence for every document."""
     docs = docs.select("doc_id", "text")
     y = common.cut(_train(docs, labels))
     labelled = docs.join(common.small(y), docs.doc_id == F.col("id")).select("text", "toxic")
     train = _sampled(labelled, F.xxhash64("text"), max_train)
-    vocabulary = _vocabulary(train, max_terms)
+    vocabulary = _vocabulary(train)
     v = common.cut(_vectors(docs, vocabulary))
     df = dict(v.select(F.explode("terms").alias("t")).groupBy("t").count().collect()) if len(vocabulary) else {}
     idf = np.log((1 + v.count()) / (1 + np.array([df.get(i, 0) for i in range(len(vocabulary))], float))) + 1

@@ -84,3 +84,12 @@ def test_no_labels_and_empty(spark, corpus):
     assert {r.score for r in tx.score(d, y.limit(0)).collect()} == {0.0}
     assert tx.score(d.limit(0), y).count() == 0
     assert tx.without_toxic(d, y.limit(0)).count() == d.count()
+
+
+def test_terms_of_both_labels_are_in_the_vocabulary(spark):
+    rows = [(f"plain{i % 3} common", 0) for i in range(60)] + [("common vile", 1) for _ in range(20)]
+    words = ["common", "plain0", "plain1", "plain2", "vile"]
+    held = tx._vocabulary(spark.createDataFrame(rows, "text string, toxic int"))
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    _, _, h, _ = tx.tokens.words(data, np.array([0, len(data)]), tx.tokens.ALNUM)
+    assert set(h.tolist()) <= set(held.tolist())
