@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,17 +33,31 @@ def _folder(df: DataFrame) -> str:
     return held.get()
 
 
+@contextmanager
+def _tidy(spark: SparkSession):
+    """Within it, an execution's shuffle files are removed when it ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and drop its lineage. For narrow and short tables."""
     _folder(df)
-    return df.checkpoint(eager=True)
+    with _tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def keep(df: DataFrame) -> DataFrame:
     """The same as a Parquet table in that folder: compressed, pruned by column; removed by drop() or at the end."""
     spark = df.sparkSession
     path = f"{_folder(df)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _tidy(spark):
+        df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
@@ -60,15 +72,6 @@ def drop(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files and broadcasts of finished, unreferenced plans now rather than at the next full
-    collection, and give back what this process has freed."""
-    gc.collect()
-    spark._jvm.System.gc()
-    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a cut table has at most `rows` rows."""
     return df.limit(rows + 1).count() <= rows

@@ -101,7 +101,6 @@ def _common(docs: DataFrame, n: int, limit: int) -> np.ndarray:
         cut, total = k, total + c
     if cut is None:
         return np.zeros(0, np.uint64)
-    common.release(docs.sparkSession)
     top = counted.where(steps >= cut).select("token").toArrow()["token"].to_numpy()
     return np.sort(top.view(np.uint64))
 
@@ -185,7 +184,6 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: i
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingles(data, off, n)], pa.binary())], ["cls", "s"])
 
     sets = common.keep(own.mapInArrow(full, "cls long, s binary"))
-    common.release(docs.sparkSession)
     both = pairs.join(sets.withColumnsRenamed({"cls": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"cls": "b", "s": "sb"}), "b").select("a", "b", "sa", "sb")
 
     def check(batches):
@@ -215,7 +213,6 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     spark = docs.sparkSession
     full = common.keep(_sets(docs, n, num, den, _common(docs, n, common_tokens)))
     rows = common.keep(full.drop("first", "rare"))
-    common.release(spark)
     classes = common.cut(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("cls")))
     copies = common.cut(rows.join(classes, ["h1", "h2", "n"]).where("row <> cls").select("row"))
     one_each = lambda x: x.where("n > 0").join(common.small(copies), "row", "left_anti")
@@ -237,7 +234,6 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     alone = met.groupBy("cls").agg((F.max(F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")) - F.count("*")).alias("u"))
     shared = common.keep(met.join(common.small(common.cut(alone)), "cls"))
     common.drop(met)
-    common.release(spark)
 
     links = tried = spark.createDataFrame([], "a long, b long")
     groups = spark.createDataFrame([], "cls long, comp long")
@@ -246,7 +242,6 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
         ahead = common.cut(ahead)
         tried = common.cut(tried.union(ahead))
         new = _verified(_overlapping(ahead, full, num, den), reps, docs, n, num, den)
-        common.release(spark)
         if new.isEmpty():
             break
         links = common.cut(links.union(new))
@@ -264,7 +259,6 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
     last = _overlapping(common.cut(last.join(both, ["a", "b"], "left_anti")), full, num, den)
     common.drop(full)
     more = _verified(last, reps, docs, n, num, den)
-    common.release(spark)
     all_links = links.union(more)
     comp = groups.withColumnRenamed("cls", "node") if more.isEmpty() else common.components(all_links)
     common.drop(left)

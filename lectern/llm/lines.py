@@ -135,7 +135,6 @@ def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, exact
 
     met = signatures().groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("probe").alias("p"), F.min("probe").alias("i"))
     met = common.cut(met.where("lo < hi AND p AND NOT i").select("sig"))
-    common.release(docs.sparkSession)
     place = ["doc_id", "tkey", "pos", "line"]
     if common.is_small(met, common.NARROW_ROWS):
         wide = common.keep(signatures(*place).join(F.broadcast(met), "sig"))
@@ -147,7 +146,6 @@ def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, exact
     rows = hits.distinct().join(text.select("h", "sk").distinct(), "h")
     rows = common.keep(rows)
     common.drop(wide)
-    common.release(docs.sparkSession)
     places = text.select("h", "doc_id", "tkey", "pos")
     text_of = text.select("h", "line").dropDuplicates(["h"])
     leads = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "h", "sk")).alias("lead"))
@@ -169,7 +167,6 @@ def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, exact
     near = common.cut(near)
     common.drop(rows)
     common.drop(text)
-    common.release(docs.sparkSession)
     none = F.expr("cast(array() AS array<int>)")
     e, n = exact.alias("e"), near.alias("n")
     out = e.join(n, F.col("e._id").eqNullSafe(F.col("n._id")) & (F.col("e._k") == F.col("n._k")), "full")

@@ -1,23 +1,32 @@
 """Operator 7: toxicity by the nearest labelled examples.
 
-A text's terms are its words and the beginnings of its words (STEMS bytes long). All terms that LEAST_DOCS
-documents of at most MAX_TRAIN labelled rows hold are the vocabulary; a text is the TF-IDF vector of those terms, with document frequencies counted over all documents. A score comes from the K nearest of at most MAX_EXAMPLES
-labelled examples by exact cosine, found with a block-max inverted index: examples are dealt into blocks, each term
-keeps its largest weight in every block, and a block is opened only while its bound can still reach the K-th best.
-Votes are weighted by 1 / (distance + 0.05) and calibrated by isotonic regression on leave-one-out votes of the
-examples. The nearest examples are returned as evidence.
-
-The only sampled parts are the labelled rows that a model is fitted on, chosen by the hash of their text. Held out are
+A text's terms are its words and the beginnings of its words (STEMS bytes long). All terms that LEAST_DOCS and 1 in
+LEAST_SHARE of at most MAX_TRAIN labelled rows hold, whatever their labels, are the vocabulary; a text is the TF-IDF
+vector of those terms (term frequency times the IDF_POWER-th power of the logarithm of the inverse document frequency),
+with document frequencies counted over all documents. A score comes from the K nearest of at most MAX_EXAMPLES labelled
+examples by exact cosine, found with a block-max inverted index. Votes are weighted by 1 / (distance + 0.05) and
+calibrated by isotonic regression on leave-one-out votes of the examples. The nearest examples are returned as evidence.
+
+Index: examples are dealt into blocks of similar ones. Rare terms keep posting lists; the DENSE most frequent terms keep
+their weights block by block, and their largest weight in every block. A query runs through its rare lists, bounds each
+block by the best sum in it plus the block-maxima of its frequent terms, and opens blocks in falling order of the bound
+while it can reach the K-th best. Candidates are summed again in double precision, so a score does not depend on which
+other texts are scored beside it.
+
+The only sampled parts are the labelled rows that a model is fitted on, chosen by a hash of their doc_id. Held out are
 rows whose crc32(doc_id as text) mod 5 is 0 (a null doc_id counts as the text ''): their labels are never read. Neither
 labels nor lang, source or doc_id are part of a score.
 
 Null and empty texts, and texts with no term of the vocabulary, get the calibrated share of toxic examples among those
 without terms. Without usable labels all scores are 0. Repeated rows score alike. Several labels of one doc_id count as
-toxic if one of them says so; labels other than 0 and 1 are ignored. Extra columns are ignored.
+toxic if one of them says so; labels other than 0 and 1 are ignored. Extra columns are ignored, without_toxic() passes
+them on whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,10 +36,12 @@ from . import common, tokens
 
 #: Labelled rows that terms are chosen on, and that serve as examples, at most.
 MAX_TRAIN, MAX_EXAMPLES = 20_000, 8_000
-#: The documents that a term must be in, among the labelled rows.
-LEAST_DOCS = 5
-K, BLOCK = 15, 64
+#: The labelled rows that a term must be in: so many, and one in so many.
+LEAST_DOCS, LEAST_SHARE = 5, 150
+K, BLOCK, IDF_POWER = 15, 64, 2
 STEMS = (4, 6)
+#: Terms of the index that are kept as block columns; texts scored at once; scores that a worker remembers.
+DENSE, TEXTS, KNOWN = 1024, 128, 20_000
 
 
 def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,31 +61,58 @@ def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(all_h), np.concatenate(all_row)
 
 
+def vectors(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first entry of each row and the total, terms, term frequencies) of the rows of a chunk; terms rise."""
+    h, row = term_hashes(data, off)
+    at = np.searchsorted(vocabulary, h)
+    hit = at < len(vocabulary)
+    hit[hit] = vocabulary[at[hit]] == h[hit]
+    code, tf = np.unique(row[hit].astype(np.int64) << 32 | at[hit], return_counts=True)
+    return np.searchsorted(code >> 32, np.arange(len(off))), (code & 0xFFFFFFFF).astype(np.int32), tf.astype(np.int32)
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .. (size[0] of them), start[1], .."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class Model:
     """Vocabulary, document frequencies, block-max index of the examples and calibration."""
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple[int | None, list[int], list[int], int]], k: int = K, block: int = BLOCK):
         self.vocabulary, self.idf, self.k, self.block = vocabulary, idf, k, block
-        self.none = [y for _, t, _, y in examples if not t]
-        some = [e for e in examples if e[1]]  # sorted by terms: blocks hold similar examples, so bounds are tight
+        self.none = [y for _, t, _, y in examples if not len(t)]
+        some = [e for e in examples if len(e[1])]
         self.ids, self.y = [e[0] for e in some], np.array([e[3] for e in some], float)
-        vectors = [self.weights(e[1], e[2]) for e in some]
-        n, self.blocks = len(some), -(-len(some) // block)
-        term = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, int)
-        at = np.repeat(np.arange(n), [len(v[0]) for v in vectors]) if n else np.zeros(0, int)
-        w = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
-        self.term, self.w = term, w  # by block, then by example
-        self.start = np.searchsorted(at, np.arange(n + 1))
-        self.most = np.zeros((len(vocabulary), max(1, self.blocks)), np.float32)
-        np.maximum.at(self.most, (term, at // block), w.astype(np.float32) + np.float32(1e-6))
+        own = [self.weights(e[1], e[2]) for e in some]
+        n = len(some)
+        self.place = _similar_first(own, block)  # example at each place of the index
+        term = np.concatenate([own[i][0] for i in self.place]) if n else np.zeros(0, int)
+        w = np.concatenate([own[i][1] for i in self.place]) if n else np.zeros(0)
+        self.start = np.concatenate(([0], np.cumsum([len(own[i][0]) for i in self.place]))).astype(int)
+        self.term, self.w = term.astype(np.int32), w.astype(np.float32)  # by place
+        at = np.repeat(np.arange(n), np.diff(self.start))
+        df = np.bincount(term, minlength=len(vocabulary))
+        often = np.sort(np.argsort(-df, kind="stable")[:DENSE])
+        self.column = np.full(len(vocabulary), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.heads = np.arange(0, n, block)
+        dense = self.column[term] >= 0
+        self.cols = np.zeros((len(often), n), np.float32)
+        self.cols[self.column[term[dense]], at[dense]] = w[dense]
+        self.most = np.maximum.reduceat(self.cols, self.heads, axis=1) if n else np.zeros((len(often), 0), np.float32)
+        order = np.argsort(term[~dense], kind="stable")
+        self.list = np.concatenate(([0], np.cumsum(np.where(self.column < 0, df, 0))))  # posting lists of the rare terms
+        self.list_at, self.list_w = at[~dense][order].astype(np.int32), w[~dense][order].astype(np.float32)
         self.steps = None
         if n or self.none:
-            raw = [self.vote(v, i)[0] for i, v in enumerate(vectors)] + [self.prior()] * len(self.none)
-            self.steps = isotonic(np.array(raw), np.concatenate((self.y, np.array(self.none, float))))
+            back = np.argsort(self.place)
+            raw = [self._vote(i, s) for a in range(0, n, TEXTS) for i, s in self.nearest_of(own[a : a + TEXTS], back[a : a + TEXTS])]
+            self.steps = isotonic(np.array(raw + [self.prior()] * len(self.none)), np.concatenate((self.y, np.array(self.none, float))))
 
     def weights(self, terms, tf) -> tuple[np.ndarray, np.ndarray]:
         t = np.asarray(terms, int)
-        w = (1 + np.log(np.asarray(tf, float))) * self.idf[t]
+        w = np.asarray(tf, float) * self.idf[t]
         return t, w / (np.sqrt((w * w).sum()) or 1.0)
 
     def prior(self) -> float:
@@ -83,47 +121,91 @@ class Model:
 
     def nearest(self, v, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine with v, ties by place, exactly; only those that share a term."""
-        t, w = v
-        bound = w @ self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        dense = np.zeros(len(self.vocabulary))
-        dense[t] = w
-        best_i, best_s = np.zeros(0, int), np.zeros(0)
-        i, size = 0, 2
-        while i < len(order) and bound[order[i]] > 0 and (len(best_s) < self.k or bound[order[i]] >= best_s[-1]):
-            parts_i, parts_s = [best_i], [best_s]
-            for b in order[i : i + size]:
-                lo, hi = b * self.block, min((b + 1) * self.block, len(self.ids))
-                x, y = self.start[lo], self.start[hi]
-                s = np.add.reduceat(self.w[x:y] * dense[self.term[x:y]], self.start[lo:hi] - x)
-                hit = np.flatnonzero(s)
-                parts_i.append(lo + hit)
-                parts_s.append(s[hit])
-            i, size = i + size, size * 2
-            at, s = np.concatenate(parts_i), np.concatenate(parts_s)
-            if skip >= 0:
-                keep = at != skip
-                at, s = at[keep], s[keep]
-            top = np.lexsort((at, -s))[: self.k]
-            best_i, best_s = at[top], s[top]
-        return best_i, best_s
-
-    def vote(self, v, skip: int = -1):
-        i, s = self.nearest(v, skip)
+        back = np.argsort(self.place)
+        return next(self.nearest_of([v], back[[skip]] if skip >= 0 else None))
+
+    def nearest_of(self, queries: list, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """nearest() for several vectors; skip: the place that each leaves out."""
+        d, n = len(queries), len(self.place)
+        if not n:
+            yield from ((np.zeros(0, int), np.zeros(0)) for _ in queries)
+            return
+        row = np.repeat(np.arange(d), [len(t) for t, _ in queries])
+        t, w = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries]).astype(np.float32)
+        c = self.column[t]
+        x = np.zeros((d, len(self.most)), np.float32)
+        x[row[c >= 0], c[c >= 0]] = w[c >= 0]
+        sums = np.zeros((d, n), np.float32)
+        for q, (own, weight) in enumerate(queries):  # one at a time: the entries of a query's lists stay in the cache
+            rare = self.column[own] < 0
+            size = (self.list[own + 1] - self.list[own])[rare]
+            at = _runs(self.list[own[rare]], size)
+            sums[q] = np.bincount(self.list_at[at], np.repeat(weight[rare], size) * self.list_w[at], n)
+        bound = np.maximum.reduceat(sums, self.heads, axis=1) + x @ self.most + np.float32(1e-5)
+        got = np.full((d, n), -1, np.float32)
+        closed, worst = np.ones(bound.shape, bool), np.zeros(d, np.float32)
+        for more in (2 + self.k // self.block, bound.shape[1]):  # some blocks for a K-th best, then all that can reach it
+            left = np.where(closed, bound, -1)
+            more = min(more, bound.shape[1])
+            pick = closed & (left >= np.maximum(worst, np.partition(left, -more, axis=1)[:, -more])[:, None])
+            for b in np.flatnonzero(pick.any(axis=0)):
+                q, here = np.flatnonzero(pick[:, b]), slice(self.heads[b], self.heads[b] + self.block)
+                got[q, here] = sums[q, here] + x[q] @ self.cols[:, here]
+            closed &= ~pick
+            if skip is not None:
+                got[np.arange(d), skip] = -1
+            if n > self.k:
+                worst = np.maximum(0, np.partition(got, n - self.k, axis=1)[:, n - self.k])
+        scratch = np.zeros(len(self.vocabulary))
+        for q, (t, w) in enumerate(queries):
+            at = np.flatnonzero((got[q] > 0) & (got[q] >= worst[q] - 2e-5))
+            size = self.start[at + 1] - self.start[at]
+            scratch[t] = w
+            own = _runs(self.start[at], size)
+            s = np.add.reduceat(scratch[self.term[own]] * self.w[own], np.cumsum(size) - size) if len(at) else np.zeros(0)
+            scratch[t] = 0
+            i = self.place[at]
+            top = np.lexsort((i, -s))[: self.k]
+            yield i[top], s[top]
+
+    def _vote(self, i: np.ndarray, s: np.ndarray) -> float:
         w = 1 / (1.05 - np.minimum(s, 1))
-        p = self.prior()
-        return (float((w * self.y[i]).sum()) + p) / (float(w.sum()) + 1), i, s
+        return (float((w * self.y[i]).sum()) + self.prior()) / (float(w.sum()) + 1)
 
-    def score(self, terms, tf):
-        """(score, nearest examples as (doc_id, cosine, label))."""
+    def scores(self, texts: list) -> list[tuple[float, list]]:
+        """(score, nearest examples as (doc_id, cosine, label)) of each (terms, term frequencies)."""
         if self.steps is None:
-            return 0.0, []
-        if not len(terms) or not len(self.y):
-            raw, i, s = self.prior(), [], []
-        else:
-            raw, i, s = self.vote(self.weights(terms, tf))
-        x, y = self.steps
-        return float(np.interp(raw, x, y)), [(self.ids[a], float(min(1, b)), int(self.y[a])) for a, b in zip(i[:3], s[:3], strict=True)]
+            return [(0.0, [])] * len(texts)
+        out = [(float(np.interp(self.prior(), *self.steps)), [])] * len(texts)
+        some = [a for a, (t, _) in enumerate(texts) if len(t) and len(self.y)]
+        for b in range(0, len(some), TEXTS):
+            part = some[b : b + TEXTS]
+            for a, (i, s) in zip(part, self.nearest_of([self.weights(*texts[a]) for a in part]), strict=True):
+                near = [(self.ids[x], float(min(1, c)), int(self.y[x])) for x, c in zip(i[:3], s[:3], strict=True)]
+                out[a] = float(np.interp(self._vote(i, s), *self.steps)), near
+        return out
+
+
+def _similar_first(own: list, block: int) -> np.ndarray:
+    """An order of the vectors in which runs of `block` are similar: halves along the main direction of 32 projections."""
+    rng = np.random.default_rng(7)
+    size = np.array([len(t) for t, _ in own], int)
+    if not len(own):
+        return np.zeros(0, int)
+    signs = rng.choice(np.array([-1, 1], np.float32), (1 + max(int(t.max()) for t, _ in own), 32))
+    p = np.stack([w.astype(np.float32) @ signs[t] for t, w in own]) if len(size) else np.zeros((0, 32))
+    done, todo = [], [np.arange(len(own))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= block:
+            done.append(part)
+            continue
+        x = p[part] - p[part].mean(axis=0)
+        along = x @ np.linalg.eigh(x.T @ x)[1][:, -1]
+        part = part[np.argsort(along, kind="stable")]
+        half = -(-len(part) // block) // 2 * block  # whole blocks on either side
+        todo += [part[half:], part[:half]]
+    return np.concatenate(done)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +237,12 @@ def _train(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sampled(rows: DataFrame, key, limit: int) -> DataFrame:
-    """About `limit` rows, and never more, by a hash of the text; all of them if there are no more."""
+    """All rows, or the `limit` that come first by their key; only about so many are sorted."""
     n = rows.count()
-    return (rows if n <= limit else rows.where(F.pmod(key, F.lit(1 << 20)) < int((1 << 20) * 0.97 * limit / n))).limit(limit)
+    if n <= limit:
+        return rows
+    near = rows.where(F.pmod(key, F.lit(1 << 20)) < int((1 << 20) * min(1.0, (limit + 8 * limit**0.5 + 100) / n)))
+    return near.orderBy(F.pmod(key, F.lit(1 << 20)), key, *rows.columns[:1]).limit(limit)
 
 
 def _vocabulary(train: DataFrame) -> np.ndarray:
@@ -168,80 +253,110 @@ def _vocabulary(train: DataFrame) -> np.ndarray:
                 order = np.lexsort((row, h))
                 h, row = h[order], row[order]
                 new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))[: len(h)]
-                h = h[new]
-                at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))[: len(h)])
+                at, n = np.unique(h[new], return_counts=True)
                 if len(at):
-                    n = np.diff(np.append(at, len(h)))
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(n)], ["h", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    total = train.agg(F.count("*"), F.sum("toxic")).first()
-    n, n1 = total[0], total[1] or 0
+    n, n1 = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < n1 < n:
         return np.zeros(0, np.uint64)
-    c = train.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_DOCS}")
-    return np.sort(np.array([r[0] for r in c.select("h").collect()], np.int64).view(np.uint64))
+    c = train.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    held = c.where(F.col("n") >= max(LEAST_DOCS, -(-n // LEAST_SHARE))).select("h").toArrow()["h"].to_numpy()
+    return np.sort(held.view(np.uint64))
 
 
-def _vectors(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those that hold each term: counted within tasks, then summed."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        v = sent.value
+        total, df = 0, np.zeros(len(sent.value), np.int64)
         for batch in batches:
-            for a, b, data, off in tokens.chunks(batch.column(1)):
-                h, row = term_hashes(data, off)
-                at = np.searchsorted(v, h)
-                hit = at < len(v)
-                hit[hit] = v[at[hit]] == h[hit]
-                code, tf = np.unique(row[hit].astype(np.int64) * (1 << 32) + at[hit], return_counts=True)
-                ends = np.searchsorted(code >> 32, np.arange(b - a + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (code & ((1 << 32) - 1), tf)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *lists], ["doc_id", "tkey", "terms", "tf"])
+            total += batch.num_rows
+            if len(df):
+                for _, _, data, off in tokens.chunks(batch.column(0)):
+                    df += np.bincount(vectors(data, off, sent.value)[1], minlength=len(df))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], total))], ["t", "n"])
+
+    got = docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    t, n = got["t"].to_numpy(), got["n"].to_numpy()
+    df = np.zeros(len(vocabulary), np.int64)
+    df[t[t >= 0]] = n[t >= 0]
+    return int(n[t < 0].sum()), df
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_examples: int = MAX_EXAMPLES) -> Model:
+    """The model of the labelled documents among docs."""
+    docs = docs.select("doc_id", "text")
+    y = common.cut(_train(docs, labels))
+    if not common.is_small(y, max_train):  # labels of documents that are there
+        y = common.cut(_sampled(common.cut(y.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")), F.xxhash64("id"), max_train))
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.join(F.broadcast(y), docs["doc_id"] == y["id"]).select("doc_id", "text", "toxic").dropDuplicates(["doc_id", "text"])
+    train = common.keep(_sampled(common.keep(rows), key, max_train))  # y has max_train ids at most
+    vocabulary = _vocabulary(train)
+    n, df = _frequencies(docs, vocabulary)
+    idf = np.log((1 + n) / (1 + df.astype(float))) ** IDF_POWER + 1e-3
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")).mapInArrow(run, "doc_id long, tkey long, terms array<int>, tf array<int>")
+    def run(batches):
+        for batch in batches:
+            for a, b, data, off in tokens.chunks(batch.column(1)):
+                ends, t, tf = vectors(data, off, sent.value)
+                lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (t, tf)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *lists], ["doc_id", "toxic", "terms", "tf"])
+
+    known = _sampled(train, key, max_examples).select("doc_id", "text", "toxic")
+    got = known.mapInArrow(run, "doc_id long, toxic int, terms array<int>, tf array<int>").toArrow().combine_chunks()
+    flat = lambda c: (c.chunk(0).offsets.to_numpy(), c.chunk(0).values.to_numpy()) if c.num_chunks else (np.zeros(1, int), np.zeros(0, int))
+    (off, t), (_, tf) = flat(got["terms"]), flat(got["tf"])
+    examples = [(i, t[a:b], tf[a:b], y) for i, y, a, b in zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    return Model(vocabulary, idf, sorted(examples, key=lambda e: (e[1].tobytes(), e[2].tobytes(), e[3], e[0])))
+
+
+def _scored(model: Model, known: dict, text: pa.Array) -> list[tuple[float, list]]:
+    """(score, evidence) of each text; equal vectors are scored once."""
+    out = []
+    for a, b, data, off in tokens.chunks(text):
+        ends, t, tf = vectors(data, off, model.vocabulary)
+        own = [(t[x:y], tf[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        keys = [x.tobytes() + y.tobytes() for x, y in own]
+        if len(known) > KNOWN:
+            known.clear()
+        new = {k: v for k, v in zip(keys, own, strict=True) if k not in known}
+        known.update(zip(new, model.scores(list(new.values())), strict=True))
+        out += [known[k] for k in keys]
+    return out
 
 
 def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, tkey (hash of the text), held_out, score, predicted and evidence for every document."""
-    docs = docs.select("doc_id", "text")
-    y = common.cut(_train(docs, labels))
-    labelled = docs.join(common.small(y), docs.doc_id == F.col("id")).select("text", "toxic")
-    train = _sampled(labelled, F.xxhash64("text"), max_train)
-    vocabulary = _vocabulary(train)
-    v = common.cut(_vectors(docs, vocabulary))
-    df = dict(v.select(F.explode("terms").alias("t")).groupBy("t").count().collect()) if len(vocabulary) else {}
-    idf = np.log((1 + v.count()) / (1 + np.array([df.get(i, 0) for i in range(len(vocabulary))], float))) + 1
-    known = v.join(common.small(y), v.doc_id == F.col("id")).select("doc_id", "tkey", "terms", "tf", "toxic")
-    rows = _sampled(known, F.xxhash64("tkey"), max_examples).collect()
-    examples = sorted(((r.doc_id, list(r.terms), list(r.tf), r.toxic) for r in rows), key=lambda e: (e[1], e[2], e[3], e[0]))
-    sent = docs.sparkSession.sparkContext.broadcast(Model(vocabulary, idf, examples))
-    del rows, examples
-    common.release(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_train, max_examples))
     pair = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
-        m, known = sent.value, {}
+        known: dict = {}
         for batch in batches:
-            s, e = [], []
-            for t, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                key = (*t, *f)
-                if key not in known:
-                    if len(known) >= 50_000:
-                        known.clear()
-                    known[key] = m.score(t, f)
-                x, near = known[key]
-                s.append(x)
-                e.append([{"doc_id": a, "cosine": b, "toxic": c} for a, b, c in near])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array(e, pair)], ["doc_id", "tkey", "score", "evidence"])
-
-    out = v.mapInArrow(run, "doc_id long, tkey long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+            got = _scored(sent.value, known, batch.column(2))
+            near = [[{"doc_id": a, "cosine": b, "toxic": c} for a, b, c in e] for _, e in got]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in got], pa.float64()), pa.array(near, pair)], ["doc_id", "tkey", "score", "evidence"])
+
+    out = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, "doc_id long, tkey long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
     return out.select("doc_id", "tkey", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those predicted toxic; all columns stay."""
-    bad = common.cut(score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("bad_id"), F.col("tkey").alias("bad_key")).distinct())
-    return docs.join(common.small(bad), docs["doc_id"].eqNullSafe(bad.bad_id) & (F.xxhash64(docs["text"]) == bad.bad_key), "left_anti")
+    """docs without those predicted toxic; all columns stay. Rows are scored where they are: no join, no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    text = docs.columns.index("text")
+
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            yield batch.filter(pa.array([s < 0.5 for s, _ in _scored(sent.value, known, batch.column(text))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
