@@ -110,7 +110,7 @@ def format_chats(conversations: DataFrame, tokenizer: str) -> DataFrame:
                     ["conv_id", "formatted", "spans", "ids", "loss"],
                 )
 
-    return grouped(conversations).mapInArrow(run, "conv_id long, formatted string, spans array<struct<from:int,to:int>>, ids array<int>, loss array<byte>")
+    return common.mapped(grouped(conversations), run, "conv_id long, formatted string, spans array<struct<from:int,to:int>>, ids array<int>, loss array<byte>")
 
 
 def _joined(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -142,7 +142,7 @@ def read_back(chats: DataFrame) -> DataFrame:
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(chars, pa.int64()), pa.array(loss_sha, pa.string()), pa.array(size, pa.int64()), pa.array(toks, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "loss_tokens"])
 
-    return chats.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, loss_tokens long")
+    return common.mapped(chats, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, loss_tokens long")
 
 
 def op2_chat_formatting(spark, sf_dir: str, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.json") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only if it has at most this many rows (some 100 bytes each), or so many of one or two
 #: numbers; beyond it the join shuffles.
 BROADCAST_ROWS, NARROW_ROWS = 300_000, 500_000
+#: Bytes of an Arrow batch sent to a Python worker, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +74,27 @@ def drop(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as rows may be of any length. A bound that the session sets stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):  # Spark's own bound
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with bounded batches."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def free(name: str, *frames: DataFrame) -> str:
+    """name, with as many underscores behind it as keep it apart from all columns of the frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a cut table has at most `rows` rows."""
     return df.limit(rows + 1).count() <= rows

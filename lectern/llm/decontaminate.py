@@ -116,7 +116,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block: int = B
                     cols = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(first)), pa.array([[{"from": s, "to": e} for s, e in merge(x)] for x in spans], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(best, pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tkey", "n_words", "hits", "items", "longest"])
 
-        return docs.mapInArrow(run, schema)
+        return common.mapped(docs, run, schema)
 
     out, held, size = [], [], 0
     for item, text in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():

@@ -4,20 +4,26 @@ Documents are partitioned into groups of similar ones, each group stores the uni
 only those groups whose union it can overlap enough.
 
 * A document's set is its distinct 5-word shingles (hashes of 64 bit). Documents of equal sets form one class.
-* Tokens are ordered globally, common ones last. A query with similarity t or more to any member of a group overlaps
-  the group's union in at least ceil(t * size) tokens, so its first size - ceil(t * size) + 1 tokens hold one of the
-  union. Only these are kept in the matrix (for the smaller set of a pair even fewer suffice).
+* Tokens are ordered globally, common ones last. Two similar sets share LEVEL tokens (or all, if they have fewer) among
+  the first size - overlap + LEVEL of each, where overlap is the least number of tokens that the set must share.
+  Only these first tokens take part.
 * Grouping: in each token's row the class with the fewest tokens of its own leads; a class is checked against the leader
-  of another group that it meets most often, and verified links make the groups, in a few rounds. A group is thus connected before any two of its members are compared.
-* Matrix: the distinct groups of each token. Tokens with one group only have nothing to open. For the others the
-  members that size, position and the overlap of their first tokens leave as possible partners are verified on whole
-  sets and linked.
+  of another group that it meets most often, and verified links make the groups, in a few rounds.
+* Matrix: the union of the first tokens of each group's members, as distinct (token, group) with the range of sizes.
+  A class counts how many of its first tokens each other group's union holds; groups that hold fewer than LEVEL, or no
+  member of a fitting size, can't have a similar member and stay closed.
+* In an opened group the members that share LEVEL first tokens and leave the wanted overlap possible are verified on
+  whole sets and linked.
 
-The order of tokens only decides how much is compared, never what is found: the common tokens are those that repeat
-within a run of documents, and at most COMMON of them (by count) are told apart from the rest.
+The order of tokens only decides how much is compared, never what is found. Common tokens are those that repeat within a
+run of documents; a token that more than HOT classes have among their first ones joins them and the order is made anew,
+so that no row of the matrix is hot while documents have rarer tokens. At most COMMON tokens are told apart.
+
+The verified pairs span each component: classes that leaders have connected are not compared with each other again.
 
 Nulls and texts without words have empty sets and link with nothing. Repeated rows are copies of each other. Extra
-columns are ignored. A null doc_id takes part; its component is the smallest id that is not null, else null.
+columns are ignored, one_of_each() passes them on whatever their names. A null doc_id takes part; its component is the
+smallest id that is not null, else null.
 """
 
 from __future__ import annotations
@@ -25,17 +31,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
 #: Tokens told apart as common, at most: 8 bytes each, sent to every worker.
 COMMON = 1 << 18
-#: Rounds of grouping, at most; what they leave apart is compared in full.
+#: Rounds of grouping, at most; what they leave apart is compared through the matrix.
 ROUNDS = 3
 #: Shingles gathered before those that repeat among them are counted.
-RUN = 1 << 21
+RUN = 1 << 20
+#: First tokens that similar sets must share, at least.
+LEVEL = 4
+#: Classes that may have a token among their first ones before it counts as common; how often the order is made anew.
+HOT, ORDERS = 4096, 3
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -91,7 +100,7 @@ def _common(docs: DataFrame, n: int, limit: int) -> np.ndarray:
         if held:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    counted = common.mapped(docs.select("text"), count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     counted = common.cut(counted)
     steps = F.floor(F.log2("c") * 8).cast("int")  # a few hundred values at most
     cut, total = None, 0
@@ -124,7 +133,7 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray) -> Dat
                 else:
                     flag = np.zeros(len(flat), bool)
                 edge = np.concatenate(([0], np.cumsum(size)))
-                keep = np.where(size > 0, size - need(size, num, den) + 1, 0)
+                keep = size - need(size, num, den) + np.minimum(LEVEL, need(size, num, den))
                 first, n_rare = [], []
                 for s, e, k in zip(edge[:-1].tolist(), edge[1:].tolist(), keep.tolist(), strict=True):
                     f, x = flag[s:e], flat[s:e]
@@ -138,7 +147,7 @@ def _sets(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray) -> Dat
                 i += b - a
                 yield pa.RecordBatch.from_arrays([rows, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(n_rare, pa.int32()), lists], ["row", "doc_id", "tkey", "n", "h1", "h2", "rare", "first"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, "row long, doc_id long, tkey long, n long, h1 long, h2 long, rare int, first array<long>")
+    return common.mapped(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text"), run, "row long, doc_id long, tkey long, n long, h1 long, h2 long, rare int, first array<long>")
 
 
 def _overlapping(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
@@ -183,7 +192,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: i
             for a, b, data, off in tokens.chunks(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingles(data, off, n)], pa.binary())], ["cls", "s"])
 
-    sets = common.keep(own.mapInArrow(full, "cls long, s binary"))
+    sets = common.keep(common.mapped(own, full, "cls long, s binary"))
     both = pairs.join(sets.withColumnsRenamed({"cls": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"cls": "b", "s": "sb"}), "b").select("a", "b", "sa", "sb")
 
     def check(batches):
@@ -201,45 +210,88 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: i
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    out = common.cut(both.mapInArrow(check, "a long, b long"))
+    out = common.cut(common.mapped(both, check, "a long, b long"))
     common.drop(sets)
     return out
 
 
+def _matrix(full: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
+    """One row for each first token of each class: token, cls, n, pos, often (common) and low (also among its first
+    ones against a set of its size or larger)."""
+    own = full.where("n > 0").join(common.small(copies), "row", "left_anti")
+    m = own.select("row", "n", "rare", F.posexplode("first").alias("pos", "token"))
+    low = f"pos < n - (n * {2 * num} + {num + den - 1}) div {num + den} + least({LEVEL}, (n * {num} + {den - 1}) div {den})"
+    return m.select("token", F.col("row").alias("cls"), "n", "pos", (F.col("pos") >= F.col("rare")).alias("often"), F.expr(low).alias("low"))
+
+
+def _met(full: DataFrame, copies: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of the matrix that have a class beside them, tokens by number of classes where more than one)."""
+    m = _matrix(full, copies, num, den)
+    counts = common.cut(m.groupBy("token").agg(F.count("*").alias("c"), F.max("often").alias("often")).where("c > 1"))
+    few = counts.where("NOT often").select("token")
+    # rare tokens meet by a shuffle, if there are many; the common ones, any number of times as frequent, by a bounded broadcast
+    rare = m.where("NOT often").join(common.small(few, common.NARROW_ROWS), "token", "left_semi")
+    often = m.where("often").join(F.broadcast(counts.where("often").select("token")), "token", "left_semi")
+    return rare.unionByName(often).drop("often"), counts
+
+
+def _opened(shared: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes of different groups, b not larger, that the matrix of tokens and groups leaves possible."""
+    members = shared.select("token", "cls", "n", "pos", "low").join(common.small(groups), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    apart = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    left = common.keep(members.join(common.small(common.cut(apart)), "token", "left_semi"))
+    union = left.where("low").groupBy("token", F.col("comp").alias("grp")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # the smallest size that is similar to n, and how many first tokens a set of that size must share
+    fits = F.expr(f"comp <> grp AND least <= n AND most * {den} >= n * {num}")
+    wanted = f"least({LEVEL}, ((n * {num} + {den - 1}) div {den} * {num} + {den - 1}) div {den})"
+    met = common.keep(left.join(union.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & fits).select("token", "cls", "n", "pos", "grp"))
+    open_ = common.cut(met.groupBy("cls", "grp", "n").agg(F.count("*").alias("c")).where(f"c >= {wanted}").select("cls", "grp"))
+    x = met.join(common.small(open_), ["cls", "grp"], "left_semi").alias("x")
+    y = left.where("low").alias("y")
+    # overlap wanted of sizes p, q: ceil((p + q) * num / (num + den)); at a token that two sets share, what is left of each bounds it
+    pair = F.expr(f"""x.token = y.token AND x.grp = y.comp AND (y.n < x.n OR (y.n = x.n AND y.cls < x.cls)) AND y.n * {den} >= x.n * {num}""")
+    both = x.join(y, pair).groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    rest = f"((x.n + y.n) * {num} + {num + den - 1}) div {num + den}"
+    out = both.agg(F.count("*").alias("c"), F.max(F.expr(f"least(x.n - x.pos, y.n - y.pos) - {rest}")).alias("spare"), F.min("y.n").alias("n"))
+    out = common.cut(out.where(f"spare >= 0 AND c >= least({LEVEL}, (n * {num} + {den - 1}) div {den})").select("a", "b"))
+    common.drop(met)
+    common.drop(left)
+    return out
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, common_tokens: int = COMMON) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows has doc_id, tkey (hash of the text), n_shingles, cls (its class), comp (its component's
-    smallest class, null for an empty set) and component_id for every document; links the verified pairs (a, b) of classes. Two sets link if den * intersection >= num * union."""
+    smallest class, null for an empty set) and component_id for every document; links verified pairs (a, b) of classes
+    that span the components. Two sets link if den * intersection >= num * union."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    full = common.keep(_sets(docs, n, num, den, _common(docs, n, common_tokens)))
-    rows = common.keep(full.drop("first", "rare"))
-    classes = common.cut(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("cls")))
-    copies = common.cut(rows.join(classes, ["h1", "h2", "n"]).where("row <> cls").select("row"))
-    one_each = lambda x: x.where("n > 0").join(common.small(copies), "row", "left_anti")
-    reps = one_each(rows)
-    # the smaller set of a pair (or the first of equal size) needs fewer of its tokens: size - ceil(2t/(1+t) * size) + 1
-    few = f"n - (n * {2 * num} + {num + den - 1}) div {num + den} + 1".replace("n", "(np div 4294967296)")
-    matrix = one_each(full).select("row", "n", "rare", F.posexplode("first").alias("pos", "token"))
-    matrix = matrix.select("token", F.col("row").alias("cls"), F.expr("n * 4294967296L + pos").alias("np"), (F.col("pos") >= F.col("rare")).alias("often"))
-    size, low = F.expr("np div 4294967296"), F.expr(f"np % 4294967296 < {few}")
-    # rare tokens meet by one shuffle; the common ones, any number of times as frequent, by sums and a bounded broadcast
-    row = W.partitionBy("token")
-    rare = matrix.where(~F.col("often")).drop("often").withColumn("c", F.count("*").over(row)).where("c > 1").drop("c")
-    often = matrix.where("often").drop("often")
-    heads = often.groupBy("token").count().where("count > 1").select("token")
-    often = often.join(F.broadcast(common.cut(heads)), "token")  # at most common_tokens rows
-    met = rare.unionByName(often).select("token", "cls", size.alias("n"), F.expr("np % 4294967296").alias("pos"), low.alias("low"))
+    often = _common(docs, n, common_tokens)
+    for order in range(ORDERS):
+        full = common.keep(_sets(docs, n, num, den, often))
+        rows = full.drop("first", "rare")
+        classes = common.cut(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("cls")))
+        copies = common.cut(rows.where("n > 0").join(classes, ["h1", "h2", "n"]).where("row <> cls").select("row"))
+        met, counts = _met(full, copies, num, den)
+        hot = counts.where((F.col("c") > HOT) & ~F.col("often"))
+        room = common_tokens - len(often)
+        if order == ORDERS - 1 or room <= 0 or hot.isEmpty():
+            break
+        more = hot.orderBy(F.desc("c"), "token").limit(room).select("token").toArrow()["token"].to_numpy()
+        often = np.sort(np.concatenate((often, more.view(np.uint64))))
+        common.drop(full)
+    rows = common.keep(rows)
+    reps = rows.where("n > 0").join(common.small(copies), "row", "left_anti")
     met = common.keep(met)
     # a class's tokens that nothing else has; who has fewest is the likeliest to be near the others of its rows
-    alone = met.groupBy("cls").agg((F.max(F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")) - F.count("*")).alias("u"))
+    first = f"n - (n * {num} + {den - 1}) div {den} + least({LEVEL}, (n * {num} + {den - 1}) div {den})"
+    alone = met.groupBy("cls").agg((F.max(F.expr(first)) - F.count("*")).alias("u"))
     shared = common.keep(met.join(common.small(common.cut(alone)), "cls"))
     common.drop(met)
 
     links = tried = spark.createDataFrame([], "a long, b long")
     groups = spark.createDataFrame([], "cls long, comp long")
     for _ in range(ROUNDS):
-        ahead = _leaders(shared, groups, num, den).join(tried, ["a", "b"], "left_anti")
-        ahead = common.cut(ahead)
+        ahead = common.cut(_leaders(shared, groups, num, den).join(tried, ["a", "b"], "left_anti"))
         tried = common.cut(tried.union(ahead))
         new = _verified(_overlapping(ahead, full, num, den), reps, docs, n, num, den)
         if new.isEmpty():
@@ -247,22 +299,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, com
         links = common.cut(links.union(new))
         groups = common.cut(common.components(links).withColumnRenamed("node", "cls"))
 
-    members = shared.select("token", "cls", "n", "pos", "low").join(common.small(groups), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    open_ = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    left = common.keep(members.join(common.small(common.cut(open_)), "token", "left_semi"))
-    x, y = left.alias("x"), left.where("low").alias("y")
-    # overlap wanted of sizes p, q: ceil((p + q) * num / (num + den)); at the first token that two sets share, what is left of each bounds it
-    fits = F.expr(f"""x.comp <> y.comp AND (y.n < x.n OR (y.n = x.n AND y.cls < x.cls)) AND y.n * {den} >= x.n * {num}
-        AND least(x.n - x.pos, y.n - y.pos) >= ((x.n + y.n) * {num} + {num + den - 1}) div {num + den}""")
-    last = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    both = tried.union(tried.select("b", "a"))
-    last = _overlapping(common.cut(last.join(both, ["a", "b"], "left_anti")), full, num, den)
-    common.drop(full)
-    more = _verified(last, reps, docs, n, num, den)
+    last = _opened(shared, groups, num, den).join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
+    more = _verified(_overlapping(common.cut(last), full, num, den), reps, docs, n, num, den)
     all_links = links.union(more)
     comp = groups.withColumnRenamed("cls", "node") if more.isEmpty() else common.components(all_links)
-    common.drop(left)
     common.drop(shared)
+    common.drop(full)
 
     of_class = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     narrow = rows.select("doc_id", "tkey", "n", "h1", "h2", "row")
@@ -283,13 +325,14 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     heads = rows.groupBy("comp").agg(F.min(order).alias("head"), F.count("*").alias("c")).where("c > 1")
     held = common.cut(rows.join(heads, "comp").select("doc_id", "tkey", "head"))
     same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("tkey") == F.col("head.tkey"))
-    gone = common.cut(held.where(~same).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k")).distinct())
-    twice = common.cut(held.where(same).groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k")).count().where("count > 1").select("_id", "_k"))
-    hit = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_k"))
+    i, k = common.free("id", docs), common.free("tkey", docs)
+    gone = common.cut(held.where(~same).select(F.col("doc_id").alias(i), F.col("tkey").alias(k)).distinct())
+    twice = common.cut(held.where(same).groupBy(F.col("doc_id").alias(i), F.col("tkey").alias(k)).count().where("count > 1").select(i, k))
+    hit = docs["doc_id"].eqNullSafe(gone[i]) & (F.xxhash64(docs["text"]) == gone[k])
     out = docs.join(common.small(gone), hit, "left_anti")
     if twice.isEmpty():
         return out
-    hit = out["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(out["text"]) == F.col("_k"))
+    hit = out["doc_id"].eqNullSafe(twice[i]) & (F.xxhash64(out["text"]) == twice[k])
     return out.join(common.small(twice), hit, "left_anti").unionByName(out.join(common.small(twice), hit, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 

@@ -247,7 +247,7 @@ def to_media(docs: DataFrame) -> DataFrame:
                 n, payload = padded(batch.column(1)[i].as_py())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([n], pa.int64()), pa.array([mux(payload)], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return common.mapped(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, media binary")
 
 
 def packets(media: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def packets(media: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, packet long, track long, codec string, time_ns long, byte_from long, byte_to long, cluster long, keyframe boolean")
+    return common.mapped(media.select("doc_id", "media"), run, "doc_id long, packet long, track long, codec string, time_ns long, byte_from long, byte_to long, cluster long, keyframe boolean")
 
 
 def op9_matroska(spark, sf_dir: str) -> DataFrame:
@@ -282,4 +282,4 @@ def op9_matroska(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)]], names)
 
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, packets long")
+    return common.mapped(docs, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, packets long")

@@ -175,4 +175,5 @@ def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
 
 
 def op10_token_counts(spark, sf_dir: str, vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
+    common.bound_batches(spark)
     return count_tokens(common.table(spark, sf_dir, "documents"), read_pieces(vocabulary))

@@ -7,7 +7,6 @@ for all words of a chunk at once, so no Python object is made per word. Hashes a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,18 +46,21 @@ SPACED = Words(lambda b: b != 0x20 and not 9 <= b <= 13)
 ALNUM = Words(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or 65 <= b <= 90 or b >= 128)
 
 
-@lru_cache(4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base):
-        out = np.ones(1 << bits, dtype=np.uint64)
-        done, by = 1, out[:1] * base
-        while done < len(out):
-            out[done : 2 * done] = out[:done] * by
-            by = by * by
-            done *= 2
-        return out
+_TABLE: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    return run(_P), run(_PINV)
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 .. size - 1 of P and of its inverse. One table, as long as the longest chunk so far."""
+    if len(_TABLE[0]) < size:
+        for k, base in enumerate((_P, _PINV)):
+            out = np.ones(1 << (size - 1).bit_length(), np.uint64)
+            done, by = 1, np.array([base])
+            while done < len(out):
+                np.multiply(out[:done], by, out=out[done : 2 * done])
+                by = by * by
+                done *= 2
+            _TABLE[k] = out
+    return _TABLE[0][:size], _TABLE[1][:size]
 
 
 def chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -99,9 +101,9 @@ def words(data: np.ndarray, off: np.ndarray, kind: Words) -> tuple[np.ndarray, n
     first = np.searchsorted(starts, off)
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64), first
-    up, down = _powers(max(10, int(len(data)).bit_length()))
+    up, down = _powers(len(data))
     v = kind.value[data]
-    v *= up[: len(data)]
+    v *= up
     h = np.add.reduceat(v, starts)
     h *= down[starts]
     return starts, ends, mix(h), first

@@ -49,7 +49,7 @@ def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts, ends, h, first = tokens.words(data, off, tokens.ALNUM)
     row = np.repeat(np.arange(len(off) - 1), np.diff(first))
     all_h, all_row = [h], [row]
-    up = tokens._powers(10)[0]
+    up = tokens._powers(max(STEMS) + 1)[0]
     for n in STEMS:
         long = np.flatnonzero(ends - starts > n)
         s = starts[long]
@@ -260,7 +260,7 @@ def _vocabulary(train: DataFrame) -> np.ndarray:
     n, n1 = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < n1 < n:
         return np.zeros(0, np.uint64)
-    c = train.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    c = common.mapped(train.select("text"), count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     held = c.where(F.col("n") >= max(LEAST_DOCS, -(-n // LEAST_SHARE))).select("h").toArrow()["h"].to_numpy()
     return np.sort(held.view(np.uint64))
 
@@ -279,7 +279,7 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarr
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], total))], ["t", "n"])
 
-    got = docs.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    got = common.mapped(docs.select("text"), run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     t, n = got["t"].to_numpy(), got["n"].to_numpy()
     df = np.zeros(len(vocabulary), np.int64)
     df[t[t >= 0]] = n[t >= 0]
@@ -308,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_exam
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *lists], ["doc_id", "toxic", "terms", "tf"])
 
     known = _sampled(train, key, max_examples).select("doc_id", "text", "toxic")
-    got = known.mapInArrow(run, "doc_id long, toxic int, terms array<int>, tf array<int>").toArrow().combine_chunks()
+    got = common.mapped(known, run, "doc_id long, toxic int, terms array<int>, tf array<int>").toArrow().combine_chunks()
     flat = lambda c: (c.chunk(0).offsets.to_numpy(), c.chunk(0).values.to_numpy()) if c.num_chunks else (np.zeros(1, int), np.zeros(0, int))
     (off, t), (_, tf) = flat(got["terms"]), flat(got["tf"])
     examples = [(i, t[a:b], tf[a:b], y) for i, y, a, b in zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True)]
@@ -342,7 +342,7 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_ex
             near = [[{"doc_id": a, "cosine": b, "toxic": c} for a, b, c in e] for _, e in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in got], pa.float64()), pa.array(near, pair)], ["doc_id", "tkey", "score", "evidence"])
 
-    out = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(run, "doc_id long, tkey long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    out = common.mapped(docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text"), run, "doc_id long, tkey long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
     return out.select("doc_id", "tkey", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
@@ -356,7 +356,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([s < 0.5 for s, _ in _scored(sent.value, known, batch.column(text))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.mapped(docs, run, docs.schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
