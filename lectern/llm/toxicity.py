@@ -9,8 +9,8 @@ calibrated by isotonic regression on leave-one-out votes of the examples. The ne
 
 Index: examples are dealt into blocks of similar ones. Rare terms keep posting lists; the DENSE most frequent terms keep
 their weights block by block, and their largest weight in every block. A query runs through its rare lists, bounds each
-block by the best sum in it plus the block-maxima of its frequent terms, and opens blocks in falling order of the bound
-while it can reach the K-th best. Candidates are summed again in double precision, so a score does not depend on which
+block by the best sum in it plus the block-maxima of its frequent terms, and opens the blocks whose bound reaches the
+K-th best sum so far. Candidates are summed again in double precision, so a score does not depend on which
 other texts are scored beside it.
 
 The only sampled parts are the labelled rows that a model is fitted on, chosen by a hash of their doc_id. Held out are
@@ -41,7 +41,7 @@ LEAST_DOCS, LEAST_SHARE = 5, 150
 K, BLOCK, IDF_POWER = 15, 64, 2
 STEMS = (4, 6)
 #: Terms of the index that are kept as block columns; texts scored at once; scores that a worker remembers.
-DENSE, TEXTS, KNOWN = 1024, 128, 20_000
+DENSE, TEXTS, KNOWN = 1024, 512, 20_000
 
 
 def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ class Model:
         self.most = np.maximum.reduceat(self.cols, self.heads, axis=1) if n else np.zeros((len(often), 0), np.float32)
         order = np.argsort(term[~dense], kind="stable")
         self.list = np.concatenate(([0], np.cumsum(np.where(self.column < 0, df, 0))))  # posting lists of the rare terms
-        self.list_at, self.list_w = at[~dense][order].astype(np.int32), w[~dense][order].astype(np.float32)
+        self.list_at, self.list_w = at[~dense][order], w[~dense][order].astype(np.float32)
         self.steps = None
         if n or self.none:
             back = np.argsort(self.place)
@@ -142,23 +142,18 @@ class Model:
             at = _runs(self.list[own[rare]], size)
             sums[q] = np.bincount(self.list_at[at], np.repeat(weight[rare], size) * self.list_w[at], n)
         bound = np.maximum.reduceat(sums, self.heads, axis=1) + x @ self.most + np.float32(1e-5)
-        got = np.full((d, n), -1, np.float32)
-        closed, worst = np.ones(bound.shape, bool), np.zeros(d, np.float32)
-        for more in (2 + self.k // self.block, bound.shape[1]):  # some blocks for a K-th best, then all that can reach it
-            left = np.where(closed, bound, -1)
-            more = min(more, bound.shape[1])
-            pick = closed & (left >= np.maximum(worst, np.partition(left, -more, axis=1)[:, -more])[:, None])
-            for b in np.flatnonzero(pick.any(axis=0)):
-                q, here = np.flatnonzero(pick[:, b]), slice(self.heads[b], self.heads[b] + self.block)
-                got[q, here] = sums[q, here] + x[q] @ self.cols[:, here]
-            closed &= ~pick
-            if skip is not None:
-                got[np.arange(d), skip] = -1
-            if n > self.k:
-                worst = np.maximum(0, np.partition(got, n - self.k, axis=1)[:, n - self.k])
+        k = n - self.k - (skip is not None)  # sums only grow, so their K-th best is a lower bound of the K-th best cosine
+        worst = np.partition(sums, k, axis=1)[:, k] if k > 0 else np.zeros(d, np.float32)
+        pick = bound >= worst[:, None]
+        for b in np.flatnonzero(pick.any(axis=0)):
+            q, here = np.flatnonzero(pick[:, b]), slice(self.heads[b], self.heads[b] + self.block)
+            sums[q, here] += x[q] @ self.cols[:, here]
+        if skip is not None:
+            sums[np.arange(d), skip] = -1
+        worst = np.maximum(0, np.partition(sums, n - self.k, axis=1)[:, n - self.k]) if n > self.k else np.zeros(d, np.float32)
         scratch = np.zeros(len(self.vocabulary))
         for q, (t, w) in enumerate(queries):
-            at = np.flatnonzero((got[q] > 0) & (got[q] >= worst[q] - 2e-5))
+            at = np.flatnonzero((sums[q] > 0) & (sums[q] >= worst[q] - 2e-5))
             size = self.start[at + 1] - self.start[at]
             scratch[t] = w
             own = _runs(self.start[at], size)
@@ -317,17 +312,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_exam
 
 def _scored(model: Model, known: dict, text: pa.Array) -> list[tuple[float, list]]:
     """(score, evidence) of each text; equal vectors are scored once."""
-    out = []
-    for a, b, data, off in tokens.chunks(text):
+    keys, new = [], {}
+    if len(known) > KNOWN:
+        known.clear()
+    for _, _, data, off in tokens.chunks(text):
         ends, t, tf = vectors(data, off, model.vocabulary)
-        own = [(t[x:y], tf[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        keys = [x.tobytes() + y.tobytes() for x, y in own]
-        if len(known) > KNOWN:
-            known.clear()
-        new = {k: v for k, v in zip(keys, own, strict=True) if k not in known}
-        known.update(zip(new, model.scores(list(new.values())), strict=True))
-        out += [known[k] for k in keys]
-    return out
+        for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            keys.append(t[x:y].tobytes() + tf[x:y].tobytes())
+            if keys[-1] not in known:
+                new[keys[-1]] = t[x:y], tf[x:y]
+    known.update(zip(new, model.scores(list(new.values())), strict=True))
+    return [known[k] for k in keys]
 
 
 def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_examples: int = MAX_EXAMPLES) -> DataFrame:
