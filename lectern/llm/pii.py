@@ -1,11 +1,12 @@
 """Operator 3: personal data and what discloses it, with DataFrame functions only.
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers. Around each of them the nearest WORDS
-words on either side are its context. Over the corpus, a term t reveals log2(n(t,e) * N / (n(t) * n(e))) bits of an
+terms on either side, in the whole text and however far away, are its context. Over the corpus, a term t reveals log2(n(t,e) * N / (n(t) * n(e))) bits of an
 entity e, of the log2(N / n(e)) bits that e holds: n(t,e) and n(e) count different contexts, n(t) documents with t
 anywhere, N documents. Terms that two or more contexts of e share and that reveal GENERALISE or more of e's bits are
 marked in every document in which they stand by e (all their occurrences there), and generalised; from REMOVE on they are
-removed. Copies of one context count once, so copied documents don't make their words look revealing.
+removed. Copies of one context count once, so copied documents don't make their words look revealing; how common a term
+is (n(t) of N) is counted over the documents as they are, since that is what a reader of the corpus meets.
 
 Null is an empty text: no spans. Repeated rows get the same spans. Extra columns are ignored, sanitise() passes them on.
 """
@@ -37,16 +38,15 @@ TERM = r"\p{L}{4,}"
 def base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, tkey and an array of valid spans for each kind."""
     df = docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.coalesce("text", F.lit("")).alias("body"))
-    df = spans.find(df, "body", KINDS, context=160)
+    df = spans.find(df, "body", KINDS, (TERM, WORDS))
     return df.select("doc_id", "tkey", *[F.expr(f"filter({k}, s -> {VALID[k]})").alias(k) for k, _, _ in KINDS])
 
 
 def contexts(base: DataFrame) -> DataFrame:
     """One row for each term near each entity: doc_id, tkey, entity, term, ctx (hash of the context)."""
-    all_ = F.concat(*[F.expr(f"transform({k}, s -> named_struct('entity', concat('{k}:', lower(s.value)), 'b', s.before, 'a', s.after))") for k, _, _ in KINDS])
-    e = base.select("doc_id", "tkey", F.explode(all_).alias("s")).select("doc_id", "tkey", "s.entity", F.regexp_extract_all(F.lower("s.b"), F.lit(TERM), F.lit(0)).alias("b"), F.regexp_extract_all(F.lower("s.a"), F.lit(TERM), F.lit(0)).alias("a"))
-    near = F.concat(F.expr(f"CASE WHEN size(b) > {WORDS} THEN slice(b, -{WORDS}, {WORDS}) ELSE b END"), F.slice("a", 1, WORDS))
-    return e.select("doc_id", "tkey", "entity", near.alias("near")).select("doc_id", "tkey", "entity", F.explode(F.array_distinct("near")).alias("term"), F.xxhash64("near").alias("ctx"))
+    all_ = F.concat(*[F.expr(f"transform({k}, s -> named_struct('entity', concat('{k}:', lower(s.value)), 'near', concat(s.before, s.after)))") for k, _, _ in KINDS])
+    e = base.select("doc_id", "tkey", F.explode(all_).alias("s")).select("doc_id", "tkey", "s.entity", "s.near")
+    return e.select("doc_id", "tkey", "entity", F.explode(F.array_distinct("near")).alias("term"), F.xxhash64("near").alias("ctx"))
 
 
 def disclosures(docs: DataFrame, near: DataFrame) -> DataFrame:
@@ -94,12 +94,14 @@ def sanitise(docs: DataFrame) -> DataFrame:
     overlap, the first one counts."""
     f = find_pii(docs).dropDuplicates(["doc_id", "tkey"]).where("size(base) + size(terms) > 0")
     all_ = F.expr("array_sort(concat(transform(base, s -> named_struct('start', s.start, 'end', s.end, 'to', concat('<', upper(s.kind), '>'))), transform(terms, s -> named_struct('start', s.start, 'end', s.end, 'to', CASE s.action WHEN 'remove' THEN '' ELSE '<TERM>' END))))")
-    f = common.cut(f.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k"), all_.alias("_s")))
-    new = F.expr("""aggregate(_s, named_struct('at', 0, 'out', cast(array() AS array<string>)), (a, s) -> CASE WHEN s.start < a.at THEN a
+    i, k, spans_, new = (common.free(x, docs) for x in ("id", "tkey", "spans", "clean"))
+    f = common.cut(f.select(F.col("doc_id").alias(i), F.col("tkey").alias(k), all_.alias(spans_)))
+    clean = F.expr(f"""aggregate({spans_}, named_struct('at', 0, 'out', cast(array() AS array<string>)), (a, s) -> CASE WHEN s.start < a.at THEN a
         ELSE named_struct('at', s.end, 'out', concat(a.out, array(substr(text, a.at + 1, s.start - a.at), s.to))) END,
         a -> concat(array_join(a.out, ''), substr(text, a.at + 1)))""")
-    out = docs.join(common.small(f), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_k")), "left")
-    return out.withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(new)).select(*docs.columns)
+    out = docs.join(common.small(f), docs["doc_id"].eqNullSafe(f[i]) & (F.xxhash64(docs["text"]) == f[k]), "left")
+    out = out.withColumn(new, F.when(F.col(spans_).isNull(), F.col("text")).otherwise(clean))
+    return out.select(*[F.col(new).alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = "struct<start:int,end:int,value:string,before:string,after:string>"
+SPAN = "struct<start:int,end:int,value:string,before:array<string>,after:array<string>>"
 
 
 def lit(pattern: str) -> str:
@@ -20,21 +20,37 @@ def _plain(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def find(df: DataFrame, text: str, kinds: list[tuple[str, str, str]], context: int = 0) -> DataFrame:
+def _last(words: str, n: int) -> str:
+    return f"slice({words}, greatest(1, size({words}) - {n - 1}), {n})"
+
+
+def find(df: DataFrame, text: str, kinds: list[tuple[str, str, str]], words: tuple[str, int] | None = None) -> DataFrame:
     """Adds one column for each (name, pattern, cheap SQL condition without which there is no match): the array of
-    leftmost non-overlapping matches, with up to `context` characters of the gaps on either side. text isn't null."""
+    leftmost non-overlapping matches. With words (pattern, n) each has the n nearest words, in lower case, before and after
+    it in the whole text, in the order of the text. text isn't null."""
     for name, pattern, may in kinds:
         df = df.withColumn(f"_m_{name}", F.expr(f"CASE WHEN {may} THEN regexp_extract_all({text}, {lit(pattern)}, 0) ELSE cast(array() AS array<string>) END"))
     df = df.select("*", *[F.expr(f"CASE WHEN size(_m_{n}) > 0 THEN split({text}, {lit(p)}, -1) END").alias(f"_g_{n}") for n, p, _ in kinds])
-    near = f"right(_g_{{n}}[i], {context}), left(_g_{{n}}[i + 1], {context})" if context else "'', ''"
+    none = "cast(array() AS array<string>)"
+    if words:
+        # the words of each gap and of each match, then what is next to a match by one run in each direction
+        said = lambda x: f"transform({x}, x -> regexp_extract_all(lower(x), {lit(words[0])}, 0))"
+        df = df.select("*", *[F.expr(f"CASE WHEN size(_m_{n}) > 0 THEN {said(f'_{x}_{n}')} END").alias(f"_w{x}_{n}") for n, _, _ in kinds for x in "gm"])
+        upto = lambda n: f"sequence(0, size(_m_{n}) - 1)"
+        run = "aggregate({over}, named_struct('near', {none}, 'out', cast(array() AS array<array<string>>)), (s, i) -> named_struct('near', {near}, 'out', array_append(s.out, {near})), s -> s.out)"
+        for n, _, _ in kinds:
+            own = f"CASE WHEN i > 0 THEN _wm_{n}[i - 1] ELSE {none} END"
+            before = run.format(over=upto(n), none=none, near=_last(f"concat(s.near, {own}, _wg_{n}[i])", words[1]))
+            own = f"CASE WHEN i + 1 < size(_m_{n}) THEN _wm_{n}[i + 1] ELSE {none} END"
+            after = run.format(over=f"reverse({upto(n)})", none=none, near=f"slice(concat(_wg_{n}[i + 1], {own}, s.near), 1, {words[1]})")
+            df = df.select("*", F.expr(f"CASE WHEN size(_m_{n}) > 0 THEN {before} END").alias(f"_b_{n}"), F.expr(f"CASE WHEN size(_m_{n}) > 0 THEN reverse({after}) END").alias(f"_a_{n}"))
     cols = []
     for n, _, _ in kinds:
-        b, a = near.format(n=n).split(", left") if context else ("''", "''")
-        a = f"left{a}" if context else a
+        b, a = (f"_b_{n}[i]", f"_a_{n}[i]") if words else (none, none)
         cols.append(F.expr(f"""CASE WHEN size(_m_{n}) > 0 THEN aggregate(sequence(0, size(_m_{n}) - 1), named_struct('at', 0, 'out', cast(array() AS array<{SPAN}>)),
             (s, i) -> named_struct('at', s.at + length(_g_{n}[i]) + length(_m_{n}[i]), 'out', array_append(s.out, named_struct('start', s.at + length(_g_{n}[i]),
                 'end', s.at + length(_g_{n}[i]) + length(_m_{n}[i]), 'value', _m_{n}[i], 'before', {b}, 'after', {a}))), s -> s.out) ELSE cast(array() AS array<{SPAN}>) END""").alias(n))
-    return df.select(*[c for c in df.columns if not c.startswith(("_m_", "_g_"))], *cols)
+    return df.select(*[c for c in df.columns if not c.startswith(("_m_", "_g_", "_wg_", "_wm_", "_b_", "_a_"))], *cols)
 
 
 def digits(value: str) -> str:

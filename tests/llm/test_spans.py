@@ -121,3 +121,54 @@ def test_digest(spark, tmp_path):
 def test_empty(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def near_words(text, start, end, n=5):
+    said = [m for m in re.finditer(r"[^\W\d_]{4,}", text.lower())]
+    return [m.group() for m in said if m.end() <= start][-n:] + [m.group() for m in said if m.start() >= end][:n]
+
+
+def test_contexts_are_whole(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.choice([2, 4, 7])))
+    item = lambda: rng.choice(["a@b.co", "1.2.3.4", "+1 555 010 9999", "4111 1111 1111 1111"])
+    texts = [" ".join(rng.choice([word, word, word, item])() for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    texts += ["left word here" + " " * 400 + "x@y.co", "q" * 400 + " z@y.co " + "é" * 300, "x@y.co" * 3, None]
+    for r in pii.base_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        for k in PII:
+            for s in r[k]:
+                # words of a number that touch it belong to neither side in both
+                assert s.before + s.after == near_words(texts[r.doc_id], s.start, s.end), (texts[r.doc_id], s)
+
+
+def test_disclosure_equals_the_formula(spark):
+    from collections import defaultdict
+    from math import log2
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc") for _ in range(4))
+    texts = [" ".join([word() for _ in range(rng.randrange(3, 12))] + rng.choice([[], [f"owner{(k := rng.randrange(6))}"[:5] + "abcdef"[k], f"m{k}@x.co"]]) + [word() for _ in range(3)]) for _ in range(200)]
+    texts += texts[:20]
+    near, n_t = defaultdict(set), defaultdict(int)
+    for t in texts:
+        for m in re.finditer(PII["email"], t):
+            near["email:" + m.group()].add(tuple(near_words(t, *m.span())))
+        for w in {m.group() for m in re.finditer(r"[^\W\d_]{4,}", t)}:
+            n_t[w] += 1
+    want = {}
+    for e, ctx in near.items():
+        for w in {w for c in ctx for w in c}:
+            n_te = sum(w in c for c in ctx)
+            if n_te >= pii.LEAST:
+                share = min(1.0, log2(n_te * len(texts) / (n_t[w] * len(ctx))) / log2(len(texts) / len(ctx)))
+                if share >= pii.GENERALISE:
+                    want[e, w] = share
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.entity, r.term): r.share for r in pii.disclosures(df, pii.contexts(pii.base_spans(df))).where(f"share >= {pii.GENERALISE}").collect()}
+    assert len(want) > 3 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_sanitise_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co", 7, "k", "s", "c")], "doc_id long, text string, id long, tkey string, spans string, clean string")
+    out = pii.sanitise(df)
+    assert out.columns == df.columns and tuple(out.first()) == (1, "mail <EMAIL>", 7, "k", "s", "c")
