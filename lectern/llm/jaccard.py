@@ -42,7 +42,7 @@ ROUNDS = 3
 #: Shingles gathered before those that repeat among them are counted.
 RUN = 1 << 20
 #: First tokens that similar sets must share, at least.
-LEVEL = 4
+LEVEL = 8
 #: Classes that may have a token among their first ones before it counts as common; how often the order is made anew.
 HOT, ORDERS = 4096, 3
 
@@ -229,8 +229,8 @@ def _met(full: DataFrame, copies: DataFrame, num: int, den: int) -> tuple[DataFr
     m = _matrix(full, copies, num, den)
     counts = common.cut(m.groupBy("token").agg(F.count("*").alias("c"), F.max("often").alias("often")).where("c > 1"))
     few = counts.where("NOT often").select("token")
-    # rare tokens meet by a shuffle, if there are many; the common ones, any number of times as frequent, by a bounded broadcast
-    rare = m.where("NOT often").join(common.small(few, common.NARROW_ROWS), "token", "left_semi")
+    # rare tokens meet by a shuffle; the common ones, any number of times as frequent, by a bounded broadcast
+    rare = m.where("NOT often").join(few.hint("merge"), "token", "left_semi")
     often = m.where("often").join(F.broadcast(counts.where("often").select("token")), "token", "left_semi")
     return rare.unionByName(often).drop("often"), counts
 
@@ -239,7 +239,7 @@ def _opened(shared: DataFrame, groups: DataFrame, num: int, den: int) -> DataFra
     """Pairs (a, b) of classes of different groups, b not larger, that the matrix of tokens and groups leaves possible."""
     members = shared.select("token", "cls", "n", "pos", "low").join(common.small(groups), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     apart = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    left = common.keep(members.join(common.small(common.cut(apart)), "token", "left_semi"))
+    left = common.keep(members.join(common.cut(apart).hint("merge"), "token", "left_semi"))
     union = left.where("low").groupBy("token", F.col("comp").alias("grp")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
     # the smallest size that is similar to n, and how many first tokens a set of that size must share
     fits = F.expr(f"comp <> grp AND least <= n AND most * {den} >= n * {num}")
@@ -248,11 +248,13 @@ def _opened(shared: DataFrame, groups: DataFrame, num: int, den: int) -> DataFra
     open_ = common.cut(met.groupBy("cls", "grp", "n").agg(F.count("*").alias("c")).where(f"c >= {wanted}").select("cls", "grp"))
     x = met.join(common.small(open_), ["cls", "grp"], "left_semi").alias("x")
     y = left.where("low").alias("y")
-    # overlap wanted of sizes p, q: ceil((p + q) * num / (num + den)); at a token that two sets share, what is left of each bounds it
-    pair = F.expr(f"""x.token = y.token AND x.grp = y.comp AND (y.n < x.n OR (y.n = x.n AND y.cls < x.cls)) AND y.n * {den} >= x.n * {num}""")
+    # overlap wanted of sizes p, q: ceil((p + q) * num / (num + den)). From the k-th token that two sets share on, what is
+    # left of each and k - 1 bound it, so their first LEVEL shared tokens all meet, and the first one leaves enough
+    rest = f"least(x.n - x.pos, y.n - y.pos) - ((x.n + y.n) * {num} + {num + den - 1}) div {num + den}"
+    pair = F.expr(f"""x.token = y.token AND x.grp = y.comp AND (y.n < x.n OR (y.n = x.n AND y.cls < x.cls)) AND y.n * {den} >= x.n * {num}
+        AND {rest} >= {1 - LEVEL}""")
     both = x.join(y, pair).groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    rest = f"((x.n + y.n) * {num} + {num + den - 1}) div {num + den}"
-    out = both.agg(F.count("*").alias("c"), F.max(F.expr(f"least(x.n - x.pos, y.n - y.pos) - {rest}")).alias("spare"), F.min("y.n").alias("n"))
+    out = both.agg(F.count("*").alias("c"), F.max(F.expr(rest)).alias("spare"), F.min("y.n").alias("n"))
     out = common.cut(out.where(f"spare >= 0 AND c >= least({LEVEL}, (n * {num} + {den - 1}) div {den})").select("a", "b"))
     common.drop(met)
     common.drop(left)
