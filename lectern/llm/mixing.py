@@ -1,20 +1,25 @@
 """Operator 1: mixing sources to target weights, with DataFrame functions only.
 
 1. Packing: each source's documents, in pseudorandom order, are one stream of words cut into blocks of `block` words.
-   Places come from two-level prefix sums (within hash buckets, then over buckets), so a hot source has no single task.
+   Places come from two-level prefix sums (within hash buckets, whose number follows the source's documents, then over
+   buckets), so a hot source has no single task.
 2. Targets: weights share the corpus's words; a source gets at most `cap` times its size, and what is over goes to the
    others by weight (solved in closed form over sources sorted by size per weight).
-3. Draws: a source's target fixes how many slots it fills. Every slot goes through one pseudorandom permutation of all
-   slots, which deals it to an output shard: a shard's source counts are a multinomial draw given the totals, so
-   shards vary like draws while the totals keep to the targets.
-4. Indexes: the k-th slot of a source takes block perm(k mod blocks) of its (k div blocks)-th pass over the source; the
-   permutations are keyed by seed, source and pass (swap-or-not shuffles, exact on every domain size). The last slot of
-   a source is trimmed to its target.
+3. Draws: a source's target fixes how many slots it fills in all. Each output shard draws its source counts: a
+   multinomial draw given these totals, made by one pseudorandom permutation that deals all slots to shards. So shards
+   vary like draws while the totals keep to the targets. The counts are a table, one row for each shard and source.
+4. Indexes: prefix sums of the counts number the slots of a source through all shards. The k-th slot of a source takes
+   block perm(k mod blocks) of its (k div blocks)-th pass over the source; the permutations are keyed by seed, source
+   and pass (swap-or-not shuffles, exact on every domain size). The last slot of a source is trimmed to its target.
+   Within a shard the slots stand in an order of their own permutation.
 5. Blocks and slots meet in an equi-join by (source, block); every block has at most cap (rounded up) slots.
 
+The table of sources (one row each) is sorted in one task; documents, slots and counts never are.
+
 Same input, same mix, whatever the partitions. A null text has no words; documents without words are never taken. A
 null source is a source of its own, last in order; a null doc_id is a document. Rows that agree in doc_id and text are
-told apart, each has its own words in the stream. Extra columns are ignored. An empty table gives an empty mix.
+told apart, each has its own words in the stream. Extra columns are ignored; of mixed() they are passed on, but for
+columns named size, source_size, target and taken, which it replaces. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -28,10 +33,10 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of a block, slots of an output shard, hash buckets of a source's prefix sums, rounds of a permutation.
-BLOCK, SLOTS, BUCKETS, ROUNDS = 512, 1024, 1024, 24
-#: Slots made from one row.
-STEP = 1 << 12
+#: Words of a block, slots of an output shard, documents of a hash bucket (on average), rounds of a permutation.
+BLOCK, SLOTS, BUCKET, ROUNDS = 512, 1024, 4096, 24
+#: Slots made from one row; shards in a run of prefix sums.
+STEP, RUN = 1 << 12, 1 << 12
 
 
 def permuted(x: Column, n: Column, key: Column, inverse: bool = False) -> Column:
@@ -63,17 +68,19 @@ def targets(per: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame
 
 @dataclass
 class Mix:
-    """sources: the plan. sized: documents with rid, size and place. pieces: documents' parts by (sid, block).
-    slots: (shard, slot, sid, block, take). All are materialised or narrow."""
+    """sources: the plan. drawn: (shard, sid, n), the source counts of each output shard. sized: documents with rid,
+    size and place. pieces: documents' parts by (sid, block). slots: (shard, slot, sid, block, take), made from the drawn
+    counts. All are materialised or narrow."""
 
     sources: DataFrame
+    drawn: DataFrame
     sized: DataFrame
     pieces: DataFrame
     slots: DataFrame
 
     def counts(self) -> DataFrame:
         """Slots by output shard and source."""
-        return self.slots.groupBy("shard", "sid").count()
+        return self.drawn.withColumnRenamed("n", "count")
 
     def content(self) -> DataFrame:
         """The mix: which words of which document (rid, doc_id, tkey) stand where in each slot."""
@@ -95,7 +102,7 @@ class Mix:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, block: int = BLOCK, slots: int = SLOTS, seed: int = 11) -> Mix:
     sized = common.cut(docs.select("doc_id", "source", F.xxhash64("text").alias("tkey"), common.words_col(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("rid")))
-    per = common.cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
+    per = common.cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, cap))
     # slots of each source: whole passes, then the part of a pass that reaches the target
     b = F.lit(block)
     p = per.where("source_size > 0").withColumn("want", F.floor(F.col("target") + 0.5)).withColumn("blocks", F.ceil(F.col("source_size") / b))
@@ -114,16 +121,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3,
 
     runs = p.where("n_slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {STEP}"))))
     runs = runs.repartition(max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "sid", "run")
-    s = runs.withColumn("k", F.explode(F.sequence(F.col("run") * STEP, F.least((F.col("run") + 1) * STEP, F.col("n_slots")) - 1)))
+    dealt = runs.withColumn("k", F.explode(F.sequence(F.col("run") * STEP, F.least((F.col("run") + 1) * STEP, F.col("n_slots")) - 1)))
+    j = permuted(F.col("first") + F.col("k"), F.col("all"), F.lit(str(seed)))
+    drawn = common.cut(dealt.select(F.floor(j / slots).alias("shard"), "sid").groupBy("shard", "sid").agg(F.count("*").alias("n")))
+
+    # the first of a shard's slots among its source's: within runs of shards, then over runs
+    c = drawn.withColumn("run", F.expr(f"shard div {RUN}"))
+    sums = lambda over: F.coalesce(F.sum("n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    heads = c.groupBy("sid", "run").agg(F.sum("n").alias("n")).withColumn("head", sums(W.partitionBy("sid").orderBy("run"))).drop("n")
+    c = c.withColumn("k", sums(W.partitionBy("sid", "run").orderBy("shard"))).join(heads, ["sid", "run"]).withColumn("k", F.col("k") + F.col("head"))
+    c = c.withColumn("slot", sums(W.partitionBy("shard").orderBy("sid"))).withColumn("held", F.sum("n").over(W.partitionBy("shard")))
+    c = c.join(common.small(p.drop("first", "all")), "sid")
+    s = c.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("k", F.col("k") + F.col("i"))
     s = s.withColumn("block", permuted(F.expr("k % blocks"), F.col("blocks"), F.concat_ws(":", F.lit(seed), "sid", F.expr("k div blocks"))))
-    s = s.withColumn("j", permuted(F.col("first") + F.col("k"), F.col("all"), F.lit(str(seed))))
+    s = s.withColumn("slot", permuted(F.col("slot") + F.col("i"), F.col("held"), F.concat_ws("/", F.lit(seed), "shard")))
     full = F.when(F.col("block") == F.col("blocks") - 1, F.col("tail")).otherwise(b)
     take = F.when((F.col("k") == F.col("n_slots") - 1) & F.col("last_take").isNotNull(), F.col("last_take")).otherwise(full)
-    s = s.select(F.expr(f"j div {slots}").alias("shard"), F.expr(f"j % {slots}").alias("slot"), "sid", "block", take.cast("long").alias("take"))
+    s = s.select("shard", "slot", "sid", "block", take.cast("long").alias("take"))
 
-    named = per.select(F.col("source").alias("name"), "sid", "source_size", "target")
+    named = per.select(F.col("source").alias("name"), "sid", "source_size", "target", "docs")
     sized = sized.join(common.small(named), sized.source.eqNullSafe(named.name)).drop("name")
-    placed = sized.where("size > 0").withColumn("h", F.xxhash64("doc_id", "tkey", F.lit(seed))).withColumn("bucket", F.pmod(F.col("h"), F.lit(BUCKETS)))
+    placed = sized.where("size > 0").withColumn("h", F.xxhash64("doc_id", "tkey", F.lit(seed))).withColumn("bucket", F.pmod(F.col("h"), F.expr(f"docs div {BUCKET} + 16")))
+    sized = sized.drop("docs")
     within = W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "tkey", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     heads = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("n")).withColumn("head", F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -131,16 +150,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3,
     pieces = placed.withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     lo, hi = F.greatest(F.col("start"), F.col("block") * b), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
     pieces = pieces.select("sid", "block", "rid", "doc_id", "tkey", (lo - F.col("block") * b).alias("at"), (lo - F.col("start")).alias("word"), (hi - lo).alias("n"))
-    return Mix(per, sized, pieces, s)
+    return Mix(per, drawn, sized, pieces, s)
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """docs with size, source_size, target and taken: how much of each document the mix takes. Rows that agree in
     doc_id and text show the largest of their numbers of words taken."""
-    t = mix(docs, **settings).taken().groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k"), F.col("source").alias("_s"))
-    t = common.cut(t.agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken")))
-    hit = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_k")) & docs["source"].eqNullSafe(F.col("_s"))
-    return docs.join(common.small(t), hit).select(*[docs[c] for c in docs.columns if c not in ("size", "source_size", "target", "taken")], "size", "source_size", "target", "taken")
+    new = ["size", "source_size", "target", "taken"]
+    own = [common.free(x, docs) for x in ("id", "tkey", "src")]
+    t = mix(docs, **settings).taken().groupBy(*[F.col(c).alias(x) for c, x in zip(("doc_id", "tkey", "source"), own, strict=True)])
+    t = common.cut(t.agg(*[F.max(c).alias(common.free(f"new_{c}", docs)) for c in new]))
+    i, k, s = (t[x] for x in own)
+    hit = docs["doc_id"].eqNullSafe(i) & (F.xxhash64(docs["text"]) == k) & docs["source"].eqNullSafe(s)
+    return docs.join(common.small(t), hit).select(*[docs[c] for c in docs.columns if c not in new], *[t[common.free(f"new_{c}", docs)].alias(c) for c in new])
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -86,3 +86,50 @@ def test_permutation(spark):
         d = spark.range(n).select(F.col("id"), permuted(F.col("id"), F.lit(n), F.lit("k")).alias("p")).withColumn("q", permuted(F.col("p"), F.lit(n), F.lit("k"), True))
         r = d.collect()
         assert sorted(x.p for x in r) == list(range(n)) and all(x.q == x.id for x in r)
+
+
+def test_the_draw_makes_the_result(spark):
+    data = rows(random.Random(5), 200)
+    df = spark.createDataFrame(data, SCHEMA)
+    m = mix(df, block=16, slots=32)
+    drawn = {(r.shard, r.sid): r["count"] for r in m.counts().collect()}
+    slots = m.slots.collect()
+    assert drawn == Counter((r.shard, r.sid) for r in slots)
+    assert "shard" in m.taken()._jdf.queryExecution().optimizedPlan().toString()
+    # shards vary like draws: not all alike, near their share
+    totals, n = Counter(), len(slots)
+    for (_, sid), c in drawn.items():
+        totals[sid] += c
+    big = max(totals, key=totals.get)
+    full = [drawn.get((s, big), 0) for s in range(n // 32)]
+    assert len(set(full)) > 1 and abs(sum(full) / len(full) - 32 * totals[big] / n) < 1
+    # a source's slots take its blocks in whole passes
+    for sid in totals:
+        blocks = Counter(r.block for r in slots if r.sid == sid)
+        assert max(blocks.values()) - min(blocks.values()) <= 1 or len(blocks) == 1
+
+
+def test_taken_equals_the_slots_by_brute_force(spark):
+    data = rows(random.Random(6), 80)
+    m = mix(spark.createDataFrame(data, SCHEMA), block=8, slots=16)
+    pieces = defaultdict(list)
+    for r in m.pieces.collect():
+        pieces[r.sid, r.block].append(r)
+    want = Counter()
+    for s in m.slots.collect():
+        for r in pieces[s.sid, s.block]:
+            want[r.rid] += max(0, min(r["at"] + r.n, s.take) - r["at"])
+    assert {r.rid: r.taken for r in m.taken().collect() if r.taken} == {k: v for k, v in want.items() if v}
+
+
+def test_query_and_clashing_names(spark, tmp_path):
+    from lectern.llm.mixing import mixed, op1_mixing
+
+    df = spark.createDataFrame([(1, "a", "x y", 9, 7, "t"), (2, "a", "z", 9, 7, "t")], "doc_id long, source string, text string, size long, id long, src string")
+    out = mixed(df)
+    assert out.columns == ["doc_id", "source", "text", "id", "src", "size", "source_size", "target", "taken"]
+    assert sorted((r.doc_id, r.size, r.source_size, r.target, r.taken, r.id) for r in out.collect()) == [(1, 2, 3, 3.0, 2, 7), (2, 1, 3, 3.0, 1, 7)]
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_mixing(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 3, 3.0, 2), (2, 1, 3, 3.0, 1)]
