@@ -12,10 +12,11 @@ whether that one stays or not: so the first line of each group of similar ones a
   their signatures, where a parity sketch (each pair of characters toggles one of 64 bits, an edit 4 at most) screens
   pairs inside the join. So a group of m similar lines gives some m pairs, not m squared.
 * Pairs are verified by a banded bit-parallel edit distance over both lines.
+* Lines are told apart by two hashes, 128 bits.
 
 A document of which lines were dropped loses them; one that has nothing left but blank lines is removed. Null texts and
 texts without such lines stay as they are. Repeated rows (equal doc_id and text) are treated alike: what one of them
-keeps, all keep. A null doc_id is first of all. Extra columns are passed on.
+keeps, all keep. A null doc_id is first of all. Extra columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,15 +82,16 @@ def exploded(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
 
 
 def cuts(k: int) -> list[tuple[int, int, int, bool]]:
-    """(segment, length difference, move, probe) of all signatures of a line: its own segments, then its probes."""
-    own = [(i, 0, 0, False) for i in range(k + 1)]
-    return own + [(i, d, move, True) for d in range(k + 1) for i in range(k + 1) for move in range(-i, i + 1) if abs(move - d) <= k - i]
+    """(segment, length difference, move, own) of all signatures of a line: its own segments, which are also its probes of
+    equal length and place, then its other probes."""
+    own = [(i, 0, 0, True) for i in range(k + 1)]
+    return own + [(i, d, move, False) for d in range(k + 1) for i in range(k + 1) for move in range(-i, i + 1) if abs(move - d) <= k - i and (d or move)]
 
 
 def signed(lines: DataFrame, k: int) -> DataFrame:
-    """lines (line, l and more), once for each signature, with sig and probe. The cuts are rows, so that each signature
+    """lines (line, l and more), once for each signature, with sig and own. The cuts are rows, so that each signature
     is one short expression."""
-    rows = ", ".join(f"named_struct('i', {i}, 'd', {d}, 'move', {m}, 'probe', {str(p).lower()})" for i, d, m, p in cuts(k))
+    rows = ", ".join(f"named_struct('i', {i}, 'd', {d}, 'move', {m}, 'own', {str(o).lower()})" for i, d, m, o in cuts(k))
     e = lines.select("*", F.expr(f"inline(array({rows}))"))
     base = f"((l - d) div {k + 1})"  # the last segment takes the rest
     size = f"{base} + CASE WHEN i = {k} THEN (l - d) % {k + 1} ELSE 0 END"
@@ -106,13 +108,15 @@ def sketch(line: Column) -> Column:
     return let(F.split(line, ""), lambda chars: F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), F.lit(0).cast("long"), lambda s, i: toggle(s, i, chars)))
 
 
-def _without(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """docs with the array of places that marks has for them, or null."""
-    return docs.join(common.small(marks), docs["doc_id"].eqNullSafe(marks["_id"]) & (F.xxhash64(docs["text"]) == marks["_k"]), "left")
+def _without(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the columns of marks beside them, or null; under which names."""
+    name = {c: common.free(c, docs) for c in marks.columns}
+    m = common.small(marks).withColumnsRenamed(name)
+    return docs.join(m, docs["doc_id"].eqNullSafe(m[name["id"]]) & (F.xxhash64(docs["text"]) == m[name["key"]]), "left"), name
 
 
 def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, exact_chars: int | None = None) -> DataFrame:
-    """_id, _k (doc_id, hash of the text), exact and near: places of lines to drop. Only documents that have some.
+    """id, key (doc_id, hash of the text), exact and near: places of lines to drop. Only documents that have some.
     Without exact_chars, equal lines take part from min_chars on."""
     exact_chars = min_chars if exact_chars is None else exact_chars
     docs = docs.select("doc_id", "text").where("text IS NOT NULL")
@@ -121,73 +125,75 @@ def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, exact
     held = common.keep(exploded(docs, min_chars, exact_chars).withColumns(hashes).drop("line").join(common.small(again, common.NARROW_ROWS), ["h", "g"]))
     first = common.cut(held.groupBy("h", "g").agg(F.min(F.struct("doc_id", "tkey", "pos")).alias("first")))
     later = held.join(common.small(first), ["h", "g"]).where("NOT (doc_id <=> first.doc_id AND tkey = first.tkey AND pos = first.pos)")
-    exact = common.cut(later.groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k")).agg(F.array_sort(F.collect_set("pos")).alias("exact")))
+    exact = common.cut(later.groupBy(F.col("doc_id").alias("id"), F.col("tkey").alias("key")).agg(F.array_sort(F.collect_set("pos")).alias("exact")))
     common.drop(held)
 
     def distinct():
-        own = _without(docs, exact)
+        own, _ = _without(docs, exact)
         own = own.select("doc_id", F.xxhash64("text").alias("tkey"), "exact", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         own = own.where((F.char_length("line") >= min_chars) & ~F.coalesce(F.array_contains("exact", F.col("pos")), F.lit(False)))
-        return own.select("doc_id", "tkey", "pos", "line", F.xxhash64("line").alias("h"), F.char_length("line").alias("l"))
+        return own.select("doc_id", "tkey", "pos", "line", *[c.alias(k) for k, c in hashes.items()], F.char_length("line").alias("l"))
 
     def signatures(*more):
-        return signed(distinct(), edits).select("sig", "probe", "h", *more)
+        return signed(distinct(), edits).select("sig", "own", "h", *more)
 
-    met = signatures().groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("probe").alias("p"), F.min("probe").alias("i"))
-    met = common.cut(met.where("lo < hi AND p AND NOT i").select("sig"))
-    place = ["doc_id", "tkey", "pos", "line"]
+    met = signatures().groupBy("sig").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own"))
+    met = common.cut(met.where("lo < hi AND own").select("sig"))
+    line, place = ["h", "g"], ["doc_id", "tkey", "pos", "line"]
     if common.is_small(met, common.NARROW_ROWS):
-        wide = common.keep(signatures(*place).join(F.broadcast(met), "sig"))
-        hits, text = wide.select("sig", "probe", "h", "doc_id"), wide.select("h", *place).dropDuplicates(["h", "doc_id", "tkey", "pos"])
+        wide = common.keep(signatures("g", *place).join(F.broadcast(met), "sig"))
+        hits, text = wide.select("sig", "own", *line, "doc_id"), wide.select(*line, *place).dropDuplicates([*line, "doc_id", "tkey", "pos"])
     else:  # the texts of lines aren't shuffled with their signatures
-        wide = common.keep(signatures("doc_id").join(met, "sig"))
-        hits, text = wide, distinct().join(common.small(common.cut(wide.select("h").distinct())), "h", "left_semi").select("h", *place)
+        wide = common.keep(signatures("g", "doc_id").join(met, "sig"))
+        hits, text = wide, distinct().join(common.small(common.cut(wide.select(*line).distinct())), line, "left_semi").select(*line, *place)
     text = common.keep(text.withColumn("sk", sketch(F.col("line"))))
-    rows = hits.distinct().join(text.select("h", "sk").distinct(), "h")
-    rows = common.keep(rows)
+    rows = common.keep(hits.distinct().join(text.select(*line, "sk").distinct(), line))
     common.drop(wide)
-    places = text.select("h", "doc_id", "tkey", "pos")
-    text_of = text.select("h", "line").dropDuplicates(["h"])
-    leads = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "h", "sk")).alias("lead"))
+    text_of = text.select(*line, "line").dropDuplicates(line)
+    leads = rows.groupBy("sig").agg(F.min(F.struct("doc_id", "h", "g", "sk")).alias("lead"))
 
     def similar(pairs):
-        both = pairs.join(text_of.withColumnsRenamed({"h": "a", "line": "x"}), "a").join(text_of.withColumnsRenamed({"h": "b", "line": "y"}), "b")
-        return common.cut(both.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select("a").distinct())
+        """(h, g) of the first lines of pairs (h, g, h2, g2) that are within the edits."""
+        both = pairs.join(text_of.withColumnRenamed("line", "x"), line).join(text_of.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("y")), ["h2", "g2"])
+        return common.cut(both.where(edit_distance(F.col("x"), F.col("y"), edits) <= edits).select(*line).distinct())
 
     close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 4 * edits
-    led = rows.join(leads, "sig").where((F.col("h") != F.col("lead.h")) & close(F.col("sk"), F.col("lead.sk")))
-    led = common.cut(led.select(F.col("h").alias("a"), F.col("lead.h").alias("b")).distinct())
+    led = rows.join(leads, "sig").where(~((F.col("h") == F.col("lead.h")) & (F.col("g") == F.col("lead.g"))) & close(F.col("sk"), F.col("lead.sk")))
+    led = common.cut(led.select(*line, F.col("lead.h").alias("h2"), F.col("lead.g").alias("g2")).distinct())
     gone = similar(led)
-    x = rows.join(common.small(gone.withColumnRenamed("a", "h")), "h", "left_anti").alias("x")
+    x = rows.join(common.small(gone), line, "left_anti").alias("x")
     y = rows.alias("y")
-    before = F.expr("struct(y.doc_id, y.h) < struct(x.doc_id, x.h) AND x.probe <> y.probe")
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & before & close(F.col("x.sk"), F.col("y.sk"))).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
-    gone = common.cut(gone.union(similar(common.cut(rest.join(led, ["a", "b"], "left_anti")))))
-    near = places.join(common.small(gone), F.col("h") == F.col("a"), "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("tkey").alias("_k")).agg(F.array_sort(F.collect_set("pos")).alias("near"))
+    before = F.expr("struct(y.doc_id, y.h, y.g) < struct(x.doc_id, x.h, x.g) AND (x.own OR y.own)")
+    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & before & close(F.col("x.sk"), F.col("y.sk"))).select("x.h", "x.g", F.col("y.h").alias("h2"), F.col("y.g").alias("g2")).distinct()
+    gone = common.cut(gone.union(similar(common.cut(rest.join(led, [*line, "h2", "g2"], "left_anti")))))
+    near = text.select(*line, "doc_id", "tkey", "pos").join(common.small(gone), line, "left_semi").groupBy(F.col("doc_id").alias("id"), F.col("tkey").alias("key")).agg(F.array_sort(F.collect_set("pos")).alias("near"))
     near = common.cut(near)
     common.drop(rows)
     common.drop(text)
     none = F.expr("cast(array() AS array<int>)")
     e, n = exact.alias("e"), near.alias("n")
-    out = e.join(n, F.col("e._id").eqNullSafe(F.col("n._id")) & (F.col("e._k") == F.col("n._k")), "full")
-    has = F.col("e._k").isNotNull()
-    return common.cut(out.select(F.when(has, F.col("e._id")).otherwise(F.col("n._id")).alias("_id"), F.when(has, F.col("e._k")).otherwise(F.col("n._k")).alias("_k"), F.coalesce("exact", none).alias("exact"), F.coalesce("near", none).alias("near")))
+    out = e.join(n, F.col("e.id").eqNullSafe(F.col("n.id")) & (F.col("e.key") == F.col("n.key")), "full")
+    has = F.col("e.key").isNotNull()
+    return common.cut(out.select(F.when(has, F.col("e.id")).otherwise(F.col("n.id")).alias("id"), F.when(has, F.col("e.key")).otherwise(F.col("n.key")).alias("key"), F.coalesce("exact", none).alias("exact"), F.coalesce("near", none).alias("near")))
 
 
-def _marked(docs: DataFrame, min_chars: int, edits: int, exact_chars: int | None) -> DataFrame:
-    own = _without(docs, marks(docs, min_chars, edits, exact_chars))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.concat("exact", "near"), i)), "\n")
-    return own.withColumn("_text", F.when(F.col("_k").isNull(), F.col("text")).otherwise(kept))
+def _marked(docs: DataFrame, min_chars: int, edits: int, exact_chars: int | None) -> tuple[DataFrame, dict[str, str]]:
+    """docs with their marks and the lines that are left, and the names of these columns."""
+    own, name = _without(docs, marks(docs, min_chars, edits, exact_chars))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.concat(name["exact"], name["near"]), i)), "\n")
+    name["left"] = common.free("left", own)
+    return own.withColumn(name["left"], F.when(F.col(name["key"]).isNull(), F.col("text")).otherwise(kept)), name
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, exact_chars: int | None = None) -> DataFrame:
     """docs with the dropped lines taken out of text, without documents that have nothing left; all columns stay."""
-    own = _marked(docs, min_chars, edits, exact_chars).where("_k IS NULL OR _text rlike '\\\\S'")
-    return own.withColumn("text", F.col("_text")).select(*docs.columns)
+    own, name = _marked(docs, min_chars, edits, exact_chars)
+    own = own.where(F.col(name["key"]).isNull() | F.col(name["left"]).rlike("\\S"))
+    return own.select(*[F.col(name["left"]).alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
-    own = _marked(common.table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_CHARS, EDITS, EXACT_CHARS)
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    own, name = _marked(common.table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_CHARS, EDITS, EXACT_CHARS)
+    size = lambda c: F.when(F.col(name["key"]).isNull(), 0).otherwise(F.size(name[c])).cast("long")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    return own.select("doc_id", count.alias("n_lines"), F.when(F.col("_k").isNull(), 0).otherwise(size("exact")).cast("long").alias("n_exact"), F.when(F.col("_k").isNull(), 0).otherwise(size("near")).cast("long").alias("n_near"), F.sha2("_text", 256).alias("kept_sha256"))
+    return own.select("doc_id", count.alias("n_lines"), size("exact").alias("n_exact"), size("near").alias("n_near"), F.sha2(name["left"], 256).alias("kept_sha256"))

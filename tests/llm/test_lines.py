@@ -99,3 +99,32 @@ def test_query_drops_equal_short_lines(spark, tmp_path):
     assert got == {1: (0, 0, sha(rows[0][1])), 2: (2, 0, sha("  \n\nsecond")), 3: (1, 0, sha("")), 4: (0, 0, sha("MIT.")), 5: (0, 0, None)}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in dedup(df, exact_chars=1).collect()) == [1, 2, 4, 5] and dedup(df).count() == 5
+
+
+def test_large_tables_meet_by_shuffle(spark, monkeypatch):
+    rng = random.Random(21)
+    base = ["".join(rng.choice("abc ") for _ in range(rng.choice([11, 20, 30]))) for _ in range(12)]
+    rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.choice([0, 1, 2, 4])) for _ in range(rng.randrange(1, 5))), "en", "x", 1) for i in range(60)]
+    from lectern.llm import common
+
+    monkeypatch.setattr(common, "is_small", lambda df, rows=0: False)
+    got = dedup(spark.createDataFrame(rows, SCHEMA), min_chars=11, edits=2)
+    assert sorted(((str(r.doc_id), r.text) for r in got.collect()), key=str) == brute(spark, rows, 11, 2)
+
+
+def test_clashing_names(spark):
+    schema = "doc_id long, text string, id long, key string, exact int, near string, left string, _text string, h long"
+    line = "x" * 45
+    rows = [(1, f"{line}\nend", 5, "k", 6, "n", "l", "t", 7), (2, f"{line}\nend two", 5, "k", 6, "n", "l", "t", 7)]
+    out = dedup(spark.createDataFrame(rows, schema))
+    assert out.columns == [c.split()[0] for c in schema.split(", ")]
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [rows[0], (2, "end two", 5, "k", 6, "n", "l", "t", 7)]
+
+
+def test_query_counts(spark, tmp_path):
+    a, b = "a" * 50, "a" * 49 + "b"
+    rows = [(1, f"{a}\nshort"), (2, f"{b}\n{a}\nshort"), (3, "own")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.kept_sha256) for r in op8_line_dedup(spark, str(tmp_path)).collect()}
+    sha = lambda t: sha256(t.encode()).hexdigest()
+    assert got == {1: (2, 0, 0, sha(rows[0][1])), 2: (3, 2, 1, sha("")), 3: (1, 0, 0, sha("own"))}
