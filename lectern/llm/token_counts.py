@@ -10,8 +10,10 @@ The unigram model takes the pieces of a public vocabulary in their order of rank
 probability -log(r * H), H the harmonic number of their count; control, byte and white-space-only pieces are left out. A
 character that is no piece is spelled in bytes, one token each, at the least score minus 10 a character.
 
-Each task holds the counts of at most KNOWN distinct pre-tokens and starts anew beyond; pre-tokens of more than LONG
-characters are scored one by one. Null and empty texts have no tokens. Repeated rows count alike, extra columns are
+Tries are built in the tasks, from the pre-tokens that a task has not met yet, so no pre-token is shuffled; each task
+holds the counts of at most KNOWN distinct ones and starts anew beyond. Pre-tokens of more than LONG characters (text
+without blanks) are put into tries by length, of at most CELLS characters; a few of them alone are scored one by one, with
+the same result. No tokenizer is trained, so the scores are those of the public ranks, not of a corpus. Null and empty texts have no tokens. Repeated rows count alike, extra columns are
 ignored, bytes that aren't UTF-8 count as U+FFFD.
 """
 
@@ -30,6 +32,8 @@ from . import common, tokens
 RAW = tokens.Words(tokens.SPACED.is_word.__getitem__)
 RAW.value = np.where(RAW.is_word, tokens.mix(np.uint64(0x7654321) + np.arange(256, dtype=np.uint64)), np.uint64(0))
 KNOWN, LONG, SHARD = 1 << 20, 64, 1 << 22
+#: Characters of a trie of long pre-tokens; such of less than FEW are scored one by one.
+CELLS, FEW = 1 << 19, 8
 MARK = "▁"
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,9 +97,15 @@ class Unigram:
         for i in range(0, len(short), 1 << 14):
             part = short[i : i + (1 << 14)]
             out[part] = self._trie([words[j] for j in part])
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self.one(w)
+        long = sorted((i for i, w in enumerate(words) if len(w) > LONG), key=lambda i: len(words[i]))
+        while long:
+            n = max(1, CELLS // len(words[long[-1]]))
+            part, long = long[-n:], long[:-n]
+            if len(part) < FEW:
+                out[part] = [self.one(words[i]) for i in part]
+            else:
+                part.sort(key=words.__getitem__)
+                out[part] = self._trie([words[i] for i in part])
         return out
 
     def _trie(self, words: list[str]) -> np.ndarray:

@@ -75,3 +75,18 @@ def test_the_store_may_overflow(spark, monkeypatch):
 
 def test_empty(spark):
     assert tc.count_tokens(spark.createDataFrame([], "doc_id long, text string"), ["a"]).count() == 0
+
+
+def test_text_without_blanks(model, monkeypatch):
+    rng = random.Random(8)
+    w = [tc.MARK + "".join(rng.choice(["日本", "語", "の", "é", "ing", "😀"]) for _ in range(rng.randrange(40, 400))) for _ in range(60)]
+    w += [w[0], tc.MARK + "x" * 65]
+    monkeypatch.setattr(tc, "CELLS", 9000)
+    assert model.counts(w).tolist() == [model.one(x) for x in w]
+
+
+def test_query(spark, tmp_path):
+    spark.createDataFrame([(1, "the cat"), (2, None), (3, " ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    m = tc.Unigram(tc.read_pieces(MODEL))
+    got = {r.doc_id: (r.n_chars, r.n_pretokens, r.n_tokens) for r in tc.op10_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {1: (7, 2, m.one(tc.MARK + "the") + m.one(tc.MARK + "cat")), 2: (0, 0, 0), 3: (1, 0, 0)}
