@@ -57,3 +57,18 @@ def test_query(found):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_chats(df, open(TOKENIZER).read()).count() == 0
+
+
+def test_byte_ranks_equal_the_tokenizers_file():
+    rng = np.random.default_rng(3)
+    parts = ["the cat", " sat", "é", "😀", "\n\n", "  ", "</s>", "[INST]", "日本語", "x" * 300, "'ll", " 123", "́"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(200)]
+    one, two = (chat.encoder(open(f).read())(texts) for f in (TOKENIZER, TOKENIZER.replace(".json", ".tiktoken")))
+    for text, (a, x), (b, y) in zip(texts, one, two, strict=True):
+        assert a.tolist() == b.tolist()
+        assert np.maximum.accumulate(x).tolist() == y.tolist() if len(x) else not len(y)
+        cut = sorted(rng.integers(0, len(text) + 1, 4).tolist())
+        spans = [(cut[0], cut[1]), (cut[2], cut[3])]
+        loss, pieces = chat.mask([(0, e) for e in x.tolist()], len(text), spans)
+        fast, held = chat.covered(y, len(text), spans)
+        assert loss.tolist() == fast.tolist() and held == [(p[0][0], p[-1][1]) for p in pieces if p]
