@@ -42,7 +42,7 @@ ROUNDS = 3
 #: Shingles gathered before those that repeat among them are counted.
 RUN = 1 << 20
 #: First tokens that similar sets must share, at least.
-LEVEL = 8
+LEVEL = 4
 #: Classes that may have a token among their first ones before it counts as common; how often the order is made anew.
 HOT, ORDERS = 4096, 3
 
@@ -245,17 +245,21 @@ def _opened(shared: DataFrame, groups: DataFrame, num: int, den: int) -> DataFra
     fits = F.expr(f"comp <> grp AND least <= n AND most * {den} >= n * {num}")
     wanted = f"least({LEVEL}, ((n * {num} + {den - 1}) div {den} * {num} + {den - 1}) div {den})"
     met = common.keep(left.join(union.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & fits).select("token", "cls", "n", "pos", "grp"))
-    open_ = common.cut(met.groupBy("cls", "grp", "n").agg(F.count("*").alias("c")).where(f"c >= {wanted}").select("cls", "grp"))
-    x = met.join(common.small(open_), ["cls", "grp"], "left_semi").alias("x")
+    open_ = met.groupBy("cls", "grp", "n").agg(F.count("*").alias("c")).where(f"c >= {wanted}")
+    size = left.select("cls", "comp", "n").distinct()
+    open_ = common.cut(open_.join(common.small(common.cut(size.groupBy(F.col("comp").alias("grp")).agg(F.count("*").alias("m")))), "grp"))
+    smaller = f"(y.n < x.n OR (y.n = x.n AND y.cls < x.cls)) AND y.n * {den} >= x.n * {num}"
+    # a group of no more members than shared tokens: its members; any other: those that share enough tokens
+    few = open_.where("m <= c").alias("x").join(size.alias("y"), F.expr(f"x.grp = y.comp AND {smaller}")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    x = met.join(common.small(open_.where("m > c").select("cls", "grp")), ["cls", "grp"], "left_semi").alias("x")
     y = left.where("low").alias("y")
     # overlap wanted of sizes p, q: ceil((p + q) * num / (num + den)). From the k-th token that two sets share on, what is
     # left of each and k - 1 bound it, so their first LEVEL shared tokens all meet, and the first one leaves enough
     rest = f"least(x.n - x.pos, y.n - y.pos) - ((x.n + y.n) * {num} + {num + den - 1}) div {num + den}"
-    pair = F.expr(f"""x.token = y.token AND x.grp = y.comp AND (y.n < x.n OR (y.n = x.n AND y.cls < x.cls)) AND y.n * {den} >= x.n * {num}
-        AND {rest} >= {1 - LEVEL}""")
-    both = x.join(y, pair).groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    out = both.agg(F.count("*").alias("c"), F.max(F.expr(rest)).alias("spare"), F.min("y.n").alias("n"))
-    out = common.cut(out.where(f"spare >= 0 AND c >= least({LEVEL}, (n * {num} + {den - 1}) div {den})").select("a", "b"))
+    both = x.join(y, F.expr(f"x.token = y.token AND x.grp = y.comp AND {smaller} AND {rest} >= {1 - LEVEL}")).groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    many = both.agg(F.count("*").alias("c"), F.max(F.expr(rest)).alias("spare"), F.min("y.n").alias("n"))
+    many = many.where(f"spare >= 0 AND c >= least({LEVEL}, (n * {num} + {den - 1}) div {den})").select("a", "b")
+    out = common.cut(few.unionByName(many))
     common.drop(met)
     common.drop(left)
     return out
