@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The white space of ECMAScript, spelled out because the regex engines differ.
@@ -39,6 +39,10 @@ def replace_ligatures(c: Column) -> Column:
     return c
 
 
+#: Without any of these nothing is rewritten: one look spares most lines the whole chain.
+ARTIFACT = rf"[{''.join(LIGATURES)}]|(?i:sheet)|[-’'(\[{{]{WS}|{WS}[,.;:!?)\]}}]|{WS}{{2}}|^{WS}|{WS}$"
+
+
 def normalize_artifacts(c: Column) -> Column:
     """Ligatures, the first production header, hyphen breaks, apostrophes, blanks at punctuation and brackets."""
     edge = rf"(?:(?<={WORD}){NO_WORD_AFTER}|{NO_WORD_BEFORE}(?={WORD}))"
@@ -53,10 +57,15 @@ def normalize_artifacts(c: Column) -> Column:
         (rf"{WS}{{2,}}", " "),
         (rf"^{WS}+|{WS}+$", ""),
     ]
-    c = replace_ligatures(c)
+    clean = replace_ligatures(c)
     for pattern, to in steps:
-        c = F.regexp_replace(c, pattern, to)
-    return c
+        clean = F.regexp_replace(clean, pattern, to)
+    return F.when(c.rlike(ARTIFACT), clean).otherwise(c)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with the column, computed once a row: filters and later columns use the value, not its expression."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def line_key(c: Column) -> Column:

@@ -21,7 +21,7 @@ def packed(ordered: DataFrame, least: int = 120, most: int = 420, repeated: Data
     A line that would make a chunk longer than `most` starts a new one; a chunk ends at `least` characters with a
     sentence, or at `most`. Text is normalized as it grows, so hyphens are mended across lines; a line is never split.
     Running headers, and lines whose key is in `repeated` (column key), are left out."""
-    d = ordered.withColumn("_t", T.normalize_artifacts(F.coalesce("text", F.lit(""))))
+    d = T.once(ordered, "_t", T.normalize_artifacts(F.coalesce("text", F.lit(""))))
     if repeated is not None:
         d = d.withColumn("_key", T.line_key(F.col("_t"))).join(repeated.select(F.col("key").alias("_key"), F.lit(True).alias("_rep")).distinct(), "_key", "left")
     d = d.where((F.col("_t") != "") & ~T.is_running_header(F.col("_t"), F.col("_rep") if repeated is not None else None, True))
@@ -75,5 +75,6 @@ def segments_to_chunks(segments: DataFrame, least: int = 120, most: int = 420, p
 
 def repeated_lines(rows: DataFrame, page: str, text: str = "text", least: int = 2) -> DataFrame:
     """Keys of lines on `least` or more distinct pages; long keys and page numbers are none."""
-    k = rows.select(F.col(page), T.line_key(F.col(text)).alias("key")).where((F.col("key") != "") & (F.char_length("key") <= 80) & ~T.is_page_number(F.col("key")))
+    k = T.once(rows.select(F.col(page), F.col(text)), "key", T.line_key(F.col(text)))
+    k = k.where((F.col("key") != "") & (F.char_length("key") <= 80) & ~F.col("key").rlike(T.PAGE_NUMBER))
     return k.groupBy("key").agg(F.count_distinct(page).alias("pages")).where(F.col("pages") >= least)

@@ -13,7 +13,14 @@ BOX = "struct<x:double,y:double,width:double,height:double>"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it has fewer splits than there are: files of one row group are read by one task. Tables
+    of more splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
