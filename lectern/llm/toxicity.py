@@ -61,12 +61,37 @@ def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(all_h), np.concatenate(all_row)
 
 
-def vectors(data: np.ndarray, off: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Vocabulary:
+    """Sorted term hashes, found through a table of their first bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        bits = max(1, min(20, int(16 * len(hashes) + 1).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        at = np.searchsorted(hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        self.first = at[:-1].astype(np.int32)
+        self.longest = int(np.diff(at).max()) if len(hashes) else 0
+        self.padded = np.concatenate((hashes, np.zeros(self.longest + 1, np.uint64)))
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it is none of the terms."""
+        start = self.first[h >> self.shift]
+        out = np.full(len(h), -1, np.int64)
+        for k in range(self.longest):
+            at = start + k
+            hit = (self.padded[at] == h) & (at < len(self.hashes))
+            out[hit] = at[hit]
+        return out
+
+
+def vectors(data: np.ndarray, off: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first entry of each row and the total, terms, term frequencies) of the rows of a chunk; terms rise."""
     h, row = term_hashes(data, off)
-    at = np.searchsorted(vocabulary, h)
-    hit = at < len(vocabulary)
-    hit[hit] = vocabulary[at[hit]] == h[hit]
+    at = vocabulary.places(h)
+    hit = at >= 0
     code, tf = np.unique(row[hit].astype(np.int64) << 32 | at[hit], return_counts=True)
     return np.searchsorted(code >> 32, np.arange(len(off))), (code & 0xFFFFFFFF).astype(np.int32), tf.astype(np.int32)
 
@@ -80,7 +105,7 @@ class Model:
     """Vocabulary, document frequencies, block-max index of the examples and calibration."""
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple[int | None, list[int], list[int], int]], k: int = K, block: int = BLOCK):
-        self.vocabulary, self.idf, self.k, self.block = vocabulary, idf, k, block
+        self.vocabulary, self.idf, self.k, self.block = Vocabulary(vocabulary), idf, k, block
         self.none = [y for _, t, _, y in examples if not len(t)]
         some = [e for e in examples if len(e[1])]
         self.ids, self.y = [e[0] for e in some], np.array([e[3] for e in some], float)
@@ -138,9 +163,12 @@ class Model:
         sums = np.zeros((d, n), np.float32)
         for q, (own, weight) in enumerate(queries):  # one at a time: the entries of a query's lists stay in the cache
             rare = self.column[own] < 0
-            size = (self.list[own + 1] - self.list[own])[rare]
-            at = _runs(self.list[own[rare]], size)
-            sums[q] = np.bincount(self.list_at[at], np.repeat(weight[rare], size) * self.list_w[at], n)
+            a, b = self.list[own[rare]], self.list[own[rare] + 1]
+            if len(a):
+                runs = [slice(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                w = np.repeat(weight[rare], b - a)
+                w *= np.concatenate([self.list_w[x] for x in runs])
+                sums[q] = np.bincount(np.concatenate([self.list_at[x] for x in runs]), w, n)
         bound = np.maximum.reduceat(sums, self.heads, axis=1) + x @ self.most + np.float32(1e-5)
         k = n - self.k - (skip is not None)  # sums only grow, so their K-th best is a lower bound of the K-th best cosine
         worst = np.partition(sums, k, axis=1)[:, k] if k > 0 else np.zeros(d, np.float32)
@@ -151,17 +179,23 @@ class Model:
         if skip is not None:
             sums[np.arange(d), skip] = -1
         worst = np.maximum(0, np.partition(sums, n - self.k, axis=1)[:, n - self.k]) if n > self.k else np.zeros(d, np.float32)
-        scratch = np.zeros(len(self.vocabulary))
-        for q, (t, w) in enumerate(queries):
-            at = np.flatnonzero((sums[q] > 0) & (sums[q] >= worst[q] - 2e-5))
+        close = sums >= np.maximum(worst - np.float32(2e-5), np.float32(1e-30))[:, None]
+        for a in range(0, d, 32):  # sums again in double precision
+            some = queries[a : a + 32]
+            scratch = np.zeros((len(some), len(self.vocabulary)))
+            for q, (t, w) in enumerate(some):
+                scratch[q, t] = w
+            q, at = np.nonzero(close[a : a + 32])
             size = self.start[at + 1] - self.start[at]
-            scratch[t] = w
             own = _runs(self.start[at], size)
-            s = np.add.reduceat(scratch[self.term[own]] * self.w[own], np.cumsum(size) - size) if len(at) else np.zeros(0)
-            scratch[t] = 0
+            parts = scratch.ravel()[np.repeat(q * len(self.vocabulary), size) + self.term[own]] * self.w[own]
+            s = np.add.reduceat(parts, np.cumsum(size) - size) if len(at) else np.zeros(0)
             i = self.place[at]
-            top = np.lexsort((i, -s))[: self.k]
-            yield i[top], s[top]
+            order = np.lexsort((i, -s, q))
+            ends = np.searchsorted(q, np.arange(len(some) + 1))
+            for x, y in zip(ends[:-1], ends[1:], strict=True):
+                top = order[x : min(y, x + self.k)]
+                yield i[top], s[top]
 
     def _vote(self, i: np.ndarray, s: np.ndarray) -> float:
         w = 1 / (1.05 - np.minimum(s, 1))
@@ -262,7 +296,7 @@ def _vocabulary(train: DataFrame) -> np.ndarray:
 
 def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
     """Number of documents, and of those that hold each term: counted within tasks, then summed."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 
     def run(batches):
         total, df = 0, np.zeros(len(sent.value), np.int64)
@@ -293,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_exam
     vocabulary = _vocabulary(train)
     n, df = _frequencies(docs, vocabulary)
     idf = np.log((1 + n) / (1 + df.astype(float))) ** IDF_POWER + 1e-3
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 
     def run(batches):
         for batch in batches:
