@@ -42,6 +42,16 @@ def union_box(x: Column, y: Column, width: Column, height: Column) -> Column:
     return F.when(x0.isNotNull(), F.struct(x0.alias("x"), y0.alias("y"), F.greatest(F.lit(0.0), F.max(x + width) - x0).alias("width"), F.greatest(F.lit(0.0), F.max(y + height) - y0).alias("height")))
 
 
+def box_around(boxes: Column) -> Column:
+    """The box around an array of boxes, null if none is known."""
+    known = F.filter(boxes, lambda b: b["x"].isNotNull())
+    least = lambda f: F.array_min(F.transform(known, f))
+    most = lambda f: F.array_max(F.transform(known, f))
+    x, y = least(lambda b: b["x"]), least(lambda b: b["y"])
+    size = lambda a, k, n: F.greatest(F.lit(0.0), most(lambda b: b[k] + b[n]) - a)
+    return F.when(F.size(known) > 0, F.struct(x.alias("x"), y.alias("y"), size(x, "x", "width").alias("width"), size(y, "y", "height").alias("height")))
+
+
 def usable(b: Column) -> Column:
     return F.coalesce(b.isNotNull() & b["x"].isNotNull() & b["y"].isNotNull() & (b["width"] > 0) & (b["height"] > 0), F.lit(False))
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 #: Sentence marks, closers, abbreviations, starters and labels.
 CJK_ENDS, LATIN_ENDS, CLOSERS = "。！？；", ".!?;", "\"'”’」』》）】)]"
-ABBREVIATIONS = set("dr mr mrs ms prof sr jr st vs etc no fig".split())
-STARTERS = set("a an another but however it next she that the they this we yet".split())
-LABELS = set("appendix case category chapter class condition equation experiment fig figure grade group item model option panel part phase plan sample section step table theory type version volume".split())
+ABBREVIATIONS = {"dr", "mr", "mrs", "ms", "prof", "sr", "jr", "st", "vs", "etc", "no", "fig"}
+STARTERS = {"a", "an", "another", "but", "however", "it", "next", "she", "that", "the", "they", "this", "we", "yet"}
+LABELS = {"appendix", "case", "category", "chapter", "class", "condition", "equation", "experiment", "fig", "figure", "grade", "group", "item", "model", "option", "panel", "part", "phase", "plan", "sample", "section", "step", "table", "theory", "type", "version", "volume"}
 _WS = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 _BLANK, _RUN = re.compile(f"[{_WS}]"), re.compile(f"[{_WS}]+")
 _ENDS = re.compile(f"[{CJK_ENDS}{re.escape(LATIN_ENDS)}]")

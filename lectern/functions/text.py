@@ -94,7 +94,7 @@ def language_hint(c: Column) -> Column:
 
 def classify_role(clean: Column, y: Column | None = None, page_height: Column | None = None) -> Column:
     """Role of text that is already normalized; y is the top of its box, from the top of the page."""
-    letters, digits, symbols, n = count(clean, r"\p{L}"), count(clean, r"\p{N}"), count(clean, SYMBOLS), F.char_length(clean)
+    letters, digits, symbols, n = left_of(clean, r"\P{L}"), count(clean, r"\p{N}"), count(clean, SYMBOLS), F.char_length(clean)
     bottom = F.lit(False) if y is None or page_height is None else F.coalesce((page_height > 0) & (F.coalesce(y, F.lit(0.0)) / page_height > 0.78), F.lit(False))
     cites = rf"(?i){NO_WORD_BEFORE}(?:(?:doi|dataverse|replication sets?|appendix){NO_WORD_AFTER}|(?:https?://|www\.)(?={WORD}))"
     return (
@@ -205,19 +205,25 @@ def document_id(fingerprint: Column) -> Column:
 
 def is_toc_line(c: Column) -> Column:
     t = trim(c)
-    return t.rlike(r"(?iu)^(?:table of contents|contents|目录|目次)$") | t.rlike(rf"(?iu)(?:\.{{3,}}|…{{2,}}|·{{3,}}){WS}*(?:[ivxlcdm]+|[0-9]{{1,4}}){WS}*$") | t.rlike(rf"(?iu)^(?:(?:chapter|part|section){NO_WORD_AFTER}|第[一二三四五六七八九十百0-9]+[章节部篇]).{{2,80}}{WS}{{2,}}(?:[ivxlcdm]+|[0-9]{{1,4}})$")
+    dotted = t.rlike(r"\.\.\.|……|···") & t.rlike(rf"(?iu)(?:\.{{3,}}|…{{2,}}|·{{3,}}){WS}*(?:[ivxlcdm]+|[0-9]{{1,4}}){WS}*$")
+    return t.rlike(r"(?iu)^(?:table of contents|contents|目录|目次)$") | dotted | t.rlike(rf"(?iu)^(?:(?:chapter|part|section){NO_WORD_AFTER}|第[一二三四五六七八九十百0-9]+[章节部篇]).{{2,80}}{WS}{{2,}}(?:[ivxlcdm]+|[0-9]{{1,4}})$")
+
+
+def left_of(c: Column, others: str) -> Column:
+    """Characters that are none of the others, which are rarer and so are the ones looked for."""
+    return F.char_length(F.regexp_replace(c, rf"{others}+", ""))
 
 
 def letters(c: Column) -> Column:
-    return count(c, r"\p{L}")
+    return left_of(c, r"\P{L}")
 
 
 def speakable(c: Column) -> Column:
-    return count(c, r"[\p{L}\p{N}]")
+    return left_of(c, r"[^\p{L}\p{N}]")
 
 
 def visible(c: Column) -> Column:
-    return count(c, NOT_WS)
+    return left_of(c, WS)
 
 
 def noise(c: Column) -> Column:
@@ -233,7 +239,7 @@ def is_table_line(c: Column, role: Column | None = None) -> Column:
     pipes = F.filter(F.split(t, rf"{WS}*[|¦]{WS}*"), lambda x: visible(x) > 0)
     shape = ((n > 0) & (digits / n >= 0.5)) | ((F.size(cells) >= 3) & (F.size(numeric) >= 2)) | (F.size(pipes) >= 5) | ((letters(t) == 0) & (digits > 0))
     by_role = F.lit(False) if role is None else F.coalesce(role.isin("table", "formula"), F.lit(False))
-    return by_role | F.when(t == "", False).otherwise(F.coalesce(shape, F.lit(False)))
+    return by_role | F.when(t.rlike(r"[\p{N}|¦]"), F.coalesce(shape, F.lit(False))).otherwise(False)  # no table without any of these
 
 
 def has_terminal_punctuation(c: Column) -> Column:

@@ -16,7 +16,8 @@ def let(value: Column, f) -> Column:
 
 
 def packed(ordered: DataFrame, least: int = 120, most: int = 420, repeated: DataFrame | None = None) -> DataFrame:
-    """ordered: lines with readingIndex. One row for each chunk: chunkIndex, text, lines (reading indexes).
+    """ordered: lines with readingIndex. One row for each chunk: chunkIndex, text, lines (reading indexes), and the box,
+    source and segment ids of its lines if ordered has them.
 
     A line that would make a chunk longer than `most` starts a new one; a chunk ends at `least` characters with a
     sentence, or at `most`. Text is normalized as it grows, so hyphens are mended across lines; a line is never split.
@@ -25,18 +26,20 @@ def packed(ordered: DataFrame, least: int = 120, most: int = 420, repeated: Data
     if repeated is not None:
         d = d.withColumn("_key", T.line_key(F.col("_t"))).join(repeated.select(F.col("key").alias("_key"), F.lit(True).alias("_rep")).distinct(), "_key", "left")
     d = d.where((F.col("_t") != "") & ~T.is_running_header(F.col("_t"), F.col("_rep") if repeated is not None else None, True))
-    pages = d.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("readingIndex", F.col("_t").alias("t")))).alias("ls"))
+    more = [c for c in ("bbox", "source", "sourceSegmentIds") if c in ordered.columns]
+    ls = F.array_sort(F.collect_list(F.struct("readingIndex", F.col("_t").alias("t"), *more)))
+    pages = d.groupBy(*PAGE).agg(ls.alias("_ls"))
     chunk = "array<struct<text:string,lines:array<int>>>"
     none = F.array().cast("array<int>")
     start = F.struct(F.lit("").alias("text"), none.alias("lines"), F.array().cast(chunk).alias("out"))
 
     def flushed(s):
-        return F.array_append(s["out"], F.struct(T.normalize_artifacts(s["text"]).alias("text"), s["lines"].alias("lines")))
+        return F.array_append(s["out"], F.struct(s["text"].alias("text"), s["lines"].alias("lines")))
 
     def step(s, line):
         def grow(wider):
             over = (s["text"] != "") & (F.char_length(wider) > most)
-            return F.struct(F.when(over, T.normalize_artifacts(line["t"])).otherwise(wider).alias("text"), F.when(over, F.array(line["readingIndex"])).otherwise(F.array_append(s["lines"], line["readingIndex"])).alias("lines"), F.when(over, flushed(s)).otherwise(s["out"]).alias("out"))
+            return F.struct(F.when(over, line["t"]).otherwise(wider).alias("text"), F.when(over, F.array(line["at"])).otherwise(F.array_append(s["lines"], line["at"])).alias("lines"), F.when(over, flushed(s)).otherwise(s["out"]).alias("out"))
 
         def close(n):
             full = (F.char_length(n["text"]) >= most) | ((F.char_length(n["text"]) >= least) & T.ends_chunk(n["text"]))
@@ -44,8 +47,17 @@ def packed(ordered: DataFrame, least: int = 120, most: int = 420, repeated: Data
 
         return let(let(T.normalize_artifacts(F.concat(s["text"], F.lit(" "), line["t"])), grow), close)
 
-    done = F.aggregate("ls", start, step, lambda s: F.when(s["text"] != "", flushed(s)).otherwise(s["out"]))
-    return pages.select(*PAGE, F.posexplode(done).alias("chunkIndex", "c")).select(*PAGE, "chunkIndex", "c.text", "c.lines").where("text <> ''")
+    numbered = F.transform("_ls", lambda x, i: F.struct(i.alias("at"), x["t"].alias("t")))
+    done = F.aggregate(numbered, start, step, lambda s: F.when(s["text"] != "", flushed(s)).otherwise(s["out"]))
+    of = lambda c, k: F.transform(c["lines"], lambda i: F.get("_ls", i)[k])
+
+    def whole(c):
+        own = [of(c, "readingIndex").alias("lines")]
+        if more:
+            own += [G.box_around(of(c, "bbox")).alias("bbox"), F.get(of(c, "source"), F.lit(0)).alias("source"), F.flatten(of(c, "sourceSegmentIds")).alias("sourceSegmentIds")]
+        return F.struct(c["text"].alias("text"), *own)
+
+    return pages.select(*PAGE, F.posexplode(F.transform(done, whole)).alias("chunkIndex", "c")).select(*PAGE, "chunkIndex", "c.*").where("text <> ''")
 
 
 def readable(chunks: DataFrame, page: Column | None = None, system: Column | None = None) -> DataFrame:
@@ -57,20 +69,11 @@ def readable(chunks: DataFrame, page: Column | None = None, system: Column | Non
     return d.withColumns({"languageHint": T.language_hint(F.col("text")), "priority": T.role_priority(F.col("role")), "qualityFlags": T.quality_flags(F.col("text"), F.col("role")), "yStart": F.col("readingBbox.y"), "yEnd": F.col("readingBbox.y") + F.col("readingBbox.height")})
 
 
-def boxed(found: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Chunks with the box, source and segment ids of their lines."""
-    b = F.col("bbox")
-    e = found.select(*PAGE, "chunkIndex", "text", F.posexplode("lines").alias("_i", "readingIndex")).join(ordered.select(*PAGE, "readingIndex", "bbox", "source", "sourceSegmentIds"), [*PAGE, "readingIndex"])
-    ids = F.array_sort(F.collect_list(F.struct("_i", "sourceSegmentIds", "source")))
-    g = e.groupBy(*PAGE, "chunkIndex").agg(F.min("text").alias("text"), G.union_box(b["x"], b["y"], b["width"], b["height"]).alias("bbox"), ids.alias("_s"))
-    return g.select(*PAGE, "chunkIndex", "text", "bbox", F.get("_s", F.lit(0))["source"].alias("source"), F.flatten(F.transform("_s", lambda s: s["sourceSegmentIds"])).alias("sourceSegmentIds"))
-
-
 def segments_to_chunks(segments: DataFrame, least: int = 120, most: int = 420, page: Column | None = None, system: str = "top-down", repeated: DataFrame | None = None) -> DataFrame:
     """The whole way from segments; chunks are numbered within their page."""
     width = None if page is None else page["width"]
     ordered = reading_order(lines(segments, system=system, page_width=width), system, width)
-    return readable(boxed(packed(ordered, least, most, repeated), ordered), page, F.lit(system))
+    return readable(packed(ordered, least, most, repeated), page, F.lit(system))
 
 
 def repeated_lines(rows: DataFrame, page: str, text: str = "text", least: int = 2) -> DataFrame:

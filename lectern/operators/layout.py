@@ -106,6 +106,26 @@ def page_at(offsets: DataFrame, tops: DataFrame) -> DataFrame:
     return d.where("_kind = 1").select(*offsets.columns, F.when(F.col("_any") == 0, 0).otherwise(F.coalesce("pageAt", F.lit(1))).alias("pageNumber"))
 
 
+def page_reading_lines(offsets: DataFrame, tops: DataFrame) -> DataFrame:
+    """Offsets with `line`: where they lie within their page, 0 to 1; .38 without a page or a height."""
+    t = tops.select("documentId", "pageNumber", F.col("top").alias("_top"), F.col("height").alias("_height"))
+    d = page_at(offsets, tops).join(t, ["documentId", "pageNumber"], "left")
+    known = F.coalesce(F.col("_height") > 0, F.lit(False)) & F.col("_top").isNotNull()
+    line = F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("offset") - F.col("_top")) / F.col("_height")))).otherwise(0.38)
+    return d.withColumn("line", line).drop("_top", "_height")
+
+
+def directional_pages(centers: DataFrame, limit: int | None = None) -> DataFrame:
+    """centers: documentId, page, pageCount, direction. All pages in the order in which they should be made ready, as
+    directional_order() gives it: rank and nearPage."""
+    n, sign = F.col("pageCount"), F.when(F.col("direction") < 0, -1).otherwise(1)
+    upto = lambda a, step, f: F.flatten(F.transform(F.when(n >= a, F.sequence(F.lit(a), n, F.lit(step))).otherwise(F.array().cast("array<int>")), f))
+    wish = F.concat(F.array(*[F.lit(i) for i in (0, 1, -1, 2, -2)]), upto(3, 2, lambda d: F.array(d, d + 1, -d)), upto(1, 1, lambda d: F.array(d, -d)))
+    near = F.array_distinct(F.filter(F.transform(wish, lambda d: F.col("page") + sign * d), lambda p: (p >= 1) & (p <= n)))
+    near = near if limit is None else F.slice(near, 1, limit)
+    return centers.where("page BETWEEN 1 AND pageCount").select("*", F.posexplode(near).alias("rank", "nearPage"))
+
+
 def nearby_pages(centers: DataFrame, radius: int = 2) -> DataFrame:
     """centers: documentId, page, pageCount. The pages around each, nearest first, the one before ahead of the one after."""
     steps = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(radius)), lambda d: F.array(-d, d)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import page_queries, reading_queries, source_queries, text_queries  # noqa: F401
+from . import page_queries, reading_queries, session_queries, source_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

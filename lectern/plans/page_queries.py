@@ -9,12 +9,14 @@ from ..functions import reading as R
 from ..functions import text as T
 from ..operators import chunks as C
 from ..operators import layout as L
+from ..operators import pages as PG
 from ..operators import paragraphs as P
+from ..operators import picking as K
 from ..operators import points as O
 from ..operators import quality as Q
 from ..sources import adapters as A
-from .registry import CJK, NWS, SEGMENTS, WS, cnt, has, norm, query, rep, trim
-from .text_queries import ENDS, HEADING, NOISE, TABLE, TERMINAL, TOC
+from .registry import CJK, HEADER, NWS, PAGE_NUMBER, SEGMENTS, SYM, WS, cnt, has, norm, query, rep, trim
+from .text_queries import ENDS, FLAGS, HEADING, NOISE, PRIORITY, ROLE, TABLE, TERMINAL, TOC
 
 WIDTH, HEIGHT = 612.0, 792.0
 
@@ -79,37 +81,80 @@ def reading_order(spark, d):
     return o.select("documentId", "pageIndex", F.col("sourceSegmentIds")[0].alias("segmentIndex"), F.col("columnIndex").alias("col"), F.col("readingIndex").cast("long").alias("reading"))
 
 
-@query("page_tops", "WITH p AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL), q AS (SELECT doc_id, u.i AS page, 700 + (u.i * 37) % 200 AS h FROM p, unnest(range(1, CAST(least(n, 12) + 1 AS BIGINT))) AS u(i)) SELECT CAST(doc_id AS VARCHAR) AS documentId, CAST(page AS INTEGER) AS pageNumber, CAST(94 + coalesce(sum(h + 24) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS top FROM q")
+LAYOUT = """WITH p AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL), q AS (SELECT doc_id, n, u.i AS page, 700 + (u.i * 37) % 200 AS h FROM p, unnest(range(1, n + 1)) AS u(i)),
+    t AS (SELECT doc_id, n, page, h, 94 + coalesce(sum(h + 24) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM q),
+    o AS (SELECT doc_id, u.k, CAST(u.k * 613.0 AS DOUBLE) AS pos FROM p, unnest(range(0, (n * 14) // 10 + 2)) AS u(k)), f AS (SELECT o.doc_id, o.k, o.pos, coalesce(t.page, 1) AS page FROM o ASOF LEFT JOIN t ON o.doc_id = t.doc_id AND o.pos >= t.top)"""
+
+
+@query("page_tops", f"{LAYOUT} SELECT CAST(doc_id AS VARCHAR) AS documentId, CAST(page AS INTEGER) AS pageNumber, CAST(top AS DOUBLE) AS top FROM t")
 def page_tops(spark, d):
     return L.page_tops(_layout(spark, d), 94, 24).select("documentId", "pageNumber", "top")
 
 
 def _layout(spark, d):
-    n = A.documents(spark, d).select(F.col("doc_id").cast("string").alias("documentId"), F.least(F.size(F.split("text", "\n", -1)), F.lit(12)).alias("pageCount"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    """One page for each line of a document, of heights that vary."""
+    n = A.documents(spark, d).where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("documentId"), F.size(F.split("text", "\n", -1)).alias("pageCount"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
     m = L.estimated_layout(n).select("documentId", "pageNumber", F.lit(600.0).alias("width"), (700 + (F.col("pageNumber") * 37) % 200).cast("double").alias("height"))
     return L.updated_layout(L.estimated_layout(n), m)
 
 
-@query(
-    "page_at_offset",
-    """WITH p AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL), q AS (SELECT doc_id, u.i AS page, 700 + (u.i * 37) % 200 AS h FROM p, unnest(range(1, CAST(least(n, 12) + 1 AS BIGINT))) AS u(i)),
-        t AS (SELECT doc_id, page, 94 + coalesce(sum(h + 24) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM q), o AS (SELECT doc_id, v.k, v.k * 613.0 AS off FROM p, unnest(range(0, 16)) AS v(k))
-        SELECT CAST(doc_id AS VARCHAR) AS documentId, CAST(k AS INTEGER) AS k, CAST(coalesce((SELECT max(page) FROM t WHERE t.doc_id = o.doc_id AND top <= off), 1) AS INTEGER) AS pageNumber FROM o""",
-)
+def _offsets(spark, d):
+    """Positions 613 apart, to beyond the last page."""
+    n = F.size(F.split("text", "\n", -1))
+    k = F.sequence(F.lit(0), F.floor(n * 14 / 10).cast("int") + 1)
+    return A.documents(spark, d).where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("documentId"), F.explode(k).alias("k")).withColumn("offset", F.col("k") * 613.0)
+
+
+@query("page_at_offset", f"{LAYOUT} SELECT CAST(doc_id AS VARCHAR) AS documentId, CAST(k AS INTEGER) AS k, CAST(page AS INTEGER) AS pageNumber FROM f")
 def page_at_offset(spark, d):
+    return L.page_at(_offsets(spark, d), L.page_tops(_layout(spark, d), 94, 24)).select("documentId", "k", "pageNumber")
+
+
+@query("page_reading_lines", f"{LAYOUT} SELECT CAST(f.doc_id AS VARCHAR) AS documentId, CAST(k AS INTEGER) AS k, round(greatest(0::DOUBLE, least(1::DOUBLE, (pos - top) / h)), 6) AS line FROM f JOIN t ON f.doc_id = t.doc_id AND f.page = t.page")
+def page_reading_lines(spark, d):
     tops = L.page_tops(_layout(spark, d), 94, 24)
-    off = A.documents(spark, d).where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("documentId"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k")).withColumn("offset", F.col("k") * 613.0)
-    return L.page_at(off, tops).select("documentId", "k", "pageNumber")
+    return L.page_reading_lines(_offsets(spark, d), tops).select("documentId", "k", F.round("line", 6).alias("line"))
 
 
-@query("nearby_pages", "WITH p AS (SELECT doc_id, least(len(string_split(text, chr(10))), 12) AS n FROM documents WHERE text IS NOT NULL) SELECT CAST(doc_id AS VARCHAR) AS documentId, CAST(1 + doc_id % n AS INTEGER) AS page, CAST(s.r AS INTEGER) AS rank, CAST(1 + doc_id % n + s.d AS INTEGER) AS near FROM p, (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)) AS s(r, d) WHERE 1 + doc_id % n + s.d BETWEEN 1 AND n")
+@query("nearby_pages", "WITH p AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL) SELECT CAST(doc_id AS VARCHAR) AS documentId, CAST(1 + doc_id % n AS INTEGER) AS page, CAST(s.r AS INTEGER) AS rank, CAST(1 + doc_id % n + s.d AS INTEGER) AS near FROM p, (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)) AS s(r, d) WHERE 1 + doc_id % n + s.d BETWEEN 1 AND n")
 def nearby_pages(spark, d):
-    n = F.least(F.size(F.split("text", "\n", -1)), F.lit(12))
-    c = A.documents(spark, d).where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("documentId"), (1 + F.col("doc_id") % n).cast("int").alias("page"), n.alias("pageCount"))
-    return L.nearby_pages(c).select("documentId", "page", "rank", F.col("nearPage").alias("near"))
+    return L.nearby_pages(_centers(spark, d)).select("documentId", "page", "rank", F.col("nearPage").alias("near"))
+
 
+def _centers(spark, d):
+    n = F.size(F.split("text", "\n", -1))
+    return A.documents(spark, d).where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("documentId"), (1 + F.col("doc_id") % n).cast("int").alias("page"), n.alias("pageCount"))
 
-@query("chunks")
+
+@query(
+    "render_order",
+    """WITH p AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, 1 + doc_id % len(string_split(text, chr(10))) AS page, CASE WHEN doc_id % 3 = 0 THEN -1 ELSE 1 END AS sgn FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT *, [0, 1, -1, 2, -2] || flatten(list_transform(range(3, n + 1, 2), lambda x: [x, x + 1, -x])) || flatten(list_transform(range(1, n + 1), lambda x: [x, -x])) AS wish FROM p),
+        e AS (SELECT doc_id, page, n, page + sgn * unnest(wish) AS near, unnest(range(0, len(wish))) AS o FROM w), f AS (SELECT doc_id, page, near, min(o) AS o FROM e WHERE near BETWEEN 1 AND n GROUP BY ALL)
+        SELECT CAST(doc_id AS VARCHAR) AS documentId, CAST(page AS INTEGER) AS page, CAST(near AS INTEGER) AS near, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INTEGER) AS rank FROM f""",
+)
+def render_order(spark, d):
+    c = _centers(spark, d).withColumn("direction", F.when(F.col("documentId").cast("long") % 3 == 0, -1).otherwise(1))
+    return L.directional_pages(c).select("documentId", "page", F.col("nearPage").alias("near"), "rank")
+
+
+RUNNING_LINE = f"({has('t', '^[!•·*' + WS[1:-1] + ']+$')} OR {has('t', HEADER)} OR {has('t', PAGE_NUMBER)} OR ({has('t', f'^(?:[A-Z]{WS}+){{2,}}[A-Z]$')} AND length(t) <= 42))"
+CLOSED = r"""[.!?。！？；;]["”')\]]?$"""
+#: The fold over a page's lines, one line a step: what a line closes before it is taken (f1) and after (f2).
+FOLD = f"""WITH RECURSIVE {SEGMENTS[len('WITH '):]}, ln AS MATERIALIZED (SELECT documentId, pageIndex, segmentIndex, t, y, w, h, row_number() OVER (PARTITION BY documentId, pageIndex ORDER BY y) AS i, count(*) OVER (PARTITION BY documentId, pageIndex) AS n FROM (SELECT *, {norm('text')} AS t FROM seg) WHERE t <> '' AND NOT {RUNNING_LINE}),
+    fo AS (SELECT documentId, pageIndex, CAST(0 AS BIGINT) AS i, '' AS text, CAST([] AS BIGINT[]) AS ls, CAST(NULL AS VARCHAR) AS f1, CAST(NULL AS BIGINT[]) AS l1, CAST(NULL AS VARCHAR) AS f2, CAST(NULL AS BIGINT[]) AS l2 FROM (SELECT DISTINCT documentId, pageIndex FROM ln)
+        UNION ALL SELECT documentId, pageIndex, i, CASE WHEN full_ THEN '' ELSE nt END, CASE WHEN full_ THEN CAST([] AS BIGINT[]) ELSE nl END, CASE WHEN over_ THEN text END, CASE WHEN over_ THEN ls END, CASE WHEN full_ THEN nt END, CASE WHEN full_ THEN nl END
+        FROM (SELECT *, length(nt) >= 420 OR (length(nt) >= 120 AND {has('nt', CLOSED)}) AS full_ FROM (SELECT *, CASE WHEN over_ THEN t ELSE wide END AS nt, CASE WHEN over_ THEN [i] ELSE ls || [i] END AS nl
+            FROM (SELECT *, text <> '' AND length(wide) > 420 AS over_ FROM (SELECT fo.documentId, fo.pageIndex, ln.i, fo.text, fo.ls, ln.t, {norm("fo.text || ' ' || ln.t")} AS wide FROM fo JOIN ln ON fo.documentId = ln.documentId AND fo.pageIndex = ln.pageIndex AND ln.i = fo.i + 1))))),
+    fc AS (SELECT documentId, pageIndex, i * 2 AS o, f1 AS text, l1 AS ls FROM fo WHERE f1 <> '' UNION ALL SELECT documentId, pageIndex, i * 2 + 1, f2, l2 FROM fo WHERE f2 <> ''
+        UNION ALL SELECT fo.documentId, fo.pageIndex, fo.i * 2 + 2, fo.text, fo.ls FROM fo JOIN (SELECT DISTINCT documentId, pageIndex, n FROM ln) e ON fo.documentId = e.documentId AND fo.pageIndex = e.pageIndex AND fo.i = e.n WHERE fo.text <> ''),
+    nc AS (SELECT documentId, pageIndex, CAST(row_number() OVER (PARTITION BY documentId, pageIndex ORDER BY o) - 1 AS INTEGER) AS k, text, ls FROM fc),
+    bx AS (SELECT nc.documentId, nc.pageIndex, nc.k, any_value(nc.text) AS c, array_to_string(list(ln.segmentIndex ORDER BY ln.i), ',') AS segments, min(ln.y) AS y, max(ln.w) AS w, max(ln.y + ln.h) - min(ln.y) AS h FROM nc JOIN ln ON nc.documentId = ln.documentId AND nc.pageIndex = ln.pageIndex AND list_contains(nc.ls, ln.i) GROUP BY ALL)"""
+#: Roles by place: what is low on the page may be a footnote.
+LOW_ROLE = ROLE.replace("CASE WHEN length(c) < 260 THEN", "CASE WHEN y / 792 > 0.78::DOUBLE OR length(c) < 260 THEN").replace(f"    WHEN {cnt('c', SYM)} >= 4", f"    WHEN {has('c', f'^(?:[0-9]+|[*†‡§]){WS}+[A-Z]')} AND y / 792 > 0.78::DOUBLE AND length(c) < 420 THEN 'footnote' WHEN {cnt('c', SYM)} >= 4")
+
+
+@query("chunks", f"{FOLD} SELECT documentId, pageIndex, k AS chunkIndex, c AS text, role, {PRIORITY} AS priority, {FLAGS} AS flags, segments, round(50 / 612.0::DOUBLE, 6) AS box_x, round(y / 792, 6) AS box_y, round(w / 612, 6) AS box_w, round(h / 792, 6) AS box_h FROM (SELECT *, {LOW_ROLE} AS role FROM bx)")
 def chunks(spark, d):
     c = C.segments_to_chunks(segments(spark, d), page=page())
     return c.select("documentId", "pageIndex", "chunkIndex", "text", "role", "priority", F.array_join("qualityFlags", ",").alias("flags"), F.array_join(F.transform("sourceSegmentIds", lambda i: i.cast("string")), ",").alias("segments"), *flat(("box", "normalizedBbox")))
@@ -230,3 +275,71 @@ def best_stats(spark, d):
 def selected_chunks(spark, d):
     c = C.segments_to_chunks(segments(spark, d), page=page())
     return Q.select_chunks(c, _resolved(spark, d)).select("documentId", "pageIndex", "chunkIndex", "text")
+
+
+@query("native_pages", f"SELECT a.documentId, a.pageIndex, CASE WHEN reasons = '' THEN 'ready' ELSE 'poor' END AS state, reasons, coalesce(paragraphs, 0) AS paragraphs FROM ({ASSESS} SELECT documentId, pageIndex, reasons FROM a) a LEFT JOIN ({PASSAGES} SELECT documentId, pageIndex, count(*) AS paragraphs FROM c GROUP BY ALL) p ON a.documentId = p.documentId AND a.pageIndex = p.pageIndex")
+def native_pages(spark, d):
+    s = PG.extracted(segments(spark, d), WIDTH, HEIGHT).summary()
+    return s.select("documentId", "pageIndex", "state", F.array_join("reasonCodes", ",").alias("reasons"), "paragraphs")
+
+
+@query("native_extraction")
+def native_extraction(spark, d):
+    return PG.extracted(segments(spark, d), WIDTH, HEIGHT).summary().drop("reasonCodes")
+
+
+def _recognised(spark, d):
+    """Pages as recognition results: lines of words, each word with a box of its own."""
+    s = segments(spark, d)
+    at = F.transform(F.split("text", " +"), lambda w, i: F.struct(w.alias("text"), F.lit(80.0).alias("confidence"), F.struct((F.col("bbox.x") + i * 24.0).alias("x0"), F.col("bbox.y").alias("y0"), (F.col("bbox.x") + i * 24.0 + 20.0).alias("x1"), (F.col("bbox.y") + F.col("bbox.height")).alias("y1")).alias("bbox")))
+    box = F.struct(F.col("bbox.x").alias("x0"), F.col("bbox.y").alias("y0"), (F.col("bbox.x") + F.col("bbox.width")).alias("x1"), (F.col("bbox.y") + F.col("bbox.height")).alias("y1"))
+    line = F.array_sort(F.collect_list(F.struct("segmentIndex", "text", F.lit(90.0).alias("confidence"), box.alias("bbox"), at.alias("words"))))
+    return s.groupBy("documentId", "pageIndex").agg(F.to_json(F.struct(F.array(F.struct(line.alias("lines"))).alias("blocks"))).alias("result"))
+
+
+BARE = trim(rep(rep("w", f"^[|¦]+{WS}*", ""), f"{WS}*[|¦]+$", ""))
+
+
+@query("ocr_words", f"{SEGMENTS} SELECT documentId, pageIndex, count(*) AS words, string_agg(v, ' ' ORDER BY y, j) AS text FROM (SELECT documentId, pageIndex, y, unnest(l) AS v, unnest(range(0, len(l))) AS j FROM (SELECT *, list_transform(regexp_split_to_array(text, ' +'), lambda w: {BARE}) AS l FROM seg)) WHERE v <> '' GROUP BY ALL")
+def ocr_words(spark, d):
+    w = A.ocr_segments(_recognised(spark, d), "words")
+    return w.groupBy("documentId", "pageIndex").agg(F.count("*").alias("words"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segmentIndex", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+@query("ocr_extraction")
+def ocr_extraction(spark, d):
+    """Recognised pages: shorter chunks, points by words."""
+    r = _recognised(spark, d)
+    x = PG.extracted(A.ocr_segments(r), WIDTH, HEIGHT, 24, 180, A.ocr_segments(r, "words"), F.lit("eng"))
+    return x.summary().drop("reasonCodes")
+
+
+@query("paragraph_windows")
+def paragraph_windows(spark, d):
+    s = segments(spark, d)
+    o = L.reading_order(L.lines(s, page_width=F.lit(WIDTH)), page_width=F.lit(WIDTH))
+    pages = s.select("documentId", "pageIndex").distinct().withColumn("pageTop", 94.0 + F.col("pageIndex") * 816).withColumn("pageHeight", F.lit(HEIGHT))
+    w = PG.paragraph_windows(P.passages(o, WIDTH, HEIGHT), pages)
+    return w.select("documentId", "centre", "paragraphIndex", "paragraphKey", "crossPage", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query("policy_leads")
+def policy_leads(spark, d):
+    asked = spark.createDataFrame([("winding-stream", True)], "tierKey string, enabled boolean")
+    e = PG.eligible_leads(P.segments_to_paragraphs(segments(spark, d)), K.resolve_policies(asked))
+    return e.select("documentId", "paragraphKey", "text")
+
+
+@query("prefetch_chunks", f"{FOLD} SELECT documentId, pageIndex - 1 AS reading, k AS chunkIndex, c AS text FROM bx WHERE pageIndex > 0")
+def prefetch_chunks(spark, d):
+    c = C.segments_to_chunks(segments(spark, d), page=page())
+    at = segments(spark, d).select("documentId", "pageIndex").distinct().union(segments(spark, d).select("documentId", (F.col("pageIndex") - 1).alias("pageIndex")).distinct()).distinct().withColumn("positionId", F.lit(0))
+    return PG.next_page_chunks(c, at).select("documentId", (F.col("pageIndex") - 1).alias("reading"), "chunkIndex", "text").where("reading >= 0")
+
+
+@query("page_states")
+def page_states(spark, d):
+    s = segments(spark, d)
+    o = L.reading_order(L.lines(s, page_width=F.lit(WIDTH)), page_width=F.lit(WIDTH))
+    x = PG.diagnostics(_resolved(spark, d), C.segments_to_chunks(s, page=page()), P.passages(o, WIDTH, HEIGHT))
+    return x.select("documentId", "pageIndex", "state", "source", "ready", "chunks", "paragraphs", F.array_join("preview", "|").alias("preview"))

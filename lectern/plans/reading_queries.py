@@ -16,7 +16,7 @@ from ..operators import rhythm as RH
 from ..sources import adapters as A
 from ..streaming import paragraph_flow as SF
 from .page_queries import page, segments
-from .registry import CJK, SEGMENTS, cnt, query
+from .registry import CJK, SEGMENTS, cnt, has, query, squeeze
 
 
 def events(spark, d):
@@ -49,7 +49,7 @@ numbers("large_jumps", lambda e: e.select("event_id", R.large_jump(value() * 4 -
 numbers("visual_window", lambda e: e.select("event_id", F.round(R.visual_window(F.struct(F.lit(0.1).alias("x"), (value() / 500).alias("y"), F.lit(0.8).alias("width"), F.lit(0.2).alias("height")), F.lit(0.38), F.lit(800.0), F.lit(12.0)), 6).alias("seconds")), "round(greatest(0, (greatest(0, least(1, v / 500 + 0.2::DOUBLE)) - 0.38::DOUBLE) * 800 / 12), 6) AS seconds")
 numbers("speech_speed", lambda e: e.select("event_id", R.speech_speed(R.speed_tier(value() % 70)).alias("speed")), "CASE WHEN v % 70 <= 8 THEN 1.18::DOUBLE WHEN v % 70 <= 14 THEN 1.5 ELSE 1.25 END AS speed")
 numbers("tier_steps", lambda e: e.select("event_id", F.explode(R.transition_steps((F.col("event_id") % 6).cast("int"), (F.floor(value()) % 6).cast("int"))).alias("s")).select("event_id", "s.direction", F.col("s.fromIndex").cast("long").alias("step_from"), F.col("s.boundaryIndex").cast("long").alias("boundary")), "CASE WHEN b > a THEN 'up' ELSE 'down' END AS direction, CASE WHEN b > a THEN a + i ELSE a - i END AS step_from, CASE WHEN b > a THEN a + i ELSE a - i - 1 END AS boundary", "SELECT event_id, a, b, unnest(range(0, abs(b - a))) AS i FROM (SELECT event_id, event_id % 6 AS a, CAST(floor(value) AS BIGINT) % 6 AS b FROM events)")
-numbers("cue_notes", lambda e: e.select("event_id", F.size(R.cue_notes((F.col("event_id") % 6).cast("int"), (F.floor(value()) % 6).cast("int"))).cast("long").alias("notes")), "CASE WHEN a = b THEN 0 ELSE abs(a - b) + 1 END AS notes", "SELECT event_id, event_id % 6 AS a, CAST(floor(value) AS BIGINT) % 6 AS b FROM events")
+numbers("cue_notes", lambda e: e.select("event_id", F.array_join(F.transform(R.cue_notes((F.col("event_id") % 6).cast("int"), (F.floor(value()) % 6).cast("int")), lambda n: F.concat_ws(":", n["frequency"].cast("string"), n["offsetMs"].cast("string"), n["durationMs"].cast("string"))), ",").alias("notes")), "CASE WHEN a = b THEN '' ELSE array_to_string(list_transform(range(0, abs(a - b) + 1), lambda i: [196, 220, 262, 330, 392, 523][CASE WHEN b > a THEN a + i ELSE a - i END + 1] || ':' || (i * 92) || ':220'), ',') END AS notes", "SELECT event_id, event_id % 6 AS a, CAST(floor(value) AS BIGINT) % 6 AS b FROM events")
 numbers("byte_ranges", lambda e: e.select("event_id", A.byte_range(F.when(F.col("event_id") % 5 == 0, None).when(F.col("event_id") % 5 == 1, "bytes=x").when(F.col("event_id") % 5 == 2, F.concat(F.lit("bytes=-"), F.floor(value()).cast("string"))).otherwise(F.concat(F.lit("bytes="), F.floor(value()).cast("string"), F.lit("-"), F.when(F.col("event_id") % 5 == 3, "").otherwise((F.floor(value()) + 50).cast("string")))), F.lit(100).cast("long")).alias("r")).select("event_id", F.col("r.ok").alias("ok"), F.col("r.start").alias("first"), F.col("r.length").alias("length")),
     "CASE WHEN m = 0 THEN NULL ELSE good END AS ok, CASE WHEN good THEN s END AS first, CASE WHEN good THEN e - s + 1 END AS length", "SELECT *, m > 1 AND NOT (m = 2 AND n = 0) AND s < 100 AND s <= e AS good FROM (SELECT event_id, event_id % 5 AS m, n, CASE WHEN event_id % 5 = 2 THEN 100 - least(n, 100) ELSE n END AS s, CASE WHEN event_id % 5 IN (2, 3) THEN 99 ELSE least(n + 50, 99) END AS e FROM (SELECT event_id, CAST(floor(value) AS BIGINT) AS n FROM events))")
 
@@ -100,6 +100,20 @@ def _line_chunks_sql():
     return LINE_CHUNKS.replace("{role}", ROLE).replace("{norm}", norm("text"))
 
 
+def _all_chunks_sql():
+    from .page_queries import LOW_ROLE
+    from .registry import norm
+    from .text_queries import BIBLIO
+
+    return f"{SEGMENTS}, ac AS MATERIALIZED (SELECT documentId, c, {LOW_ROLE} AS role, y / 792 AS t_, {has('c', BIBLIO)} AS bib FROM (SELECT *, {norm('text')} AS c FROM seg))"
+
+
+def _plain(x):
+    from .text_queries import _without_brackets
+
+    return _without_brackets(squeeze(x))
+
+
 @query("readable_filter", f"{_line_chunks_sql()} SELECT documentId, count(*) AS chunks FROM lc GROUP BY documentId")
 def readable_filter(spark, d):
     return line_chunks(spark, d).where(K.is_readable()).groupBy("documentId").agg(F.count("*").alias("chunks"))
@@ -125,7 +139,11 @@ def margin_noise(spark, d):
     return line_chunks(spark, d).where(K.is_readable()).groupBy("documentId").agg(F.count(F.when(K.is_margin_noise(), 1)).alias("noise"))
 
 
-@query("policy_filter")
+POLICY_ROLES = "('snow-mist', ['reference', 'table', 'formula']), ('aesthetic-walk', ['reference', 'table', 'formula', 'footnote', 'annotation']), ('winding-stream', ['reference', 'table', 'formula', 'footnote', 'annotation', 'heading']), ('strong-wind', ['reference', 'table', 'formula'])"
+
+
+@query("policy_filter", f"""{_all_chunks_sql()}, p AS (SELECT tier, unnest(roles) AS r FROM (VALUES {POLICY_ROLES}) AS v(tier, roles)), a AS (SELECT tier, documentId, CASE WHEN tier = 'aesthetic-walk' THEN {_plain('c')} ELSE {squeeze('c')} END AS text FROM ac, (SELECT DISTINCT tier FROM p) t
+    WHERE c <> '' AND NOT (length(c) <= 120 AND (t_ < 0.055::DOUBLE OR t_ + 12 / 792.0::DOUBLE > 0.945::DOUBLE)) AND NOT bib AND NOT EXISTS (SELECT 1 FROM p WHERE p.tier = t.tier AND p.r = role)) SELECT tier AS "tierKey", documentId, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS characters FROM a WHERE text <> '' GROUP BY ALL""")
 def policy_filter(spark, d):
     asked = spark.createDataFrame([(k, True) for k in ("snow-mist", "aesthetic-walk", "winding-stream", "strong-wind")], "tierKey string, enabled boolean")
     return K.by_policy(line_chunks(spark, d), K.resolve_policies(asked)).groupBy("tierKey", "documentId").agg(F.count("*").alias("chunks"), F.sum(F.char_length("text")).alias("characters"))
@@ -182,18 +200,19 @@ def readings(spark, d):
     return e
 
 
-READINGS = "rd AS (SELECT 'r' || user_id AS reader, event_id AS step, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 30 + CAST(floor(value) AS BIGINT) % 40 AS DOUBLE) AS position FROM events), ps AS (SELECT reader, 'p' || k.i AS key, CAST(k.i * 100 + 50 AS DOUBLE) AS start, CAST(k.i * 100 + 130 AS DOUBLE) AS stop FROM (SELECT DISTINCT reader FROM rd), unnest(range(0, 6)) AS k(i))"
+READINGS = "rd AS (SELECT 'r' || user_id AS reader, event_id AS step, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 30 + CAST(floor(value) AS BIGINT) % 40 AS DOUBLE) AS position FROM events), ps AS (SELECT reader, 'p' || k.i AS key, CAST(k.i * 100 + 50 AS DOUBLE) AS start, CAST(k.i * 100 + 130 AS DOUBLE) AS stop FROM (SELECT reader, CAST(max(position) AS BIGINT) AS last FROM rd GROUP BY reader), unnest(range(0, last // 100 + 1)) AS k(i))"
 
 
 def passages_of(spark, d):
-    k = F.explode(F.sequence(F.lit(0), F.lit(5)))
-    p = readings(spark, d).select("reader").distinct().select("reader", k.alias("k"))
+    """A passage every 100, up to each reader's last position."""
+    p = readings(spark, d).groupBy("reader").agg(F.max("position").cast("long").alias("last"))
+    p = p.select("reader", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("last div 100"))).alias("k"))
     return p.select("reader", F.concat(F.lit("p"), F.col("k").cast("string")).alias("key"), F.lit("Lead.").alias("lead"), (F.col("k") * 100 + 50).cast("double").alias("start"), (F.col("k") * 100 + 130).cast("double").alias("end"))
 
 
-@query("flow_crossings", f"WITH {READINGS}, s AS (SELECT reader, step, position, lag(position) OVER (PARTITION BY reader ORDER BY step) AS bef FROM rd), e AS (SELECT reader, key, start AS place, 'start' AS edge FROM ps UNION ALL SELECT reader, key, stop, 'tail' FROM ps) SELECT s.reader, s.step, e.key, e.edge, e.place FROM s JOIN e ON s.reader = e.reader AND bef < place AND place <= position")
+@query("flow_crossings", f"WITH {READINGS}, s AS (SELECT reader, step, position, lag(position) OVER (PARTITION BY reader ORDER BY step) AS bef FROM rd), e AS (SELECT reader, key, start AS place, 'start' AS edge FROM ps UNION ALL SELECT reader, key, stop, 'tail' FROM ps) SELECT s.reader, s.step, e.key, e.edge, e.place, CAST(row_number() OVER (PARTITION BY s.reader, s.step ORDER BY place, CASE WHEN edge = 'tail' THEN 0 ELSE 1 END, key) - 1 AS INTEGER) AS ordinal FROM s JOIN e ON s.reader = e.reader AND bef < place AND place <= position")
 def flow_crossings(spark, d):
-    return FL.crossings(readings(spark, d), passages_of(spark, d)).drop("ordinal")
+    return FL.crossings(readings(spark, d), passages_of(spark, d))
 
 
 @query("flow_actions")
@@ -203,7 +222,7 @@ def flow_actions(spark, d):
 
 
 @query("flow_bootstrap", f"""WITH {READINGS}, p AS (SELECT reader, step, position FROM rd), i AS (SELECT p.reader, p.step, min(CASE WHEN start <= position AND position < stop THEN CAST(substr(key, 2) AS INTEGER) END) AS inside, min(CASE WHEN start > position THEN CAST(substr(key, 2) AS INTEGER) END) AS nxt FROM p JOIN ps USING (reader) GROUP BY ALL)
-    SELECT reader, step, 'p' || CASE WHEN inside IS NOT NULL THEN inside + 1 ELSE nxt END AS key FROM i WHERE CASE WHEN inside IS NOT NULL THEN inside < 5 ELSE nxt > 0 END""")
+    SELECT reader, step, 'p' || CASE WHEN inside IS NOT NULL THEN inside + 1 ELSE nxt END AS key FROM i JOIN (SELECT reader, max(CAST(substr(key, 2) AS INTEGER)) AS top FROM ps GROUP BY reader) USING (reader) WHERE CASE WHEN inside IS NOT NULL THEN inside < top ELSE nxt > 0 END""")
 def flow_bootstrap(spark, d):
     p = readings(spark, d).withColumnRenamed("step", "positionId")
     return FL.bootstrap(p, passages_of(spark, d)).withColumnRenamed("positionId", "step")
@@ -215,7 +234,9 @@ def flow_contexts(spark, d):
     return FL.contexts(e).select("reader", "step", F.col("contentRevision").alias("revision"))
 
 
-@query("debounced_requests")
+@query("debounced_requests", """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS queue, event_id * 13 AS tm, event_type AS key FROM events),
+    r AS (SELECT queue, min(tm) AS began FROM e GROUP BY queue UNION ALL SELECT r.queue, (SELECT min(tm) FROM e WHERE e.queue = r.queue AND e.tm >= r.began + 180) FROM r WHERE r.began IS NOT NULL)
+    SELECT r.queue, r.began + 180 AS "firedMs", arg_max(e.key, e.tm) AS key FROM r JOIN e ON e.queue = r.queue AND e.tm >= r.began AND e.tm < r.began + 180 GROUP BY r.queue, r.began""")
 def debounced_requests(spark, d):
     e = events(spark, d).select(F.col("user_id").cast("string").alias("queue"), (F.col("event_id") * 13).alias("atMs"), F.col("event_type").alias("key"))
     return FL.debounced(e)

@@ -12,31 +12,50 @@ from ..operators import picking as K
 from ..sources import adapters as A
 from ..sources import wave_audio as WA
 from .reading_queries import events
-from .registry import SEGMENTS, query
+from .registry import SEGMENTS, WS, query, rep, trim
 
 
-@query("wave_round_trip", "SELECT CAST(user_id AS VARCHAR) AS reader, round(count(*) / 24000.0::DOUBLE, 6) AS seconds, CAST(2 * count(*) AS BIGINT) AS bytes FROM events GROUP BY user_id")
+#: A sample as its two bytes, low one first, in hex.
+PCM = "list_transform(x, lambda v: CAST(floor(CASE WHEN v < 0 THEN greatest(v, -1) * 32768 ELSE least(v, 1) * 32767 END + 0.5) AS BIGINT) & 65535)"
+HEX = f"array_to_string(list_transform({PCM}, lambda s: printf('%02x%02x', s & 255, s >> 8)), '')"
+SAMPLES = "list(CAST(CAST((value - 50) / 40 AS FLOAT) AS DOUBLE) ORDER BY event_id) AS x"
+
+
+def _samples(spark, d, *keys):
+    """Values as samples from -1.25 on, in the order of events."""
+    x = F.array_sort(F.collect_list(F.struct("event_id", ((F.col("value") - 50) / 40).cast("float").alias("v"))))
+    return events(spark, d).groupBy(F.col("user_id").cast("string").alias("reader"), *keys).agg(F.transform(x, lambda s: s["v"]).alias("x"))
+
+
+@query("wave_round_trip", f"SELECT CAST(user_id AS VARCHAR) AS reader, round(len(x) / 24000.0::DOUBLE, 6) AS seconds, CAST(2 * len(x) AS BIGINT) AS bytes, sha256({HEX}) AS samples FROM (SELECT user_id, {SAMPLES} FROM events GROUP BY user_id)")
 def wave_round_trip(spark, d):
-    """Values as samples, one file a reader, written and read again."""
-    w = events(spark, d).groupBy(F.col("user_id").cast("string").alias("reader")).agg(F.collect_list((F.col("value") / 100).cast("float")).alias("x"))
-    p = w.select("reader", WA.floats_to_wave(F.col("x")).alias("audio")).select("reader", WA.parse_wave(F.col("audio")).alias("p"))
-    return p.select("reader", F.round("p.audioSeconds", 6).alias("seconds"), F.octet_length("p.data").cast("long").alias("bytes"))
+    """One file a reader, written and read again."""
+    p = _samples(spark, d).select("reader", WA.floats_to_wave(F.col("x")).alias("audio")).select("reader", WA.parse_wave(F.col("audio")).alias("p"))
+    return p.select("reader", F.round("p.audioSeconds", 6).alias("seconds"), F.octet_length("p.data").cast("long").alias("bytes"), F.sha2(F.lower(F.hex("p.data")), 256).alias("samples"))
 
 
-@query("wave_join", "SELECT CAST(user_id AS VARCHAR) AS reader, CAST(2 * count(*) + 44 AS BIGINT) AS bytes FROM events GROUP BY user_id")
+@query("wave_join", f"SELECT CAST(user_id AS VARCHAR) AS reader, CAST(2 * sum(len(x)) + 44 AS BIGINT) AS bytes, sha256(string_agg({HEX}, '' ORDER BY event_type)) AS samples FROM (SELECT user_id, event_type, {SAMPLES} FROM events GROUP BY user_id, event_type) GROUP BY user_id")
 def wave_join(spark, d):
     """One file for each kind of event of a reader, joined into one."""
-    w = events(spark, d).groupBy(F.col("user_id").cast("string").alias("reader"), "event_type").agg(F.collect_list((F.col("value") / 100).cast("float")).alias("x"))
-    j = WA.join_waves(w.select("reader", "event_type", WA.floats_to_wave(F.col("x")).alias("audio")), "reader", "event_type", "audio")
-    return j.select("reader", F.octet_length("audio").cast("long").alias("bytes"))
+    w = _samples(spark, d, "event_type").select("reader", "event_type", WA.floats_to_wave(F.col("x")).alias("audio"))
+    j = WA.join_waves(w, "reader", "event_type", "audio")
+    return j.select("reader", F.octet_length("audio").cast("long").alias("bytes"), F.sha2(F.lower(F.hex(F.expr("substring(audio, 45)"))), 256).alias("samples"))
 
 
-@query("ocr_segments", f"{SEGMENTS} SELECT documentId, pageIndex, CAST(row_number() OVER (PARTITION BY documentId, pageIndex ORDER BY y) - 1 AS INTEGER) AS segmentIndex, text, x, y, w, h, round(0.9::DOUBLE, 6) AS confidence, 'block:0:paragraph:0' AS paragraph FROM seg WHERE trim(text, '|¦ ') = text")
+@query("wave_trim", "WITH s AS (SELECT user_id, event_id, abs(CAST((value - 50) / 40 AS FLOAT)) * CASE WHEN event_id % 9 < 6 THEN 0 ELSE 1 END AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), t AS (SELECT *, max(v) OVER (PARTITION BY user_id) AS peak FROM s) SELECT CAST(user_id AS VARCHAR) AS reader, CAST(CASE WHEN min(i) FILTER (WHERE v >= greatest(0.0001, peak * 0.001)) IS NULL THEN max(n) ELSE least(max(n), max(i) FILTER (WHERE v >= greatest(0.0001, peak * 0.001)) + 3) - greatest(1, min(i) FILTER (WHERE v >= greatest(0.0001, peak * 0.001)) - 3) + 1 END AS BIGINT) AS samples FROM t GROUP BY user_id")
+def wave_trim(spark, d):
+    """Samples left without the quiet ends, at 100 samples a second: three of them stay on either side."""
+    x = F.array_sort(F.collect_list(F.struct("event_id", F.when(F.col("event_id") % 9 < 6, 0).otherwise((F.col("value") - 50) / 40).cast("float").alias("v"))))
+    w = events(spark, d).groupBy(F.col("user_id").cast("string").alias("reader")).agg(F.transform(x, lambda s: s["v"]).alias("x"))
+    return w.select("reader", F.size(WA.trimmed(F.col("x"), 100)).cast("long").alias("samples"))
+
+
+@query("ocr_segments", f"{SEGMENTS} SELECT documentId, pageIndex, CAST(row_number() OVER (PARTITION BY documentId, pageIndex ORDER BY y) - 1 AS INTEGER) AS segmentIndex, bare AS text, x, y, w, h, round(0.9::DOUBLE, 6) AS confidence, 'block:0:paragraph:0' AS paragraph FROM (SELECT *, {trim(rep(rep('text', f'^[|¦]+{WS}*', ''), f'{WS}*[|¦]+$', ''))} AS bare FROM seg) WHERE bare <> ''")
 def ocr_segments(spark, d):
     """Pages as recognition results (JSON of blocks, paragraphs and lines), adapted back into segments."""
-    s = A.document_segments(A.documents(spark, d)).where("btrim(text, '|¦ ') = text")
+    s = A.document_segments(A.documents(spark, d))
     box = F.struct(F.col("bbox.x").alias("x0"), F.col("bbox.y").alias("y0"), (F.col("bbox.x") + F.col("bbox.width")).alias("x1"), (F.col("bbox.y") + F.col("bbox.height")).alias("y1"))
-    line = F.array_sort(F.collect_list(F.struct("segmentIndex", F.concat(F.lit("| "), "text", F.lit(" |")).alias("text"), F.lit(90.0).alias("confidence"), box.alias("bbox"))))
+    line = F.array_sort(F.collect_list(F.struct("segmentIndex", "text", F.lit(90.0).alias("confidence"), box.alias("bbox"))))
     page = s.groupBy("documentId", "pageIndex").agg(F.to_json(F.struct(F.struct(F.array(F.struct(F.array(F.struct(line.alias("lines"))).alias("paragraphs"))).alias("blocks")).alias("data"))).alias("result"))
     b = F.col("bbox")
     return A.ocr_segments(page).select("documentId", "pageIndex", "segmentIndex", "text", F.round(b["x"], 6).alias("x"), F.round(b["y"], 6).alias("y"), F.round(b["width"], 6).alias("w"), F.round(b["height"], 6).alias("h"), F.round("confidence", 6).alias("confidence"), F.col("paragraphId").alias("paragraph"))
@@ -85,6 +104,6 @@ def manual_requests(spark, d):
     return e.select("event_id", K.may_request().alias("allowed"), K.shortcut_action().alias("shortcut"))
 
 
-@query("rate_labels", "SELECT event_id, CASE WHEN r = 0 THEN '—' WHEN lo = hi THEN '≈' || lo ELSE '≈' || lo || '–' || hi END AS label FROM (SELECT event_id, r, greatest(1, CAST(floor(r * 0.88::DOUBLE + 0.5) AS BIGINT)) AS lo, greatest(1, CAST(floor(r * 1.12::DOUBLE + 0.5) AS BIGINT)) AS hi FROM (SELECT event_id, greatest(0, CAST(floor(value + 0.5) AS BIGINT)) AS r FROM events WHERE value < 800))")
+@query("rate_labels", "SELECT event_id, CASE WHEN r = 0 THEN '—' WHEN lo = hi THEN '≈' || format('{:,}', lo) ELSE '≈' || format('{:,}', lo) || '–' || format('{:,}', hi) END AS label FROM (SELECT event_id, r, greatest(1, CAST(floor(r * 0.88::DOUBLE + 0.5) AS BIGINT)) AS lo, greatest(1, CAST(floor(r * 1.12::DOUBLE + 0.5) AS BIGINT)) AS hi FROM (SELECT event_id, greatest(0, CAST(floor(value + 0.5) AS BIGINT)) AS r FROM events))")
 def rate_labels(spark, d):
-    return events(spark, d).where("value < 800").select("event_id", R.rate_label(R.rate_range(F.col("value"))).alias("label"))
+    return events(spark, d).select("event_id", R.rate_label(R.rate_range(F.col("value"))).alias("label"))

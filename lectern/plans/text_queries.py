@@ -128,11 +128,10 @@ def lines_without_repeats(spark, d):
 LATIN_RUN = r"[A-Za-z][A-Za-z0-9'’._/+:-]*(?:[ \t]+[A-Za-z][A-Za-z0-9'’._/+:-]*)*"
 
 
-@query("mixed_segments", f"{TEXTS}, p AS (SELECT tid, regexp_extract_all(text, {q(LATIN_RUN)}) AS m, regexp_split_to_array(text, {q(LATIN_RUN)}) AS g FROM texts) SELECT tid, CAST(len(list_filter(m, lambda x: {has('x', NWS)})) AS BIGINT) AS latin, CAST(len(list_filter(g, lambda x: {has('x', NWS)})) AS BIGINT) AS other FROM p")
+@query("mixed_segments", f"{TEXTS}, p AS (SELECT tid, regexp_extract_all(text, {q(LATIN_RUN)}) AS m, regexp_split_to_array(text, {q(LATIN_RUN)}) AS g FROM texts) SELECT tid, array_to_string(list_filter(flatten(list_transform(range(1, len(g) + 1), lambda i: ['zh:' || g[i], 'en:' || coalesce(m[i], '')])), lambda x: {has('substr(x, 4)', NWS)}), chr(1)) AS parts FROM p")
 def mixed_segments(spark, d):
     m = texts(spark, d).select("tid", T.mixed_segments(line(), F.lit("zh")).alias("m"))
-    n = lambda lang: F.size(F.filter("m", lambda s: s["language"] == lang)).cast("long")
-    return m.select("tid", n("en").alias("latin"), n("zh").alias("other"))
+    return m.select("tid", F.array_join(F.transform("m", lambda s: F.concat_ws(":", s["language"], s["text"])), "\x01").alias("parts"))
 
 
 @query("point_lines", f"{NORMED} SELECT tid, {rep(rep(rep('c', rf'({CJK}){WS}+({CJK}|[、。，！？；：])', r'\1\2'), rf'({CJK}){WS}+({CJK}|[、。，！？；：])', r'\1\2'), rf'([、。，！？；：]){WS}+({CJK})', r'\1\2')} AS clean FROM normed")
@@ -140,10 +139,17 @@ def point_lines(spark, d):
     return texts(spark, d).select("tid", T.normalize_point_line(line()).alias("clean"))
 
 
-@query("boundary_separator", f"{TEXTS}, p AS (SELECT a.tid AS a, b.tid AS b, a.text AS x, b.text AS y FROM texts a JOIN texts b ON a.tid LIKE 'g:%' AND b.tid LIKE 'g:%') SELECT a, b, CASE WHEN {has('right(x, 1)', r'[\p{Han}\p{Hiragana}\p{Katakana}、。，！？；：」』》〉）】]')} AND {has('left(y, 1)', CJK)} THEN '' ELSE ' ' END AS sep FROM p")
+SEPARATOR = f"CASE WHEN {has('right(x, 1)', r'[\p{Han}\p{Hiragana}\p{Katakana}、。，！？；：」』》〉）】]')} AND {has('left(y, 1)', CJK)} THEN '' ELSE ' ' END"
+
+
+@query("boundary_separator", f"{TEXTS}, p AS (SELECT doc_id || ':' || (n - 1) AS a, doc_id || ':' || n AS b, lag(text) OVER (PARTITION BY doc_id ORDER BY n) AS x, text AS y FROM lines UNION ALL SELECT a.tid, b.tid, a.text, b.text FROM texts a JOIN texts b ON a.tid LIKE 'g:%' AND b.tid LIKE 'g:%') SELECT a, b, {SEPARATOR} AS sep FROM p WHERE x IS NOT NULL")
 def boundary_separator(spark, d):
-    p = spark.createDataFrame([(f"g:{i}", f"g:{j}", x, y) for i, x in enumerate(GOLD) for j, y in enumerate(GOLD)], "a string, b string, x string, y string")
-    return p.select("a", "b", T.boundary_separator(F.col("x"), F.col("y")).alias("sep"))
+    """Between every line of a document and the next, and between any two of the golden texts (a few dozen)."""
+    rows = A.documents(spark, d).select("doc_id", F.split("text", "\n", -1).alias("t")).select("doc_id", F.posexplode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("x"), F.slice("t", 2, F.size("t")).alias("y"))).alias("n", "p"))
+    tid = lambda n: F.concat_ws(":", F.col("doc_id").cast("string"), n.cast("string"))
+    p = rows.select(tid(F.col("n")).alias("a"), tid(F.col("n") + 1).alias("b"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    gold = spark.createDataFrame([(f"g:{i}", f"g:{j}", x, y) for i, x in enumerate(GOLD) for j, y in enumerate(GOLD)], "a string, b string, x string, y string")
+    return p.unionByName(gold).select("a", "b", T.boundary_separator(F.col("x"), F.col("y")).alias("sep"))
 
 
 @query("toc_and_table_share", f"{TEXTS} SELECT split_part(tid, ':', 1) AS doc, round(avg(CASE WHEN {TOC} THEN 1.0 ELSE 0.0 END), 6) AS toc, round(avg(CASE WHEN {TABLE} THEN 1.0 ELSE 0.0 END), 6) AS tab FROM texts GROUP BY 1")
@@ -178,17 +184,23 @@ def first_sentence(spark, d):
     return texts(spark, d).select("tid", S.first_sentence(line()).alias("sentence"))
 
 
-@query("split_sentences", f"{TEXTS} SELECT tid, true AS whole FROM texts WHERE {trim('text')} <> ''")
+@query("split_sentences", f"{TEXTS} SELECT tid, {rep('text', WS, '')} AS joined FROM texts WHERE {trim('text')} <> ''")
 def split_sentences(spark, d):
-    """Whether the sentences of a line, put together again, are the line: always, or text was lost."""
-    j = texts(spark, d).where(T.trim(line()) != "").select("tid", "text", F.array_join(S.sentences(line()), "").alias("s"))
-    return j.select("tid", (F.regexp_replace("s", T.WS, "") == F.regexp_replace("text", T.WS, "")).alias("whole"))
+    """The sentences of a line, put together again without blanks: the line, or text was lost."""
+    j = texts(spark, d).where(T.trim(line()) != "").select("tid", F.array_join(S.sentences(line()), "").alias("s"))
+    return j.select("tid", F.regexp_replace("s", T.WS, "").alias("joined"))
+
 
+def _without_brackets(x):
+    """Innermost pairs go first; texts here nest no deeper than this."""
+    for _ in range(4):
+        x = rep(rep(x, r"\([^()（）]*\)", ""), r"（[^()（）]*）", "")
+    return squeeze(x)
 
-@query("strip_parentheses", f"{TEXTS} SELECT tid, CASE WHEN {has('text', '[()（）]')} THEN NULL ELSE {squeeze('text')} END AS plain FROM texts")
+
+@query("strip_parentheses", f"{TEXTS} SELECT tid, {_without_brackets(squeeze('text'))} AS plain FROM texts")
 def strip_parentheses(spark, d):
-    """Texts without brackets only change in their blanks; the others are golden cases."""
-    return texts(spark, d).select("tid", F.when(~line().rlike("[()（）]"), S.strip_balanced(line())).alias("plain"))
+    return texts(spark, d).select("tid", S.strip_balanced(line()).alias("plain"))
 
 
 @query("phoneme_batches")
@@ -196,7 +208,11 @@ def phoneme_batches(spark, d):
     return texts(spark, d).select("tid", F.posexplode(T.phoneme_batches(line(), list("abcdefghijklmnopqrstuvwxyz"), 60)).alias("batch", "phonemes"))
 
 
-@query("document_ids")
+FINGERPRINT = "'v1:b%C3%BCch%20' || doc_id || '!.pdf:' || n_chars || ':' || (doc_id * 1000)"
+FNV = "list_reduce([CAST(2166136261 AS BIGINT)] || list_transform(range(1, length(f) + 1), lambda i: CAST(unicode(f[i]) AS BIGINT)), lambda h, u: (xor(h, u) * 16777619) % 4294967296)"
+
+
+@query("document_ids", f"SELECT doc_id, f AS fingerprint, 'doc_' || ltrim(array_to_string(list_transform(range(6, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((h // CAST(pow(36, i) AS BIGINT)) % 36 AS BIGINT) + 1, 1)), ''), '0') AS id FROM (SELECT doc_id, f, {FNV} AS h FROM (SELECT doc_id, {FINGERPRINT} AS f FROM documents))")
 def document_ids(spark, d):
     x = A.documents(spark, d).select("doc_id", T.document_fingerprint(F.concat(F.lit("Büch "), F.col("doc_id").cast("string"), F.lit("!.pdf")), F.col("n_chars"), F.col("doc_id") * 1000).alias("fingerprint"))
     return x.withColumn("id", T.document_id(F.col("fingerprint")))

@@ -28,9 +28,9 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-def segment(document: Column, page: Column, ordinal: Column, text: Column, box: Column, **more: Column) -> list[Column]:
+def segment(document: Column, page: Column, ordinal: Column, text: Column, box: Column, trimmed: bool = False, **more: Column) -> list[Column]:
     """The columns of a text segment, coerced: trimmed text, language hint, confidence within 0 and 1."""
-    t = T.trim(F.coalesce(text, F.lit("")))
+    t = text if trimmed else T.trim(F.coalesce(text, F.lit("")))
     whole = lambda c: F.greatest(F.lit(0), F.floor(G.finite(c) + 0.5)).cast("int")
     none = lambda kind: F.lit(None).cast(kind)
     return [
@@ -43,11 +43,11 @@ def segment(document: Column, page: Column, ordinal: Column, text: Column, box:
 
 def document_segments(docs: DataFrame) -> DataFrame:
     """One segment for each line of text: 40 lines a page of 612 x 792, boxes 14 apart and 6 wide a character."""
-    rows = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    rows = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+    rows = T.once(rows, "line", T.trim(F.col("raw"))).where("line <> ''")
     n = F.col("line_no")
-    box = F.struct(F.lit(50.0).alias("x"), (40 + 14 * (n % 40)).cast("double").alias("y"), F.least(F.lit(512.0), 6.0 * F.char_length("line")).alias("width"), F.lit(12.0).alias("height"))
-    out = rows.select(*segment(F.col("doc_id"), F.floor(n / 40), n % 40, F.col("line"), box, hasEOL=F.lit(True)))
-    return out.where("text <> ''")
+    box = F.struct(F.lit(50.0).alias("x"), (40 + 14 * (n % 40)).cast("double").alias("y"), F.least(F.lit(512.0), 6.0 * F.char_length("raw")).alias("width"), F.lit(12.0).alias("height"))
+    return rows.select(*segment(F.col("doc_id"), F.floor(n / 40), n % 40, F.col("line"), box, trimmed=True, hasEOL=F.lit(True)))
 
 
 ITEMS = "array<struct<str:string,transform:array<double>,width:double,height:double,hasEOL:boolean,fontName:string,dir:string>>"

@@ -62,15 +62,19 @@ def joined(files: list[bytes]) -> bytes:
     return write(b"".join(p["data"] for p in parts), parts[0]["sampleRate"], parts[0]["channels"])
 
 
+#: What counts as silence (absolute, and as a share of the peak), and the seconds of it that stay.
+FLOOR, SHARE, MARGIN = 1e-4, 1e-3, 0.03
+
+
 def trim_silence(samples, rate: int = 24_000) -> np.ndarray:
-    """Samples without the quiet ends, 30 ms of them kept."""
-    x = np.asarray(samples, np.float32).ravel()
-    peak = float(np.abs(x).max()) if x.size else 0.0
-    loud = np.flatnonzero(np.abs(x) >= max(1e-4, peak * 1e-3)) if peak > 0 else np.zeros(0, int)
-    if not loud.size:
+    """Samples without the quiet at both ends but for a margin; all of them if nothing is loud."""
+    x = np.ravel(np.asarray(samples, np.float32))
+    level = np.abs(x)
+    loud = level >= max(FLOOR, SHARE * float(level.max(initial=0)))
+    if not loud.any():
         return x
-    pad = int(rate * 0.03)
-    return x[max(0, int(loud[0]) - pad) : min(x.size, int(loud[-1]) + pad + 1)]
+    quiet = [max(0, int(side.argmax()) - int(MARGIN * rate)) for side in (loud, loud[::-1])]
+    return x[quiet[0] : len(x) - quiet[1]]
 
 
 def parse_wave(c):
@@ -87,9 +91,9 @@ def floats_to_wave(c):
     return F.pandas_udf(run, "binary")(c)
 
 
-def trimmed(c):
+def trimmed(c, rate: int = 24_000):
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: trim_silence(v).tolist())
+        return x.map(lambda v: trim_silence(v, rate).tolist())
 
     return F.pandas_udf(run, "array<float>")(c)
 
