@@ -32,7 +32,7 @@ from . import common, tokens
 #: Words and bytes of the benchmark that are searched at once.
 BLOCK, BLOCK_BYTES = 200_000, 16 << 20
 #: Bytes of text in a shard.
-SHARD = 4 << 20
+SHARD = 1 << 20
 
 
 class Suffixes:

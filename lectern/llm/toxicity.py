@@ -26,6 +26,7 @@ them on whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ LEAST_DOCS, LEAST_SHARE = 5, 150
 K, BLOCK, IDF_POWER = 15, 64, 2
 STEMS = (4, 6)
 #: Terms of the index that are kept as block columns; texts scored at once; scores that a worker remembers.
-DENSE, TEXTS, KNOWN = 1024, 512, 20_000
+DENSE, TEXTS, KNOWN = 1024, 256, 20_000
+#: Entries of candidates that are summed at once: any number of examples may tie.
+ENTRIES = 1 << 18
 
 
 def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +119,7 @@ class Model:
         w = np.concatenate([own[i][1] for i in self.place]) if n else np.zeros(0)
         self.start = np.concatenate(([0], np.cumsum([len(own[i][0]) for i in self.place]))).astype(int)
         self.term, self.w = term.astype(np.int32), w.astype(np.float32)  # by place
+        del w
         at = np.repeat(np.arange(n), np.diff(self.start))
         df = np.bincount(term, minlength=len(vocabulary))
         often = np.sort(np.argsort(-df, kind="stable")[:DENSE])
@@ -124,19 +128,20 @@ class Model:
         self.heads = np.arange(0, n, block)
         dense = self.column[term] >= 0
         self.cols = np.zeros((len(often), n), np.float32)
-        self.cols[self.column[term[dense]], at[dense]] = w[dense]
+        self.cols[self.column[term[dense]], at[dense]] = self.w[dense]
         self.most = np.maximum.reduceat(self.cols, self.heads, axis=1) if n else np.zeros((len(often), 0), np.float32)
         order = np.argsort(term[~dense], kind="stable")
         self.list = np.concatenate(([0], np.cumsum(np.where(self.column < 0, df, 0))))  # posting lists of the rare terms
-        self.list_at, self.list_w = at[~dense][order], w[~dense][order].astype(np.float32)
+        self.list_at, self.list_w = at[~dense][order], self.w[~dense][order]
         self.steps = None
         if n or self.none:
             back = np.argsort(self.place)
+            del term, dense, order, at
             raw = [self._vote(i, s) for a in range(0, n, TEXTS) for i, s in self.nearest_of(own[a : a + TEXTS], back[a : a + TEXTS])]
             self.steps = isotonic(np.array(raw + [self.prior()] * len(self.none)), np.concatenate((self.y, np.array(self.none, float))))
 
     def weights(self, terms, tf) -> tuple[np.ndarray, np.ndarray]:
-        t = np.asarray(terms, int)
+        t = terms if isinstance(terms, np.ndarray) else np.array(terms, int)
         w = np.asarray(tf, float) * self.idf[t]
         return t, w / (np.sqrt((w * w).sum()) or 1.0)
 
@@ -179,23 +184,26 @@ class Model:
         if skip is not None:
             sums[np.arange(d), skip] = -1
         worst = np.maximum(0, np.partition(sums, n - self.k, axis=1)[:, n - self.k]) if n > self.k else np.zeros(d, np.float32)
-        close = sums >= np.maximum(worst - np.float32(2e-5), np.float32(1e-30))[:, None]
-        for a in range(0, d, 32):  # sums again in double precision
-            some = queries[a : a + 32]
-            scratch = np.zeros((len(some), len(self.vocabulary)))
-            for q, (t, w) in enumerate(some):
-                scratch[q, t] = w
-            q, at = np.nonzero(close[a : a + 32])
-            size = self.start[at + 1] - self.start[at]
-            own = _runs(self.start[at], size)
-            parts = scratch.ravel()[np.repeat(q * len(self.vocabulary), size) + self.term[own]] * self.w[own]
-            s = np.add.reduceat(parts, np.cumsum(size) - size) if len(at) else np.zeros(0)
-            i = self.place[at]
-            order = np.lexsort((i, -s, q))
-            ends = np.searchsorted(q, np.arange(len(some) + 1))
-            for x, y in zip(ends[:-1], ends[1:], strict=True):
-                top = order[x : min(y, x + self.k)]
+        q, at = np.nonzero(sums >= np.maximum(worst - np.float32(2e-5), np.float32(1e-30))[:, None])
+        size = self.start[at + 1] - self.start[at]
+        ends = np.searchsorted(q, np.arange(d + 1))
+        work = np.concatenate(([0], np.cumsum(size)))[ends]
+        a = 0
+        while a < d:  # sums again in double precision, as many at once as take little memory
+            z = min(max(a + 1, int(np.searchsorted(work, work[a] + ENTRIES, "right")) - 1), a + 32, d)
+            scratch = np.zeros((z - a, len(self.vocabulary)))
+            for k, (t, w) in enumerate(queries[a:z]):
+                scratch[k, t] = w
+            x, y = ends[a], ends[z]
+            own = _runs(self.start[at[x:y]], size[x:y])
+            parts = scratch.ravel()[np.repeat((q[x:y] - a) * len(self.vocabulary), size[x:y]) + self.term[own]] * self.w[own]
+            s = np.add.reduceat(parts, np.cumsum(size[x:y]) - size[x:y]) if y > x else np.zeros(0)
+            i = self.place[at[x:y]]
+            order = np.lexsort((i, -s, q[x:y]))
+            for u, v in zip(ends[a:z] - x, ends[a + 1 : z + 1] - x, strict=True):
+                top = order[u : min(v, u + self.k)]
                 yield i[top], s[top]
+            a = z
 
     def _vote(self, i: np.ndarray, s: np.ndarray) -> float:
         w = 1 / (1.05 - np.minimum(s, 1))
@@ -352,7 +360,7 @@ def _scored(model: Model, known: dict, text: pa.Array) -> list[tuple[float, list
     for _, _, data, off in tokens.chunks(text):
         ends, t, tf = vectors(data, off, model.vocabulary)
         for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            keys.append(t[x:y].tobytes() + tf[x:y].tobytes())
+            keys.append(blake2b(t[x:y].tobytes() + tf[x:y].tobytes(), digest_size=16).digest())
             if keys[-1] not in known:
                 new[keys[-1]] = t[x:y], tf[x:y]
     known.update(zip(new, model.scores(list(new.values())), strict=True))

@@ -93,3 +93,14 @@ def test_terms_of_both_labels_are_in_the_vocabulary(spark):
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
     _, _, h, _ = tx.tokens.words(data, np.array([0, len(data)]), tx.tokens.ALNUM)
     assert set(h.tolist()) <= set(held.tolist())
+
+
+def test_many_ties():
+    rng = np.random.default_rng(5)
+    terms, tf = list(range(40)), [1] * 40
+    examples = [(i, terms, tf, int(i % 2)) for i in range(3000)] + [(9000 + i, sorted(rng.choice(60, 5, replace=False).tolist()), [1] * 5, 0) for i in range(200)]
+    m = tx.Model(np.arange(60, dtype=np.uint64), np.ones(60), examples, k=7, block=16)
+    v = m.weights(terms, tf)
+    for i, s in m.nearest_of([v] * 40):
+        assert i.tolist() == list(range(7)) and np.allclose(s, 1)
+    assert m.nearest(v, 0)[0].tolist() == list(range(1, 8))
