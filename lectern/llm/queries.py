@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, lines, matroska, mixing, pii, secrets, token_counts, toxicity
+from . import chat, decontaminate, jaccard, lines, matroska, mixing, pii, secrets, sql_queries, token_counts, toxicity
 
 
 def queries():
@@ -17,8 +17,9 @@ def queries():
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_matroska": matroska.op9_matroska,
         "op10_token_counts": token_counts.op10_token_counts,
+        **sql_queries.QUERIES,
     }
 
 
 def oracle_sql():
-    return {}
+    return dict(sql_queries.SQL)
