@@ -4,13 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, lines, matroska, mixing, token_counts
+from . import chat, decontaminate, jaccard, lines, matroska, mixing, pii, secrets, token_counts
 
 #: A-Z as a-z, other letters as they are.
 LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACED, ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spans(kind: str, pattern: str, valid: str, rank: int) -> str:
+    """List of (start, rank, span) of the valid matches of a pattern in `body`; `valid` is a condition on v."""
+    m, g = f"regexp_extract_all(body, {_q(pattern)})", f"regexp_split_to_array(body, {_q(pattern)})"
+    size = lambda x, n: f"coalesce(list_sum(list_transform({x}[1 : {n}], lambda y: length(y))), 0)"
+    found = f"list_transform(range(1, len(m) + 1), lambda i: {{'start': CAST({size('g', 'i')} + {size('m', 'i - 1')} AS BIGINT), 'v': m[i]}})"
+    return f"(SELECT list_transform(list_filter({found}, lambda s: {valid.replace('v.', 's.v')}), lambda s: {{'start': s.start, 'rank': {rank}, 'span': '{kind}:' || s.start || ':' || (s.start + length(s.v))}}) FROM (SELECT {m} AS m, {g} AS g)) AS {kind}"
+
+
+DIGITS = "regexp_replace(v., '[^0-9]', '', 'g')"
+LUHN = f"list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda i: CASE WHEN (length({DIGITS}) - i) % 2 = 0 THEN CAST({DIGITS}[i] AS INTEGER) WHEN CAST({DIGITS}[i] AS INTEGER) > 4 THEN 2 * CAST({DIGITS}[i] AS INTEGER) - 9 ELSE 2 * CAST({DIGITS}[i] AS INTEGER) END)) % 10 = 0"
+#: The patterns as stated: (kind, pattern, condition on the match v).
+PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and(list_transform(string_split(v., '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(ltrim(p, '0') AS BIGINT), 0) <= 255))"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({DIGITS}) BETWEEN 16 AND 19 AND {LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) BETWEEN 8 AND 15"),
+]
+ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?"""
+SECRETS = [
+    ("assign", ASSIGN + r"[A-Za-z0-9+/_.=-]+", f"length(regexp_extract(v., {_q('^' + ASSIGN + r'([A-Za-z0-9+/_.=-]+)$')}, 1)) >= 6"),
+    ("access", r"AKIA[A-Z0-9]+", "length(v.) >= 20"),
+    ("hex", r"[0-9a-f]+", "length(v.) >= 24"),
+]
+
+
+def _base(kinds: list[tuple[str, str, str]], order: str) -> str:
+    """doc_id, the number of spans of each kind and the digest of all, in the order of the key."""
+    cols = ", ".join(_spans(k, p, v, i) for i, (k, p, v) in enumerate(kinds))
+    both = " || ".join(k for k, _, _ in kinds)
+    joined = f"array_to_string(list_transform(list_sort(list_transform({both}, lambda s: {{'key': {order}, 'span': s.span}})), lambda s: s.span), ',')"
+    return f"SELECT doc_id, {', '.join(f'CAST(len({k}) AS BIGINT) AS n_{k}' for k, _, _ in kinds)}, sha256({joined}) AS base_sha256 FROM (SELECT doc_id, {cols} FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents))"
+
+
 QUERIES = {
+    "pii_base_spans": lambda s, d: pii.op3_pii(s, d).drop("spans"),
+    "secret_base_spans": lambda s, d: secrets.op5_secrets(s, d).drop("spans", "n_live"),
     "mix_targets": lambda s, d: mixing.op1_mixing(s, d).select("doc_id", "size", "source_size", F.round("target", 4).alias("target")),
     "chat_digests": lambda s, d: chat.op2_chat_formatting(s, d).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256"),
     "shingle_counts": lambda s, d: jaccard.op4_ngram_jaccard_join(s, d).select("doc_id", "n_shingles"),
@@ -21,6 +61,8 @@ QUERIES = {
 }
 
 SQL = {
+    "pii_base_spans": _base(PII, "s.rank * 1000000000000 + s.start"),
+    "secret_base_spans": _base(SECRETS, "s.start * 10 + s.rank"),
     # sources in code point order weigh 5, 2, 1; those that reach 3 times their size first (by size and weight) are full
     "mix_targets": f"""WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACED}')) AS size FROM documents), p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s GROUP BY source),
         w AS (SELECT *, [5, 2, 1][CAST(i % 3 AS INTEGER) + 1] AS weight, sum(source_size) OVER () AS total FROM p), t AS (SELECT *, total - 3 * coalesce(sum(source_size) OVER o, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS share FROM w WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
