@@ -132,6 +132,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3,
     c = c.withColumn("k", sums(W.partitionBy("sid", "run").orderBy("shard"))).join(heads, ["sid", "run"]).withColumn("k", F.col("k") + F.col("head"))
     c = c.withColumn("slot", sums(W.partitionBy("shard").orderBy("sid"))).withColumn("held", F.sum("n").over(W.partitionBy("shard")))
     c = c.join(common.small(p.drop("first", "all")), "sid")
+    c = c.repartition(max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", "sid")  # few rows of many slots
     s = c.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("k", F.col("k") + F.col("i"))
     s = s.withColumn("block", permuted(F.expr("k % blocks"), F.col("blocks"), F.concat_ws(":", F.lit(seed), "sid", F.expr("k div blocks"))))
     s = s.withColumn("slot", permuted(F.col("slot") + F.col("i"), F.col("held"), F.concat_ws("/", F.lit(seed), "shard")))
