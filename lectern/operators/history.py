@@ -56,7 +56,8 @@ def without(records: DataFrame, removed: DataFrame, key: str = "id") -> DataFram
 
 def activate(opened: DataFrame, records: DataFrame) -> DataFrame:
     """opened: fingerprint, id. The record of each among the 18 most recent, by fingerprint or id."""
-    r = records.withColumn("_n", F.row_number().over(W.orderBy(F.desc("updatedAt"), "id"))).where("_n <= 18").select(F.col("id").alias("recordId"), F.col("fingerprint").alias("_f"), "lastSpeedPxPerSecond", "lastBandKey", "_n")
+    latest = records.orderBy(F.desc("updatedAt"), "id").limit(18)  # only these are numbered in one task
+    r = latest.withColumn("_n", F.row_number().over(W.orderBy(F.desc("updatedAt"), "id"))).select(F.col("id").alias("recordId"), F.col("fingerprint").alias("_f"), "lastSpeedPxPerSecond", "lastBandKey", "_n")
     d = opened.join(F.broadcast(r), (F.col("_f") == F.col("fingerprint")) | (F.col("recordId") == F.col("id")), "left")  # 18 rows at most
     return d.groupBy("fingerprint", "id").agg(F.min_by(F.struct("recordId", "lastSpeedPxPerSecond", "lastBandKey"), "_n").alias("r")).select("fingerprint", "id", "r.*")
 

@@ -14,11 +14,16 @@ from ..operators.flow import ACTIONS, Passage, State, advance
 STATE = "context string, position double, prepared string, handled string"
 
 
-def actions(readings: DataFrame, passages: dict[str, list[tuple[str, str | None, float, float]]], idle_ms: int | None = None) -> DataFrame:
+def actions(readings: DataFrame, passages: DataFrame | dict[str, list[tuple[str, str | None, float, float]]], idle_ms: int | None = None) -> DataFrame:
     """Actions of paragraph flow for a stream of readings (reader, step, context, position, playing, ready, jumped).
-    passages: (key, lead, start, end) by reader, the small static side. With `idle_ms` a reader's state goes
-    after so long unused (such queries run batches without data, so they need a continuous trigger)."""
-    known = {k: [Passage(*p) for p in sorted(v, key=lambda p: (p[2], p[3], p[0]))] for k, v in passages.items()}
+    passages: a static table (reader, key, lead, start, end), which each batch joins by reader, or a few of them as
+    (key, lead, start, end) by reader. With `idle_ms` a reader's state goes after so long unused (such queries run batches
+    without data, so they need a continuous trigger)."""
+    if not isinstance(passages, DataFrame):
+        rows = [(reader, *p) for reader, own in passages.items() for p in own]
+        passages = readings.sparkSession.createDataFrame(rows, "reader string, key string, lead string, start double, end double")
+    own = F.array_sort(F.collect_list(F.struct("start", "end", "key", "lead")))
+    readings = readings.join(passages.groupBy("reader").agg(own.alias("passages")), "reader", "left")
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
@@ -28,9 +33,11 @@ def actions(readings: DataFrame, passages: dict[str, list[tuple[str, str | None,
         if held.exists:
             c, p, q, h = held.get
             state = State(c, p, q, json.loads(h))
-        rows = []
+        rows, known = [], None
         for r in pd.concat(list(chunks)).sort_values("step").itertuples():
-            state, found = advance(state, r.context, None if pd.isna(r.position) else r.position, bool(r.playing), known.get(key[0], []), r.ready, bool(r.jumped))
+            if known is None:  # the same in all rows of a reader
+                known = [Passage(p["key"], p["lead"], p["start"], p["end"]) for p in (r.passages if r.passages is not None else [])]
+            state, found = advance(state, r.context, None if pd.isna(r.position) else r.position, bool(r.playing), known, r.ready, bool(r.jumped))
             rows += [(key[0], r.step, a["type"], a["key"], a["reason"]) for a in found]
         held.update((state.context, state.position, state.prepared, json.dumps(state.handled)))
         if idle_ms:
