@@ -118,9 +118,9 @@ class Model:
         term = np.concatenate([own[i][0] for i in self.place]) if n else np.zeros(0, int)
         w = np.concatenate([own[i][1] for i in self.place]) if n else np.zeros(0)
         self.start = np.concatenate(([0], np.cumsum([len(own[i][0]) for i in self.place]))).astype(int)
-        self.term, self.w = term.astype(np.int32), w.astype(np.float32)  # by place
+        self.term, self.w = np.asarray(term, np.int32), w.astype(np.float32)  # by place
         del w
-        at = np.repeat(np.arange(n), np.diff(self.start))
+        at = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.start))
         df = np.bincount(term, minlength=len(vocabulary))
         often = np.sort(np.argsort(-df, kind="stable")[:DENSE])
         self.column = np.full(len(vocabulary), -1, np.int32)
@@ -132,12 +132,12 @@ class Model:
         self.most = np.maximum.reduceat(self.cols, self.heads, axis=1) if n else np.zeros((len(often), 0), np.float32)
         order = np.argsort(term[~dense], kind="stable")
         self.list = np.concatenate(([0], np.cumsum(np.where(self.column < 0, df, 0))))  # posting lists of the rare terms
-        self.list_at, self.list_w = at[~dense][order], self.w[~dense][order]
+        self.list_at, self.list_w = at[~dense][order].astype(np.intp), self.w[~dense][order]
         self.steps = None
         if n or self.none:
             back = np.argsort(self.place)
             del term, dense, order, at
-            raw = [self._vote(i, s) for a in range(0, n, TEXTS) for i, s in self.nearest_of(own[a : a + TEXTS], back[a : a + TEXTS])]
+            raw = [self._vote(i, s) for a in range(0, n, 64) for i, s in self.nearest_of(own[a : a + 64], back[a : a + 64])]
             self.steps = isotonic(np.array(raw + [self.prior()] * len(self.none)), np.concatenate((self.y, np.array(self.none, float))))
 
     def weights(self, terms, tf) -> tuple[np.ndarray, np.ndarray]:
