@@ -271,7 +271,7 @@ def best_stats(spark, d):
     return Q.best_stats(_resolved(spark, d), stats(1), stats(2).where("pageIndex % 3 = 1")).select("documentId", "pageIndex", "stats.words")
 
 
-@query("selected_chunks")
+@query("selected_chunks", f"SELECT b.documentId, b.pageIndex, k AS chunkIndex, c AS text FROM ({FOLD} SELECT documentId, pageIndex, k, c FROM bx) b JOIN ({ASSESS}, s AS (SELECT documentId, pageIndex, reasons, CAST(documentId AS BIGINT) % 4 AS hash_ FROM a) SELECT documentId, pageIndex FROM s WHERE {STATE} = 'native-ready') r ON b.documentId = r.documentId AND b.pageIndex = r.pageIndex")
 def selected_chunks(spark, d):
     c = C.segments_to_chunks(segments(spark, d), page=page())
     return Q.select_chunks(c, _resolved(spark, d)).select("documentId", "pageIndex", "chunkIndex", "text")

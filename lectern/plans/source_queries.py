@@ -88,6 +88,15 @@ def reader_state_round_trip(spark, d):
     return s.select("name", F.get_json_object("j", "$.updatedAt").alias("updated"))
 
 
+@query("cleared_states", "SELECT CAST(user_id AS VARCHAR) AS reader, last AS created, false AS tts, 16 AS speed, 6 AS recent, 0.28::DOUBLE AS volume FROM (SELECT user_id, CAST(max(event_id) AS VARCHAR) AS last FROM events GROUP BY user_id)")
+def cleared_states(spark, d):
+    """Every reader's state after clearing it at the reader's last event."""
+    r = events(spark, d).groupBy(F.col("user_id").cast("string").alias("reader")).agg(F.max("event_id").cast("string").alias("last"))
+    r = r.withColumn("s", A.cleared_state(F.col("last")))
+    p = F.col("s.preferences")
+    return r.select("reader", F.col("s.createdAt").alias("created"), p["ttsEnabled"].alias("tts"), p["defaultSpeedPxPerSecond"].alias("speed"), p["recentDocumentLimit"].alias("recent"), p["soundCueVolume"].alias("volume"))
+
+
 @query("activated_documents", "SELECT 'f' || u AS fingerprint, CASE WHEN n <= 18 THEN 'd' || u END AS record FROM (SELECT user_id AS u, row_number() OVER (ORDER BY lpad(CAST(max(event_id) AS VARCHAR), 12, '0') DESC, 'd' || user_id) AS n FROM events GROUP BY user_id)")
 def activated_documents(spark, d):
     r = events(spark, d).groupBy("user_id").agg(F.lpad(F.max("event_id").cast("string"), 12, "0").alias("updatedAt"))

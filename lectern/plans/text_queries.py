@@ -203,7 +203,7 @@ def strip_parentheses(spark, d):
     return texts(spark, d).select("tid", S.strip_balanced(line()).alias("plain"))
 
 
-@query("phoneme_batches")
+@query("phoneme_batches", f"{TEXTS} SELECT tid, CAST(unnest(range(0, len(b))) AS INTEGER) AS batch, unnest(b) AS phonemes FROM (SELECT tid, list_transform(regexp_extract_all(text, '(?:[^a-z]*[a-z]){{1,60}}[^a-z]*'), lambda x: {trim('x')}) AS b FROM texts)")
 def phoneme_batches(spark, d):
     return texts(spark, d).select("tid", F.posexplode(T.phoneme_batches(line(), list("abcdefghijklmnopqrstuvwxyz"), 60)).alias("batch", "phonemes"))
 

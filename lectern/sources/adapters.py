@@ -184,3 +184,8 @@ def read_state(raw: Column, now: Column) -> Column:
 def write_state(state: Column, now: Column) -> Column:
     """JSON text of a state, stamped."""
     return F.to_json(state.withField("updatedAt", now))
+
+
+def cleared_state(now: Column) -> Column:
+    """The state of a reader that has been cleared: all defaults."""
+    return read_state(F.lit(None).cast("string"), now)
