@@ -16,6 +16,9 @@ BROADCAST_ROWS, NARROW_ROWS = 300_000, 500_000
 BATCH_BYTES = 4 << 20
 
 
+_OWN: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,7 +35,12 @@ def _folder(df: DataFrame) -> str:
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
         held = sc._jsc.sc().getCheckpointDir()
-    return held.get()
+    path = held.get()
+    if path not in _OWN:  # a folder of this application alone: what is left of it goes with the application
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+        _OWN.add(path)
+    return path
 
 
 @contextmanager

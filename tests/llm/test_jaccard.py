@@ -74,3 +74,39 @@ def test_threshold_is_inclusive(spark, edge):
     a = [f"w{i}" for i in range(13)]
     b = a[: shared + 3] + [f"z{i}" for i in range(13 - shared - 3)]
     check(spark, [(1, " ".join(a), "", 1, ""), (2, " ".join(b), "", 1, "")])
+
+
+def test_one_of_each_with_clashing_names(spark):
+    from lectern.llm.jaccard import one_of_each
+
+    d = spark.createDataFrame([(2, "a b c d e f", 7, "k", 1), (1, "a b c d e f", 8, "l", 2), (3, "other words", 9, "m", 3), (1, "a b c d e f", 8, "l", 2)], "doc_id long, text string, id long, tkey string, _id int")
+    out = one_of_each(d)
+    assert out.columns == d.columns and sorted(map(tuple, out.collect())) == [(1, "a b c d e f", 8, "l", 2), (3, "other words", 9, "m", 3)]
+
+
+def test_a_token_in_every_document(spark, monkeypatch):
+    """One passage in all documents, more of them than HOT: it moves to the end of the order and nothing is lost."""
+    from lectern.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HOT", 6)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+    passage = [word() for _ in range(9)]
+    rows = []
+    for i in range(30):
+        w = passage + [word() for _ in range(rng.choice([2, 8, 30]))]
+        rows.append((2 * i, " ".join(w), "", 1, ""))
+        w[-1] = rng.choice([w[-1], "x"])
+        rows.append((2 * i + 1, " ".join(w), "", 1, ""))
+    check(spark, rows)
+
+
+def test_query(spark, tmp_path):
+    from lectern.llm.jaccard import op4_ngram_jaccard_join
+
+    rng = random.Random(4)
+    base = [" ".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(6)]
+    rows = [(i, base[i % 6] + (" z" if i % 4 == 0 else ""), "", 1, "") for i in range(24)] + [(50, None, "", 1, "")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in op4_ngram_jaccard_join(spark, str(tmp_path)).collect())
+    assert got == brute(rows)

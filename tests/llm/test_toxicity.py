@@ -104,3 +104,17 @@ def test_many_ties():
     for i, s in m.nearest_of([v] * 40):
         assert i.tolist() == list(range(7)) and np.allclose(s, 1)
     assert m.nearest(v, 0)[0].tolist() == list(range(1, 8))
+
+
+def test_samples_are_bounded_and_the_same_again(corpus):
+    docs, labels, d, y = corpus
+    m = tx.fit(d, y, max_train=200, max_examples=60)
+    assert len(m.ids) + len(m.none) == 60
+    one, two = (sorted((str(r.doc_id), r.score) for r in tx.score(x, y, 200, 60).collect()) for x in (d, d.repartition(5)))
+    assert one == two and len(one) == len(docs)
+
+
+def test_clashing_names(spark, corpus):
+    _, _, _, y = corpus
+    d = spark.createDataFrame([(1, "a plain text", 3, "k", 0.5, 1, "e")], "doc_id long, text string, id long, tkey string, score double, toxic int, bad_key string")
+    assert tx.without_toxic(d, y).columns == d.columns and tx.without_toxic(d, y.withColumnRenamed("quality", "id")).count() == 1
