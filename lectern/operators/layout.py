@@ -57,8 +57,9 @@ def lines(segments: DataFrame, tolerance: float = 8, system: str = "top-down", p
     one = lambda c: F.when(F.count_distinct(c) == 1, F.min(c))
     g = parts.groupBy(*PAGE, "row", "part").agg(along.alias("s"), union_box(b["x"], b["y"], b["width"], b["height"]).alias("bbox"), F.min("confidence").alias("confidence"), one("paragraphId").alias("paragraphId"), one("blockId").alias("blockId"), F.bool_or("hasEOL").alias("hasEOL"))
     of = lambda k: F.transform("s", lambda i: i[k])
-    g = g.select(*PAGE, "row", "part", T.normalize_artifacts(F.array_join(of("text"), " ")).alias("text"), "bbox", of("segmentIndex").alias("sourceSegmentIds"), F.get(of("source"), F.lit(0)).alias("source"), "confidence", "paragraphId", "blockId", "hasEOL", F.array_distinct(F.array_compact(of("fontName"))).alias("fontNames"), F.get(F.array_compact(of("direction")), F.lit(0)).alias("direction"))
-    return g.where("text <> ''").withColumn("lineIndex", F.row_number().over(W.partitionBy(*PAGE).orderBy("row", "part")) - 1).drop("row", "part")
+    g = T.once(g, "text", T.normalize_artifacts(F.array_join(of("text"), " "))).where("text <> ''")
+    g = g.select(*PAGE, "row", "part", "text", "bbox", of("segmentIndex").alias("sourceSegmentIds"), F.get(of("source"), F.lit(0)).alias("source"), "confidence", "paragraphId", "blockId", "hasEOL", F.array_distinct(F.array_compact(of("fontName"))).alias("fontNames"), F.get(F.array_compact(of("direction")), F.lit(0)).alias("direction"))
+    return g.withColumn("lineIndex", F.row_number().over(W.partitionBy(*PAGE).orderBy("row", "part")) - 1).drop("row", "part")
 
 
 def reading_order(lines: DataFrame, system: str = "top-down", page_width: Column | None = None, least: int = 4) -> DataFrame:
