@@ -40,7 +40,7 @@ COMMON = 1 << 18
 #: Rounds of grouping, at most; what they leave apart is compared through the matrix.
 ROUNDS = 3
 #: Shingles gathered before those that repeat among them are counted.
-RUN = 1 << 20
+RUN = 1 << 19
 #: First tokens that similar sets must share, at least.
 LEVEL = 4
 #: Classes that may have a token among their first ones before it counts as common; how often the order is made anew.

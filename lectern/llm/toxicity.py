@@ -105,7 +105,8 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Vocabulary, document frequencies, block-max index of the examples and calibration."""
+    """Vocabulary, document frequencies, examples and calibration. What is sent to the tasks are the examples' vectors;
+    the block-max index is built from them where it is used."""
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple[int | None, list[int], list[int], int]], k: int = K, block: int = BLOCK):
         self.vocabulary, self.idf, self.k, self.block = Vocabulary(vocabulary), idf, k, block
@@ -113,32 +114,46 @@ class Model:
         some = [e for e in examples if len(e[1])]
         self.ids, self.y = [e[0] for e in some], np.array([e[3] for e in some], float)
         own = [self.weights(e[1], e[2]) for e in some]
-        n = len(some)
         self.place = _similar_first(own, block)  # example at each place of the index
-        term = np.concatenate([own[i][0] for i in self.place]) if n else np.zeros(0, int)
-        w = np.concatenate([own[i][1] for i in self.place]) if n else np.zeros(0)
         self.start = np.concatenate(([0], np.cumsum([len(own[i][0]) for i in self.place]))).astype(int)
-        self.term, self.w = np.asarray(term, np.int32), w.astype(np.float32)  # by place
-        del w
+        self.term = np.concatenate([np.zeros(0, np.int32), *(own[i][0].astype(np.int32) for i in self.place)])  # by place
+        self.w = np.concatenate([np.zeros(0, np.float32), *(own[i][1].astype(np.float32) for i in self.place)])
+        self.steps, self.cols = None, None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("cols", "most", "column", "list", "list_at", "list_w")} | {"cols": None}
+
+    def _index(self) -> None:
+        """Posting lists of the rare terms, block columns and their maxima of the frequent ones."""
+        n, term = len(self.place), self.term
         at = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.start))
-        df = np.bincount(term, minlength=len(vocabulary))
+        df = np.bincount(term, minlength=len(self.vocabulary))
         often = np.sort(np.argsort(-df, kind="stable")[:DENSE])
-        self.column = np.full(len(vocabulary), -1, np.int32)
+        self.column = np.full(len(self.vocabulary), -1, np.int32)
         self.column[often] = np.arange(len(often))
-        self.heads = np.arange(0, n, block)
         dense = self.column[term] >= 0
         self.cols = np.zeros((len(often), n), np.float32)
         self.cols[self.column[term[dense]], at[dense]] = self.w[dense]
-        self.most = np.maximum.reduceat(self.cols, self.heads, axis=1) if n else np.zeros((len(often), 0), np.float32)
-        order = np.argsort(term[~dense], kind="stable")
-        self.list = np.concatenate(([0], np.cumsum(np.where(self.column < 0, df, 0))))  # posting lists of the rare terms
-        self.list_at, self.list_w = at[~dense][order].astype(np.intp), self.w[~dense][order]
-        self.steps = None
-        if n or self.none:
-            back = np.argsort(self.place)
-            del term, dense, order, at
-            raw = [self._vote(i, s) for a in range(0, n, 64) for i, s in self.nearest_of(own[a : a + 64], back[a : a + 64])]
-            self.steps = isotonic(np.array(raw + [self.prior()] * len(self.none)), np.concatenate((self.y, np.array(self.none, float))))
+        self.most = np.maximum.reduceat(self.cols, self.heads, axis=1)
+        rare = np.flatnonzero(~dense)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.list = np.concatenate(([0], np.cumsum(np.where(self.column < 0, df, 0))))
+        self.list_at, self.list_w = at[rare].astype(np.intp), self.w[rare]
+
+    @property
+    def heads(self) -> np.ndarray:
+        return np.arange(0, len(self.place), self.block)
+
+    def left_out(self, places: np.ndarray) -> list[float]:
+        """The votes of the examples at these places, each without itself."""
+        own = [(self.term[a:b], self.w[a:b].astype(float)) for a, b in zip(self.start[places].tolist(), self.start[places + 1].tolist(), strict=True)]
+        return [self._vote(i, s) for i, s in self.nearest_of(own, places)]
+
+    def calibrate(self, votes: np.ndarray) -> None:
+        """votes: left_out() of all places, in order."""
+        if len(self.place) or self.none:
+            raw = np.concatenate((votes, np.full(len(self.none), self.prior())))
+            self.steps = isotonic(raw, np.concatenate((self.y[self.place], np.array(self.none, float))))
 
     def weights(self, terms, tf) -> tuple[np.ndarray, np.ndarray]:
         t = terms if isinstance(terms, np.ndarray) else np.array(terms, int)
@@ -160,6 +175,8 @@ class Model:
         if not n:
             yield from ((np.zeros(0, int), np.zeros(0)) for _ in queries)
             return
+        if self.cols is None:
+            self._index()
         row = np.repeat(np.arange(d), [len(t) for t, _ in queries])
         t, w = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries]).astype(np.float32)
         c = self.column[t]
@@ -331,7 +348,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_exam
         y = common.cut(_sampled(common.cut(y.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")), F.xxhash64("id"), max_train))
     key = F.xxhash64("doc_id", "text")
     rows = docs.join(F.broadcast(y), docs["doc_id"] == y["id"]).select("doc_id", "text", "toxic").dropDuplicates(["doc_id", "text"])
-    train = common.keep(_sampled(common.keep(rows), key, max_train))  # y has max_train ids at most
+    rows = common.keep(rows)
+    train = _sampled(rows, key, max_train)  # y has max_train ids at most, but an id may have several texts
+    train = train if train is rows else common.keep(train)
     vocabulary = _vocabulary(train)
     n, df = _frequencies(docs, vocabulary)
     idf = np.log((1 + n) / (1 + df.astype(float))) ** IDF_POWER + 1e-3
@@ -349,7 +368,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_exam
     flat = lambda c: (c.chunk(0).offsets.to_numpy(), c.chunk(0).values.to_numpy()) if c.num_chunks else (np.zeros(1, int), np.zeros(0, int))
     (off, t), (_, tf) = flat(got["terms"]), flat(got["tf"])
     examples = [(i, t[a:b], tf[a:b], y) for i, y, a, b in zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True)]
-    return Model(vocabulary, idf, sorted(examples, key=lambda e: (e[1].tobytes(), e[2].tobytes(), e[3], e[0])))
+    model = Model(vocabulary, idf, sorted(examples, key=lambda e: (e[1].tobytes(), e[2].tobytes(), e[3], e[0])))
+    del got, t, tf, examples
+    model.calibrate(_left_out(docs.sparkSession, model))
+    return model
+
+
+def _left_out(spark, model: Model) -> np.ndarray:
+    n, held = len(model.place), spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for i in range(0, len(at), TEXTS):
+                part = at[i : i + TEXTS]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held.value.left_out(part), pa.float64())], ["place", "vote"])
+
+    got = common.mapped(spark.range(0, n, 1, max(1, n // 500)), run, "place long, vote double").toArrow()
+    held.destroy()
+    return got["vote"].to_numpy()[np.argsort(got["place"].to_numpy())]
 
 
 def _scored(model: Model, known: dict, text: pa.Array) -> list[tuple[float, list]]:
