@@ -63,9 +63,9 @@ def packed(ordered: DataFrame, least: int = 120, most: int = 420, repeated: Data
 def readable(chunks: DataFrame, page: Column | None = None, system: Column | None = None) -> DataFrame:
     """Adds to (documentId, pageIndex, chunkIndex, text, bbox, source, ..) the hint, role, priority, flags and boxes."""
     page = F.lit(None).cast("struct<width:double,height:double,coordinateSystem:string>") if page is None else page
-    d = chunks.withColumn("pageDimensions", page).withColumn("text", T.normalize_artifacts(F.col("text")))
+    d = T.once(chunks, "_clean", T.normalize_artifacts(F.col("text"))).drop("text", "role").withColumnRenamed("_clean", "text").withColumn("pageDimensions", page)
     d = d.withColumn("readingBbox", G.to_top_left(F.col("bbox"), F.col("pageDimensions"), system)).withColumn("normalizedBbox", G.relative(F.col("readingBbox"), F.col("pageDimensions")))
-    d = d.withColumn("role", T.classify_role(F.col("text"), F.col("readingBbox.y"), F.col("pageDimensions.height")))
+    d = T.once(d, "role", T.classify_role(F.col("text"), F.col("readingBbox.y"), F.col("pageDimensions.height")))
     return d.withColumns({"languageHint": T.language_hint(F.col("text")), "priority": T.role_priority(F.col("role")), "qualityFlags": T.quality_flags(F.col("text"), F.col("role")), "yStart": F.col("readingBbox.y"), "yEnd": F.col("readingBbox.y") + F.col("readingBbox.height")})
 
 
