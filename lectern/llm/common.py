@@ -104,8 +104,8 @@ def free(name: str, *frames: DataFrame) -> str:
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a cut table has at most `rows` rows."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether a cut table has at most `rows` rows: counted in its partitions, without a shuffle."""
+    return df.select(F.lit(1))._jdf.queryExecution().toRdd().count() <= rows
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -127,11 +127,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct()
     both = cut(both)
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("comp")))
+    side = F.broadcast if is_small(labels) else lambda df: df  # no table of a round has more rows
     while True:
-        near = both.join(labels.withColumnRenamed("node", "v").withColumnRenamed("comp", "lv"), "v").groupBy(F.col("u").alias("node")).agg(F.min("lv").alias("lv"))
-        step = labels.join(near, "node").select("node", F.least("comp", "lv").alias("to"), F.col("comp").alias("old"))
+        near = both.join(side(labels.withColumnRenamed("node", "v").withColumnRenamed("comp", "lv")), "v").groupBy(F.col("u").alias("node")).agg(F.min("lv").alias("lv"))
+        step = labels.join(side(near), "node").select("node", F.least("comp", "lv").alias("to"), F.col("comp").alias("old"))
         jump = labels.select(F.col("node").alias("to"), F.col("comp").alias("tc"))
-        new = cut(step.join(jump, "to", "left").select("node", F.least(F.col("to"), F.coalesce("tc", "to")).alias("comp"), "old"))
+        new = cut(step.join(side(jump), "to", "left").select("node", F.least(F.col("to"), F.coalesce("tc", "to")).alias("comp"), "old"))
         done = new.where("comp <> old").isEmpty()
         labels = new.drop("old")
         if done:
