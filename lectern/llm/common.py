@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: numbers; beyond it the join shuffles.
 BROADCAST_ROWS, NARROW_ROWS = 300_000, 500_000
 #: Bytes of an Arrow batch sent to a Python worker, unless the session says otherwise.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 _OWN: set[str] = set()

@@ -42,9 +42,9 @@ LEAST_DOCS, LEAST_SHARE = 5, 150
 K, BLOCK, IDF_POWER = 15, 64, 2
 STEMS = (4, 6)
 #: Terms of the index that are kept as block columns; texts scored at once; scores that a worker remembers.
-DENSE, TEXTS, KNOWN = 1024, 256, 20_000
+DENSE, TEXTS, KNOWN = 1024, 96, 10_000
 #: Entries of candidates that are summed at once: any number of examples may tie.
-ENTRIES = 1 << 18
+ENTRIES = 1 << 16
 
 
 def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
