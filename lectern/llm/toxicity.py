@@ -113,11 +113,15 @@ class Model:
         self.none = [y for _, t, _, y in examples if not len(t)]
         some = [e for e in examples if len(e[1])]
         self.ids, self.y = [e[0] for e in some], np.array([e[3] for e in some], float)
-        own = [self.weights(e[1], e[2]) for e in some]
-        self.place = _similar_first(own, block)  # example at each place of the index
-        self.start = np.concatenate(([0], np.cumsum([len(own[i][0]) for i in self.place]))).astype(int)
-        self.term = np.concatenate([np.zeros(0, np.int32), *(own[i][0].astype(np.int32) for i in self.place)])  # by place
-        self.w = np.concatenate([np.zeros(0, np.float32), *(own[i][1].astype(np.float32) for i in self.place)])
+        size = np.array([len(e[1]) for e in some], int)
+        start = np.concatenate(([0], np.cumsum(size)))
+        term = np.concatenate([np.zeros(0, np.int32), *(np.asarray(e[1], np.int32) for e in some)])
+        w = np.concatenate([np.zeros(0), *(np.asarray(e[2], float) for e in some)]) * self.idf[term]
+        w /= np.repeat(np.sqrt(np.add.reduceat(w * w, start[:-1])) if len(some) else w, size)
+        self.place = _similar_first(term, w, start, block)  # example at each place of the index
+        self.start = np.concatenate(([0], np.cumsum(size[self.place])))
+        by = _runs(start[self.place], size[self.place])
+        self.term, self.w = term[by], w[by].astype(np.float32)  # by place
         self.steps, self.cols = None, None
 
     def __getstate__(self) -> dict:
@@ -240,15 +244,14 @@ class Model:
         return out
 
 
-def _similar_first(own: list, block: int) -> np.ndarray:
+def _similar_first(term: np.ndarray, w: np.ndarray, start: np.ndarray, block: int) -> np.ndarray:
     """An order of the vectors in which runs of `block` are similar: halves along the main direction of 32 projections."""
-    rng = np.random.default_rng(7)
-    size = np.array([len(t) for t, _ in own], int)
-    if not len(own):
+    n = len(start) - 1
+    if not n:
         return np.zeros(0, int)
-    signs = rng.choice(np.array([-1, 1], np.float32), (1 + max(int(t.max()) for t, _ in own), 32))
-    p = np.stack([w.astype(np.float32) @ signs[t] for t, w in own]) if len(size) else np.zeros((0, 32))
-    done, todo = [], [np.arange(len(own))]
+    signs = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (32, 1 + int(term.max())))
+    p = np.stack([np.add.reduceat(w * s[term], start[:-1]) for s in signs], axis=1)
+    done, todo = [], [np.arange(n)]
     while todo:
         part = todo.pop()
         if len(part) <= block:
