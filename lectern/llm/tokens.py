@@ -6,6 +6,7 @@ for all words of a chunk at once, so no Python object is made per word. Hashes a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ import pyarrow.compute as pc
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _Q = np.uint64(0xD6E8FEB86659FD93)
+_SPACE = re.compile(rb"[ \t-\r]")
 #: Bytes of text hashed at once; working arrays take some 40 times as much.
 CHUNK = 1 << 18
 
@@ -81,6 +83,17 @@ def chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.nda
         i = j
 
 
+def pieces(data: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
+    """data in pieces of about `limit` bytes, cut before white space, so that no word is cut."""
+    at = 0
+    while len(data) - at > limit:
+        space = _SPACE.search(data, at + limit)
+        end = space.start() if space else len(data)
+        yield data[at:end]
+        at = end
+    yield data[at:]
+
+
 def words(data: np.ndarray, off: np.ndarray, kind: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes, first word of each row and the total) of the words of the rows in a chunk."""
     if not len(data):
