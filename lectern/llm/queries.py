@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, lines, matroska, mixing, pii, secrets, sql_queries, token_counts, toxicity
+from . import chat, decontaminate, divergence, infill, jaccard, lines, matroska, mixing, pii, secrets, simhash, sql_queries, token_counts, toxicity
 
 
 def queries():
@@ -17,9 +17,12 @@ def queries():
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_matroska": matroska.op9_matroska,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_divergence": divergence.op11_divergence,
+        "op12_simhash": simhash.op12_simhash,
+        "op13_infill": infill.op13_infill,
         **sql_queries.QUERIES,
     }
 
 
 def oracle_sql():
-    return dict(sql_queries.SQL)
+    return sql_queries.SQL | {"op11_divergence": divergence.SQL, "op13_infill": infill.SQL}
