@@ -80,10 +80,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     body = body.join(common.small(marked), body.doc_id.eqNullSafe(marked.id) & (body.tkey == marked.k)).dropDuplicates(["id", "k"])
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort("words"), "|"), F.lit(r")(?!\p{L})"))
     body = body.select("id", "k", "gone", "text", pattern.alias("p")).select("id", "k", "gone", F.expr("regexp_extract_all(text, p, 0)").alias("m"), F.expr("split(text, p, -1)").alias("g"))
-    found = F.expr("""aggregate(sequence(0, size(m) - 1), named_struct('at', 0, 'out', cast(array() AS array<struct<kind:string,start:int,end:int,action:string>>)),
-        (s, i) -> named_struct('at', s.at + length(g[i]) + length(m[i]), 'out', array_append(s.out, named_struct('kind', 'term', 'start', s.at + length(g[i]),
-            'end', s.at + length(g[i]) + length(m[i]), 'action', CASE WHEN array_contains(gone, lower(m[i])) THEN 'remove' ELSE 'generalise' END))), s -> s.out)""")
-    extra = common.cut(body.where("size(m) > 0").select("id", "k", found.alias("terms")))
+    body = spans.places(body.where("size(m) > 0"), "m", "g", "at")
+    found = F.expr("transform(m, (x, i) -> named_struct('kind', 'term', 'start', at[i], 'end', at[i] + length(x), 'action', CASE WHEN array_contains(gone, lower(x)) THEN 'remove' ELSE 'generalise' END))")
+    extra = common.cut(body.select("id", "k", found.alias("terms")))
     kinds = F.concat(*[F.expr(f"transform({k}, s -> named_struct('kind', '{k}', 'start', s.start, 'end', s.end))") for k, _, _ in KINDS])
     out = base.select("doc_id", "tkey", kinds.alias("base")).join(common.small(extra), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tkey") == F.col("k")), "left")
     return out.select("doc_id", "tkey", "base", F.coalesce("terms", F.expr("cast(array() AS array<struct<kind:string,start:int,end:int,action:string>>)")).alias("terms"))

@@ -1,10 +1,11 @@
 import random
 import re
+import time
 from hashlib import sha256
 
 import pytest
 
-from lectern.llm import pii, secrets
+from lectern.llm import pii, secrets, spans
 
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -172,3 +173,24 @@ def test_sanitise_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "mail a@b.co", 7, "k", "s", "c")], "doc_id long, text string, id long, tkey string, spans string, clean string")
     out = pii.sanitise(df)
     assert out.columns == df.columns and tuple(out.first()) == (1, "mail <EMAIL>", 7, "k", "s", "c")
+
+
+def test_many_matches_in_one_text(spark):
+    """Time is linear in the matches of a text: 20,000 with contexts in seconds, where a square would take an hour."""
+    text = "".join(f"alpha{i % 7} Beta {i % 200}.1.2.3 gamma " for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    (r,) = pii.base_spans(df).collect()
+    (s,) = secrets.scan(spark.createDataFrame([(1, "0123456789abcdef01234567 " * 20_000, "s")], "doc_id long, text string, source string")).collect()
+    assert time.time() - began < 30
+    assert [("ip", x.start, x.end) for x in r.ip] == [x for x in brute(PII, text) if x[0] == "ip"]
+    assert r.ip[0].before == ["alpha", "beta"] and r.ip[-1].after == ["gamma"]
+    assert r.ip[9000].before == ["gamma", "alpha", "beta", "gamma", "alpha", "beta"][-pii.WORDS :] and r.ip[9000].after == ["gamma", "alpha", "beta", "gamma", "alpha"]
+    assert [(x.start, x.end) for x in s.base] == [(25 * i, 25 * i + 24) for i in range(20_000)]
+
+
+def test_sums_before(spark):
+    rows = [(list(range(1, n + 1)),) for n in (1, 2, spans.BLOCK - 1, spans.BLOCK, spans.BLOCK + 1, 3 * spans.BLOCK, 5 * spans.BLOCK + 7)]
+    df = spark.createDataFrame(rows, "v array<int>").selectExpr("v", f"{spans.before('v')} AS b")
+    for r in df.collect():
+        assert r.b == [sum(r.v[:i]) for i in range(len(r.v))]
