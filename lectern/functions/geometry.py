@@ -56,6 +56,11 @@ def usable(b: Column) -> Column:
     return F.coalesce(b.isNotNull() & b["x"].isNotNull() & b["y"].isNotNull() & (b["width"] > 0) & (b["height"] > 0), F.lit(False))
 
 
+def usable_place(b: Column) -> Column:
+    """Whether a box has a place that points can be near to; its width and height may be 0."""
+    return F.coalesce(b["x"].isNotNull() & b["y"].isNotNull() & (b["width"] >= 0) & (b["height"] >= 0), F.lit(False))
+
+
 def distance_to_line(b: Column, y: Column) -> Column:
     """0 inside, else to the nearer edge; infinite without a box."""
     a, e = b["y"], b["y"] + b["height"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -114,15 +114,29 @@ def fold(readings: DataFrame, passages: DataFrame) -> DataFrame:
     return readings.groupBy("reader").cogroup(passages.groupBy("reader")).applyInPandas(run, ACTIONS)
 
 
+def swept(places: DataFrame, at: DataFrame, order: list[str], counts: dict[str, Column]) -> DataFrame:
+    """One ordered stream of each reader's places (reader, place, what is in `order`) and positions (reader, place):
+    every row with the running counts up to it, places before positions that are equal. `position` tells them apart."""
+    both = places.withColumn("position", F.lit(False)).unionByName(at.withColumn("position", F.lit(True)), allowMissingColumns=True)
+    w = W.partitionBy("reader").orderBy("place", "position", *order).rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumns({k: F.sum(F.when(~F.col("position") & c, 1).otherwise(0)).over(w) for k, c in counts.items()})
+
+
 def crossings(readings: DataFrame, passages: DataFrame) -> DataFrame:
-    """Starts and ends that each forward step of a reader passes, ends before starts at the same place. An equi-join by
-    reader with the range as its condition."""
+    """Starts and ends that each forward step of a reader passes, ends before starts at the same place.
+
+    Edges and positions are swept once: an edge gets its number along the reader's axis, a position the number of edges
+    up to it. A step passes the numbers between its two positions, and looks up just these, whatever else the reader has."""
+    ends = F.array(F.struct(F.col("start").alias("place"), F.lit(1).alias("starts")), F.struct(F.col("end").alias("place"), F.lit(0).alias("starts")))
+    edges = passages.select("reader", "key", F.explode(ends).alias("e")).select("reader", "key", "e.*").where("place IS NOT NULL")
+    own = swept(edges, readings.where("position IS NOT NULL").select("reader", "step", F.col("position").alias("place")), ["starts", "key"], {"n": F.lit(True)})
     w = W.partitionBy("reader").orderBy("step")
-    r = readings.select("reader", "step", "position", F.lag("position").over(w).alias("before"))
-    edges = passages.select("reader", "key", F.explode(F.array(F.struct(F.col("start").alias("place"), F.lit("start").alias("edge")), F.struct(F.col("end").alias("place"), F.lit("tail").alias("edge")))).alias("e")).select("reader", "key", "e.*")
-    d = r.where("position > before").join(edges, "reader").where("before < place AND place <= position")
-    order = W.partitionBy("reader", "step").orderBy("place", F.when(F.col("edge") == "tail", 0).otherwise(1), "key")
-    return d.select("reader", "step", "key", "edge", "place", (F.row_number().over(order) - 1).alias("ordinal"))
+    lost = readings.where("position IS NULL").select("reader", "step", F.lit(None).cast("double").alias("place"), F.lit(None).cast("long").alias("n"))
+    steps = own.where("position").select("reader", "step", "place", "n").unionByName(lost)  # a step from or to nowhere passes nothing
+    steps = steps.select("reader", "step", "place", "n", F.lag("place").over(w).alias("before"), F.lag("n").over(w).alias("passed"))
+    steps = steps.where("place > before AND n > passed").select("reader", "step", "passed", F.explode(F.sequence(F.col("passed") + 1, F.col("n"))).alias("n"))
+    found = own.where("NOT position").select("reader", "n", "key", F.when(F.col("starts") == 1, "start").otherwise("tail").alias("edge"), "place")
+    return steps.join(found, ["reader", "n"]).select("reader", "step", "key", "edge", "place", (F.col("n") - F.col("passed") - 1).cast("int").alias("ordinal"))
 
 
 def contexts(moves: DataFrame) -> DataFrame:
@@ -149,15 +163,18 @@ def window_changed(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def bootstrap(positions: DataFrame, passages: DataFrame) -> DataFrame:
-    """positions: reader, positionId, position. The paragraph to prepare when a context begins there, or no row."""
-    w = W.partitionBy("reader").orderBy("start", "end", "key")
-    p = passages.withColumn("_i", F.row_number().over(w)).withColumn("_next", F.lead(F.struct("key", "lead")).over(w))
-    d = positions.join(p, "reader")
-    inside = (F.col("start") <= F.col("position")) & (F.col("position") < F.col("end"))
-    g = d.groupBy("reader", "positionId").agg(F.min_by(F.struct(F.col("_next").alias("n"), F.lit(True).alias("in")), F.when(inside, F.col("_i"))).alias("a"), F.min_by(F.struct("key", "lead", "_i"), F.when(F.col("start") > F.col("position"), F.col("_i"))).alias("b"))
-    within = F.col("a.in").isNotNull()
-    key = F.when(within, F.when(F.coalesce("a.n.lead", F.lit("")) != "", F.col("a.n.key"))).when((F.col("b._i") > 1) & (F.coalesce("b.lead", F.lit("")) != ""), F.col("b.key"))
-    return g.select("reader", "positionId", key.alias("key")).where("key IS NOT NULL")
+    """positions: reader, positionId, position. The paragraph to prepare when a context begins there, or no row.
+
+    Passages are numbered by start. Of those that begin up to a position the first that ends beyond it is the first whose
+    running largest end does; so two counts along the reader's axis, of starts and of running largest ends, say which
+    passage a position is in or before, and one lookup by number finds the target."""
+    order = W.partitionBy("reader").orderBy("start", "end", "key")
+    p = passages.withColumn("i", F.row_number().over(order)).withColumn("far", F.max("end").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    marks = p.select("reader", F.explode(F.array(F.struct(F.col("start").alias("place"), F.lit(True).alias("starts")), F.struct(F.col("far").alias("place"), F.lit(False).alias("starts")))).alias("e")).select("reader", "e.*")
+    own = swept(marks, positions.where("position IS NOT NULL").select("reader", "positionId", F.col("position").alias("place")), [], {"begun": F.col("starts"), "over": ~F.col("starts")})
+    target = F.when(F.col("over") < F.col("begun"), F.col("over") + 2).when(F.col("begun") > 0, F.col("begun") + 1)
+    at = own.where("position").select("reader", "positionId", target.alias("i")).where("i IS NOT NULL")
+    return at.join(p.where("lead <> ''").select("reader", "i", "key"), ["reader", "i"]).select("reader", "positionId", "key")
 
 
 def debounced(requests: DataFrame, delay: int = 180) -> DataFrame:

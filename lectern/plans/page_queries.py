@@ -224,6 +224,22 @@ def point_pick(spark, d):
     return O.pick_at(pts, O.sentence_targets(s)).withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    "nearest_lines",
+    f"""{TWO}, t AS (SELECT *, count(*) FILTER (WHERE x < 306 * 0.92) OVER p >= 4 AND count(*) FILTER (WHERE x >= 306 * 0.92) OVER p >= 4 AS two FROM two WINDOW p AS (PARTITION BY documentId, pageIndex)),
+        p AS (SELECT documentId, pageIndex, segmentIndex AS pointId, (segmentIndex * 37 % 97) / 97.0::DOUBLE AS px, (segmentIndex * 53 % 101 + 0.3::DOUBLE) / 120 AS py FROM seg),
+        d AS (SELECT p.documentId, p.pageIndex, pointId, segmentIndex, greatest(x / 612 - px, px - (x + w) / 612, 0) AS dx, greatest(y / 792 - py, py - (y + h) / 792, 0) AS dy FROM p JOIN t ON p.documentId = t.documentId AND p.pageIndex = t.pageIndex AND (NOT two OR (x < 306) = (px < 0.5)))
+        SELECT documentId, pageIndex, pointId, segmentIndex AS line, round(sqrt(dx * dx + dy * dy), 6) AS distance FROM d WHERE sqrt(dx * dx + dy * dy) <= 0.035::DOUBLE QUALIFY row_number() OVER (PARTITION BY documentId, pageIndex, pointId ORDER BY sqrt(dx * dx + dy * dy), segmentIndex) = 1""",
+)
+def nearest_lines(spark, d):
+    """The lines of pages in two columns as targets of one fragment each, under points all over their pages."""
+    o = L.reading_order(L.lines(two_columns(spark, d), page_width=F.lit(WIDTH)), page_width=F.lit(WIDTH))
+    t = o.select("documentId", "pageIndex", "columnIndex", F.col("readingIndex").alias("chunkIndex"), F.col("sourceSegmentIds")[0].cast("string").alias("speechKey"), "text", F.array(F.struct(G.relative(F.col("bbox"), page()).alias("normalizedBbox"))).alias("fragments"))
+    n = F.col("segmentIndex")
+    pts = segments(spark, d).select("documentId", "pageIndex", n.alias("pointId"), ((n * 37 % 97) / 97.0).alias("x"), ((n * 53 % 101 + 0.3) / 120).alias("y"))
+    return O.pick_at(pts, t).select("documentId", "pageIndex", "pointId", F.col("speechKey").cast("int").alias("line"), F.round("distance", 6).alias("distance"))
+
+
 def records(spark, d):
     s = segments(spark, d)
     return s.select("documentId", "pageIndex", "source", F.col("segmentIndex").alias("ordinal"), "text", "bbox", F.lit(None).cast("string").alias("role"), "confidence")
