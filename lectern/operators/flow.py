@@ -6,7 +6,8 @@ state. crossings() and contexts() are the parts that need no fold.
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from bisect import bisect_right
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,18 @@ class Passage:
     end: float
 
 
+class Course:
+    """A reader's passages in order, and their edges in the order in which they are passed: ends before starts."""
+
+    def __init__(self, passages: list[Passage]):
+        self.passages = passages
+        self.edges = sorted([(p.start, 1, i) for i, p in enumerate(passages)] + [(p.end, 0, i) for i, p in enumerate(passages)])
+        self.places = [e[0] for e in self.edges]
+
+    def passed(self, before: float, at: float) -> list[tuple[float, int, int]]:
+        return self.edges[bisect_right(self.places, before) : bisect_right(self.places, at)]
+
+
 def _target(passages: list[Passage], i: int) -> Passage | None:
     return passages[i] if i < len(passages) and passages[i].lead else None
 
@@ -45,10 +58,12 @@ def _at_start(passages: list[Passage], position: float) -> Passage | None:
     return _target(passages, coming) if coming else None
 
 
-def advance(state: State | None, context: str, position: float | None, playing: bool, passages: list[Passage], ready: str | None = None, jumped: bool = False) -> tuple[State, list[dict]]:
+def advance(state: State | None, context: str, position: float | None, playing: bool, course: Course | list[Passage], ready: str | None = None, jumped: bool = False) -> tuple[State, list[dict]]:
     """The next state and the actions (type, key, reason). Ends are handled before starts at the same place; a paragraph
     is played or dropped once; moving back repeats nothing."""
-    s = State(**asdict(state)) if state else State()
+    course = course if isinstance(course, Course) else Course(course)
+    passages = course.passages
+    s = State(state.context, state.position, state.prepared, list(state.handled), state.most) if state else State()
     at = position if position is not None else (s.position or 0.0)
     out: list[dict] = []
 
@@ -74,8 +89,7 @@ def advance(state: State | None, context: str, position: float | None, playing:
     before, s.position = s.position, at
     if before is None or at <= before:
         return s, out
-    events = [(p.start, 1, i) for i, p in enumerate(passages) if before < p.start <= at] + [(p.end, 0, i) for i, p in enumerate(passages) if before < p.end <= at]
-    for _, start, i in sorted(events):
+    for _, start, i in course.passed(before, at):
         p = _target(passages, i + 1)
         if not p or p.key in s.handled:
             continue
@@ -101,17 +115,10 @@ ACTIONS = "reader string, step long, type string, key string, reason string"
 
 def fold(readings: DataFrame, passages: DataFrame) -> DataFrame:
     """readings: reader, step, context, position, playing, ready, jumped; passages: reader, key, lead, start, end (those
-    of the reader's document). One row for each action. Readers are the unit: each is one group."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ps = [Passage(r.key, r.lead, r.start, r.end) for r in right.sort_values(["start", "end", "key"]).itertuples()]
-        state, rows = None, []
-        for r in left.sort_values("step").itertuples():
-            state, actions = advance(state, r.context, None if pd.isna(r.position) else r.position, bool(r.playing), ps, r.ready, bool(r.jumped))
-            rows += [(r.reader, r.step, a["type"], a["key"], a["reason"]) for a in actions]
-        return pd.DataFrame(rows, columns=["reader", "step", "type", "key", "reason"])
+    of the reader's document). One row for each action: the stream's processor over a table, which it reads in order."""
+    from ..streaming.paragraph_flow import actions
 
-    return readings.groupBy("reader").cogroup(passages.groupBy("reader")).applyInPandas(run, ACTIONS)
+    return actions(readings, passages)
 
 
 def swept(places: DataFrame, at: DataFrame, order: list[str], counts: dict[str, Column]) -> DataFrame:
