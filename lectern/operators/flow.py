@@ -9,11 +9,11 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import runs
 
 @dataclass
 class State:
@@ -184,24 +184,11 @@ def bootstrap(positions: DataFrame, passages: DataFrame) -> DataFrame:
     return at.join(p.where("lead <> ''").select("reader", "i", "key"), ["reader", "i"]).select("reader", "positionId", "key")
 
 
-def debounced(requests: DataFrame, delay: int = 180) -> DataFrame:
+def debounced(requests: DataFrame, delay: int = 180, millis: int = runs.MILLIS) -> DataFrame:
     """requests: queue, atMs, key. Runs of a timer that the first request starts and later ones do not put off: the last
-    key asked for within the delay. A repeated pending key changes nothing."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, due, key = [], None, None
-        for r in pdf.sort_values(["atMs", "key"]).itertuples():
-            if due is not None and r.atMs >= due:
-                out.append((r.queue, due, key))
-                due = None
-            if due is None:
-                due = r.atMs + delay
-            key = r.key
-        if due is not None:
-            out.append((pdf["queue"].iloc[0], due, key))
-        return pd.DataFrame(out, columns=["queue", "firedMs", "key"])
-
-    return requests.groupBy("queue").applyInPandas(run, "queue string, firedMs long, key string")
+    key asked for within the delay. A repeated pending key changes nothing. A queue is dealt out in blocks of `millis`."""
+    d = runs.timed(requests, delay, millis)
+    return d.groupBy("queue", "firedMs").agg(F.max_by("key", F.struct("atMs", "key")).alias("key"))
 
 
 def settled_changes(changes: DataFrame, delay: int = 260) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import finite
+from . import runs
 
 #: Policies whose speech starts by itself.
 AUTOMATIC = ("continuous", "paragraph-lead")
@@ -30,37 +31,34 @@ def ticks(picked: DataFrame) -> DataFrame:
     return d.withColumn("status", status).drop("_last")
 
 
-def point_session(actions: DataFrame) -> DataFrame:
+def point_session(actions: DataFrame, steps: int = runs.STEPS) -> DataFrame:
     """actions: reader, step, action (begin, settle, interrupt, cancel), wasPlaying, speed, token (the generation that
     settles, null for the latest) and outcome. One row an action: generation, active, shouldPause, holdActive, accepted,
     shouldResume, resumeSpeed. The last click wins: a new begin replaces the current one but keeps what was playing
     before the first, unless the reader stepped in; only the current one settles, and only a natural end resumes.
 
-    A fold along each reader's actions, in one expression; a reader's history is one row."""
-    fields = ["step", "action", "wasPlaying", "speed", "token", "outcome"]
-    rows = actions.groupBy("reader").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_a"))
-    out = "array<struct<step:bigint,generation:int,active:boolean,shouldPause:boolean,holdActive:boolean,accepted:boolean,shouldResume:boolean,resumeSpeed:double>>"
-    start = F.struct(F.lit(0).alias("g"), F.lit(False).alias("on"), F.lit(None).cast("boolean").alias("was"), F.lit(None).cast("double").alias("speed"), F.lit(False).alias("cut"), F.array().cast(out).alias("out"))
-
-    def step(s, a):
-        begin, settle, cancel = (a["action"] == x for x in ("begin", "settle", "cancel"))
-        stop = (a["action"] == "interrupt") & s["on"]
-        keeps = s["on"] & s["was"].isNotNull() & ~s["cut"]
-        was = F.when(begin & ~keeps, F.coalesce(a["wasPlaying"], F.lit(False))).otherwise(s["was"])
-        speed = F.when(begin & ~keeps, F.when(~F.isnan(a["speed"]), a["speed"])).otherwise(s["speed"])
-        mine = settle & s["on"] & (F.coalesce(a["token"], s["g"]) == s["g"])
-        resumes = mine & (F.coalesce(a["outcome"], F.lit("ended")) == "ended") & F.coalesce(s["was"], F.lit(False)) & ~s["cut"]
-        ends = mine | cancel
-        cut = F.when(begin & ~keeps, False).when(stop, True).when(cancel, False).otherwise(s["cut"])
-        on = F.when(begin, True).when(ends, False).otherwise(s["on"])
-        g = s["g"] + F.when(begin | cancel, 1).otherwise(0)
-        row = F.struct(
-            a["step"].cast("long").alias("step"), g.alias("generation"), on.alias("active"), (begin & F.coalesce(a["wasPlaying"], F.lit(False))).alias("shouldPause"),
-            (on & F.coalesce(was, F.lit(False)) & ~cut).alias("holdActive"), mine.alias("accepted"), resumes.alias("shouldResume"), F.when(resumes, s["speed"]).alias("resumeSpeed"),
-        )
-        return F.struct(g.alias("g"), on.alias("on"), F.when(~ends, was).alias("was"), F.when(~ends, speed).alias("speed"), cut.alias("cut"), F.array_append(s["out"], row).alias("out"))
-
-    return rows.select("reader", F.inline(F.aggregate("_a", start, step, lambda s: s["out"])))
+    No fold: the generation is a running sum; whether a session is on, whether the reader stepped in, and what played
+    before it are each the last of the rows that decide it, one after the other. A reader is dealt out in blocks of steps."""
+    is_ = lambda *x: F.coalesce(F.col("action").isin(*x), F.lit(False))
+    order = ["step", "action", "wasPlaying", "speed", "token", "outcome"]
+    along = lambda d, **last: runs.carried(d, ["reader"], "_block", order, last)
+    d = actions.select("reader", *order).withColumn("_block", F.expr(f"cast(step AS bigint) div {steps}"))
+    d = runs.carried(d, ["reader"], "_block", order, {}, {"_g": is_("begin", "cancel").cast("int")})
+    current = is_("settle") & (F.coalesce("token", "_g") == F.col("_g"))  # if a session is on, it is the one that settles
+    d = along(d, _on=F.when(is_("begin"), True).when(is_("cancel") | current, False)).withColumn("_on", F.coalesce("_on", F.lit(False)))
+    d = d.withColumn("_mine", current & F.col("_on"))
+    d = along(d, _cut=F.when(is_("begin", "cancel"), False).when(is_("interrupt") & F.col("_on"), True)).withColumn("_cut", F.coalesce("_cut", F.lit(False)))
+    fresh = is_("begin") & ~(F.col("_on") & ~F.col("_cut"))
+    played = F.coalesce("wasPlaying", F.lit(False))
+    d = along(d, _base=F.when(fresh, F.struct(played.alias("was"), F.when(~F.isnan("speed"), F.col("speed")).alias("speed"))))
+    on = F.when(is_("begin"), True).when(F.col("_mine") | is_("cancel"), False).otherwise(F.col("_on"))
+    was = F.when(fresh, played).otherwise(F.coalesce(F.col("_on") & F.col("_base.was"), F.lit(False)))
+    cut = F.when(is_("begin", "cancel"), False).when(is_("interrupt") & F.col("_on"), True).otherwise(F.col("_cut"))
+    resumes = F.col("_mine") & (F.coalesce("outcome", F.lit("ended")) == "ended") & F.coalesce("_base.was", F.lit(False)) & ~F.col("_cut")
+    return d.select(
+        "reader", F.col("step").cast("long").alias("step"), F.col("_g").cast("int").alias("generation"), on.alias("active"), (is_("begin") & played).alias("shouldPause"),
+        (on & was & ~cut).alias("holdActive"), F.col("_mine").alias("accepted"), resumes.alias("shouldResume"), F.when(resumes, F.col("_base.speed")).alias("resumeSpeed"),
+    )
 
 
 def revisions(changes: DataFrame) -> DataFrame:

@@ -215,7 +215,12 @@ def flow_crossings(spark, d):
     return FL.crossings(readings(spark, d), passages_of(spark, d))
 
 
-@query("flow_actions")
+# Readings begin before the second passage and passages don't touch: a paragraph is prepared when the start of the one
+# before it is first passed (or is passed already where a reader begins), and dropped when that one's end is first passed.
+@query("flow_actions", f"""WITH {READINGS}, s AS (SELECT reader, step, position, lag(position) OVER (PARTITION BY reader ORDER BY step) AS bef FROM rd), k AS (SELECT reader, CAST(substr(key, 2) AS BIGINT) AS k, start, stop, max(CAST(substr(key, 2) AS BIGINT)) OVER (PARTITION BY reader) AS top FROM ps),
+    a AS (SELECT s.reader, 'prepare' AS type, k, NULL AS reason, min(step) AS step FROM s JOIN k ON s.reader = k.reader AND start <= position AND (bef < start OR (bef IS NULL AND position < stop)) WHERE k < top GROUP BY ALL
+        UNION ALL SELECT s.reader, 'discard-prepared', k, 'late-or-missing', min(step) FROM s JOIN k ON s.reader = k.reader AND stop <= position AND bef < stop WHERE k < top GROUP BY ALL)
+    SELECT reader, step, type, 'p' || (k + 1) || ':lead' AS key, reason FROM a""")
 def flow_actions(spark, d):
     r = readings(spark, d).withColumns({"context": F.lit("0:0"), "playing": F.lit(True), "ready": F.lit(None).cast("string"), "jumped": F.lit(False)})
     return FL.fold(r, passages_of(spark, d))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import geometry as G
+from lectern.operators import flow
 from lectern.operators import layout as L
 from lectern.operators import pages as PG
 from lectern.operators import sessions as S
@@ -126,3 +127,54 @@ def test_silence():
     x = [0.0] * 50 + [0.5, -0.5] + [0.0] * 70
     assert len(WA.trim_silence(x, 100)) == 3 + 2 + 3 and len(WA.trim_silence([0.0] * 9)) == 9 and len(WA.trim_silence([])) == 0
     assert len(WA.trim_silence([1.0, 0.0005, 0.0005], 100)) == 3 and len(WA.trim_silence([1.0] + [0.0] * 9, 100)) == 4
+
+
+@pytest.mark.parametrize("steps", [1, 7, 1 << 16])
+def test_point_session_in_blocks(spark, steps):
+    """A history in blocks is the history: stale tokens, steps that jump, readers of their own."""
+    rng = random.Random(steps)
+    acts = {}
+    for r in ("a", "b", "c"):
+        g, at, own = 0, -20, []
+        for _ in range(150):
+            at += rng.choice([1, 1, 2, 90])
+            action = rng.choice(["begin", "begin", "settle", "settle", "interrupt", "cancel", "odd", None])
+            g += action in ("begin", "cancel")
+            own.append((at, action, rng.choice([True, False, None]), rng.choice([1.0, 1.5, None]), rng.choice([None, g, g, g - 1]), rng.choice(["ended", "failed", None])))
+        acts[r] = own
+    got = S.point_session(spark.createDataFrame([(r, *a) for r, own in acts.items() for a in own], ACTION), steps).orderBy("reader", "step").collect()
+    assert [tuple(x) for x in got] == [(r, *x) for r in sorted(acts) for x in session(acts[r])]
+
+
+def debounce(requests, delay):
+    out, due, key = [], None, None
+    for at, k in sorted(requests):
+        if due is not None and at >= due:
+            out.append((due, key))
+            due = None
+        due = at + delay if due is None else due
+        key = k
+    return out + [(due, key)] * (due is not None)
+
+
+@pytest.mark.parametrize(("delay", "millis"), [(180, 200), (180, 1), (50, 1000), (1, 64), (180, 1 << 22)])
+def test_debounce_in_blocks(spark, delay, millis):
+    rng = random.Random(delay + millis)
+    queues = {}
+    for q in ("x", "y", "z"):
+        at, queues[q] = rng.choice([0, -500]), []
+        for _ in range(250):
+            at += rng.choice([0, 1, 7, 40, 60, 180, 900])
+            queues[q].append((at, rng.choice("abc")))
+    d = spark.createDataFrame([(q, *r) for q, own in queues.items() for r in own], "queue string, atMs long, key string")
+    got = sorted((r.queue, r.firedMs, r.key) for r in flow.debounced(d.repartition(3), delay, millis).collect())
+    assert got == sorted((q, *r) for q, own in queues.items() for r in debounce(own, delay))
+
+
+def test_a_long_history_is_dealt_out(spark):
+    """A reader of many steps is gone through in as many groups as it has blocks."""
+    acts = spark.range(20_000).selectExpr("'r' AS reader", "id AS step", "element_at(array('begin', 'settle', 'interrupt'), cast(id % 3 AS int) + 1) AS action", "true AS wasPlaying", "1.0D AS speed", "cast(null AS int) AS token", "cast(null AS string) AS outcome")
+    got = S.point_session(acts, 1000)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "reader#" in plan and all("_block" in x for x in plan.split("\n") if "Window" in x and "_v_" in x)
+    assert got.where("generation = step div 3 + 1").count() == 20_000
