@@ -36,21 +36,24 @@ def controller_ticks(spark, d):
 
 @query(
     "point_sessions",
-    f"""WITH RECURSIVE {E}, a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE n % 7 WHEN 0 THEN 'cancel' WHEN 1 THEN 'interrupt' WHEN 2 THEN 'settle' WHEN 3 THEN 'settle' ELSE 'begin' END AS act, n % 3 <> 0 AS was, CASE WHEN n % 14 = 2 THEN 'failed' ELSE 'ended' END AS outcome FROM e),
+    f"""WITH RECURSIVE {E}, a0 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE n % 7 WHEN 0 THEN 'cancel' WHEN 1 THEN 'interrupt' WHEN 2 THEN 'settle' WHEN 3 THEN 'settle' ELSE 'begin' END AS act, n % 3 <> 0 AS was, CASE WHEN n % 14 = 2 THEN 'failed' ELSE 'ended' END AS outcome FROM e), a AS (SELECT *, CASE WHEN n % 3 = 1 THEN sum(CASE WHEN act IN ('begin', 'cancel') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) - n % 2 END AS token FROM a0),
         s AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, 0 AS g, false AS is_on, CAST(NULL AS BOOLEAN) AS base, CAST(NULL AS DOUBLE) AS speed, false AS cut, false AS pause, false AS hold, false AS accepted, false AS resume, CAST(NULL AS DOUBLE) AS resume_speed FROM (SELECT DISTINCT user_id FROM a)
-            UNION ALL SELECT s.user_id, a.i, a.event_id, s.g + CASE WHEN act IN ('begin', 'cancel') THEN 1 ELSE 0 END, CASE act WHEN 'begin' THEN true WHEN 'settle' THEN false WHEN 'cancel' THEN false ELSE is_on END,
-                CASE WHEN act IN ('settle', 'cancel') AND (act = 'cancel' OR is_on) THEN NULL WHEN act = 'begin' AND NOT (is_on AND base IS NOT NULL AND NOT cut) THEN a.was ELSE base END,
-                CASE WHEN act IN ('settle', 'cancel') AND (act = 'cancel' OR is_on) THEN NULL WHEN act = 'begin' AND NOT (is_on AND base IS NOT NULL AND NOT cut) THEN a.value ELSE s.speed END,
+            UNION ALL SELECT s.user_id, a.i, a.event_id, s.g + CASE WHEN act IN ('begin', 'cancel') THEN 1 ELSE 0 END, CASE act WHEN 'begin' THEN true WHEN 'settle' THEN is_on AND coalesce(token, s.g) <> s.g WHEN 'cancel' THEN false ELSE is_on END,
+                CASE WHEN act = 'cancel' OR (act = 'settle' AND is_on AND coalesce(token, s.g) = s.g) THEN NULL WHEN act = 'begin' AND NOT (is_on AND base IS NOT NULL AND NOT cut) THEN a.was ELSE base END,
+                CASE WHEN act = 'cancel' OR (act = 'settle' AND is_on AND coalesce(token, s.g) = s.g) THEN NULL WHEN act = 'begin' AND NOT (is_on AND base IS NOT NULL AND NOT cut) THEN a.value ELSE s.speed END,
                 CASE WHEN act = 'begin' AND NOT (is_on AND base IS NOT NULL AND NOT cut) THEN false WHEN act = 'interrupt' AND is_on THEN true WHEN act = 'cancel' THEN false ELSE cut END,
-                act = 'begin' AND a.was, CASE act WHEN 'begin' THEN CASE WHEN is_on AND base IS NOT NULL AND NOT cut THEN base ELSE a.was END WHEN 'interrupt' THEN false ELSE false END,
-                act = 'settle' AND is_on, act = 'settle' AND is_on AND outcome = 'ended' AND coalesce(base, false) AND NOT cut, CASE WHEN act = 'settle' AND is_on AND outcome = 'ended' AND coalesce(base, false) AND NOT cut THEN s.speed END
+                act = 'begin' AND a.was, CASE act WHEN 'begin' THEN CASE WHEN is_on AND base IS NOT NULL AND NOT cut THEN base ELSE a.was END WHEN 'settle' THEN is_on AND coalesce(token, s.g) <> s.g AND coalesce(base, false) AND NOT cut ELSE false END,
+                (act = 'settle' AND is_on AND coalesce(token, s.g) = s.g), (act = 'settle' AND is_on AND coalesce(token, s.g) = s.g) AND outcome = 'ended' AND coalesce(base, false) AND NOT cut, CASE WHEN (act = 'settle' AND is_on AND coalesce(token, s.g) = s.g) AND outcome = 'ended' AND coalesce(base, false) AND NOT cut THEN s.speed END
             FROM s JOIN a ON a.user_id = s.user_id AND a.i = s.i + 1)
         SELECT CAST(user_id AS VARCHAR) AS reader, event_id AS step, g AS generation, is_on AS active, pause, hold, accepted, resume, resume_speed FROM s WHERE i > 0""",
 )
 def point_sessions(spark, d):
     n = F.col("n")
     act = F.when(n % 7 == 0, "cancel").when(n % 7 == 1, "interrupt").when((n % 7 == 2) | (n % 7 == 3), "settle").otherwise("begin")
-    a = steps(spark, d).select("reader", "step", act.alias("action"), (n % 3 != 0).alias("wasPlaying"), F.col("value").alias("speed"), F.lit(None).cast("int").alias("token"), F.when(n % 14 == 2, "failed").otherwise("ended").alias("outcome"))
+    # now and then a token, of the present generation or of the one before
+    began = F.sum(F.when(act.isin("begin", "cancel"), 1).otherwise(0)).over(W.partitionBy("reader").orderBy("step"))
+    token = F.when(n % 3 == 1, began - n % 2).cast("int")
+    a = steps(spark, d).select("reader", "step", act.alias("action"), (n % 3 != 0).alias("wasPlaying"), F.col("value").alias("speed"), token.alias("token"), F.when(n % 14 == 2, "failed").otherwise("ended").alias("outcome"))
     return S.point_session(a).select("reader", "step", "generation", "active", F.col("shouldPause").alias("pause"), F.col("holdActive").alias("hold"), "accepted", F.col("shouldResume").alias("resume"), F.col("resumeSpeed").alias("resume_speed"))
 
 
