@@ -21,7 +21,10 @@ def packed(ordered: DataFrame, least: int = 120, most: int = 420, repeated: Data
 
     A line that would make a chunk longer than `most` starts a new one; a chunk ends at `least` characters with a
     sentence, or at `most`. Text is normalized as it grows, so hyphens are mended across lines; a line is never split.
-    Running headers, and lines whose key is in `repeated` (column key), are left out."""
+    Running headers, and lines whose key is in `repeated` (column key), are left out.
+
+    One look at a page's whole text says whether anything is rewritten where its lines meet. If not, a chunk's length is
+    the sum of its lines', and only numbers are folded; texts are joined once the cuts are known."""
     d = T.once(ordered, "_t", T.normalize_artifacts(F.coalesce("text", F.lit(""))))
     if repeated is not None:
         d = d.withColumn("_key", T.line_key(F.col("_t"))).join(repeated.select(F.col("key").alias("_key"), F.lit(True).alias("_rep")).distinct(), "_key", "left")
@@ -48,7 +51,30 @@ def packed(ordered: DataFrame, least: int = 120, most: int = 420, repeated: Data
         return let(let(T.normalize_artifacts(F.concat(s["text"], F.lit(" "), line["t"])), grow), close)
 
     numbered = F.transform("_ls", lambda x, i: F.struct(i.alias("at"), x["t"].alias("t")))
-    done = F.aggregate(numbered, start, step, lambda s: F.when(s["text"] != "", flushed(s)).otherwise(s["out"]))
+    rewritten = F.aggregate(numbered, start, step, lambda s: F.when(s["text"] != "", flushed(s)).otherwise(s["out"]))
+
+    # (length so far, first line, cuts): a line that doesn't fit starts a chunk, one that fills it ends it
+    sizes = F.transform("_ls", lambda x, i: F.struct(i.alias("at"), F.char_length(x["t"]).alias("n"), T.ends_chunk(x["t"]).alias("ends")))
+    cut = lambda first, upto: F.struct(first.alias("first"), upto.alias("upto"))
+    begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("first"), F.array().cast("array<struct<first:int,upto:int>>").alias("cuts"))
+
+    def count(s, x):
+        over = (s["n"] > 0) & (s["n"] + 1 + x["n"] > most)
+        n = F.when(over | (s["n"] == 0), x["n"]).otherwise(s["n"] + 1 + x["n"])
+        first = F.when(over, x["at"]).otherwise(s["first"])
+        cuts = F.when(over, F.array_append(s["cuts"], cut(s["first"], x["at"] - 1))).otherwise(s["cuts"])
+
+        def close(m):
+            full = (m >= most) | ((m >= least) & x["ends"])
+            return F.struct(F.when(full, 0).otherwise(m).alias("n"), F.when(full, x["at"] + 1).otherwise(first).alias("first"), F.when(full, F.array_append(cuts, cut(first, x["at"]))).otherwise(cuts).alias("cuts"))
+
+        return let(n, close)
+
+    cuts = F.aggregate(sizes, begin, count, lambda s: F.when(s["n"] > 0, F.array_append(s["cuts"], cut(s["first"], F.size("_ls") - 1))).otherwise(s["cuts"]))
+    joined = F.transform(cuts, lambda c: F.struct(F.array_join(F.transform(F.slice("_ls", c["first"] + 1, c["upto"] - c["first"] + 1), lambda x: x["t"]), " ").alias("text"), F.sequence(c["first"], c["upto"]).alias("lines")))
+    pages = pages.withColumn("_whole", F.array_join(F.transform("_ls", lambda x: x["t"]), " "))
+    done = F.when(F.col("_whole").rlike(T.ARTIFACT), rewritten).otherwise(joined)
+    pages = pages.select(*PAGE, "_ls", done.alias("_done"))
     of = lambda c, k: F.transform(c["lines"], lambda i: F.get("_ls", i)[k])
 
     def whole(c):
@@ -57,7 +83,7 @@ def packed(ordered: DataFrame, least: int = 120, most: int = 420, repeated: Data
             own += [G.box_around(of(c, "bbox")).alias("bbox"), F.get(of(c, "source"), F.lit(0)).alias("source"), F.flatten(of(c, "sourceSegmentIds")).alias("sourceSegmentIds")]
         return F.struct(c["text"].alias("text"), *own)
 
-    return pages.select(*PAGE, F.posexplode(F.transform(done, whole)).alias("chunkIndex", "c")).select(*PAGE, "chunkIndex", "c.*").where("text <> ''")
+    return pages.select(*PAGE, F.posexplode(F.transform("_done", whole)).alias("chunkIndex", "c")).select(*PAGE, "chunkIndex", "c.*").where("text <> ''")
 
 
 def readable(chunks: DataFrame, page: Column | None = None, system: Column | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ def clustered(segments: DataFrame, tolerance: float = 8, system: str = "top-down
     """Segments with `row`: along y, one joins the row before it if it lies within the tolerance of its running mean."""
     s = segments.where((F.col("text") != "") & F.col("bbox").isNotNull())
     item = F.struct(_down(F.col("bbox.y"), system).alias("o"), F.col("segmentIndex").alias("at"), F.struct(*[c for c in s.columns if c not in PAGE]).alias("s"))
-    pages = s.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)).alias("items"))
+    pages = s.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
     start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("mean"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("rows"))
 
     def step(a, i):
