@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from ..functions.reading import js_round
+from ..functions.reading import js_round, speed_tier
+from . import rhythm as RH
+
+
+def document_key() -> Column:
+    """The id of the document that a row's fileName, fileSize and lastModified say."""
+    return T.document_id(T.document_fingerprint(F.col("fileName"), F.col("fileSize"), F.col("lastModified")))
 
 
 def document_updates(updates: DataFrame) -> DataFrame:
@@ -42,6 +48,15 @@ def rhythm_records(events: DataFrame) -> DataFrame:
     return d.groupBy("documentId").agg(F.max_by(F.struct(*more), F.struct("speed", "seq")).alias("r")).select("documentId", "r.*")
 
 
+def reading_rhythm(readings: DataFrame, pages: DataFrame) -> DataFrame:
+    """readings: documentId, seq, speed, pageIndex; pages as for rhythm.window_counts(). What each reading would record of
+    its rhythm: tier, page and the ranges of its rates, by the words around its page; nothing where there are none."""
+    d = readings.join(RH.window_counts(pages).where("mode <> 'empty'"), ["documentId", "pageIndex"])
+    d = d.withColumns(RH.rates(F.col("speed").cast("double")))
+    edge = lambda c, k: js_round(F.col(c) * k).cast("long")
+    return d.select("documentId", "seq", "speed", "pageIndex", speed_tier(F.col("speed")).alias("bandKey"), edge("cjkRate", 0.88).alias("cjkMin"), edge("cjkRate", 1.12).alias("cjkMax"), edge("englishRate", 0.88).alias("englishMin"), edge("englishRate", 1.12).alias("englishMax"))
+
+
 def recent(records: DataFrame, limit: int = 6) -> DataFrame:
     return records.orderBy(F.desc("updatedAt"), "id").limit(max(1, min(18, round(limit))))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,20 +13,29 @@ def page_stats(texts: DataFrame, key: list[str], text: str = "text") -> DataFram
     return texts.select(*key, R.text_stats(F.col(text)).alias("stats"))
 
 
-def window_estimates(pages: DataFrame, speed: float, radius: int = 2, remaining: float = 0.0) -> DataFrame:
-    """pages: documentId, pageIndex, height, stats (null if unknown). Mode, rates and density of each page within the
-    pages around it (by number, not by row)."""
+def window_counts(pages: DataFrame, radius: int = 2) -> DataFrame:
+    """pages: documentId, pageIndex, height, stats (null if unknown). Adds what the pages around each hold together (by
+    number, not by row): cjk, digits, english, their measured height and the metric mode; pages without any are left out."""
     s = F.col("stats")
     w = W.partitionBy("documentId").orderBy("pageIndex").rangeBetween(-radius, radius)
     known = lambda c: F.sum(F.when(s.isNotNull(), c)).over(w)
     d = pages.withColumns({"cjk": known(s["cjkCharacters"]), "digits": known(s["numericUnits"]), "english": known(s["englishWords"]), "measured": known(F.col("height"))}).where("measured > 0")
-    v = F.lit(float(speed))
-    mode = R.metric_mode(F.col("cjk"), F.col("english"))
-    d = d.withColumn("mode", mode)
+    return d.withColumn("mode", R.metric_mode(F.col("cjk"), F.col("english")))
+
+
+def rates(speed: Column) -> dict[str, Column]:
+    """cjkRate and englishRate at a speed, from window_counts()."""
+    cjk = F.when(F.col("mode").isin("cjk", "both"), R.units_per_minute(F.col("cjk") + F.col("digits"), F.col("measured"), speed)).otherwise(0)
+    return {"cjkRate": cjk, "englishRate": R.units_per_minute(F.col("english"), F.col("measured"), speed)}
+
+
+def window_estimates(pages: DataFrame, speed: float, radius: int = 2, remaining: float = 0.0) -> DataFrame:
+    """Mode, rates and density of each page within the pages around it."""
+    s, v = F.col("stats"), F.lit(float(speed))
     units = F.col("cjk") + F.col("digits") + F.col("english")
     own = s["cjkCharacters"] + s["numericUnits"] + s["englishWords"]
     ratio = F.when((own > 0) & (units > 0) & (F.col("height") > 0), (own / F.col("height")) / (units / F.col("measured")))
-    d = d.withColumns({"cjkRate": F.when(F.col("mode").isin("cjk", "both"), R.units_per_minute(F.col("cjk") + F.col("digits"), F.col("measured"), v)).otherwise(0), "englishRate": R.units_per_minute(F.col("english"), F.col("measured"), v), "densityRatio": ratio})
+    d = window_counts(pages, radius).withColumns({**rates(v), "densityRatio": ratio})
     snap = R.rhythm_snapshot(F.col("mode"), F.col("cjkRate"), F.col("englishRate"), F.col("densityRatio"), F.lit(float(remaining)), v)
     return d.select("documentId", "pageIndex", "cjkRate", "englishRate", "densityRatio", snap.alias("s")).select("documentId", "pageIndex", "cjkRate", "englishRate", "densityRatio", "s.*")
 

@@ -286,6 +286,22 @@ def rhythm_records(spark, d):
     return H.rhythm_records(e).select(F.col("documentId").alias("document"), "speed", "seq")
 
 
+@query("reading_rhythm", rf"""{SEGMENTS}, s AS (SELECT documentId, pageIndex, CAST(sum({cnt('text', r"\p{Latin}+(?:['’\-]\p{Latin}+)*")}) AS BIGINT) AS eng, CAST(sum({cnt('text', CJK)}) AS BIGINT) AS cjk, CAST(sum({cnt('text', r'\p{Nd}')}) AS BIGINT) AS num FROM seg GROUP BY ALL),
+    w AS (SELECT documentId, pageIndex, sum(eng) OVER o AS we, sum(cjk) OVER o AS wc, sum(num) OVER o AS wn, count(*) OVER o * 792.0::DOUBLE AS h FROM s WINDOW o AS (PARTITION BY documentId ORDER BY pageIndex RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+    e AS (SELECT CAST(user_id AS VARCHAR) AS documentId, event_id AS seq, CAST(floor(value / 25) AS BIGINT) AS pageIndex, greatest(0, CAST(floor(value % 90 + 0.5) AS BIGINT)) AS speed FROM events),
+    j AS (SELECT e.*, CASE WHEN we >= 20 AND wc >= 20 AND wc / (wc + we)::DOUBLE >= 0.15::DOUBLE AND we / (wc + we)::DOUBLE >= 0.15::DOUBLE OR wc >= we THEN floor((wc + wn) / h * speed * 60 + 0.5) ELSE 0 END AS cr, floor(we / h * speed * 60 + 0.5) AS er FROM e JOIN w ON e.documentId = w.documentId AND e.pageIndex = w.pageIndex WHERE wc + we > 0)
+    SELECT documentId AS document, seq, speed, pageIndex AS page, {TIER.format(x='speed')} AS band, CAST(floor(cr * 0.88::DOUBLE + 0.5) AS BIGINT) AS cjk_min, CAST(floor(cr * 1.12::DOUBLE + 0.5) AS BIGINT) AS cjk_max, CAST(floor(er * 0.88::DOUBLE + 0.5) AS BIGINT) AS english_min, CAST(floor(er * 1.12::DOUBLE + 0.5) AS BIGINT) AS english_max
+    FROM j QUALIFY row_number() OVER (PARTITION BY documentId ORDER BY speed DESC, seq DESC) = 1""")
+def reading_rhythm(spark, d):
+    """The whole way of a reading into its document's record: words around its page, rates at its speed, the last of the
+    fastest stays. A user reads the document of that number."""
+    s = segments(spark, d).select("documentId", "pageIndex", R.text_stats(F.col("text")).alias("s")).groupBy("documentId", "pageIndex").agg(*[F.sum(f"s.{k}").alias(k) for k in ("cjkCharacters", "numericUnits", "englishWords")])
+    p = s.select("documentId", "pageIndex", F.lit(792.0).alias("height"), F.struct("cjkCharacters", "numericUnits", "englishWords").alias("stats"))
+    e = events(spark, d).select(F.col("user_id").cast("string").alias("documentId"), F.col("event_id").alias("seq"), R.js_round(F.col("value") % 90).cast("long").alias("speed"), F.floor(F.col("value") / 25).cast("int").alias("pageIndex"))
+    r = H.rhythm_records(H.reading_rhythm(e, p))
+    return r.select(F.col("documentId").alias("document"), "seq", F.col("speed").cast("long").alias("speed"), F.col("pageIndex").cast("long").alias("page"), F.col("bandKey").alias("band"), F.col("cjkMin").alias("cjk_min"), F.col("cjkMax").alias("cjk_max"), F.col("englishMin").alias("english_min"), F.col("englishMax").alias("english_max"))
+
+
 @query("recent_documents", "SELECT file FROM (SELECT 'File ' || user_id || '.pdf' AS file, lpad(CAST(max(event_id) AS VARCHAR), 12, '0') AS updated FROM events GROUP BY user_id) ORDER BY updated DESC, file LIMIT 6")
 def recent_documents(spark, d):
     r = H.document_updates(history_updates(spark, d)).withColumn("updatedAt", F.lpad("updatedAt", 12, "0"))
