@@ -337,6 +337,7 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], total))], ["t", "n"])
 
     got = common.mapped(docs.select("text"), run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
     t, n = got["t"].to_numpy(), got["n"].to_numpy()
     df = np.zeros(len(vocabulary), np.int64)
     df[t[t >= 0]] = n[t >= 0]
@@ -368,11 +369,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_exam
 
     known = _sampled(train, key, max_examples).select("doc_id", "text", "toxic")
     got = common.mapped(known, run, "doc_id long, toxic int, terms array<int>, tf array<int>").toArrow().combine_chunks()
+    sent.destroy()
     flat = lambda c: (c.chunk(0).offsets.to_numpy(), c.chunk(0).values.to_numpy()) if c.num_chunks else (np.zeros(1, int), np.zeros(0, int))
     (off, t), (_, tf) = flat(got["terms"]), flat(got["tf"])
     examples = [(i, t[a:b], tf[a:b], y) for i, y, a, b in zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True)]
     model = Model(vocabulary, idf, sorted(examples, key=lambda e: (e[1].tobytes(), e[2].tobytes(), e[3], e[0])))
     del got, t, tf, examples
+    pa.default_memory_pool().release_unused()
     model.calibrate(_left_out(docs.sparkSession, model))
     return model
 
