@@ -18,8 +18,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are equal or nearly equal to earlier ones; what has nothing left goes."""
-    return lines.dedup(docs)
+    """Documents without lines that are equal (of any length, but for blank ones) or nearly equal to earlier ones; what has
+    nothing left goes."""
+    return lines.dedup(docs, exact_chars=lines.EXACT_CHARS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
