@@ -44,17 +44,19 @@ def test_edit_distance(spark):
             assert min(r.d, k + 1) == min(dp(r.a, r.b), k + 1), r
 
 
-def brute(spark, rows, least, k):
+def brute(spark, rows, least, k, exact=None):
+    """exact: equal lines of so many characters that aren't blank take part too."""
     key = {(r.doc_id, r.text): r.t for r in spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", F.xxhash64("text").alias("t")).distinct().collect()}
     hashed = {r.line: r.x for r in spark.createDataFrame([(x,) for r in rows for x in (r[1] or "").split("\n")], "line string").select("line", F.xxhash64("line").alias("x")).distinct().collect()}
     low = lambda i: (i is not None, i or 0)
+    part = lambda line: len(line) >= least or (exact is not None and len(line) >= exact and line.strip())
     first, gone = {}, set()
     for d, t, *_ in rows:
         for p, line in enumerate((t or "").split("\n")):
             at = (low(d), key[d, t], p)
-            if t is not None and len(line) >= least:
+            if t is not None and part(line):
                 first[line] = min(first.get(line, at), at)
-    order = sorted(first, key=lambda x: (first[x][0], hashed[x]))
+    order = sorted((x for x in first if len(x) >= least), key=lambda x: (first[x][0], hashed[x]))
     for i, x in enumerate(order):
         if any(abs(len(x) - len(y)) <= k and dp(x, y) <= k for y in order[:i]):
             gone.add(x)
@@ -63,7 +65,7 @@ def brute(spark, rows, least, k):
         if t is None:
             out.append((str(d), None))
             continue
-        keep = [line for p, line in enumerate(t.split("\n")) if len(line) < least or (first[line] == (low(d), key[d, t], p) and line not in gone)]
+        keep = [line for p, line in enumerate(t.split("\n")) if not part(line) or (first[line] == (low(d), key[d, t], p) and line not in gone)]
         if len(keep) == len(t.split("\n")) or "".join(keep).strip():
             out.append((str(d), "\n".join(keep)))
     return sorted(out, key=str)
@@ -83,6 +85,8 @@ def test_against_brute_force(spark):
         got = dedup(spark.createDataFrame(rows, SCHEMA), min_chars=11, edits=k)
         assert got.columns == ["doc_id", "text", "lang", "line", "h"]
         assert sorted(((str(r.doc_id), r.text) for r in got.collect()), key=str) == brute(spark, rows, 11, k)
+    got = dedup(spark.createDataFrame(rows, SCHEMA), min_chars=11, edits=2, exact_chars=1)
+    assert sorted(((str(r.doc_id), r.text) for r in got.collect()), key=str) == brute(spark, rows, 11, 2, 1)
 
 
 def test_long_lines_and_empty_table(spark):

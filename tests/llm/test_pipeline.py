@@ -56,7 +56,7 @@ def test_run_equals_brute_force(spark, corpus):
     bad = {(r.doc_id) for r in toxicity.score(read("documents"), read("labels")).collect() if r.predicted}
     assert 15 < len(bad) < 90
     left = [r for r in rows if r[0] not in bad]
-    kept = test_lines.brute(spark, [(r[0], r[1], r[2], r[3], 1) for r in left], 40, 2)
+    kept = test_lines.brute(spark, [(r[0], r[1], r[2], r[3], 1) for r in left], 40, 2, 1)
     source = {r[0]: r[3] for r in rows}
     left = [(int(k), t, "en", 1, "x") for k, t in kept]
     comp = test_jaccard.brute(left)
