@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -81,3 +81,28 @@ def diagnostics(resolved: DataFrame, chunks: DataFrame, paragraphs: DataFrame, p
     d = resolved.join(c, ON, "left").join(p, ON, "left")
     zero = lambda k: F.coalesce(k, F.lit(0).cast("long")).alias(k)
     return d.select(*ON, "state", F.col("selectedSource").alias("source"), F.col("ttsReady").alias("ready"), zero("chunks"), zero("paragraphs"), F.coalesce("preview", F.array().cast("array<string>")).alias("preview"))
+
+
+#: The states of a page's text source.
+STATES = ("checking-native", "native-ready", "ocr-ready", "ocr-scheduled", "ocr-running", "ocr-failed", "ocr-suppressed", "ocr-poor", "ocr-needed")
+
+
+def measures() -> list[Column]:
+    """Aggregates over rows of diagnostics(): pages, those that are ready, of each state, and what they hold."""
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return [F.count(F.lit(1)).alias("pages"), F.count_if(F.col("ready")).alias("ready"), *[F.count_if(F.col("state") == s).alias(s) for s in STATES], whole("chunks"), whole("paragraphs")]
+
+
+def observed(states: DataFrame) -> tuple[DataFrame, Observation]:
+    """Rows of diagnostics() that gather their measures() while they are written: the observation has them once the first
+    action has ended, without another pass."""
+    o = Observation()
+    return states.observe(o, *measures()), o
+
+
+def snapshots(states: DataFrame) -> DataFrame:
+    """One row for each document: its measures, and the pages at work and failed, as a nested JSON text."""
+    pages = lambda *of: F.array_sort(F.collect_list(F.when(F.col("state").isin(*of), F.col("pageIndex"))))
+    g = states.groupBy("documentId").agg(*measures(), pages("ocr-scheduled", "ocr-running").alias("taskPages"), pages("ocr-failed").alias("failedPages"))
+    whole = F.struct("pages", "ready", F.struct(*STATES).alias("states"), F.struct("taskPages", "failedPages").alias("ocr"), F.struct("chunks", "paragraphs").alias("readable"))
+    return g.select("documentId", F.to_json(whole).alias("snapshot"))

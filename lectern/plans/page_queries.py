@@ -353,9 +353,31 @@ def prefetch_chunks(spark, d):
     return PG.next_page_chunks(c, at).select("documentId", (F.col("pageIndex") - 1).alias("reading"), "chunkIndex", "text").where("reading >= 0")
 
 
-@query("page_states")
-def page_states(spark, d):
+PAGE_STATES = f"""SELECT r.documentId, r.pageIndex, r.state, CASE state WHEN 'native-ready' THEN 'native' WHEN 'ocr-ready' THEN 'ocr' END AS source, state IN ('native-ready', 'ocr-ready') AS ready, coalesce(k.chunks, 0) AS chunks, coalesce(p.paragraphs, 0) AS paragraphs, coalesce(k.preview, '') AS preview
+    FROM ({ASSESS}, s AS (SELECT documentId, pageIndex, reasons, CAST(documentId AS BIGINT) % 4 AS hash_ FROM a) SELECT documentId, pageIndex, {STATE} AS state FROM s) r
+    LEFT JOIN (SELECT documentId, pageIndex, count(*) AS chunks, string_agg(CASE WHEN length(c) > 160 THEN substring(c, 1, 157) || '…' ELSE c END, '|' ORDER BY k) FILTER (WHERE k < 5) AS preview FROM ({FOLD} SELECT documentId, pageIndex, k, c FROM bx) GROUP BY ALL) k ON r.documentId = k.documentId AND r.pageIndex = k.pageIndex AND state = 'native-ready'
+    LEFT JOIN ({PASSAGES} SELECT documentId, pageIndex, count(*) AS paragraphs FROM c GROUP BY ALL) p ON r.documentId = p.documentId AND r.pageIndex = p.pageIndex"""
+
+
+def _states(spark, d):
     s = segments(spark, d)
     o = L.reading_order(L.lines(s, page_width=F.lit(WIDTH)), page_width=F.lit(WIDTH))
-    x = PG.diagnostics(_resolved(spark, d), C.segments_to_chunks(s, page=page()), P.passages(o, WIDTH, HEIGHT))
-    return x.select("documentId", "pageIndex", "state", "source", "ready", "chunks", "paragraphs", F.array_join("preview", "|").alias("preview"))
+    return PG.diagnostics(_resolved(spark, d), C.segments_to_chunks(s, page=page()), P.passages(o, WIDTH, HEIGHT))
+
+
+@query("page_states", PAGE_STATES)
+def page_states(spark, d):
+    return _states(spark, d).select("documentId", "pageIndex", "state", "source", "ready", "chunks", "paragraphs", F.array_join("preview", "|").alias("preview"))
+
+
+def _some(state):
+    return f"coalesce(list(pageIndex ORDER BY pageIndex) FILTER (WHERE {state}), [])"
+
+
+@query(
+    "page_snapshots",
+    f"""SELECT documentId, CAST(to_json({{'pages': count(*), 'ready': count(*) FILTER (WHERE ready), 'states': {{{', '.join(f"'{s}': count(*) FILTER (WHERE state = '{s}')" for s in PG.STATES)}}}, 'ocr': {{'taskPages': {_some("state IN ('ocr-scheduled', 'ocr-running')")}, 'failedPages': {_some("state = 'ocr-failed'")}}},
+        'readable': {{'chunks': CAST(sum(chunks) AS BIGINT), 'paragraphs': CAST(sum(paragraphs) AS BIGINT)}}}}) AS VARCHAR) AS snapshot FROM ({PAGE_STATES}) GROUP BY documentId""",
+)
+def page_snapshots(spark, d):
+    return PG.snapshots(_states(spark, d))

@@ -1,5 +1,6 @@
 """Sessions, whole pages and orders of pages, against plain Python."""
 
+import json
 import random
 
 import pytest
@@ -178,3 +179,17 @@ def test_a_long_history_is_dealt_out(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "reader#" in plan and all("_block" in x for x in plan.split("\n") if "Window" in x and "_v_" in x)
     assert got.where("generation = step div 3 + 1").count() == 20_000
+
+
+def test_measures_gathered_while_pages_are_written(spark, tmp_path):
+    rows = [("d", p, PG.STATES[p % 9], None, p % 9 in (1, 2), p, 2 * p, ["t"]) for p in range(40)]
+    d = spark.createDataFrame(rows, "documentId string, pageIndex int, state string, source string, ready boolean, chunks long, paragraphs long, preview array<string>")
+    pages, seen = PG.observed(d)
+    pages.write.parquet(str(tmp_path / "pages"))
+    assert seen.get == spark.read.parquet(str(tmp_path / "pages")).agg(*PG.measures()).first().asDict()
+    assert seen.get["pages"] == 40 and seen.get["ready"] == 10 and seen.get["chunks"] == sum(range(40))
+    (r,) = PG.snapshots(d).collect()
+    assert json.loads(r.snapshot)["ocr"] == {"taskPages": [p for p in range(40) if p % 9 in (3, 4)], "failedPages": [p for p in range(40) if p % 9 == 5]}
+    nothing, seen = PG.observed(d.where("false"))
+    nothing.write.parquet(str(tmp_path / "none"))
+    assert seen.get["pages"] == 0 and seen.get["chunks"] == 0
