@@ -85,6 +85,41 @@ def page_tops(layout: DataFrame, start: float = 0, gap: float = 0) -> DataFrame:
     return layout.withColumn("top", F.lit(float(start)) + F.coalesce(F.sum(F.col("height") + gap).over(before), F.lit(0.0)))
 
 
+#: Levels of blocks of pages: documents of 2^24 pages at most.
+LEVELS = 24
+
+
+def tops_at(layout: DataFrame, changes: DataFrame, asked: DataFrame, start: float = 0, gap: float = 0) -> DataFrame:
+    """layout: documentId, pageNumber, height; changes: documentId, version, pageNumber, height (from that version on);
+    asked: documentId, version, pageNumber. Adds top and height as they are at that version.
+
+    A change moves all pages behind it, but is noted only in the blocks of 1, 2, 4, .. pages around its page; the pages
+    before one that is asked for are a few such blocks, one for each bit of their number. So a version costs what its
+    changes and questions do, and no document is summed up anew."""
+    key = ["documentId", "pageNumber"]
+    own = W.partitionBy(*key).orderBy("version")
+    first = layout.select(*key, F.lit(None).cast("long").alias("version"), "height")
+    seen = first.unionByName(changes.select(*key, F.col("version").cast("long").alias("version"), "height"))
+    moved = seen.withColumn("by", F.col("height") - F.lag("height").over(own)).where("by IS NOT NULL AND by <> 0")
+    level = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    at = lambda n, k: F.call_function("shiftright", n, k)
+    # a block that is asked for ends at an odd multiple of its size, so only these are kept
+    around = F.filter(F.transform(level, lambda k: F.struct(k.alias("k"), at(F.col("pageNumber") - 1, k).alias("j"))), lambda b: b["j"] % 2 == 0)
+    before = F.transform(F.filter(level, lambda k: at(F.col("pageNumber") - 1, k) % 2 == 1), lambda k: F.struct(k.alias("k"), (at(F.col("pageNumber") - 1, k) - 1).alias("j")))
+    q = asked.select(*key, F.col("version").cast("long").alias("version")).distinct()
+    notes = moved.select("documentId", "version", F.explode(around).alias("block"), "by", F.lit(None).cast("int").alias("pageNumber"))
+    notes = notes.unionByName(q.select("documentId", "version", F.explode(before).alias("block"), F.lit(0.0).alias("by"), "pageNumber"))
+    w = W.partitionBy("documentId", "block").orderBy("version", F.col("pageNumber").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    shift = notes.withColumn("shift", F.sum("by").over(w)).where("pageNumber IS NOT NULL").groupBy(*key, "version").agg(F.sum("shift").alias("shift"))
+    # the height of the page itself: the last that is known of it by then
+    both = seen.withColumn("asked", F.lit(False)).unionByName(q.withColumns({"height": F.lit(None).cast("double"), "asked": F.lit(True)}))
+    upto = W.partitionBy(*key).orderBy("version", "asked").rowsBetween(W.unboundedPreceding, 0)
+    tall = both.withColumn("height", F.last("height", ignorenulls=True).over(upto)).where("asked").select(*key, "version", "height")
+    base = page_tops(layout, start, gap).select(*key, F.col("top").alias("base"))
+    out = tall.join(base, key).join(shift, [*key, "version"], "left")
+    return out.select(*key, "version", (F.col("base") + F.coalesce("shift", F.lit(0.0))).alias("top"), "height")
+
+
 def estimated_layout(docs: DataFrame) -> DataFrame:
     """docs: documentId, pageCount, width, height. Equal pages, the first of them measured."""
     return docs.select("documentId", F.explode(F.sequence(F.lit(1), "pageCount")).alias("pageNumber"), "width", "height").withColumn("measured", F.col("pageNumber") == 1)

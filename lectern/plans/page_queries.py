@@ -116,6 +116,25 @@ def page_reading_lines(spark, d):
     return L.page_reading_lines(_offsets(spark, d), tops).select("documentId", "k", F.round("line", 6).alias("line"))
 
 
+@query(
+    "page_reflow",
+    f"""{LAYOUT}, v AS (SELECT doc_id, n, u.i AS v, 1 + (u.i * 7) % n AS page, CAST(500 + (u.i * 53) % 400 AS BIGINT) AS h, 1 + (u.i * 5) % n AS asked FROM p, unnest(range(1, n + 1)) AS u(i)),
+        s AS (SELECT doc_id, page, 0 AS since, h FROM t UNION ALL SELECT doc_id, page, v, h FROM v), i AS (SELECT *, coalesce(lead(since) OVER (PARTITION BY doc_id, page ORDER BY since), 9000000000) AS till FROM s)
+        SELECT CAST(v.doc_id AS VARCHAR) AS documentId, CAST(v.v AS BIGINT) AS version, CAST(asked AS INTEGER) AS pageNumber, CAST(94 + coalesce(sum(CASE WHEN i.page < asked THEN i.h + 24 END), 0) AS DOUBLE) AS top, round(greatest(0::DOUBLE, 94 + coalesce(sum(CASE WHEN i.page < asked THEN i.h + 24 END), 0) + max(CASE WHEN i.page = asked THEN i.h END) * ((v.v % 10) / 10.0::DOUBLE) - 700 * 0.38::DOUBLE), 6) AS scroll
+        FROM v JOIN i ON v.doc_id = i.doc_id AND since <= v.v AND v.v < till AND i.page <= asked GROUP BY v.doc_id, v.v, asked""",
+)
+def page_reflow(spark, d):
+    """Pages change their heights one after the other; where the page that is read begins at each of these versions, and
+    where to scroll so that the same place of it stays under the reading line."""
+    lay = _layout(spark, d)
+    n = lay.groupBy("documentId").agg(F.count("*").alias("n")).select("documentId", "n", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("version"))
+    changes = n.select("documentId", "version", (1 + F.col("version") * 7 % F.col("n")).cast("int").alias("pageNumber"), (500 + F.col("version") * 53 % 400).cast("double").alias("height"))
+    asked = n.select("documentId", "version", (1 + F.col("version") * 5 % F.col("n")).cast("int").alias("pageNumber"))
+    t = L.tops_at(lay.select("documentId", "pageNumber", "height"), changes, asked, 94, 24)
+    scroll = G.restore_anchor((F.col("version") % 10) / 10.0, F.col("top"), F.col("height"), F.lit(700.0))
+    return t.select("documentId", "version", "pageNumber", "top", F.round(scroll, 6).alias("scroll"))
+
+
 @query("nearby_pages", "WITH p AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL) SELECT CAST(doc_id AS VARCHAR) AS documentId, CAST(1 + doc_id % n AS INTEGER) AS page, CAST(s.r AS INTEGER) AS rank, CAST(1 + doc_id % n + s.d AS INTEGER) AS near FROM p, (VALUES (0, 0), (1, -1), (2, 1), (3, -2), (4, 2)) AS s(r, d) WHERE 1 + doc_id % n + s.d BETWEEN 1 AND n")
 def nearby_pages(spark, d):
     return L.nearby_pages(_centers(spark, d)).select("documentId", "page", "rank", F.col("nearPage").alias("near"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import flow as FL
+from lectern.operators import layout as L
 from lectern.operators import points as O
 
 TARGET = "documentId string, pageIndex int, columnIndex int, chunkIndex int, speechKey string, text string, fragments array<struct<normalizedBbox:struct<x:double,y:double,width:double,height:double>>>"
@@ -96,3 +97,22 @@ def test_crossings_cost_what_they_find(spark):
     p = spark.range(20_000).select(F.lit("r").alias("reader"), F.col("id").cast("string").alias("key"), F.lit("L").alias("lead"), (F.col("id") * 10.0).alias("start"), (F.col("id") * 10.0 + 5).alias("end"))
     r = spark.createDataFrame([("r", 1, 4.0), ("r", 2, 11.0), ("r", 3, 12.0)], "reader string, step long, position double")
     assert [(x.step, x.key, x.edge, x.ordinal) for x in FL.crossings(r, p).orderBy("step", "ordinal").collect()] == [(2, "0", "tail", 0), (2, "1", "start", 1)]
+
+
+def test_tops_at_versions(spark):
+    """Equal to a recomputation of the whole document at each version."""
+    rng = random.Random(11)
+    layout, changes, asked, want = [], [], [], {}
+    for d, n in (("a", 1), ("b", 2), ("c", 37), ("d", 64), ("e", 65)):
+        now = {p: float(rng.randrange(100, 900)) for p in range(1, n + 1)}
+        layout += [(d, p, h) for p, h in now.items()]
+        for v in range(1, 40):
+            if v % 3:
+                for p in rng.sample(range(1, n + 1), min(n, rng.choice([1, 1, 2]))):
+                    now[p] = rng.choice([now[p], float(rng.randrange(100, 900))])
+                    changes.append((d, v, p, now[p]))
+            for p in rng.sample(range(1, n + 1), min(n, 4)):
+                asked.append((d, v, p))
+                want[d, v, p] = (94 + sum(now[q] + 24 for q in range(1, p)), now[p])
+    got = L.tops_at(spark.createDataFrame(layout, "documentId string, pageNumber int, height double"), spark.createDataFrame(changes, "documentId string, version int, pageNumber int, height double"), spark.createDataFrame(asked + asked[:3], "documentId string, version int, pageNumber int"), 94, 24)
+    assert {(r.documentId, r.version, r.pageNumber): (r.top, r.height) for r in got.collect()} == want and got.count() == len(want)
