@@ -10,6 +10,7 @@ from ..functions import reading as R
 from ..operators import history as H
 from ..operators import picking as K
 from ..sources import adapters as A
+from ..sources import byte_source as B
 from ..sources import wave_audio as WA
 from .reading_queries import events
 from .registry import SEGMENTS, WS, query, rep, trim
@@ -116,3 +117,10 @@ def manual_requests(spark, d):
 @query("rate_labels", "SELECT event_id, CASE WHEN r = 0 THEN '—' WHEN lo = hi THEN '≈' || format('{:,}', lo) ELSE '≈' || format('{:,}', lo) || '–' || format('{:,}', hi) END AS label FROM (SELECT event_id, r, greatest(1, CAST(floor(r * 0.88::DOUBLE + 0.5) AS BIGINT)) AS lo, greatest(1, CAST(floor(r * 1.12::DOUBLE + 0.5) AS BIGINT)) AS hi FROM (SELECT event_id, greatest(0, CAST(floor(value + 0.5) AS BIGINT)) AS r FROM events))")
 def rate_labels(spark, d):
     return events(spark, d).select("event_id", R.rate_label(R.rate_range(F.col("value"))).alias("label"))
+
+
+@query("file_ranges")
+def file_ranges(spark, d):
+    """The files of the tables themselves as ranges of 64 KiB, with the digests of their bytes."""
+    r = B.byte_ranges(spark, d, 1 << 16)
+    return r.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size", "start", F.length("data").alias("bytes"), F.crc32("data").alias("crc32"))
