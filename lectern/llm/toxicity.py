@@ -267,11 +267,11 @@ def _similar_first(term: np.ndarray, w: np.ndarray, start: np.ndarray, block: in
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of the rising step function nearest to y(x) (pool adjacent violators), smoothed at both ends."""
-    order = np.argsort(x, kind="stable")
+    at, which, size = np.unique(x, return_inverse=True, return_counts=True)  # equal votes are one point
     pools: list[list[float]] = []
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([b, 1.0, a, a])
-        while len(pools) > 1 and (pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1] or pools[-2][3] == pools[-1][2]):
+    for a, b, n in zip(at.tolist(), np.bincount(which, y, len(at)).tolist(), size.tolist(), strict=True):
+        pools.append([b, n, a, a])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, n, _, hi = pools.pop()
             pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2], hi]
     px, py = [], []

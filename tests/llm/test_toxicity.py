@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -118,3 +121,78 @@ def test_clashing_names(spark, corpus):
     _, _, _, y = corpus
     d = spark.createDataFrame([(1, "a plain text", 3, "k", 0.5, 1, "e")], "doc_id long, text string, id long, tkey string, score double, toxic int, bad_key string")
     assert tx.without_toxic(d, y).columns == d.columns and tx.without_toxic(d, y.withColumnRenamed("quality", "id")).count() == 1
+
+
+def terms_of(text):
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode()
+    for w in re.findall(rb"[0-9a-z\x80-\xff]+", low):
+        yield 0, w
+        yield from ((n, w[:n]) for n in tx.STEMS if len(w) > n)
+
+
+def steps_of(votes, labels):
+    """Isotonic regression by its definition: the largest of the least means around each point."""
+    points = sorted({v: [y for u, y in zip(votes, labels, strict=True) if u == v] for v in votes}.items())
+    sums, sizes = np.cumsum([0] + [sum(y) for _, y in points]), np.cumsum([0] + [len(y) for _, y in points])
+    fit = []
+    for i in range(len(points)):
+        fit.append(max(min((sums[b] - sums[a]) / (sizes[b] - sizes[a]) for b in range(i + 1, len(points) + 1)) for a in range(i + 1)))
+    xs, ys, i = [], [], 0
+    while i < len(points):
+        j = i
+        while j + 1 < len(points) and abs(fit[j + 1] - fit[i]) < 1e-12:
+            j += 1
+        value = (sums[j + 1] - sums[i] + 0.02) / (sizes[j + 1] - sizes[i] + 0.2)
+        xs += [points[i][0], points[j][0]] if j > i else [points[i][0]]
+        ys += [value, value] if j > i else [value]
+        i = j + 1
+    return xs, np.maximum.accumulate(ys)
+
+
+def test_scores_equal_brute_force(spark):
+    """The query's scores from their definition: every cosine with every example, votes, calibration."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(90)]
+    docs, labels = [], []
+    for i in range(260):
+        toxic = rng.random() < 0.3
+        w = rng.choices(words[:70] if toxic else words[20:], k=rng.randrange(12, 40))
+        docs.append((i, " ".join(w).upper() if i % 5 == 0 else "-".join(w)))
+        if i % 6:
+            labels.append((i, int(toxic)))
+    docs += [(300, None), (301, ""), (302, "zz"), (303, "zz yy"), (5, docs[5][1])]
+    labels += [(301, 0), (302, 1)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    scored = tx.score(d, spark.createDataFrame(labels, "doc_id long, toxic int")).select("doc_id", "score").distinct()
+    got = {(r.doc_id, r.text): r.score for r in d.join(scored, "doc_id").collect()}
+
+    label = {k: y for k, y in labels if zlib.crc32(str(k).encode()) % 5}
+    train = sorted({(k, t or "", label[k]) for k, t in docs if k in label})
+    seen, held = Counter(), Counter()
+    for _, t, _ in train:
+        held.update(set(terms_of(t)))
+    for _, t in docs:
+        seen.update(set(terms_of(t)))
+    least = max(tx.LEAST_DOCS, -(-len(train) // tx.LEAST_SHARE))
+    idf = {t: math.log((1 + len(docs)) / (1 + seen[t])) ** tx.IDF_POWER + 1e-3 for t, n in held.items() if n >= least}
+
+    def vector(text):
+        w = {t: n * idf[t] for t, n in Counter(terms_of(text)).items() if t in idf}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / size for t, x in w.items()}
+
+    known = [(v, y) for _, t, y in train if (v := vector(t))]
+    none = [y for _, t, y in train if not vector(t)]
+    prior = (sum(none) + 0.1) / (len(none) + 1)
+
+    def vote(v, skip=None):
+        near = [(sum(x * float(np.float32(u[t])) for t, x in v.items() if t in u), y) for i, (u, y) in enumerate(known) if i != skip]
+        near = sorted(((s, y) for s, y in near if s > 0), reverse=True)[: tx.K]
+        w = [1 / (1.05 - min(s, 1)) for s, _ in near]
+        return (sum(a * y for a, (_, y) in zip(w, near, strict=True)) + prior) / (sum(w) + 1)
+
+    xs, ys = steps_of([vote({t: float(np.float32(x)) for t, x in v.items()}, i) for i, (v, _) in enumerate(known)] + [prior] * len(none), [y for _, y in known] + none)
+    assert len(known) > 120 and len(none) > 0
+    for (k, t), score in got.items():
+        v = vector(t)
+        assert abs(score - np.interp(vote(v) if v else prior, xs, ys)) < 1e-6, k
