@@ -109,19 +109,31 @@ class Model:
     the block-max index is built from them where it is used."""
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple[int | None, list[int], list[int], int]], k: int = K, block: int = BLOCK):
-        self.vocabulary, self.idf, self.k, self.block = Vocabulary(vocabulary), idf, k, block
-        self.none = [y for _, t, _, y in examples if not len(t)]
         some = [e for e in examples if len(e[1])]
-        self.ids, self.y = [e[0] for e in some], np.array([e[3] for e in some], float)
-        size = np.array([len(e[1]) for e in some], int)
+        flat = [np.concatenate([np.zeros(0, np.int32), *(np.asarray(e[c], np.int32) for e in some)]) for c in (1, 2)]
+        self._fill(vocabulary, idf, [e[0] for e in some], [e[3] for e in some], [len(e[1]) for e in some], *flat, [y for _, t, _, y in examples if not len(t)], k, block)
+
+    @classmethod
+    def of(cls, vocabulary, idf, ids, y, size, term, tf, none, k: int = K, block: int = BLOCK) -> Model:
+        """From the examples' terms and frequencies one after the other, and the labels of those without terms."""
+        model = cls.__new__(cls)
+        model._fill(vocabulary, idf, ids, y, size, term, tf, none, k, block)
+        return model
+
+    def _fill(self, vocabulary, idf, ids, y, size, term, tf, none, k, block) -> None:
+        self.vocabulary, self.idf, self.k, self.block = Vocabulary(vocabulary), idf, k, block
+        self.none, self.ids, self.y = list(none), list(ids), np.array(y, float)
+        size = np.array(size, int)
         start = np.concatenate(([0], np.cumsum(size)))
-        term = np.concatenate([np.zeros(0, np.int32), *(np.asarray(e[1], np.int32) for e in some)])
-        w = np.concatenate([np.zeros(0), *(np.asarray(e[2], float) for e in some)]) * self.idf[term]
-        w /= np.repeat(np.sqrt(np.add.reduceat(w * w, start[:-1])) if len(some) else w, size)
+        w = np.zeros(len(term), np.float32)
+        for a in range(0, len(size), 500):  # in double precision, some examples at a time
+            here = slice(start[a], start[min(a + 500, len(size))])
+            x = tf[here] * self.idf[term[here]]
+            w[here] = x / np.repeat(np.sqrt(np.add.reduceat(x * x, start[a : a + 500][: len(size) - a] - start[a])), size[a : a + 500])
         self.place = _similar_first(term, w, start, block)  # example at each place of the index
         self.start = np.concatenate(([0], np.cumsum(size[self.place])))
-        by = _runs(start[self.place], size[self.place])
-        self.term, self.w = term[by], w[by].astype(np.float32)  # by place
+        runs = [slice(a, b) for a, b in zip(start[self.place].tolist(), start[self.place + 1].tolist(), strict=True)]
+        self.term, self.w = (np.concatenate([x[:0], *(x[r] for r in runs)]) for x in (term, w))  # by place
         self.steps, self.cols = None, None
 
     def __getstate__(self) -> dict:
@@ -368,14 +380,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_exam
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *lists], ["doc_id", "toxic", "terms", "tf"])
 
     known = _sampled(train, key, max_examples).select("doc_id", "text", "toxic")
-    got = common.mapped(known, run, "doc_id long, toxic int, terms array<int>, tf array<int>").toArrow().combine_chunks()
+    got = common.mapped(known, run, "doc_id long, toxic int, terms array<int>, tf array<int>").toArrow()
     sent.destroy()
-    flat = lambda c: (c.chunk(0).offsets.to_numpy(), c.chunk(0).values.to_numpy()) if c.num_chunks else (np.zeros(1, int), np.zeros(0, int))
-    (off, t), (_, tf) = flat(got["terms"]), flat(got["tf"])
-    examples = [(i, t[a:b], tf[a:b], y) for i, y, a, b in zip(got["doc_id"].to_pylist(), got["toxic"].to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True)]
-    model = Model(vocabulary, idf, sorted(examples, key=lambda e: (e[1].tobytes(), e[2].tobytes(), e[3], e[0])))
-    del got, t, tf, examples
+    examples = []
+    for c in got.to_batches():  # views of what was gathered
+        (off, t), (_, tf) = ((c.column(k).offsets.to_numpy(), c.column(k).values.to_numpy()) for k in ("terms", "tf"))
+        examples += [(i, t[a:b], tf[a:b], y) for i, y, a, b in zip(c["doc_id"].to_pylist(), c["toxic"].to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    examples.sort(key=lambda e: (len(e[1]) > 0, blake2b(e[1].tobytes() + e[2].tobytes(), digest_size=16).digest(), e[3], e[0]))
+    none = [e[3] for e in examples if not len(e[1])]
+    del examples[: len(none)]
+    ids, labelled, size = ([e[0] for e in examples], [e[3] for e in examples], [len(e[1]) for e in examples])
+    term, freq = (np.concatenate([np.zeros(0, np.int32), *(e[c] for e in examples)]) for c in (1, 2))
+    t = tf = c = None
+    examples.clear()
+    del got
     pa.default_memory_pool().release_unused()
+    model = Model.of(vocabulary, idf, ids, labelled, size, term, freq, none)
+    del term, freq
     model.calibrate(_left_out(docs.sparkSession, model))
     return model
 
