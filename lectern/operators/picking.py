@@ -44,6 +44,12 @@ def chunk_key() -> Column:
     return F.concat_ws(":", F.coalesce("source", F.lit("unknown")), F.coalesce("pageIndex", F.lit(0)).cast("string"), F.coalesce("chunkIndex", F.lit(0)).cast("string"))
 
 
+def ocr_task_key(generation: Column, center: Column, priority: Column) -> Column:
+    """The key of a recognition task: its generation, the page at the centre and the page that goes first; 0 for what is
+    unknown."""
+    return F.concat_ws(":", *[G.finite(c).cast("long").cast("string") for c in (generation, center, priority)])
+
+
 def is_readable(least: float = 0.5) -> Column:
     return F.coalesce(F.col("text").rlike(T.NOT_WS) & F.col("normalizedBbox").isNotNull() & (F.coalesce("priority", F.lit(0.0)) >= least) & ~F.coalesce(F.col("role").isin(*COMMON), F.lit(False)), F.lit(False))
 

@@ -149,15 +149,40 @@ def policy_filter(spark, d):
     return K.by_policy(line_chunks(spark, d), K.resolve_policies(asked)).groupBy("tierKey", "documentId").agg(F.count("*").alias("chunks"), F.sum(F.char_length("text")).alias("characters"))
 
 
-@query("policies", "SELECT * FROM (VALUES ('snow-mist', 'continuous', true, 3), ('aesthetic-walk', 'continuous', true, 5), ('long-day', 'none', false, 3), ('winding-stream', 'paragraph-lead', true, 6), ('strong-wind', 'none', false, 3), ('all-things-flourish', 'none', false, 3)) AS v(tier, auto_read, prefetch, excluded)")
+POLICY_ROWS = "(VALUES ('snow-mist', 'continuous', true, 3, NULL), ('aesthetic-walk', 'continuous', true, 5, NULL), ('long-day', 'none', false, 3, 'KeyR'), ('winding-stream', 'paragraph-lead', true, 6, NULL), ('strong-wind', 'none', false, 3, NULL), ('all-things-flourish', 'none', false, 3, NULL)) AS v(tier, auto_read, prefetch, excluded, shortcut)"
+
+
+@query("policies", f"SELECT event_id, v.tier, auto_read, prefetch, excluded FROM events JOIN {POLICY_ROWS} ON v.tier = {TIER.format(x='value % 70')}")
 def policies(spark, d):
-    return K.policies(spark).select(F.col("tierKey").alias("tier"), F.col("autoRead").alias("auto_read"), "prefetch", F.size("excludedRoles").alias("excluded"))
+    """The policy of the tier of each event's speed."""
+    e = events(spark, d).select("event_id", R.speed_tier(F.col("value") % 70).alias("tier"))
+    p = K.policies(spark).select(F.col("tierKey").alias("tier"), F.col("autoRead").alias("auto_read"), "prefetch", F.size("excludedRoles").alias("excluded"))
+    return e.join(F.broadcast(p), "tier")  # six rows
 
 
-@query("resolved_policies", "SELECT * FROM (VALUES ('snow-mist', true, 'continuous', NULL), ('long-day', true, 'none', 'KeyR'), ('long-day', false, 'none', NULL)) AS v(tier, enabled, auto_read, shortcut)")
+@query("resolved_policies", f"SELECT event_id, v.tier, enabled, CASE WHEN enabled THEN auto_read ELSE 'none' END AS auto_read, CASE WHEN enabled THEN shortcut END AS shortcut FROM (SELECT event_id, event_id % 3 = 1 AS enabled, CASE WHEN event_id % 7 = 0 THEN 'long-day' ELSE {TIER.format(x='value % 70')} END AS tier FROM events) e JOIN {POLICY_ROWS} ON v.tier = e.tier")
 def resolved_policies(spark, d):
-    asked = spark.createDataFrame([("snow-mist", True), ("nowhere", True), ("long-day", None)], "tierKey string, enabled boolean")
-    return K.resolve_policies(asked).select(F.col("tierKey").alias("tier"), "enabled", F.col("autoRead").alias("auto_read"), F.col("manualShortcut").alias("shortcut"))
+    """Each event asks for the policy of its tier, now and then for one that isn't there, on, off or unsaid."""
+    n = F.col("event_id")
+    asked = events(spark, d).select("event_id", F.when(n % 7 == 0, "nowhere").otherwise(R.speed_tier(F.col("value") % 70)).alias("tierKey"), F.when(n % 3 == 1, True).when(n % 3 == 2, False).alias("enabled"))
+    return K.resolve_policies(asked).select("event_id", F.col("tierKey").alias("tier"), "enabled", F.col("autoRead").alias("auto_read"), F.col("manualShortcut").alias("shortcut"))
+
+
+@query("speakable_options", f"""{_all_chunks_sql()}, o AS (SELECT * FROM (VALUES (false, false), (false, true), (true, false), (true, true)) AS v(footnotes, leads))
+    SELECT documentId, footnotes, leads, count(*) AS chunks, CAST(sum(length(c)) AS BIGINT) AS characters FROM ac, o WHERE c <> '' AND role NOT IN ('reference', 'table', 'formula') AND NOT bib AND NOT (length(c) <= 120 AND (t_ < 0.055::DOUBLE OR t_ + 12 / 792.0::DOUBLE > 0.945::DOUBLE))
+    AND (footnotes OR role <> 'footnote') AND (NOT leads OR role = 'heading' OR length(c) <= 90) GROUP BY ALL""")
+def speakable_options(spark, d):
+    """What may be spoken of each document, with and without footnotes and for leads only."""
+    one = lambda f, lead: F.when(K.is_speakable(f, lead), F.struct(F.lit(f).alias("footnotes"), F.lit(lead).alias("leads")))
+    c = line_chunks(spark, d).withColumn("o", F.explode(F.array_compact(F.array(*[one(f, lead) for f in (False, True) for lead in (False, True)]))))
+    return c.groupBy("documentId", "o.footnotes", "o.leads").agg(F.count("*").alias("chunks"), F.sum(F.char_length("text")).alias("characters"))
+
+
+@query("ocr_task_keys", "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 0 ELSE event_id // 400 END || ':' || CAST(floor(value / 25) AS BIGINT) || ':' || CASE WHEN event_id % 5 = 0 THEN 0 ELSE CAST(floor(value) AS BIGINT) END AS key FROM events")
+def ocr_task_keys(spark, d):
+    n = F.col("event_id")
+    page_, first = F.floor(F.col("value") / 25), F.when(n % 5 != 0, F.floor("value"))
+    return events(spark, d).select("event_id", K.ocr_task_key(F.when(n % 6 != 0, F.floor(n / 400)), page_, first).alias("key"))
 
 
 @query("speakable_next", f"""{_line_chunks_sql()}, a AS (SELECT documentId, pageIndex, segmentIndex AS k FROM seg), e AS (SELECT documentId, pageIndex, k FROM lc WHERE NOT (length(c) <= 120 AND (t < 0.055::DOUBLE OR t + hh > 0.945::DOUBLE)) AND NOT regexp_matches(c, '(?i)\\b(?:doi|isbn|issn|dataverse|replication sets?)\\b|https?://'))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions import reading as R
@@ -73,20 +71,35 @@ def page_items(spark, d):
     return A.page_item_segments(p).select("documentId", "pageIndex", "segmentIndex", "text", F.col("bbox.y").alias("top"))
 
 
-STATES = [("old", json.dumps({"createdAt": "t0", "preferences": {"ttsMode": "flow", "defaultSpeedPxPerSecond": 99}})), ("broken", "{no json"), ("none", None)]
+#: What each event's stored state says, by the form that it is stored in.
+KNOWN = """event_id, CASE WHEN event_id % 5 < 2 THEN 'now' ELSE 't' || event_id END AS created, CASE event_id % 5 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN event_id % 2 = 0 ELSE event_id % 3 = 0 END AS tts, CAST(CASE WHEN event_id % 5 = 2 THEN greatest(4, least(64, event_id % 90)) ELSE 16 END AS INTEGER) AS speed,
+    CAST(CASE WHEN event_id % 5 > 2 THEN greatest(1, least(18, event_id % 25)) ELSE 6 END AS INTEGER) AS recent, CASE WHEN event_id % 5 > 2 THEN greatest(0, least(1, (event_id % 13 - 1) / 10.0::DOUBLE)) ELSE 0.28::DOUBLE END AS volume"""
+
+
+def _stored(spark, d):
+    n = F.col("event_id")
+    text = lambda c: c.cast("string")
+    old = F.concat(F.lit('{"createdAt":"t'), text(n), F.lit('","preferences":{"ttsMode":"'), F.when(n % 2 == 0, "flow").otherwise("off"), F.lit('","defaultSpeedPxPerSecond":'), text(n % 90), F.lit("}}"))
+    odd = F.concat(F.lit('{"createdAt":"t'), text(n), F.lit('","preferences":{"ttsEnabled":'), F.when(n % 3 == 0, "true").otherwise("false"), F.lit(',"recentDocumentLimit":'), text(n % 25), F.lit(',"defaultSpeedPxPerSecond":"odd","soundCueVolume":'), text((n % 13 - 1) / 10.0), F.lit("}}"))
+    return events(spark, d).select("event_id", F.when(n % 5 == 0, "{no json").when(n % 5 == 2, old).when(n % 5 > 2, odd).alias("raw"))
 
 
-@query("reader_state", "SELECT * FROM (VALUES ('old', 't0', true, 64, 6), ('broken', 'now', false, 16, 6), ('none', 'now', false, 16, 6)) AS v(name, created, tts, speed, recent)")
+def _known(df, state):
+    p = F.col(state)["preferences"]
+    return df.select("event_id", F.col(state)["createdAt"].alias("created"), p["ttsEnabled"].alias("tts"), p["defaultSpeedPxPerSecond"].alias("speed"), p["recentDocumentLimit"].alias("recent"), p["soundCueVolume"].alias("volume"), *[c for c in df.columns if c not in ("event_id", "raw", state)])
+
+
+@query("reader_state", f"SELECT {KNOWN} FROM events")
 def reader_state(spark, d):
-    s = spark.createDataFrame(STATES, "name string, raw string").withColumn("s", A.read_state(F.col("raw"), F.lit("now")))
-    p = F.col("s.preferences")
-    return s.select("name", F.col("s.createdAt").alias("created"), p["ttsEnabled"].alias("tts"), p["defaultSpeedPxPerSecond"].alias("speed"), p["recentDocumentLimit"].alias("recent"))
+    return _known(_stored(spark, d).withColumn("s", A.read_state(F.col("raw"), F.lit("now"))), "s")
 
 
-@query("reader_state_round_trip", "SELECT * FROM (VALUES ('old', 'later'), ('broken', 'later'), ('none', 'later')) AS v(name, updated)")
+@query("reader_state_round_trip", f"SELECT {KNOWN}, 'later' AS updated FROM events")
 def reader_state_round_trip(spark, d):
-    s = spark.createDataFrame(STATES, "name string, raw string").withColumn("j", A.write_state(A.read_state(F.col("raw"), F.lit("now")), F.lit("later")))
-    return s.select("name", F.get_json_object("j", "$.updatedAt").alias("updated"))
+    """Each state written and read again: nothing of it changes but the time of its update."""
+    s = _stored(spark, d).withColumn("j", A.write_state(A.read_state(F.col("raw"), F.lit("now")), F.lit("later")))
+    s = s.withColumn("s", A.read_state(F.col("j"), F.lit("never"))).withColumn("updated", F.col("s.updatedAt")).drop("j")
+    return _known(s, "s")
 
 
 @query("cleared_states", "SELECT CAST(user_id AS VARCHAR) AS reader, last AS created, false AS tts, 16 AS speed, 6 AS recent, 0.28::DOUBLE AS volume FROM (SELECT user_id, CAST(max(event_id) AS VARCHAR) AS last FROM events GROUP BY user_id)")
