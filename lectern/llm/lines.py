@@ -128,9 +128,13 @@ def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, exact
     exact = common.cut(later.groupBy(F.col("doc_id").alias("id"), F.col("tkey").alias("key")).agg(F.array_sort(F.collect_set("pos")).alias("exact")))
     common.drop(held)
 
+    beside, _ = _without(docs, exact)
+    apart = not common.is_small(exact)
+    if apart:  # texts are shuffled to their marks once, and kept there
+        beside = common.keep(beside)
+
     def distinct():
-        own, _ = _without(docs, exact)
-        own = own.select("doc_id", F.xxhash64("text").alias("tkey"), "exact", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        own = beside.select("doc_id", F.xxhash64("text").alias("tkey"), "exact", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         own = own.where((F.char_length("line") >= min_chars) & ~F.coalesce(F.array_contains("exact", F.col("pos")), F.lit(False)))
         return own.select("doc_id", "tkey", "pos", "line", *[c.alias(k) for k, c in hashes.items()], F.char_length("line").alias("l"))
 
@@ -170,6 +174,8 @@ def marks(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, exact
     near = common.cut(near)
     common.drop(rows)
     common.drop(text)
+    if apart:
+        common.drop(beside)
     none = F.expr("cast(array() AS array<int>)")
     e, n = exact.alias("e"), near.alias("n")
     out = e.join(n, F.col("e.id").eqNullSafe(F.col("n.id")) & (F.col("e.key") == F.col("n.key")), "full")
