@@ -100,22 +100,24 @@ def _plan(decision: str, text: Column, speed: Column, seconds: Column, window: C
     return F.struct(F.lit(decision).alias("decision"), text.alias("text"), speed.cast("double").alias("speed"), seconds.cast("double").alias("estimatedSpeechSeconds"), window.cast("double").alias("visualWindowSeconds"), latest.cast("long").alias("latestStartAtMs"))
 
 
-def candidate_plan(decision: str, text: Column, window: Column, now_ms: Column, low: float = 1.5, high: float = 2.5, reserve: float = 0.65) -> Column:
-    base, free = speech_seconds(text), F.greatest(F.lit(0.0), window - reserve)
+def candidate_plan(decision: str, text: Column, window: Column, now_ms: Column, low: float = 1.5, high: float = 2.5, reserve: float = 0.65, base: Column | None = None) -> Column:
+    """The plan to speak a text within the window, or null. base: its speech_seconds(), if they are known."""
+    base, free = speech_seconds(text) if base is None else base, F.greatest(F.lit(0.0), window - reserve)
     rate = base / free
     speed = clamp(F.ceil(F.greatest(F.lit(low), rate) * 100) / 100, low, high)
     fits = (text != "") & (base > 0) & (free > 0) & (rate <= high)
     return F.when(fits, _plan(decision, text, speed, base / speed, window, js_round(now_ms + F.greatest(F.lit(0.0), window - base / speed) * 1000)))
 
 
-def walk_plan(text: Column, first_sentence: Column, window: Column, now_ms: Column) -> Column:
-    """The utterance for a chunk: whole, its first sentence, or none; whole at the least speed without a window."""
-    t = T.squeeze(F.coalesce(text, F.lit("")))
+def walk_plan(text: Column, first_sentence: Column, window: Column, now_ms: Column, base: Column | None = None, first_base: Column | None = None) -> Column:
+    """The utterance for a chunk: whole, its first sentence, or none; whole at the least speed without a window. base and
+    first_base: the speech_seconds() of the squeezed text, given if base is, and of its first sentence."""
+    t = T.squeeze(F.coalesce(text, F.lit(""))) if base is None else text
     none = F.lit(None)
-    fallback = F.when(window.isNull(), _plan("fallback", t, F.lit(1.5), speech_seconds(t) / 1.5, none, none))
-    short = F.when((first_sentence != "") & (first_sentence != t), candidate_plan("shortened", first_sentence, window, now_ms))
+    fallback = F.when(window.isNull(), _plan("fallback", t, F.lit(1.5), (speech_seconds(t) if base is None else base) / 1.5, none, none))
+    short = F.when((first_sentence != "") & (first_sentence != t), candidate_plan("shortened", first_sentence, window, now_ms, base=first_base))
     skip = _plan("skip", F.lit(""), F.lit(2.5), F.lit(0.0), window, js_round(now_ms))
-    return F.coalesce(fallback, candidate_plan("full", t, window, now_ms), short, skip)
+    return F.coalesce(fallback, candidate_plan("full", t, window, now_ms, base=base), short, skip)
 
 
 def plan_signature(plan: Column) -> Column:

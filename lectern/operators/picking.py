@@ -130,9 +130,13 @@ def next_eligible(chunks: DataFrame) -> DataFrame:
 
 def plan_utterances(positions: DataFrame, chunks: DataFrame, speed: float, page_height: float, now_ms: int = 0) -> DataFrame:
     """A plan for every readable chunk that a position has not passed: whole, shortened or skipped."""
-    d = positions.join(chunks.where(is_readable()), PAGE).withColumn("_f", first_sentence(T.squeeze(F.col("text"))))
+    c = chunks.where(is_readable())
+    for name, value in (("_t", T.squeeze(F.col("text"))), ("_base", R.speech_seconds(F.col("_t"))), ("_f", first_sentence(F.col("_t"))), ("_fbase", R.speech_seconds(F.col("_f")))):
+        c = T.once(c, name, value)  # a chunk's own, whatever the positions before it
     window = R.visual_window(F.col("normalizedBbox"), F.col("y"), F.lit(float(page_height)), F.lit(float(speed)))
-    return d.withColumn("plan", R.walk_plan(F.col("text"), F.col("_f"), window, F.lit(now_ms))).select(*PAGE, "positionId", "chunkIndex", "plan.*")
+    d = T.once(positions.join(c, PAGE), "_w", window)
+    d = T.once(d, "plan", R.walk_plan(F.col("_t"), F.col("_f"), F.col("_w"), F.lit(now_ms), F.col("_base"), F.col("_fbase")))
+    return d.select(*PAGE, "positionId", "chunkIndex", "plan.*")
 
 
 def ahead_page() -> Column:

@@ -197,6 +197,17 @@ def walk_plans(spark, d):
     return p.select("documentId", "pageIndex", "positionId", "chunkIndex", "decision", F.round("speed", 6).alias("speed"), F.round("estimatedSpeechSeconds", 6).alias("seconds"), "latestStartAtMs")
 
 
+@query("whole_utterances", rf"""{_line_chunks_sql()}, p AS (SELECT DISTINCT documentId, pageIndex FROM seg), q AS (SELECT p.*, v.i AS positionId, CAST(0.1 AS DOUBLE) + CAST(0.2 AS DOUBLE) * v.i AS yy FROM p, (VALUES (0), (1), (2), (3), (4)) AS v(i)),
+    s AS (SELECT *, {squeeze('c')} AS s FROM lc), n AS (SELECT *, {cnt('s', CJK)} AS cj, {cnt('s', r"\p{Latin}+(?:[’'-]\p{Latin}+)*")} + {cnt('s', r'\p{N}+(?:[.,]\p{N}+)*')} AS w, {cnt('s', r'[\p{L}\p{N}]')} AS u FROM s),
+    b AS (SELECT *, CASE WHEN cj + w > 0 THEN (cj / 300.0::DOUBLE + w / 165.0::DOUBLE) * 60 ELSE u / 5.0::DOUBLE END AS base FROM n), e AS (SELECT b.documentId, b.pageIndex, positionId, k, base, greatest(0, (least(1, t + hh) - yy) * 800 / 12) AS win FROM b JOIN q ON b.documentId = q.documentId AND b.pageIndex = q.pageIndex),
+    f AS (SELECT *, greatest(0, win - 0.65::DOUBLE) AS free FROM e), r AS (SELECT *, greatest(1.5::DOUBLE, least(2.5::DOUBLE, ceil(greatest(1.5::DOUBLE, base / free) * 100) / 100)) AS speed FROM f WHERE base > 0 AND free > 0 AND base / free <= 2.5::DOUBLE)
+    SELECT documentId, pageIndex, positionId, k AS chunk, round(speed, 6) AS speed, round(base / speed, 6) AS seconds, round(win, 6) AS visible FROM r""")
+def whole_utterances(spark, d):
+    """The plans that speak a chunk whole before it has passed the reading line."""
+    p = K.plan_utterances(positions(spark, d), line_chunks(spark, d), 12.0, 800.0).where("decision = 'full'")
+    return p.select("documentId", "pageIndex", "positionId", F.col("chunkIndex").alias("chunk"), F.round("speed", 6).alias("speed"), F.round("estimatedSpeechSeconds", 6).alias("seconds"), F.round("visualWindowSeconds", 6).alias("visible"))
+
+
 @query("ahead_page", "SELECT event_id, CASE WHEN event_id % 2 = 0 AND value >= 1 AND floor(value) < 60 THEN CAST(floor(value) AS BIGINT) + 1 END AS page FROM events")
 def ahead_page(spark, d):
     e = events(spark, d).select("event_id", (F.col("event_id") % 2 == 0).alias("enabled"), F.lit("snow-mist").alias("tierKey"), F.lit(True).alias("isPlaying"), F.lit(False).alias("workloadActive"), F.floor("value").alias("currentPage"), F.lit(60).alias("pageCount"), F.lit(True).alias("nextPageNativeKnown"), *[F.lit(False).alias(c) for c in ("nextPageTtsReady", "nextPageOcrKnown", "nextPageFailed")])
