@@ -311,7 +311,7 @@ def history_records(spark, d):
 @query("history_upsert", "SELECT 'File ' || user_id || '.pdf' AS file, CAST(min(event_id) AS VARCHAR) AS opened, CAST(max(event_id) AS VARCHAR) AS updated FROM events GROUP BY user_id")
 def history_upsert(spark, d):
     u = history_updates(spark, d)
-    mid = u.agg(F.expr("percentile(seq, 0.5)")).first()[0] or 0
+    mid = F.coalesce(u.agg(F.expr("percentile(seq, 0.5)")).scalar(), F.lit(0.0))
     old, new = H.document_updates(u.where(F.col("seq") < mid)), H.document_updates(u.where(F.col("seq") >= mid))
     return H.upsert(old, new).select(F.col("fileName").alias("file"), F.col("openedAt").alias("opened"), F.col("updatedAt").alias("updated"))
 
