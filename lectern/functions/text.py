@@ -184,9 +184,14 @@ def normalize_point_line(c: Column) -> Column:
 
 def fnv1a(c: Column) -> Column:
     """FNV-1a of 32 bits over UTF-16 units, in base 36. Beyond the BMP a character is its two surrogates."""
-    code = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
-    units = F.flatten(F.transform(code, lambda u: F.when(u < 0x10000, F.array(u)).otherwise(F.array(F.lit(0xD800) + F.shiftright(u - 0x10000, 10), F.lit(0xDC00) + (u - 0x10000) % 1024))))
-    h = F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, u: F.pmod(h.bitwiseXOR(u) * 16777619, F.lit(4294967296)))
+    mixed = lambda h, u: (h.bitwiseXOR(u) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def step(h, x):
+        u = F.ascii(x).cast("long")
+        pair = mixed(mixed(h, F.lit(0xD800) + F.shiftright(u - 0x10000, 10)), F.lit(0xDC00) + (u - 0x10000) % 1024)
+        return F.when(x == "", h).when(u < 0x10000, mixed(h, u)).otherwise(pair)
+
+    h = F.aggregate(F.split(c, ""), F.lit(0x811C9DC5).cast("long"), step)
     return F.lower(F.conv(h.cast("string"), 10, 36))
 
 
