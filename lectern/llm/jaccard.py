@@ -44,7 +44,7 @@ RUN = 1 << 19
 #: First tokens that similar sets must share, at least.
 LEVEL = 4
 #: Classes that may have a token among their first ones before it counts as common; how often the order is made anew.
-HOT, ORDERS = 4096, 3
+HOT, ORDERS = 512, 3
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
