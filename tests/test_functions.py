@@ -57,6 +57,12 @@ def test_roles(spark):
     assert ask(spark, F.array_join(T.quality_flags(x, F.lit("footnote")), ","), "isbn 1234 = xyz") == ["role:footnote,symbol-heavy,bibliographic"]
 
 
+def test_shares_of_roles_are_exact(spark):
+    # 63 symbols are 0.35 of 180 letters, which doubles put below: 180 * 0.35 = 62.99999999999999
+    assert ask(spark, T.classify_role(x), "a" * 180 + "=" * 63, "a" * 180 + "=" * 64, "a" * 5 + "1" * 6, "a" * 5 + "1" * 7) == ["body", "formula", "body", "table"]
+    assert ask(spark, T.ocr_language_set(x), "漢" * 175 + "か" * 7, "漢" * 176 + "か" * 7) == ["jpn+chi_sim+eng", "chi_sim+eng"]
+
+
 def test_languages(spark):
     assert ask(spark, T.ocr_language_set(x), "これはとても長い日本語", "這是專業", "这是一个简单的中文句子", "plain English text of some length", "short") == ["jpn+chi_sim+eng", "chi_tra+eng", "chi_sim+eng", "eng", "chi_sim+eng+jpn"]
     assert ask(spark, T.ocr_language_set_for_label(x), "日语教材", "書", "English Grammar", "x") == ["jpn+chi_sim+eng", "chi_tra+eng", "eng", None]
