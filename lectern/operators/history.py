@@ -87,7 +87,8 @@ def ordered_union(*lists):
     return F.array_distinct(F.concat(*lists))
 
 
-def eviction_order(pages: DataFrame) -> DataFrame:
-    """pages: documentId, page, currentPage, usedAt. Farthest first, then least recently used."""
-    w = W.partitionBy("documentId").orderBy(F.abs(F.col("page") - F.col("currentPage")).desc(), "usedAt", "page")
+def eviction_order(pages: DataFrame, *ties: str) -> DataFrame:
+    """pages: documentId, page, currentPage, usedAt. Farthest first, then least recently used; entries of one page and
+    time by the columns `ties`."""
+    w = W.partitionBy("documentId").orderBy(F.abs(F.col("page") - F.col("currentPage")).desc(), "usedAt", "page", *ties)
     return pages.withColumn("evictRank", F.row_number().over(w))

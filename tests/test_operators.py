@@ -260,3 +260,10 @@ def test_waves(spark):
     assert WA.join_waves(d, "k", "n", "audio").select(WA.parse_wave(F.col("audio")).alias("p")).select("p.audioSeconds").first()[0] == 9 / 24000
     quiet = [0.0] * 2000 + [0.5] * 10 + [0.0] * 2000
     assert len(WA.trim_silence(quiet)) == 720 + 10 + 720
+
+
+def test_eviction_ties_go_by_the_columns_named(spark):
+    from lectern.operators import history as H
+
+    d = spark.createDataFrame([("d", 3, 20, 1.5, e) for e in (7, 2, 9, 4, 1, 8)], "documentId string, page int, currentPage int, usedAt double, event_id long").repartition(3)
+    assert [r.event_id for r in H.eviction_order(d, "event_id").orderBy("evictRank").collect()] == [1, 2, 4, 7, 8, 9]
