@@ -153,3 +153,11 @@ def test_long_texts_need_no_recursion(spark):
     long = ["word " * 50_000, "A " * 50_000 + "B", "a-" * 50_000 + "b", "1." * 50_000 + "1"]
     for expr in (F.size(T.mixed_segments(x, F.lit("zh"))), T.is_running_header(x), R.text_stats(x)["englishWords"], R.speech_seconds(x)):
         assert len(ask(spark, expr, *long)) == 4
+
+
+def test_artifacts_are_seen_by_their_bytes(spark):
+    from lectern.functions import text as T
+
+    plain, marked = ["plain text, well-made", "a\u0085b", ""], ["a ,b", "a- b", " a", "a ", "﻿a", "a　b", "ﬁne", "May 3, 2021 10:15 AM Sheet number 1 Page number 7"]
+    assert ask(spark, T.has_artifacts(x), *plain, *marked) == [False] * len(plain) + [True] * len(marked)
+    assert ask(spark, T.trim(x), "﻿　 a b \t ", "a \u0085") == ["a b", "a \u0085"]
