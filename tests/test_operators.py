@@ -267,3 +267,11 @@ def test_eviction_ties_go_by_the_columns_named(spark):
 
     d = spark.createDataFrame([("d", 3, 20, 1.5, e) for e in (7, 2, 9, 4, 1, 8)], "documentId string, page int, currentPage int, usedAt double, event_id long").repartition(3)
     assert [r.event_id for r in H.eviction_order(d, "event_id").orderBy("evictRank").collect()] == [1, 2, 4, 7, 8, 9]
+
+
+def test_one_assessment_for_all_that_is_known_of_pages(spark, tmp_path):
+    from lectern.plans import page_queries as PQ
+
+    spark.createDataFrame([(1, "A line of prose.\nAnother one.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = PQ._resolved(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == 1 and "Join" not in plan
