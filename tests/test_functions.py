@@ -161,3 +161,14 @@ def test_artifacts_are_seen_by_their_bytes(spark):
     plain, marked = ["plain text, well-made", "a\u0085b", ""], ["a ,b", "a- b", " a", "a ", "﻿a", "a　b", "ﬁne", "May 3, 2021 10:15 AM Sheet number 1 Page number 7"]
     assert ask(spark, T.has_artifacts(x), *plain, *marked) == [False] * len(plain) + [True] * len(marked)
     assert ask(spark, T.trim(x), "﻿　 a b \t ", "a \u0085") == ["a b", "a \u0085"]
+
+
+def test_hash_of_texts_side_by_side(spark):
+    def fnv(t):
+        h, b = 0x811C9DC5, t.encode("utf-16-le")
+        for i in range(0, len(b), 2):
+            h = (h ^ int.from_bytes(b[i : i + 2], "little")) * 16777619 & 0xFFFFFFFF
+        return _36(h)
+
+    texts = ["foobar" * 99, None, "𠀀é", "b", "", "𠀀é" * 40]
+    assert ask(spark, T.fnv1a(x), *[(t,) for t in texts]) == [None if t is None else fnv(t) for t in texts]

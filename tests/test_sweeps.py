@@ -28,6 +28,24 @@ def nearest(x, y, targets, most):
     return best
 
 
+def test_few_copies_of_a_line_in_the_grid(spark):
+    """A line across the page is entered in a few wide cells, not in one for each step along it."""
+    lit = F.lit
+    assert len(spark.range(1).select(O.cells(lit(0.04), lit(0.96), lit(0.1), lit(0.12), 0.07).alias("c")).first().c) == 2
+
+
+def test_sentences_are_dealt_once(spark):
+    """Of all that follows the sentences, only one exchange: by document, for the order on pages and along documents."""
+    box = "struct<x:double,y:double,width:double,height:double>"
+    s = spark.createDataFrame([], f"documentId string, pageIndex int, segmentIndex int, text string, bbox {box}, source string, confidence double, paragraphId string, blockId string, hasEOL boolean, fontName string, direction string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = O.sentence_targets(s.repartition("documentId"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_points_on_a_grid(spark, seed):
     rng = random.Random(seed)
