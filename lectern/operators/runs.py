@@ -7,6 +7,8 @@ again with what it was entered with. So a long history is dealt out by its block
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,30 +66,75 @@ class Timers:
         return out
 
 
+def starts(f: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Where the groups of an ordered frame start; nulls are one group."""
+    new = np.zeros(len(f), bool)
+    new[:1] = True
+    for k in keys:
+        v, before = f[k], f[k].shift()
+        new[1:] |= (v.ne(before) & ~(v.isna() & before.isna())).to_numpy(bool)[1:]
+    return np.flatnonzero(new)
+
+
+def grouped(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Batches of ordered rows, cut anew so that none ends within a group, with the [from, to) of their groups."""
+    kept: list[pd.DataFrame] = []
+
+    def whole(f: pd.DataFrame):
+        at = starts(f, keys).tolist()
+        return f, list(zip(at, [*at[1:], len(f)]))
+
+    for f in frames:
+        if not len(f):
+            continue
+        at = int(starts(f, keys)[-1])
+        if kept and (at or len(starts(pd.concat([kept[-1].iloc[-1:], f.iloc[:1]]), keys)) > 1):
+            yield whole(pd.concat([*kept, f.iloc[:at]], ignore_index=True))
+            kept = []
+        elif at:
+            yield whole(f.iloc[:at].reset_index(drop=True))
+        kept.append(f.iloc[at:])
+    if kept:
+        yield whole(pd.concat(kept, ignore_index=True))
+
+
 def timed(requests: DataFrame, delay: int, millis: int = MILLIS) -> DataFrame:
-    """requests: queue, atMs, key. Each with firedMs: the end of the timer it falls under."""
-    d = requests.where("atMs IS NOT NULL").withColumn("_block", F.expr(f"cast(floor(atMs / {max(millis, delay)}) AS bigint)"))
-
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf["atMs"].to_numpy(np.int64))
-        upto, ends = Timers(at, delay).exits((int(pdf["_block"].iloc[0])) * max(millis, delay) + delay)
-        return pd.DataFrame({"queue": [pdf["queue"].iloc[0]], "_block": [pdf["_block"].iloc[0]], "upto": [upto], "ends": [ends]})
-
-    def along(pdf: pd.DataFrame) -> pd.DataFrame:
-        due, out = None, []
-        for r in pdf.sort_values("_block").itertuples(index=False):
-            out.append((r.queue, r[1], due))
-            i = 0 if due is None else int(np.searchsorted(r.upto, due, "left"))
-            due = r.ends[i] if i < len(r.ends) else due
-        return pd.DataFrame({"queue": [o[0] for o in out], "_block": [o[1] for o in out], "due": pd.array([o[2] for o in out], "Int64")})
-
-    maps = d.select("queue", "_block", "atMs").groupBy("queue", "_block").applyInPandas(summed, "queue string, _block long, upto array<long>, ends array<long>")
-    entered = maps.groupBy("queue").applyInPandas(along, "queue string, _block long, due long")
-
-    def again(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["atMs", "key"])
-        due = None if not len(right) or pd.isna(right["due"].iloc[0]) else int(right["due"].iloc[0])
-        return left[["queue", "atMs", "key"]].assign(firedMs=Timers(left["atMs"].to_numpy(np.int64), delay).runs(due))
-
-    both = d.select("queue", "_block", "atMs", "key").groupBy("queue", "_block").cogroup(entered.groupBy("queue", "_block"))
-    return both.applyInPandas(again, "queue string, atMs long, key string, firedMs long")
+    """requests: queue, atMs, key. Each with firedMs: the end of the timer it falls under. Blocks that follow each other
+    in a partition go through Python together, as most queues are short."""
+    span, key = max(millis, delay), ["queue", "_block"]
+    d = requests.where("atMs IS NOT NULL").withColumn("_block", F.expr(f"cast(floor(atMs / {span}) AS bigint)")).select(*key, "atMs", "key")
+    d = d.repartition(*key)
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, cuts in grouped(frames, key):
+            at, block, out = f["atMs"].to_numpy(np.int64), f["_block"].to_numpy(), []
+            for i, j in cuts:
+                out.append(Timers(at[i:j], delay).exits(int(block[i]) * span + delay))
+            first = [i for i, _ in cuts]
+            yield pd.DataFrame({"queue": f["queue"].to_numpy()[first], "_block": block[first], "upto": [o[0] for o in out], "ends": [o[1] for o in out]})
+
+    def along(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queue, due = (), None
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                if queue != (r.queue,):
+                    queue, due = (r.queue,), None
+                out.append(due)
+                i = 0 if due is None else int(np.searchsorted(r.upto, due, "left"))
+                due = int(r.ends[i]) if i < len(r.ends) else due
+            yield f[key].assign(due=pd.array(out, "Int64"))
+
+    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f, cuts in grouped(frames, key):
+            at, fired = f["atMs"].to_numpy(np.int64), np.empty(len(f), np.int64)
+            due, known = f["due"].fillna(0).to_numpy(np.int64), f["due"].notna().to_numpy()
+            for i, j in cuts:
+                fired[i:j] = Timers(at[i:j], delay).runs(int(due[i]) if known[i] else None)
+            yield f[["queue", "atMs", "key"]].assign(firedMs=fired)
+
+    maps = d.sortWithinPartitions(*key, "atMs").mapInPandas(summed, "queue string, _block long, upto array<long>, ends array<long>")
+    entered = maps.repartition("queue").sortWithinPartitions(*key).mapInPandas(along, "queue string, _block long, due long")
+    entered = entered.select(F.col("queue").alias("_q"), F.col("_block").alias("_b"), "due")
+    both = d.join(entered, (F.col("queue").eqNullSafe(F.col("_q"))) & (F.col("_block") == F.col("_b")), "left").drop("_q", "_b")
+    return both.repartition(*key).sortWithinPartitions(*key, "atMs", "key").mapInPandas(again, "queue string, atMs long, key string, firedMs long")

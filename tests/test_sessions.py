@@ -172,6 +172,19 @@ def test_debounce_in_blocks(spark, delay, millis):
     assert got == sorted((q, *r) for q, own in queues.items() for r in debounce(own, delay))
 
 
+def test_debounce_of_many_short_queues(spark):
+    """Short queues go through Python in batches, not in a call each; batches may end within a queue, and one has no name."""
+    rows = spark.range(30_000).selectExpr("nullif(cast(id div 3 AS string), '7') AS queue", "id % 3 * 150 AS atMs", "cast(id % 3 AS string) AS key")
+    got = flow.debounced(rows)
+    assert "InPandas" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "FlatMap" not in plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        found = {(r.queue, r.firedMs, r.key) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {(None if q == 7 else str(q), *r) for q in range(10_000) for r in ((180, "1"), (480, "2"))}
+
+
 def test_a_long_history_is_dealt_out(spark):
     """A reader of many steps is gone through in as many groups as it has blocks."""
     acts = spark.range(20_000).selectExpr("'r' AS reader", "id AS step", "element_at(array('begin', 'settle', 'interrupt'), cast(id % 3 AS int) + 1) AS action", "true AS wasPlaying", "1.0D AS speed", "cast(null AS int) AS token", "cast(null AS string) AS outcome")
