@@ -172,3 +172,9 @@ def test_hash_of_texts_side_by_side(spark):
 
     texts = ["foobar" * 99, None, "𠀀é", "b", "", "𠀀é" * 40]
     assert ask(spark, T.fnv1a(x), *[(t,) for t in texts]) == [None if t is None else fnv(t) for t in texts]
+
+
+def test_scripts_are_counted_once(spark):
+    cases = {"a1" * 23: "chi_sim+eng+jpn", "é1" * 24: "eng", "a" * 24 + "か" * 6: "jpn+chi_sim+eng", "é" * 24 + "漢" * 8: "chi_sim+eng", "漢" * 7: "chi_sim+eng+jpn", "ü 與": "chi_tra+eng"}
+    assert ask(spark, T.ocr_language_set(x), *cases) == list(cases.values())
+    assert ask(spark, T.visible(x), " a\tb c　d ", "", "   ") == [4, 0, 0]
