@@ -178,3 +178,10 @@ def test_scripts_are_counted_once(spark):
     cases = {"a1" * 23: "chi_sim+eng+jpn", "é1" * 24: "eng", "a" * 24 + "か" * 6: "jpn+chi_sim+eng", "é" * 24 + "漢" * 8: "chi_sim+eng", "漢" * 7: "chi_sim+eng+jpn", "ü 與": "chi_tra+eng"}
     assert ask(spark, T.ocr_language_set(x), *cases) == list(cases.values())
     assert ask(spark, T.visible(x), " a\tb c　d ", "", "   ") == [4, 0, 0]
+
+
+def test_mixed_segments_in_one_pass(spark):
+    m = ask(spark, T.mixed_segments(x, F.lit("zh")), "1 été a-b's  c\td？ 2")[0]
+    assert [(s["text"], s["language"]) for s in m] == [("1 é", "zh"), ("t", "en"), ("é ", "zh"), ("a-b's  c\td", "en"), ("？ 2", "zh")]
+    r = T.mixed_segments(F.col("x"), F.lit("zh"))._jc.toString()
+    assert r.count("regexp_extract_all") == 1 and "split" not in r  # nothing is cut anew for each part
