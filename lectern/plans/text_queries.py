@@ -120,9 +120,7 @@ def repeated_lines(spark, d):
 
 @query("lines_without_repeats", f"{TEXTS}, k AS (SELECT tid, split_part(tid, ':', 1) AS doc, {key('text')} AS key FROM texts WHERE tid NOT LIKE 'g:%' AND {trim('text')} <> ''), r AS (SELECT key FROM k WHERE key <> '' AND length(key) <= 80 AND NOT {has('key', PAGE_NUMBER)} GROUP BY key HAVING count(DISTINCT doc) >= 2) SELECT doc, count(*) AS lines FROM k WHERE key NOT IN (SELECT key FROM r) GROUP BY doc")
 def lines_without_repeats(spark, d):
-    s = A.document_segments(A.documents(spark, d)).select("documentId", T.line_key(line()).alias("key"))
-    r = C.repeated_lines(A.document_segments(A.documents(spark, d)), "documentId")
-    return s.join(r, "key", "left_anti").groupBy(F.col("documentId").alias("doc")).agg(F.count("*").alias("lines"))
+    return C.lines_left(A.document_segments(A.documents(spark, d)), "documentId").select(F.col("documentId").alias("doc"), "lines")
 
 
 LATIN_RUN = r"[A-Za-z][A-Za-z0-9'’._/+:-]*(?:[ \t]+[A-Za-z][A-Za-z0-9'’._/+:-]*)*"

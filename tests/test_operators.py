@@ -275,3 +275,10 @@ def test_one_assessment_for_all_that_is_known_of_pages(spark, tmp_path):
     spark.createDataFrame([(1, "A line of prose.\nAnother one.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = PQ._resolved(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation ") == 1 and "Join" not in plan
+
+
+def test_lines_left(spark):
+    rows = spark.createDataFrame([("a", "Same  line"), ("a", "same line"), ("b", "same line"), ("b", "own"), ("b", "own"), ("c", "12"), ("d", "12"), ("c", "w" * 81), ("d", "w" * 81), ("e", "same line")], "page string, text string")
+    left = C.lines_left(rows, "page")
+    assert sorted(map(tuple, left.collect())) == [("b", 2), ("c", 1), ("d", 1)]
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
