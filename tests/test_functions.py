@@ -174,6 +174,12 @@ def test_hash_of_texts_side_by_side(spark):
     assert ask(spark, T.fnv1a(x), *[(t,) for t in texts]) == [None if t is None else fnv(t) for t in texts]
 
 
+def test_ends_of_texts(spark):
+    # U+0085 is no white space here, and no end of a text; a no-break space is white space
+    assert ask(spark, T.is_running_header(x), "12\x85", "•\xa0•", "A B C\x85", "12") == [False, True, False, True]
+    assert ask(spark, T.ends_chunk(x), "Done.\x85", "Done.") == [False, True] and ask(spark, T.has_terminal_punctuation(x), "Done.\x85") == [False]
+
+
 def test_scripts_are_counted_once(spark):
     cases = {"a1" * 23: "chi_sim+eng+jpn", "é1" * 24: "eng", "a" * 24 + "か" * 6: "jpn+chi_sim+eng", "é" * 24 + "漢" * 8: "chi_sim+eng", "漢" * 7: "chi_sim+eng+jpn", "ü 與": "chi_tra+eng"}
     assert ask(spark, T.ocr_language_set(x), *cases) == list(cases.values())
