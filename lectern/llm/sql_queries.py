@@ -55,7 +55,7 @@ QUERIES = {
     "chat_digests": lambda s, d: chat.op2_chat_formatting(s, d).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256"),
     "shingle_counts": lambda s, d: jaccard.op4_ngram_jaccard_join(s, d).select("doc_id", "n_shingles"),
     "benchmark_hits": lambda s, d: decontaminate.op6_benchmark_decontamination(s, d).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
-    "exact_lines": lambda s, d: lines.op8_line_dedup(s, d).select("doc_id", "n_lines", "n_exact"),
+    "exact_lines": lines.exact_lines,
     "media_payloads": lambda s, d: matroska.op9_matroska(s, d).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256"),
     "pretoken_counts": lambda s, d: token_counts.op10_token_counts(s, d).select("doc_id", "n_chars", "n_pretokens"),
 }

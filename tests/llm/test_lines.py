@@ -3,6 +3,7 @@ from hashlib import sha256
 
 from pyspark.sql import functions as F
 
+from lectern.llm import lines
 from lectern.llm.lines import dedup, edit_distance, op8_line_dedup
 
 SCHEMA = "doc_id long, text string, lang string, line string, h long"
@@ -132,3 +133,12 @@ def test_query_counts(spark, tmp_path):
     got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.kept_sha256) for r in op8_line_dedup(spark, str(tmp_path)).collect()}
     sha = lambda t: sha256(t.encode()).hexdigest()
     assert got == {1: (2, 0, 0, sha(rows[0][1])), 2: (3, 2, 1, sha("")), 3: (1, 0, 0, sha("own"))}
+
+
+def test_exact_lines_without_similar_ones(spark, tmp_path, monkeypatch):
+    """Counts of equal lines need none of the search for similar ones."""
+    docs = [(1, "same\nown\n\nsame"), (2, "same\r\nother"), (3, None), (4, " \nsame"), (4, " \nsame"), (None, "own")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    whole = sorted(map(str, lines.op8_line_dedup(spark, str(tmp_path)).select("doc_id", "n_lines", "n_exact").collect()))
+    monkeypatch.setattr(lines, "signed", None)
+    assert sorted(map(str, lines.exact_lines(spark, str(tmp_path)).collect())) == whole
