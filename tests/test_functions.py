@@ -191,3 +191,21 @@ def test_mixed_segments_in_one_pass(spark):
     assert [(s["text"], s["language"]) for s in m] == [("1 é", "zh"), ("t", "en"), ("é ", "zh"), ("a-b's  c\td", "en"), ("？ 2", "zh")]
     r = T.mixed_segments(F.col("x"), F.lit("zh"))._jc.toString()
     assert r.count("regexp_extract_all") == 1 and "split" not in r  # nothing is cut anew for each part
+
+
+def test_first_sentences_end_the_look(spark, monkeypatch):
+    looks = []
+    monkeypatch.setattr(S, "_abbreviates", lambda text, dot: looks.append(dot))
+    assert S.first_of("One here. " * 1000) == "One here." and len(looks) == 1
+    assert S.first_of(" \n") == S.first_of(None) == "" and S.first_of("no end") == "no end"
+    assert ask(spark, S.first_sentence(x), "Dr. A came. He left.", "  ", None) == ["Dr. A came.", "", ""]
+
+
+def test_counts_are_made_once(spark):
+    assert str(R.speech_seconds(x)).count("regexp_replace") == 2  # blanks, and what can't be spoken where nothing else counts
+    assert str(T.classify_role(x)).count(r"\P{L}") == str(T.classify_role(x)).count(r"\p{N}") == 1
+
+
+def test_squeezed(spark):
+    rows = {"a b": "a b", " a  b ": "a b", "a\tb": "a b", "a \n b": "a b", "a　b ": "a b", " ": "", "": "", "a\u0085b": "a\u0085b"}
+    assert ask(spark, T.squeeze(x), *rows) == list(rows.values())
