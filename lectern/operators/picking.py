@@ -77,7 +77,8 @@ def is_allowed(explicit: bool = False) -> Column:
 
 
 def policy_text() -> Column:
-    return F.when(F.col("parentheticals") == "strip-balanced", strip_balanced(F.col("text"))).otherwise(T.squeeze(F.col("text")))
+    strip = F.col("parentheticals") == "strip-balanced"
+    return F.when(strip, strip_balanced(F.when(strip, F.col("text")))).otherwise(T.squeeze(F.col("text")))  # Python runs for every row
 
 
 def by_policy(chunks: DataFrame, resolved: DataFrame, explicit: bool = False) -> DataFrame:
