@@ -53,7 +53,7 @@ QUERIES = {
     "secret_base_spans": lambda s, d: secrets.op5_secrets(s, d).drop("spans", "n_live"),
     "mix_targets": lambda s, d: mixing.op1_mixing(s, d).select("doc_id", "size", "source_size", F.round("target", 4).alias("target")),
     "chat_digests": lambda s, d: chat.op2_chat_formatting(s, d).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256"),
-    "shingle_counts": lambda s, d: jaccard.op4_ngram_jaccard_join(s, d).select("doc_id", "n_shingles"),
+    "shingle_counts": jaccard.shingle_counts,
     "benchmark_hits": lambda s, d: decontaminate.op6_benchmark_decontamination(s, d).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"),
     "exact_lines": lines.exact_lines,
     "media_payloads": lambda s, d: matroska.op9_matroska(s, d).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256"),
