@@ -69,23 +69,33 @@ def is_speakable(allow_footnote: bool = False, lead: bool = False) -> Column:
     return F.coalesce(ok & is_heading_or_short() if lead else ok, F.lit(False))
 
 
+def may_be_allowed(explicit: bool = False) -> Column:
+    """What every policy asks of a chunk."""
+    ok = F.col("text").rlike(T.NOT_WS) & ~is_margin_noise() & ~F.array_contains("qualityFlags", "bibliographic")
+    return F.coalesce(ok & F.col("normalizedBbox").isNotNull() if explicit else ok, F.lit(False))
+
+
 def is_allowed(explicit: bool = False) -> Column:
-    """By the columns of a joined policy."""
-    ok = F.col("enabled") & F.col("text").rlike(T.NOT_WS) & ~is_margin_noise() & ~F.array_contains("qualityFlags", "bibliographic") & ~F.coalesce(F.array_contains("excludedRoles", F.col("role")), F.lit(False))
-    ok = ok & F.col("normalizedBbox").isNotNull() if explicit else ok & ~(F.col("excludeAnnotations") & F.coalesce(F.col("role") == "annotation", F.lit(False)))
+    """By the columns of a joined policy, of chunks that may be allowed."""
+    ok = F.col("enabled") & ~F.coalesce(F.array_contains("excludedRoles", F.col("role")), F.lit(False))
+    ok = ok if explicit else ok & ~(F.col("excludeAnnotations") & F.coalesce(F.col("role") == "annotation", F.lit(False)))
     return F.coalesce(ok, F.lit(False))
 
 
-def policy_text() -> Column:
-    strip = F.col("parentheticals") == "strip-balanced"
-    return F.when(strip, strip_balanced(F.when(strip, F.col("text")))).otherwise(T.squeeze(F.col("text")))  # Python runs for every row
+def without_brackets(plain: Column) -> Column:
+    """Squeezed text without balanced brackets; a text that opens none is as it is, and isn't sent to Python."""
+    opens = F.contains(plain, F.lit("(")) | F.contains(plain, F.lit("（"))
+    return F.when(opens, strip_balanced(F.when(opens, plain))).otherwise(plain)
 
 
 def by_policy(chunks: DataFrame, resolved: DataFrame, explicit: bool = False) -> DataFrame:
     """Chunks that each resolved policy allows, with the text as it would be spoken. A chunk meets one row for each
     policy asked for (six tiers at most)."""
-    d = chunks.join(F.broadcast(resolved.select("tierKey", "enabled", "excludedRoles", "excludeAnnotations", "parentheticals").distinct()))
-    return d.where(is_allowed(explicit)).withColumn("text", policy_text()).where("text <> ''").drop("enabled", "excludedRoles", "excludeAnnotations", "parentheticals")
+    own = T.once(chunks.where(may_be_allowed(explicit)), "_plain", T.squeeze(F.col("text")))  # a chunk's own, whatever the policies
+    own = own.withColumn("_bare", without_brackets(F.col("_plain")))
+    d = own.join(F.broadcast(resolved.select("tierKey", "enabled", "excludedRoles", "excludeAnnotations", "parentheticals").distinct()))
+    text = F.when(F.col("parentheticals") == "strip-balanced", F.col("_bare")).otherwise(F.col("_plain"))
+    return d.where(is_allowed(explicit)).withColumn("text", text).where("text <> ''").drop("enabled", "excludedRoles", "excludeAnnotations", "parentheticals", "_plain", "_bare")
 
 
 def speech_text(first_only: bool = False) -> Column:
